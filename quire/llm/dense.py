@@ -45,11 +45,8 @@ def bin_of(h: np.ndarray, bins: int) -> np.ndarray:
     return (h >> np.uint64(64 - (bins - 1).bit_length())).astype(np.int64)
 
 
-def id_filter(ids: DataFrame, column: str, bins: int = 1 << 22):
-    """A column function that is true for all ids in ``ids`` and for few others: a table of
-    ``bins`` bits, whatever the input.  Beyond some ids for each bit it lets more and more
-    through, which costs time and drops nothing."""
-    spark = ids.sparkSession
+def bit_table(hashes: DataFrame, bins: int) -> np.ndarray:
+    """Packed bits of the bins that the 64-bit hashes of a one-column frame fall in."""
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(bins, np.uint32)
@@ -61,12 +58,22 @@ def id_filter(ids: DataFrame, column: str, bins: int = 1 << 22):
             b, at, n = zip(*got)
             yield pa.RecordBatch.from_pydict({"block": pa.array(b, pa.int32()), "at": pa.array(at, pa.binary()), "n": pa.array(n, pa.binary())})
 
-    hashes = ids.select(F.xxhash64(column).alias("h"))
-    bits = spark.sparkContext.broadcast(np.packbits(total(hashes.mapInArrow(mark, SCHEMA), bins) > 0))
+    return np.packbits(total(hashes.mapInArrow(mark, SCHEMA), bins) > 0)
+
+
+def in_table(bits: np.ndarray, h: np.ndarray, bins: int) -> np.ndarray:
+    at = bin_of(h, bins)
+    return (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+
+
+def id_filter(ids: DataFrame, column: str, bins: int = 1 << 22):
+    """A column function that is true for all ids in ``ids`` and for few others: a table of
+    ``bins`` bits, whatever the input.  Beyond some ids for each bit it lets more and more
+    through, which costs time and drops nothing."""
+    bits = ids.sparkSession.sparkContext.broadcast(bit_table(ids.select(F.xxhash64(column).alias("h")), bins))
 
     @F.arrow_udf("boolean")
     def may_have(column: pa.Array) -> pa.Array:
-        at = bin_of(column.to_numpy(zero_copy_only=False).view(np.uint64), bins)
-        return pa.array((bits.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool))
+        return pa.array(in_table(bits.value, column.to_numpy(zero_copy_only=False).view(np.uint64), bins))
 
     return lambda c: may_have(F.xxhash64(c))

@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import chat, decontam, digest, langid, mixing, pages, sharding
+from quire.llm import chat, decontam, digest, langid, lines, mixing, ngramjoin, pages, sharding, suffixes
 from quire.llm.common import table
 
 SHARDS = 40
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup(table(spark, sf_dir, "documents"))
+
+
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest.compare_edited(table(spark, sf_dir, "documents"))
 
@@ -31,6 +35,14 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("language.lang").alias("lang_pred"), F.col("language.score").alias("score"))
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.join(table(spark, sf_dir, "documents"))
+
+
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeats(table(spark, sf_dir, "documents"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"))
@@ -95,13 +107,63 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_fingerprints": op2_fingerprints,
     "op3_mixing": op3_mixing,
     "op4_language": op4_language,
+    "op5_ngram_join": op5_ngram_join,
     "op6_decontamination": op6_decontamination,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_sharding": op8_sharding,
     "op9_html": op9_html,
     "op10_chat": op10_chat,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_ngram_join": r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents
+), s as (
+  select doc_id, case when len(w) >= 5 then list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')))
+                      when len(w) > 0 then [array_to_string(w, ' ')] else [] end as s from w
+), e as (select doc_id, len(s) as n, unnest(s) as g from s
+), links as (
+  select a.doc_id as a, b.doc_id as b from e a join e b on a.g = b.g and a.doc_id <> b.doc_id and 4 * a.n >= 3 * b.n and 4 * b.n >= 3 * a.n
+  group by a.doc_id, b.doc_id, a.n, b.n having 100 * count(*) >= 75 * (a.n + b.n - count(*))
+), reach as (
+  select doc_id as a, doc_id as c from documents union select r.a, l.b from reach r join links l on r.c = l.a
+)
+select d.doc_id, (select len(s) from s where s.doc_id = d.doc_id)::bigint as n_shingles, min(r.c) as component_id
+from documents d join reach r on r.a = d.doc_id group by d.doc_id
+""",
+    "op6_decontamination": r"""
+with w as (
+  select doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) as w from documents
+), i as (
+  select item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark where text is not null
+), iw as (
+  select item_id, least(len(w), 10) as n, unnest(list_transform(range(1, greatest(len(w) - 9, 1) + 1), lambda k: array_to_string(w[k:k+9], ' '))) as g from i where len(w) > 0
+), dw as (
+  select doc_id, n, k, array_to_string(w[k:k+n-1], ' ') as g
+  from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as k from w, (select distinct n from iw) where len(w) >= n)
+), hit as (select distinct d.doc_id, d.k, d.n, i.item_id from dw d join iw i on d.g = i.g and d.n = i.n
+), words as (select doc_id, count(distinct x) as n_hit from (select doc_id, unnest(range(k, k + n)) as x from hit) group by doc_id
+), items as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as items from (select distinct doc_id, item_id::varchar as item from hit) group by doc_id)
+select w.doc_id, len(w.w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from w left join words using (doc_id) left join items using (doc_id)
+""",
+    "op10_chat": r"""
+with c as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -7, unnest([0, 1]), unnest(['user', 'assistant']), '</s>[INST] ok [/INST]'
+), e as (
+  select *, length(role) + length(text) as n, length(regexp_replace(role, '[^\\<\[\n]', '', 'g')) + length(regexp_replace(text, '[^\\<\[]', '', 'g')) as esc from c
+)
+select conv_id, count(*)::bigint as n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+  sum(case when role = 'assistant' then length(text) else 0 end)::bigint as loss_chars,
+  sha256(coalesce(string_agg(case when role = 'assistant' then text end, '' order by turn, role, text), '')) as loss_sha256,
+  sum(n + esc + 12 + 1 + 11)::bigint as formatted_chars
+from e group by conv_id
+""",
+}
