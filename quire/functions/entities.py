@@ -7,9 +7,10 @@ import html
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(StringType())
 def _unescape(column: pa.Array) -> pa.Array:
     return pa.array([None if x is None else html.unescape(x) for x in column.to_pylist()], pa.string())
 

@@ -41,6 +41,12 @@ def split_lines(c: Column) -> Column:
     return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
 
 
+def let(value: Column, f) -> Column:
+    """f(value) with the value computed once, however often f names it; without this,
+    nested patterns multiply into code too large to compile."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 # --- headings and contents --------------------------------------------------------------------
 
 
@@ -54,10 +60,11 @@ def bare(line: Column) -> Column:
 
 
 def is_toc_line(line: Column) -> Column:
-    s = strip(line)
-    body = sub(s, fixed.TOC_PAGE_TAIL, "")
-    relaxed = has(s, fixed.TOC_NUMBERED) & has(s, fixed.TOC_PAGE_TAIL) & (F.length(body) <= fixed.TOC_BODY_CHARS) & ~has(body, fixed.IMAGE_MD) & ~F.contains(body, F.lit("<table"))
-    return (s != "") & (has(s, fixed.TOC_STRICT) | relaxed)
+    def relaxed(s: Column) -> Column:
+        short = lambda body: (F.length(body) <= fixed.TOC_BODY_CHARS) & ~has(body, fixed.IMAGE_MD) & ~F.contains(body, F.lit("<table"))
+        return has(s, fixed.TOC_NUMBERED) & has(s, fixed.TOC_PAGE_TAIL) & let(sub(s, fixed.TOC_PAGE_TAIL, ""), short)
+
+    return let(strip(line), lambda s: (s != "") & (has(s, fixed.TOC_STRICT) | relaxed(s)))
 
 
 def strip_page_no(line: Column) -> Column:
@@ -66,9 +73,8 @@ def strip_page_no(line: Column) -> Column:
 
 def toc_title(line: Column) -> Column:
     """The title in a line of contents, without number and page; null if there is none."""
-    body = strip_page_no(line)
     chapter, dotted = rf"^第\s*{fixed.CN_OR_AR}\s*章\s+(.+)$", r"^\d+(?:\.\d+)*\s+(.+)$"
-    return F.when(has(body, chapter), strip(group(body, chapter))).when(has(body, dotted), strip(group(body, dotted)))
+    return let(strip_page_no(line), lambda body: F.when(has(body, chapter), strip(group(body, chapter))).when(has(body, dotted), strip(group(body, dotted))))
 
 
 def norm_title(title: Column) -> Column:
@@ -86,43 +92,42 @@ def unnumbered(title: Column) -> Column:
 def heading(line: Column, s: Column | None = None) -> Column:
     """struct(level, title, board, kind) of a heading line, else null; the first rule that
     fits decides.  s: the line without its marks, if there is a column of it."""
-    s = bare(line) if s is None else s
 
     def h(level: int, title: Column, kind: str = "", board: bool = False) -> Column:
         return F.struct(F.lit(level).alias("level"), title.alias("title"), F.lit(board).alias("board"), F.lit(kind).alias("kind"))
 
-    return (
-        F.when(s == "", None)
-        .when(has(s, fixed.BOARD), h(0, s, board=True))
-        .when(has(s, fixed.CHAPTER), h(1, strip(sub(s, "^[·•]+", ""))))
-        .when(has(s, fixed.CHAPTER_BARE) & starts_hash(line), h(1, s, "ar"))
-        .when(has(s, fixed.SECTION), h(2, s, "jie"))
-        .when(has(s, fixed.DOTTED), F.when(group(s, fixed.DOTTED, 3) == "", h(2, s, "dot")).otherwise(h(3, s)))
-        .when(has(s, fixed.LISTED), h(2, s, "cn"))
-        .when(has(s, fixed.BRACKETED), h(3, s))
-    )
+    def rules(s: Column) -> Column:
+        return (
+            F.when(s == "", None)
+            .when(has(s, fixed.BOARD), h(0, s, board=True))
+            .when(has(s, fixed.CHAPTER), h(1, strip(sub(s, "^[·•]+", ""))))
+            .when(has(s, fixed.CHAPTER_BARE) & starts_hash(line), h(1, s, "ar"))
+            .when(has(s, fixed.SECTION), h(2, s, "jie"))
+            .when(has(s, fixed.DOTTED), F.when(group(s, fixed.DOTTED, 3) == "", h(2, s, "dot")).otherwise(h(3, s)))
+            .when(has(s, fixed.LISTED), h(2, s, "cn"))
+            .when(has(s, fixed.BRACKETED), h(3, s))
+        )
+
+    return let(bare(line) if s is None else s, rules)
 
 
 def cn_to_int(text: Column) -> Column:
     """Chinese or Arabic numeral to a number; what isn't known counts 0."""
-    s = strip(text)
     digit = F.create_map(*[F.lit(x) for kv in fixed.CN_DIGITS.items() for x in kv])
-
-    def of(c: Column, other: int = 0) -> Column:
-        return F.coalesce(F.try_element_at(digit, c), F.lit(other))
+    of = lambda c, other=0: F.coalesce(F.try_element_at(digit, c), F.lit(other))
+    second = lambda parts: F.coalesce(F.get(parts, F.lit(1)), F.lit(""))
 
     def tens(c: Column) -> Column:
-        parts = F.split(c, "十")
-        left, right = parts[0], F.coalesce(F.get(parts, F.lit(1)), F.lit(""))
-        ten = F.when(left == "", 1).otherwise(of(left, 1)) * 10 + F.when(right == "", 0).otherwise(of(right))
-        arabic = F.when(has(c, r"^\d+$"), F.expr("try_cast(null as int)"))
-        return F.coalesce(arabic, F.when(c == "十", 10).when(F.contains(c, F.lit("十")), ten).otherwise(of(c)))
+        whole = lambda p: F.when(p[0] == "", 1).otherwise(of(p[0], 1)) * 10 + F.when(second(p) == "", 0).otherwise(of(second(p)))
+        return F.when(F.contains(c, F.lit("十")), let(F.split(c, "十"), whole)).otherwise(of(c))
+
+    def number(c: Column) -> Column:
+        return F.when(c == "", 0).when(has(c, r"^\d+$"), F.coalesce(c.try_cast("int"), F.lit(0))).otherwise(tens(c))
+
+    def hundreds(s: Column) -> Column:
+        return F.when(F.contains(s, F.lit("百")), let(F.split(s, "百"), lambda p: of(p[0]) * 100 + let(second(p), number))).otherwise(number(s))
 
-    hundreds = F.split(s, "百")
-    rest = F.coalesce(F.get(hundreds, F.lit(1)), F.lit(""))
-    after = F.when(rest == "", 0).when(has(rest, r"^\d+$"), rest.try_cast("int")).otherwise(tens(rest))
-    plain = F.when(s == "", 0).when(has(s, r"^\d+$"), s.try_cast("int"))
-    return F.coalesce(plain, F.when(F.contains(s, F.lit("百")), of(hundreds[0]) * 100 + after).otherwise(tens(s))).cast("int")
+    return let(strip(text), hundreds).cast("int")
 
 
 # --- tables -----------------------------------------------------------------------------------
@@ -143,20 +148,26 @@ def max_cell_len(html: Column) -> Column:
 
 def table_gate(html: Column) -> Column:
     """Why a table can't become Markdown, or ok: the first gate that it fails."""
-    rows = table_rows(html)
-    counts = F.array_distinct(F.transform(rows, lambda r: F.regexp_count(r, F.lit("<td"))))
     left = strip(F.regexp_replace(F.regexp_replace(html, r"(?s)<td[^>]*>.*?</td>", ""), r"<[^>]+>", ""))
-    n = F.element_at(counts, 1)
+
+    def sizes(rows: Column) -> Column:
+        def columns(counts: Column) -> Column:
+            n = F.element_at(counts, 1)
+            return (
+                F.when(F.size(counts) != 1, F.lit("ragged"))
+                .when(~n.between(*fixed.TABLE_COLS), F.concat(F.lit("cols="), n.cast("string")))
+                .when(~F.size(rows).between(*fixed.TABLE_ROWS), F.concat(F.lit("rows="), F.size(rows).cast("string")))
+                .when(max_cell_len(html) > fixed.TABLE_CELL_CHARS, F.lit("cell_too_long"))
+                .otherwise(F.lit("ok"))
+            )
+
+        return F.when(F.size(rows) == 0, F.lit("empty")).otherwise(let(F.array_distinct(F.transform(rows, lambda r: F.regexp_count(r, F.lit("<td")))), columns))
+
     return (
         F.when(F.regexp_count(html, F.lit("<table")) != F.regexp_count(html, F.lit("</table>")), F.lit("unbalanced"))
         .when(has(html, "colspan|rowspan", "i"), F.lit("merged"))
         .when(left != "", F.lit("impure"))
-        .when(F.size(rows) == 0, F.lit("empty"))
-        .when(F.size(counts) != 1, F.lit("ragged"))
-        .when(~n.between(*fixed.TABLE_COLS), F.concat(F.lit("cols="), n.cast("string")))
-        .when(~F.size(rows).between(*fixed.TABLE_ROWS), F.concat(F.lit("rows="), F.size(rows).cast("string")))
-        .when(max_cell_len(html) > fixed.TABLE_CELL_CHARS, F.lit("cell_too_long"))
-        .otherwise(F.lit("ok"))
+        .otherwise(let(table_rows(html), sizes))
     )
 
 

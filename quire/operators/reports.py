@@ -66,18 +66,16 @@ def chapter_report(marked: DataFrame, tree: DataFrame) -> DataFrame:
     return both.rollup("book_id", "chapter_no").agg(F.grouping_id().alias("depth"), *sums)
 
 
+def outside_boards(tree: DataFrame) -> DataFrame:
+    """Nodes that are neither boards nor below one.  A board stays on the path to its
+    chapter's end, so these are the nodes before a chapter's first board."""
+    w = Window.partitionBy("book_id", "chapter_no").orderBy("node_id").rowsBetween(Window.unboundedPreceding, 0)
+    return tree.withColumn("__b", F.max(F.col("board").cast("int")).over(w)).where("__b = 0").drop("__b")
+
+
 def outline_totals(tree: DataFrame) -> DataFrame:
     """Sums over a book's nodes without its boards and what is below them."""
-    boards = tree.where("board").select("book_id", F.col("node_id").alias("__n"))
-    below = gone = boards
-    # a board's sub-headings nest up to three deep (levels 2 to 4)
-    for _ in range(3):
-        held = below.select(F.col("book_id").alias("__b"), "__n")
-        below = tree.join(held, (F.col("book_id") == F.col("__b")) & (F.col("parent_id") == F.col("__n"))).select("book_id", F.col("node_id").alias("__n"))
-        gone = gone.unionByName(below)
-    gone = gone.distinct().withColumnRenamed("book_id", "__b")
-    kept = tree.join(gone, (F.col("book_id") == F.col("__b")) & (F.col("node_id") == F.col("__n")), "left_anti")
-    return kept.groupBy("book_id").agg(F.sum("char_count").alias("chars"), F.sum("image_count").alias("images"), F.sum("table_count").alias("tables"))
+    return outside_boards(tree).groupBy("book_id").agg(F.sum("char_count").alias("chars"), F.sum("image_count").alias("images"), F.sum("table_count").alias("tables"))
 
 
 def quota_usage(events: DataFrame, page_limit: int = fixed.DAILY_PAGES, file_limit: int = fixed.DAILY_FILES) -> DataFrame:

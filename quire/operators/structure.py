@@ -89,11 +89,15 @@ def _with_entries(lines: DataFrame) -> DataFrame:
     anchor = F.min(F.when(is_anchor(line), F.col("o"))).over(_book())
     lines = lines.withColumn("anchor", anchor)
     stop = F.min(F.when((F.col("o") > F.col("anchor")) & T.has(line, BODY_CHAPTER), F.col("o"))).over(_book())
-    rest = T.strip(T.group(line, ENTRY, 2))
-    page = F.when(T.has(rest, ENTRY_PAGE), F.coalesce(T.group(rest, ENTRY_PAGE, 1).try_cast("int"), T.group(rest, ENTRY_PAGE, 2).try_cast("int")))
-    title = T.strip(T.sub(T.strip(T.sub(rest, ENTRY_PAGE, "")), r"[….·\-—\s]+$", ""))
     within = (F.col("o") > F.col("anchor")) & (F.col("o") < F.coalesce(stop, F.lit(1 << 62)))
-    entry = F.when(within & T.has(line, ENTRY) & (title != ""), F.struct(T.cn_to_int(T.group(line, ENTRY)).alias("no"), title.alias("title"), page.alias("page")))
+
+    def parsed(rest):
+        page = F.when(T.has(rest, ENTRY_PAGE), F.coalesce(T.group(rest, ENTRY_PAGE, 1).try_cast("int"), T.group(rest, ENTRY_PAGE, 2).try_cast("int")))
+        title = T.strip(T.sub(T.strip(T.sub(rest, ENTRY_PAGE, "")), r"[….·\-—\s]+$", ""))
+        return F.struct(T.cn_to_int(T.group(line, ENTRY)).alias("no"), title.alias("title"), page.alias("page"))
+
+    entry = F.when(within & T.has(line, ENTRY), T.let(T.strip(T.group(line, ENTRY, 2)), parsed))
+    entry = T.let(entry, lambda e: F.when(e["title"] != "", e))
     return lines.withColumn("entry", entry)
 
 

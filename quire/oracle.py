@@ -220,6 +220,7 @@ nodes as (select book_id, chapter_no::bigint as chapter_no, node_id, max(case wh
 
 TREE = tree(2)
 NODES = "select book_id, chapter_no, node_id, parent_id, level, board, title, page_range, char_count, image_count, table_count from nodes"
+DEAD = "dead as (select book_id, node_id from nodes where board union select n.book_id, n.node_id from nodes n join dead d on n.book_id = d.book_id and n.parent_id = d.node_id)"
 SECTIONS = rf"""
 sec as (select n.book_id, p.chapter_no, p.title, list(try_cast(regexp_extract(n.title, '^第\s*({N})\s*节', 1) as int) order by n.node_id) as nums
   from nodes n join nodes p on n.book_id = p.book_id and n.parent_id = p.node_id and p.level = 1 where not n.board and {m('n.title', rf'^第\s*{N}\s*节')} group by n.book_id, p.chapter_no, p.title),
@@ -311,8 +312,8 @@ from lines b left join (select book_id, count(*) filter (where role = 'chapter')
 left join (select n.book_id, count(*) as j from nodes n join nodes p on n.book_id = p.book_id and n.parent_id = p.node_id where not n.board and n.level - p.level > 1 group by n.book_id) w on w.book_id = b.book_id group by b.book_id""",
     "a8_pages_covered": f"with {LINES} select book_id, 'p1-' || (max(batch_idx) * 25) as pages_covered from lines group by book_id",
     "a9_continuity": f"{TREE}, {SECTIONS} select book_id, chapter_no, warning from cont",
-    "a11_outline_totals": f"{TREE}, dead as (select book_id, node_id from nodes where board union select n.book_id, n.node_id from nodes n join dead d on n.book_id = d.book_id and n.parent_id = d.node_id) select book_id, sum(char_count)::bigint as chars, sum(image_count)::bigint as images, sum(table_count)::bigint as tables from nodes where (book_id, node_id) not in (select (book_id, node_id) from dead) group by book_id",
-    "c5_outlines": f"""{TREE} select book_id, string_agg(case when level = 1 then '- **' || title || '**（' || page_range || '，' || char_count || '字，图' || image_count || ' 表' || table_count || '）' else repeat('  ', (level - 1)::int) || '- ' || title || '（' || page_range || '，' || char_count || '字）' end, chr(10) order by node_id) as outline from nodes where not board group by book_id""",
+    "a11_outline_totals": f"{TREE}, {DEAD} select book_id, sum(char_count)::bigint as chars, sum(image_count)::bigint as images, sum(table_count)::bigint as tables from nodes where (book_id, node_id) not in (select (book_id, node_id) from dead) group by book_id",
+    "c5_outlines": f"""{TREE}, {DEAD} select book_id, string_agg(case when level = 1 then '- **' || title || '**（' || page_range || '，' || char_count || '字，图' || image_count || ' 表' || table_count || '）' else repeat('  ', (level - 1)::int) || '- ' || title || '（' || page_range || '，' || char_count || '字）' end, chr(10) order by node_id) as outline from nodes where (book_id, node_id) not in (select (book_id, node_id) from dead) group by book_id""",
     "p14_chapter_titles": f"{TREE} select book_id, chapter_no, title from nodes where level = 1 and chapter_no <= 2",
     "a4_table_stats": f"""with {GRADED} select k % 10 as g, count(*) filter (where gate = 'ok') as converted, count(*) filter (where gate <> 'ok') as kept, count(*) filter (where is_math) as math_total, count(*) filter (where is_math and gate = 'ok') as math_converted,
 count(*) filter (where is_math and gate <> 'ok') as math_kept, count(*) filter (where is_math and gate <> 'ok' and regexp_matches(html, '(?i)colspan|rowspan')) as math_kept_merged, count(*) filter (where is_math and gate <> 'ok' and max_cell > 300) as math_kept_cell_too_long from graded group by 1""",

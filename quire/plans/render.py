@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
+from quire.operators.reports import outside_boards
 
 
 def _clean(line: Column, unescape=None) -> Column:
@@ -77,10 +78,10 @@ def vault_files(chapters: DataFrame) -> DataFrame:
 
 
 def outlines(tree: DataFrame) -> DataFrame:
-    """(book_id, outline): a list entry for each node in order, indented by depth, without
-    boards."""
+    """(book_id, outline): a list entry for each node in order, indented by level, without
+    boards and what is below them."""
     n = F.col("node_id")
     top = F.concat(F.lit("- **"), "title", F.lit("**（"), "page_range", F.lit("，"), F.col("char_count").cast("string"), F.lit("字，图"), F.col("image_count").cast("string"), F.lit(" 表"), F.col("table_count").cast("string"), F.lit("）"))
     below = F.concat(F.repeat(F.lit("  "), F.col("level") - 1), F.lit("- "), "title", F.lit("（"), "page_range", F.lit("，"), F.col("char_count").cast("string"), F.lit("字）"))
-    lines = tree.where("not board").select("book_id", n.alias("o"), F.when(F.col("level") == 1, top).otherwise(below).alias("md"))
+    lines = outside_boards(tree).select("book_id", n.alias("o"), F.when(F.col("level") == 1, top).otherwise(below).alias("md"))
     return lines.groupBy("book_id").agg(_joined().alias("outline"))
