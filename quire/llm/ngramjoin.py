@@ -7,9 +7,9 @@ sizes.  The prefix part of the matrix is multiplied with its transpose block by
 columns.  Pairs whose sizes, or places of the first common n-gram, bound their overlap below
 the threshold are discarded; the overlap of the others is counted over their whole sets.
 
-Equal sets are one row.  A column that many rows share is linked first through one of its
-rows; its other pairs are multiplied out only between rows that the links found so far
-don't join already, as they can't change the components otherwise.
+Equal sets are one row.  A column that more than a few rows share is linked first through
+one of its rows, the hub.  Rows that these links don't join with their hub are then
+multiplied with all rows of their columns; pairs inside a component can't change it.
 """
 
 from __future__ import annotations
@@ -22,7 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm import dense
-from quire.llm.common import ARROW_ROWS, chunks, cut, mix64, shingles, small_batches, text_bytes, word_hashes, word_spans
+from quire.llm.blobs import pack, runs, unpack
+from quire.llm.common import ARROW_ROWS, chunks, cut, mix64, release, shingles, small_batches, text_bytes, word_hashes, word_spans
 
 NGRAM = 5
 #: 100 * overlap >= 75 * union.  With it: overlap >= 3/7 of the sum of sizes, at least 6/7 of
@@ -30,9 +31,14 @@ NGRAM = 5
 SIMILAR = 0.75
 BINS = 1 << 19
 #: Rows of a column whose pairs are all multiplied out at once.
-FEW = 32
+FEW = 8
+#: Sets that are compared with one other in one group.
+GROUP = 64
 #: Entries in a block of columns.
-BLOCK_ENTRIES = 2_000_000
+BLOCK_ENTRIES = 1_000_000
+#: A set's sketch: how many of its n-grams fall in each of some buckets, 255 for that many or
+#: more; about a bucket for each FILL n-grams, a power of two between these.
+FILL, LEAST_BUCKETS, MOST_BUCKETS = 4, 64, 1 << 13
 U64 = np.uint64
 
 
@@ -60,35 +66,57 @@ def signatures(h: np.ndarray, row: np.ndarray, rows: int) -> tuple[np.ndarray, n
     return size, name
 
 
+def sketches(h: np.ndarray, row: np.ndarray, rows: int) -> list[bytes]:
+    size = np.bincount(row, minlength=rows)
+    wide = np.clip(2 ** np.ceil(np.log2(np.maximum(size, 1) / FILL)), LEAST_BUCKETS, MOST_BUCKETS).astype(np.int64)
+    begin = np.cumsum(wide) - wide
+    cell = begin[row] + ((h >> U64(32)).astype(np.int64) & (wide[row] - 1))
+    flat = np.minimum(np.bincount(cell, minlength=int(wide.sum())), 255).astype(np.uint8)
+    return [flat[i : i + n].tobytes() for i, n in zip(begin, wide)]
+
+
+def most_overlap(left: bytes, right: bytes) -> int:
+    """The largest overlap that two sketches allow; the wider one is folded to the other."""
+    x, y = np.frombuffer(left, np.uint8), np.frombuffer(right, np.uint8)
+    if (x == 255).any() or (y == 255).any():
+        return 1 << 62
+    n = min(len(x), len(y))
+    x, y = (z.reshape(-1, n).sum(axis=0, dtype=np.int64) for z in (x, y))
+    return int(np.minimum(x, y).sum())
+
+
 def features(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, size, node) of each document, and rows of bin counters (block not null)."""
+    """(doc_id, size, node, sketch) of each document, and rows of bin counters (block not
+    null)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = np.zeros(BINS, np.uint32)
 
-        def out(ids, size, node, block=(), at=(), count=()):
+        def out(ids, size, node, sketch, block=(), at=(), count=()):
             k, m = len(ids), len(block)
             return pa.RecordBatch.from_arrays(
-                [pa.concat_arrays([ids.cast(pa.int64()), pa.nulls(m, pa.int64())]), pa.array(list(size) + [None] * m, pa.int64()), pa.array(list(node) + [None] * m, pa.int64()), pa.array([None] * k + list(block), pa.int32()), pa.array([None] * k + list(at), pa.binary()), pa.array([None] * k + list(count), pa.binary())],
-                names=["doc_id", "size", "node", "block", "at", "n"],
+                [pa.concat_arrays([ids.cast(pa.int64()), pa.nulls(m, pa.int64())]), pa.array(list(size) + [None] * m, pa.int64()), pa.array(list(node) + [None] * m, pa.int64()), pa.array(list(sketch) + [None] * m, pa.binary()), pa.array([None] * k + list(block), pa.int32()), pa.array([None] * k + list(at), pa.binary()), pa.array([None] * k + list(count), pa.binary())],
+                names=["doc_id", "size", "node", "sketch", "block", "at", "n"],
             )
 
         for batch in batches:
             raw, off = text_bytes(batch.column(1))
-            sizes, nodes = [], []
+            sizes, nodes, kept = [], [], []
             for i, j in chunks(off):
                 h, row = sets_of(raw[off[i] : off[j]], off[i : j + 1] - off[i], n)
                 counter += np.bincount(dense.bin_of(h, BINS), minlength=BINS).astype(np.uint32)
                 size, name = signatures(h, row, j - i)
                 sizes.append(size)
                 nodes.append(name.view(np.int64))
+                kept += sketches(h, row, j - i)
             if sizes:
-                yield out(batch.column(0), np.concatenate(sizes), np.concatenate(nodes))
+                yield out(batch.column(0), np.concatenate(sizes), np.concatenate(nodes), kept)
+        release()
         got = list(dense.blocks(counter))
         if got:
-            yield out(pa.array([], pa.int64()), [], [], *zip(*got))
+            yield out(pa.array([], pa.int64()), [], [], [], *zip(*got))
 
-    return docs.mapInArrow(run, "doc_id long, size long, node long, block int, at binary, n binary")
+    return docs.mapInArrow(run, "doc_id long, size long, node long, sketch binary, block int, at binary, n binary")
 
 
 def probe_length(size: np.ndarray) -> np.ndarray:
@@ -139,11 +167,12 @@ def entries(docs: DataFrame, counts: np.ndarray, n: int, parts: int) -> DataFram
                 h, row, pos = h[take], row[take], pos[take]
                 held.append((h & ~U64(1) | (pos < index_length(size)[row]).astype(U64), pos, name[row], size[row]))
                 waiting += len(h)
-                if waiting >= BLOCK_ENTRIES // 2:
+                if waiting >= BLOCK_ENTRIES // 4:
                     yield flush()
                     waiting = 0
         if waiting:
             yield flush()
+        release()
 
     return docs.mapInArrow(run, "block int, payload binary")
 
@@ -167,109 +196,177 @@ def possible(size_a, pos_a, size_b, pos_b) -> np.ndarray:
     return (4 * size_a.astype(np.int64) >= 3 * size_b) & (7 * rest.astype(np.int64) >= 3 * (size_a.astype(np.int64) + size_b))
 
 
-PRODUCT = "kind int, a long, b long, col long, size int, pos int, indexed boolean"
-
-
-def product(block: pa.Table) -> pa.Table:
-    """Of one block of columns: pairs to count (kind 0), and the entries of columns that
-    more than FEW rows share (kind 1: a is the row)."""
-    col, node, pos, size = unpacked(block["payload"].to_pylist())
-    indexed = (col & U64(1)).astype(bool)
-    col = col >> U64(1)
-    order = np.lexsort((node, size, col))
-    col, node, pos, size, indexed = (x[order] for x in (col, node, pos, size, indexed))
-    keep = np.ones(len(col), bool)
-    keep[1:] = (col[1:] != col[:-1]) | (node[1:] != node[:-1])
-    edge = np.flatnonzero(np.concatenate([[True], col[keep][1:] != col[keep][:-1]]))
-    length = np.diff(np.concatenate([edge, [int(keep.sum())]]))
-    shared = np.repeat((length > 1) & np.logical_or.reduceat(indexed[keep], edge), length)
-    col, node, pos, size, indexed = (x[keep][shared] for x in (col, node, pos, size, indexed))
-    pairs: list[np.ndarray] = []
-    hot = np.zeros(len(col), bool)
-    if len(col):
-        edge = np.flatnonzero(np.concatenate([[True], col[1:] != col[:-1]]))
-        length = np.diff(np.concatenate([edge, [len(col)]]))
-        hot = np.repeat(length > FEW, length)
-        few = [x[~hot] for x in (col, node, pos, size, indexed)]
+PACKED = "kind int, bucket int, payload binary"
+PAIRS, MEMBERS, COLUMNS = 0, 1, 2
+
+
+def dealt(kind: int, a: np.ndarray, b: np.ndarray, buckets: int) -> list[tuple[int, int, bytes]]:
+    """Distinct pairs, packed by buckets of their hash."""
+    if not len(a):
+        return []
+    a, b = np.unique(np.stack([a.view(np.int64), b.view(np.int64)]), axis=1)
+    bucket = (mix64(mix64(a.view(U64)) ^ b.view(U64)) % U64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    return [(kind, int(k), pack(a[order[cuts[k] : cuts[k + 1]]], b[order[cuts[k] : cuts[k + 1]]])) for k in np.flatnonzero(np.diff(cuts))]
+
+
+def packed_table(rows: list[tuple[int, int, bytes]]) -> pa.Table:
+    kind, bucket, payload = zip(*rows) if rows else ((), (), ())
+    return pa.Table.from_pydict({"kind": pa.array(kind, pa.int32()), "bucket": pa.array(bucket, pa.int32()), "payload": pa.array(payload, pa.binary())})
+
+
+def distinct_pairs(packed: DataFrame) -> DataFrame:
+    """(a, b) of packed pairs, each once."""
+
+    def run(bucket: pa.Table) -> pa.Table:
+        a, b = unpack(bucket["payload"].to_pylist(), np.int64, np.int64)
+        a, b = np.unique(np.stack([a, b]), axis=1)
+        return pa.Table.from_pydict({"a": pa.array(a), "b": pa.array(b)})
+
+    return packed.select("bucket", "payload").groupBy("bucket").applyInArrow(run, "a long, b long")
+
+
+def product(parts: int):
+    """Of one block of columns: pairs to count, (row, hub) of the columns that more than FEW
+    rows share, and those columns themselves."""
+
+    def run(block: pa.Table) -> pa.Table:
+        col, node, pos, size = unpacked(block["payload"].to_pylist())
+        indexed = (col & U64(1)).astype(bool)
+        col = col >> U64(1)
+        order = np.lexsort((node, size, col))
+        col, node, pos, size, indexed = (x[order] for x in (col, node, pos, size, indexed))
+        keep = np.ones(len(col), bool)
+        keep[1:] = (col[1:] != col[:-1]) | (node[1:] != node[:-1])
+        col, node, pos, size, indexed = (x[keep] for x in (col, node, pos, size, indexed))
+        edge = runs(col)
+        length = np.diff(edge)
+        some = np.logical_or.reduceat(indexed, edge[:-1]) if len(col) else np.zeros(0, bool)
+        shared = np.repeat((length > 1) & some, length)
+        few = np.repeat(length <= FEW, length)
+        c, v, p, s, x = (y[shared & few] for y in (col, node, pos, size, indexed))
+        left, right = [np.zeros(0, U64)], [np.zeros(0, U64)]
         for d in range(1, FEW):
-            c, v, p, s, x = few
             if len(c) <= d:
                 break
             ok = (c[:-d] == c[d:]) & x[:-d]
-            ok &= possible(s[:-d], p[:-d], s[d:], p[d:])
-            if ok.any():
-                pairs.append(np.stack([v[:-d][ok], v[d:][ok]]))
-        for i, m in zip(edge[length > FEW], length[length > FEW]):
-            r = slice(i, i + m)
-            at = i + int(np.lexsort((node[r], size[r], pos[r]))[0])
-            small = (size[r] < size[at]) | ((size[r] == size[at]) & (node[r] < node[at]))
-            ok = np.where(small, possible(size[r], pos[r], size[at], pos[at]), possible(size[at], pos[at], size[r], pos[r])) & (node[r] != node[at])
-            pairs.append(np.stack([np.full(int(ok.sum()), node[at]), node[r][ok]]))
-    got = np.concatenate(pairs, axis=1) if pairs else np.zeros((2, 0), U64)
-    got = np.unique(np.sort(got.view(np.int64), axis=0), axis=1) if got.size else got.view(np.int64)
-    k, m = got.shape[1], int(hot.sum())
-    return pa.Table.from_pydict(
-        {
-            "kind": pa.array(np.repeat([0, 1], [k, m]).astype(np.int32)),
-            "a": pa.array(np.concatenate([got[0], node[hot].view(np.int64)])),
-            "b": pa.array(np.concatenate([got[1], np.zeros(m, np.int64)])),
-            "col": pa.array(np.concatenate([np.zeros(k, np.int64), col[hot].view(np.int64)])),
-            "size": pa.array(np.concatenate([np.zeros(k, np.int32), size[hot].astype(np.int32)])),
-            "pos": pa.array(np.concatenate([np.zeros(k, np.int32), pos[hot].astype(np.int32)])),
-            "indexed": pa.array(np.concatenate([np.zeros(k, bool), indexed[hot]])),
-        }
-    )
-
-
-def between(column: pa.Table) -> pa.Table:
-    """Pairs of one shared column whose rows aren't in one component yet."""
-    node, size, pos, comp = (column[c].to_numpy() for c in ("a", "size", "pos", "comp"))
-    indexed = column["indexed"].to_numpy(zero_copy_only=False)
-    order = np.lexsort((node, size))
-    node, size, pos, comp, indexed = (x[order] for x in (node, size, pos, comp, indexed))
-    pairs = []
-    for i in np.flatnonzero(indexed):
-        j = slice(i + 1, int(np.searchsorted(size, size[i] * 4 // 3, side="right")))
-        ok = (comp[j] != comp[i]) & possible(size[i : i + 1], pos[i : i + 1], size[j], pos[j])
-        if ok.any():
-            pairs.append(np.stack([np.full(int(ok.sum()), node[i]), node[j][ok]]))
-    got = np.unique(np.sort(np.concatenate(pairs, axis=1), axis=0), axis=1) if pairs else np.zeros((2, 0), np.int64)
-    return pa.Table.from_pydict({"a": pa.array(got[0]), "b": pa.array(got[1])})
-
-
-def whole_sets(docs: DataFrame, n: int) -> DataFrame:
-    """(node, grams): the sorted n-grams of (node, text)."""
+            ok[ok] = possible(s[:-d][ok], p[:-d][ok], s[d:][ok], p[d:][ok])
+            left.append(v[:-d][ok])
+            right.append(v[d:][ok])
+        c, v, p, s, x = (y[shared & ~few] for y in (col, node, pos, size, indexed))
+        members, hubs, chunks_ = [np.zeros(0, U64)], [np.zeros(0, U64)], []
+        if len(c):
+            edge = runs(c)
+            for i, j in zip(edge[:-1], edge[1:]):
+                # the fewer rarer n-grams before this column, the fewer of its own a row has: a good hub
+                hub = i + int(np.lexsort((v[i:j], s[i:j], p[i:j]))[0])
+                r = slice(i, j)
+                small = (s[r] < s[hub]) | ((s[r] == s[hub]) & (v[r] < v[hub]))
+                ok = np.where(small, possible(s[r], p[r], s[hub], p[hub]), possible(s[hub], p[hub], s[r], p[r])) & (v[r] != v[hub])
+                left.append(v[r][ok])
+                right.append(np.full(int(ok.sum()), v[hub]))
+                members.append(v[r])
+                hubs.append(np.full(j - i, v[hub]))
+            chunks_.append((COLUMNS, 0, pack(c, v, p.astype(np.int32), s.astype(np.int32), x)))
+        a, b = np.concatenate(left).view(np.int64), np.concatenate(right).view(np.int64)
+        release()
+        return packed_table(dealt(PAIRS, np.minimum(a, b), np.maximum(a, b), parts) + dealt(MEMBERS, np.concatenate(members), np.concatenate(hubs), parts) + chunks_)
+
+    return run
+
+
+def stray_pairs(columns: DataFrame, strays: DataFrame, parts: int, bins: int = 1 << 21) -> DataFrame:
+    """Packed pairs of (at least) the rows in ``strays`` with all rows of their columns."""
+    bits = columns.sparkSession.sparkContext.broadcast(dense.bit_table(strays.select("node"), bins))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for payload in batch.column(0):
+                c, v, p, s, x = unpack([payload.as_py()], U64, U64, np.int32, np.int32, bool)
+                stray = dense.in_table(bits.value, v, bins)
+                edge = runs(c)
+                left, right = [np.zeros(0, U64)], [np.zeros(0, U64)]
+                for i, j in zip(edge[:-1], edge[1:]):  # smaller sets come first
+                    for k in np.flatnonzero(stray[i:j]) + i:
+                        lo, hi = np.arange(i, k), np.arange(k + 1, j)
+                        lo = lo[x[lo]]
+                        lo = lo[possible(s[lo], p[lo], s[k], p[k])]
+                        hi = hi[possible(s[k : k + 1], p[k : k + 1], s[hi], p[hi])] if x[k] else hi[:0]
+                        other = np.concatenate([lo, hi])
+                        left.append(np.full(len(other), v[k]))
+                        right.append(v[other])
+                a, b = np.concatenate(left).view(np.int64), np.concatenate(right).view(np.int64)
+                yield from packed_table(dealt(PAIRS, np.minimum(a, b), np.maximum(a, b), parts)).to_batches()
+
+    return columns.select("payload").mapInArrow(run, PACKED)
+
+
+def bounded(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) whose sketches allow the threshold: the overlap is at most
+    the sum of the lesser counts of each bucket."""
+
+    @F.arrow_udf("boolean")
+    def allowed(size: pa.Array, left: pa.Array, right: pa.Array) -> pa.Array:
+        return pa.array([7 * most_overlap(x, y) >= 3 * n for n, x, y in zip(size.to_pylist(), left.to_pylist(), right.to_pylist())], pa.bool_())
+
+    one = pairs.join(nodes.select(F.col("node").alias("a"), F.col("size").alias("n"), F.col("sketch").alias("x")), "a")
+    both = one.join(nodes.select(F.col("node").alias("b"), F.col("size").alias("m"), F.col("sketch").alias("y")), "b")
+    return both.where(allowed(F.col("n") + F.col("m"), "x", "y")).select("a", "b")
+
+
+def routes(pairs: DataFrame) -> DataFrame:
+    """(node, to): where the sets of the nodes go to be compared.  Each pair meets at the
+    one of its nodes that has more pairs, its centre; what meets at one centre is dealt to
+    groups of about GROUP sets, and the centre's own set goes to each of them.  to: centre,
+    group, and whether the node is the centre."""
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b"))
+    degree = ends.groupBy("node").agg(F.count("*").alias("n"))
+    p = pairs.join(degree.select(F.col("node").alias("a"), F.col("n").alias("na")), "a").join(degree.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b")
+    first = (F.col("na") > F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
+    p = p.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("centre"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("node"), F.expr(f"(greatest(na, nb) + {GROUP - 1}) div {GROUP}").alias("groups"))
+    p = p.withColumn("g", F.pmod(F.xxhash64("node"), F.col("groups")))
+    to = lambda is_centre: F.struct("centre", "g", F.lit(is_centre).alias("is_centre")).alias("to")
+    centres = p.select("centre", "g").distinct().select(F.col("centre").alias("node"), to(True))
+    return p.select("node", to(False)).unionByName(centres).groupBy("node").agg(F.collect_list("to").alias("to"))
+
+
+def linked(pairs: DataFrame, nodes: DataFrame, base: DataFrame, n: int) -> DataFrame:
+    """Those of the pairs (a, b) whose whole sets are similar enough.  Only texts of pairs
+    that their sketches don't rule out are moved, and each set once for each place where it
+    is compared."""
+    routed = routes(cut(bounded(pairs, nodes), "pairs")).join(nodes.select("node", "doc_id"), "node")
+    routed = cut(routed, "routes")
+    may = dense.id_filter(routed, "doc_id")
+    texts = base.where(may(F.col("doc_id"))).join(routed, "doc_id").dropDuplicates(["node"]).select("node", "text", "to")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, off = text_bytes(batch.column(1))
-            grams = []
+            to = batch.column(2).to_pylist()
+            names = batch.column(0).to_pylist()
             for i, j in chunks(off):
                 h, row = sets_of(raw[off[i] : off[j]], off[i : j + 1] - off[i], n)
                 cuts = np.searchsorted(row, np.arange(j - i + 1))
-                grams += [h[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
-            yield pa.RecordBatch.from_pydict({"node": batch.column(0), "grams": pa.array(grams, pa.binary())})
-
-    return docs.mapInArrow(run, "node long, grams binary")
-
-
-def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) whose whole sets are similar enough."""
-
-    @F.arrow_udf("boolean")
-    def similar(left: pa.Array, right: pa.Array) -> pa.Array:
-        out = []
-        for x, y in zip(left, right):
-            x, y = np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64)
-            small, large = (x, y) if len(x) <= len(y) else (y, x)
-            at = np.minimum(np.searchsorted(large, small), len(large) - 1)
-            both = int((large[at] == small).sum())
-            out.append(100 * both >= 75 * (len(x) + len(y) - both))
-        return pa.array(out, pa.bool_())
-
-    one = pairs.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("x")), "a")
-    both = one.join(sets.select(F.col("node").alias("b"), F.col("grams").alias("y")), "b")
-    return both.where(similar("x", "y")).select("a", "b")
+                out = [(t["centre"], t["g"], t["is_centre"], names[k], h[a:b].tobytes()) for k, a, b in zip(range(i, j), cuts[:-1], cuts[1:]) for t in to[k]]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary()))], names=["centre", "g", "is_centre", "node", "grams"])
+        release()
+
+    def compare(group: pa.Table) -> pa.Table:
+        rows = list(zip(group["is_centre"].to_pylist(), group["node"].to_pylist(), group["grams"]))
+        centre = next(np.frombuffer(x.as_buffer(), U64) for own, _, x in rows if own)
+        found = []
+        for own, node, x in rows:
+            if not own:
+                x = np.frombuffer(x.as_buffer(), U64)
+                at = np.minimum(np.searchsorted(centre, x), len(centre) - 1)
+                both = int((centre[at] == x).sum())
+                if 100 * both >= 75 * (len(x) + len(centre) - both):
+                    found.append(node)
+        return pa.Table.from_pydict({"a": pa.array([group["centre"][0].as_py()] * len(found), pa.int64()), "b": pa.array(found, pa.int64())})
+
+    moved = texts.mapInArrow(sets, "centre long, g long, is_centre boolean, node long, grams binary")
+    return cut(moved.groupBy("centre", "g").applyInArrow(compare, "a long, b long"), "links")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -300,29 +397,26 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n:
     small_batches(spark)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     found = cut(features(base, n), "features")
-    rows = found.where("block is null").select("doc_id", "size", "node")
+    rows = found.where("block is null").select("doc_id", "size", "node", "sketch")
     counts = dense.total(found.where("block is not null").select("block", "at", "n"), BINS)
     total = rows.agg(F.sum(F.col("size") - F.expr("(3 * size + 3) div 4") + 1)).first()[0] or 0
     parts = max(1, -(-int(total) // BLOCK_ENTRIES))
     blocks = entries(base.where("doc_id is not null").select("text"), counts, n, parts)
-    made = cut(blocks.groupBy("block").applyInArrow(product, PRODUCT), "product")
-    pairs = made.where("kind = 0").select("a", "b").distinct()
-    hot = made.where("kind = 1")
-    nodes = rows.where("size > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    wanted = made.select(F.explode(F.when(F.col("kind") == 0, F.array("a", "b")).otherwise(F.array("a"))).alias("node")).distinct()
-    wanted = cut(wanted.join(nodes, "node"), "wanted")
-    may = dense.id_filter(wanted, "doc_id")
-    texts = base.where(may(F.col("doc_id"))).join(wanted, "doc_id").select("node", "text").dropDuplicates(["node"])
-    sets = cut(whole_sets(texts, n), "sets")
-    links = cut(linked(pairs, sets), "links")
+    made = cut(blocks.groupBy("block").applyInArrow(product(parts), PACKED), "product")
+    pairs = cut(distinct_pairs(made.where(F.col("kind") == PAIRS)), "pairs")
+    members = cut(distinct_pairs(made.where(F.col("kind") == MEMBERS)), "members")
+    nodes = cut(rows.where("size > 0 and doc_id is not null").groupBy("node").agg(*[F.min(c).alias(c) for c in ("doc_id", "size", "sketch")]), "nodes")
+    links = linked(pairs, nodes, base, n)
     labels = components(links)
-    left = hot.join(labels, F.col("a") == F.col("node"), "left").select("col", "a", "size", "pos", "indexed", F.coalesce("comp", "a").alias("comp"))
-    split = left.groupBy("col").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("col")
-    rest = left.join(split, "col").groupBy("col").applyInArrow(between, "a long, b long").distinct()
-    more = cut(linked(rest, sets), "links")
+    far = members.join(labels.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a", "left").join(labels.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b", "left")
+    strays = cut(far.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select(F.col("a").alias("node")).distinct(), "strays")
+    rest = distinct_pairs(stray_pairs(made.where(F.col("kind") == COLUMNS), strays, parts))
+    rest = rest.join(labels.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a", "left").join(labels.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b", "left")
+    rest = rest.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+    more = linked(rest, nodes, base, n)
     if more.limit(1).count():
         labels = components(links.unionByName(more))
-    named = nodes.join(labels, "node", "left").select("node", "doc_id", F.coalesce("comp", "node").alias("comp"))
+    named = nodes.select("node", "doc_id").join(labels, "node", "left").select("node", "doc_id", F.coalesce("comp", "node").alias("comp"))
     least = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     named = named.join(least, "comp").select(F.col("node").alias("__node"), "component_id")
     out = rows.join(named, F.col("node") == F.col("__node"), "left")
