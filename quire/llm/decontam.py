@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import small_batches
+from quire.llm.common import release, small_batches
 
 WINDOW = 10
 #: Bytes of benchmark text in one automaton; a larger benchmark takes several, one after the other.
@@ -126,6 +126,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "tex
             for got, text in zip(found, flat):
                 if text:
                     got += occurrences(text, a)
+        release()
         marks = [hit_words(text, got) if got else None for text, got in zip(flat, found)]
         return pa.StructArray.from_arrays(
             [

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quire.llm.common import small_batches
+from quire.llm.common import release, small_batches
 
 #: Characters of each language that are learned, in whole rows; a longer row is never picked.
 SAMPLE_CHARS = 24_000
@@ -140,9 +140,9 @@ class Model:
         if not self.languages:
             return langs, scores
         i = 0
-        while i < len(texts):  # about a million symbols at once
+        while i < len(texts):  # some hundred thousand symbols at once
             take, points, size = [], [], 0
-            while i < len(texts) and size < 1_000_000:
+            while i < len(texts) and size < 300_000:
                 p = squeezed(code_points(texts[i] or ""))
                 if len(p) and not (len(p) == 1 and p[0] == 32):
                     take.append(i)
@@ -204,6 +204,7 @@ def identify(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFr
     @F.arrow_udf("struct<lang:string,score:double>")
     def language(column: pa.Array) -> pa.Array:
         langs, scores = shared.value.predict(column.to_pylist())
+        release()
         return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["lang", "score"])
 
     return docs.withColumn("language", language(F.col(text_col)))
