@@ -209,10 +209,6 @@ def main_text(source: str | None) -> str:
             for x in c:
                 weight[id(x)] += len(t)
     region = max((x for c, keep in zip(chains, content) if keep for x in c if weight[id(x)] >= COVER * total), key=lambda x: x.depth)
-    marked = sum(len(t) for (e, t), c, keep in zip(blocks, chains, content) if keep and any(x.tag in ARTICLE for x in c))
-    if marked >= 0.5 * total:  # the page itself marks its article, and content is mostly there
-        kind = "article" if any(x.tag == "article" for c in chains for x in c) else "main"
-        return "\n".join(t for (e, t), c in zip(blocks, chains) if any(x.tag == kind for x in c))
     while region.tag in INLINE | HEADINGS | {"p", "li", "td", "th", "tr", "pre", "dd", "dt"} and region.parent is not None:
         region = region.parent
     return "\n".join(t for (e, t), c in zip(blocks, chains) if region in c)

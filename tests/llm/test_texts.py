@@ -147,6 +147,14 @@ def test_html_keeps_the_article_and_nothing_else(spark):
     assert pages.extract(spark.createDataFrame([], "page_id long, html string")).collect() == []
 
 
+def test_html_ratios_choose_beside_and_inside_marked_elements():
+    long = "A sentence of the story, and then some more of it, with a clause. " * 6
+    split = f"<body><article><p>{long}</p></article><div><p>{long}</p></div></body>"
+    assert pages.main_text(split) == "\n".join([long.strip()] * 2)
+    links = "".join(f"<li><a href=/{i}>Link {i}</a></li>" for i in range(9))
+    assert pages.main_text(f"<body><main><div><p>{long}</p><p>{long}</p></div><div><ul>{links}</ul></div></main></body>") == "\n".join([long.strip()] * 2)
+
+
 def test_html_of_all_pages(spark):
     import html as h
     import re
