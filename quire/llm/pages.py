@@ -26,9 +26,9 @@ COVER = 0.9
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label maction mark math menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtext munder munderover q rp rt ruby s samp semantics small span strike strong sub sup time tt u var wbr".split())
 #: Never part of an article's text.
-NEVER = frozenset("script style head title noscript template textarea select option button form input iframe noembed noframes nav aside footer object applet embed svg canvas math menu dialog xmp audio video map datalist fieldset search".split())
+NEVER = frozenset("script style head title noscript template textarea select option button form input iframe noembed noframes nav aside footer object applet embed svg canvas annotation annotation-xml menu dialog xmp audio video map datalist fieldset search".split())
 #: Words of class, id and role that mark boilerplate.
 MARKS = re.compile(
     r"(?:^|-)(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner\w*|cookie\w*|consent\w*|gdpr|notices?|alert\w*|popup|modal|overlay|"
@@ -66,13 +66,14 @@ def is_boilerplate(tag: str, attrs: str, inside: bool) -> bool:
     """inside: within an article, where a header has the article's own title."""
     if tag in NEVER or (tag == "header" and not inside):
         return True
-    if not attrs or tag in ("html", "body", *ARTICLE):
+    if not attrs or tag in ("html", "body", "main") or (tag == "article" and not inside):
         return False
+    marks = MARKS.match if tag == "article" else MARKS.search  # an article's later words, as in category-social, may be its subject
     for m in ATTR.finditer(attrs):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if name in ("class", "id", "role"):
             for word in value.replace("_", "-").split():
-                if not ABOUT.match(word) and (MARKS.search(word) or (not inside and HEADER.search(word))):
+                if not ABOUT.match(word) and (marks(word) or (not inside and HEADER.search(word))):
                     return True
         if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
             return True

@@ -155,6 +155,17 @@ def test_html_ratios_choose_beside_and_inside_marked_elements():
     assert pages.main_text(f"<body><main><div><p>{long}</p><p>{long}</p></div><div><ul>{links}</ul></div></main></body>") == "\n".join([long.strip()] * 2)
 
 
+def test_html_main_with_other_articles():
+    long = "A sentence of the story, and then some more of it, with a clause. " * 6
+    body = "\n".join([long.strip()] * 2)
+    main = f"<p>{long}</p><p>{long}</p>"
+    assert pages.main_text(f"<body><main>{main}<article class='comment'><p>{long}</p></article></main></body>") == body
+    assert pages.main_text(f"<body><main>{main}<article><p>Read this.</p></article></main></body>") == body + "\nRead this."
+    assert pages.main_text(f"<body><main>{main}</main><article><p>Read this.</p></article></body>") == body
+    assert pages.main_text(f"<body><main><article class='post category-social'>{main}</article></main></body>") == body
+    assert pages.main_text(f"<article><p>{long} <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>x=1</annotation></math></p></article>") == long + "x=1"
+
+
 def test_html_of_all_pages(spark):
     import html as h
     import re
