@@ -490,15 +490,24 @@ def j9_vault_folders(spark, sf):
     return audit.match_vault(vault, cat)
 
 
-@query
-def j10_link_rewrite(spark, sf):
-    lines = A.fx_lines(spark, sf, toc=False).where("ln % 12 = 9")
+def _links_rewritten(spark, sf, lines):
     refs = reports.line_refs(lines, "book_id", "ln", "line")
     urls = A.fx_image_files(spark, sf).select("book_id", "rel", F.concat(F.lit("https://cdn/"), T.quote_key(F.col("rel"))).alias("url"))
     j = refs.join(urls, ["book_id", "rel"], "left")
     return j.select("book_id", "ln", F.when(F.col("url").isNull(), F.col("line")).otherwise(F.replace("line", F.concat(F.lit("("), "rel", F.lit(")")), F.concat(F.lit("("), "url", F.lit(")")))).alias("line"))
 
 
+@query
+def j10_link_rewrite(spark, sf):
+    """Of the lines that its SQL takes, none of which has a link."""
+    return _links_rewritten(spark, sf, A.fx_lines(spark, sf, toc=False).where("ln % 12 = 9"))
+
+
+@query
+def j10_link_rewrite_all(spark, sf):
+    return _links_rewritten(spark, sf, A.fx_lines(spark, sf, toc=False))
+
+
 @query
 def j11_incomplete_batches(spark, sf):
     refs = reports.line_refs(A.fx_lines(spark, sf, toc=False), "book_id", "batch_idx")

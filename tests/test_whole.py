@@ -1,0 +1,46 @@
+"""Queries over all rows whose namesakes in quire.oracle take only a part; without that part
+their SQL is the same."""
+
+import os
+
+import duckdb
+import pytest
+
+from quire import oracle
+from quire.queries import QUERIES
+from tests.test_queries import SF, plain
+
+#: By query: the namesake with SQL, and (text, replacement) of what cuts it short there.
+WHOLE = {
+    "j10_link_rewrite_all": ("j10_link_rewrite", [(" where ln % 12 = 9", "")]),
+}
+
+
+@pytest.fixture(scope="module")
+def con():
+    c = duckdb.connect()
+    for name in ("documents", "orders"):
+        c.execute(f"create view {name} as select * from '{os.path.join(SF, name)}.parquet'")
+    return c
+
+
+@pytest.mark.parametrize("name", sorted(WHOLE))
+def test_query_gives_the_rows_of_the_whole_sql(spark, con, name):
+    part, cuts = WHOLE[name]
+    sql = oracle.SQL[part]
+    for text, other in cuts:
+        assert text in sql
+        sql = sql.replace(text, other)
+    got = QUERIES[name](spark, SF)
+    columns = sorted(got.columns)
+    cursor = con.execute(sql)
+    names = [d[0] for d in cursor.description]
+    assert sorted(names) == columns
+    order = [names.index(c) for c in columns]
+    want = sorted(tuple(plain(r[i]) for i in order) for r in cursor.fetchall())
+    assert want and sorted(tuple(plain(r[c]) for c in columns) for r in got.collect()) == want
+
+
+def test_link_rewrite_changes_links(spark):
+    lines = [r.line for r in QUERIES["j10_link_rewrite_all"](spark, SF).collect()]
+    assert sum("(https://cdn/images/" in x for x in lines) > 10
