@@ -58,10 +58,19 @@ def p4_headings(spark, sf):
     return df.select("book_id", "ln", F.col("h.level").cast(LONG).alias("level"), "h.title", "h.board", "h.kind")
 
 
+def _normed(lines):
+    t = F.concat(F.lit("（"), "line", F.lit("）：$ \\—，“"))
+    return lines.select("book_id", "ln", T.norm_title(t).alias("title"))
+
+
 @query
 def p5_norm_titles(spark, sf):
-    t = F.concat(F.lit("（"), "line", F.lit("）：$ \\—，“"))
-    return _lines(spark, sf).where("ln % 12 < 5").select("book_id", "ln", T.norm_title(t).alias("title"))
+    return _normed(_lines(spark, sf).where("ln % 12 < 5"))
+
+
+@query
+def p5_norm_titles_all(spark, sf):
+    return _normed(_lines(spark, sf))
 
 
 @query
@@ -143,17 +152,35 @@ def f6_table_markdown(spark, sf):
     return A.fx_tables(spark, sf).where(T.table_gate(F.col("html")) == "ok").select("k", T.table_md(F.col("html")).alias("md"))
 
 
+def _image_refs(lines):
+    t = F.concat("line", F.lit(" <img src=\"images/h"), F.col("ln").cast("string"), F.lit(".png\">"))
+    return lines.select("book_id", "ln", F.explode(T.image_refs(t)).alias("rel"))
+
+
 @query
 def f8_image_refs(spark, sf):
-    t = F.concat("line", F.lit(" <img src=\"images/h"), F.col("ln").cast("string"), F.lit(".png\">"))
-    return _lines(spark, sf).where("ln % 12 = 9").select("book_id", "ln", F.explode(T.image_refs(t)).alias("rel"))
+    return _image_refs(_lines(spark, sf).where("ln % 12 = 9"))
 
 
 @query
-def f9_file_names(spark, sf):
-    t = F.concat(F.lit(" .a:b*"), F.substring("text", 1, 12), F.lit("|c?. "))
+def f8_image_refs_all(spark, sf):
+    return _image_refs(_lines(spark, sf))
+
+
+def _file_names(docs):
+    t = F.concat(F.lit(" .a:b*"), "text", F.lit("|c?. "))
     raw = F.concat(F.lit("up\\..\\x/"), F.col("doc_id").cast("string"), F.lit(":a.b.pdf"))
-    return _docs(spark, sf).select("doc_id", T.sanitize_filename(t).alias("file"), T.safe_stem(raw).alias("stem"), T.safe_title(raw).alias("title"))
+    return docs.select("doc_id", T.sanitize_filename(t).alias("file"), T.safe_stem(raw).alias("stem"), T.safe_title(raw).alias("title"))
+
+
+@query
+def f9_file_names(spark, sf):
+    return _file_names(_docs(spark, sf).withColumn("text", F.substring("text", 1, 12)))
+
+
+@query
+def f9_file_names_all(spark, sf):
+    return _file_names(_docs(spark, sf))
 
 
 @query
@@ -230,9 +257,18 @@ def f22_dir_names(spark, sf):
 # --- sources and sinks ------------------------------------------------------------------------
 
 
+def _catalog(books):
+    return books.select("id", "title", "page_count", "parse_status").withColumn("page_count", F.col("page_count").cast(LONG)).orderBy("id")
+
+
 @query
 def src3_catalog_scan(spark, sf):
-    return A.fx_books(spark, sf).where("id between 100 and 400").select("id", "title", "page_count", "parse_status").withColumn("page_count", F.col("page_count").cast(LONG)).orderBy("id")
+    return _catalog(A.fx_books(spark, sf).where("id between 100 and 400"))
+
+
+@query
+def src3_catalog_scan_all(spark, sf):
+    return _catalog(A.fx_books(spark, sf))
 
 
 @query
@@ -585,13 +621,24 @@ def s6_head_of_each(spark, sf):
     return A.fx_image_files(spark, sf).withColumn("k", F.row_number().over(w)).where("k <= 2").select("book_id", "rel")
 
 
-@query
-def u1_union_of_titles(spark, sf):
+def _title_union(spark, sf, lines):
     a = structure.toc_title_sets(A.fx_batches(spark, sf)).select("title")
-    b = _lines(spark, sf).where("ln % 12 = 0").select(T.norm_title(T.bare(F.col("line"))).alias("title"))
+    b = lines.select(T.norm_title(T.bare(F.col("line"))).alias("title"))
     return a.union(b).distinct()
 
 
+@query
+def u1_union_of_titles(spark, sf):
+    return _title_union(spark, sf, _lines(spark, sf).where("ln % 12 = 0"))
+
+
+@query
+def u1_union_of_titles_all(spark, sf):
+    """Of the contents and of all heading lines."""
+    lines = _lines(spark, sf).withColumn("bare", T.bare(F.col("line"))).where(T.heading(F.col("line"), F.col("bare")).isNotNull())
+    return _title_union(spark, sf, lines)
+
+
 @query
 def u5_all_warnings(spark, sf):
     t = _tree(spark, sf)

@@ -12,6 +12,11 @@ from tests.test_queries import SF, plain
 
 #: By query: the namesake with SQL, and (text, replacement) of what cuts it short there.
 WHOLE = {
+    "p5_norm_titles_all": ("p5_norm_titles", [(" where case when ln >= 0 then ln % 12 else -((-ln) % 12) end < 5", "")]),
+    "f8_image_refs_all": ("f8_image_refs", [(" where ln % 12 = 9", "")]),
+    "f9_file_names_all": ("f9_file_names", [("substr(text, 1, 12)", "text")]),
+    "src3_catalog_scan_all": ("src3_catalog_scan", [(" where id between 100 and 400", "")]),
+    "u1_union_of_titles_all": ("u1_union_of_titles", [(" where ln % 12 = 0", f" where ({oracle.heading(oracle.bare('line'), 'line')}) is not null")]),
     "j10_link_rewrite_all": ("j10_link_rewrite", [(" where ln % 12 = 9", "")]),
 }
 
