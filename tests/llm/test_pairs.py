@@ -130,6 +130,34 @@ def test_line_dedup_finds_all_links(spark):
     assert got == want
 
 
+def test_line_dedup_links_shorter_lines(spark):
+    r = random.Random(5)
+    known = ["".join(r.choice("abcdefgh é") for _ in range(n)) for n in range(7, 42) for _ in range(2)]
+    every = ["Thwhesnd esator whshing and hewh.", "Thwhesnd, esator whshing and hewh."]
+    for x in known:
+        every.append(x)
+        for n in (1, 2):
+            y = list(x)
+            for at in r.sample(range(len(x)), n):
+                y[at] = r.choice(["z", "zq", ""])
+            every.append("".join(y))
+    every = sorted(set(every))
+    got = {every[x.doc_id]: x for x in lines.dedup(spark.createDataFrame(list(enumerate(every)), "doc_id long, text string")).collect()}
+    links, u = defaultdict(int), Union()
+    for k, x in enumerate(every):
+        for y in every[:k]:
+            n = min(len(x), len(y))
+            if edit_distance(x, y) <= (2 if n >= 20 else 1 if n >= 10 else 0):
+                u.join(x, y)
+                links[x] += 1
+                links[y] += 1
+    first = {}
+    for x in every:
+        first.setdefault(u.find(x), x)
+    assert {x: (v.n_links, every[v.class_doc_id]) for x, v in got.items()} == {x: (links[x], first[u.find(x)]) for x in every}
+    assert links["Thwhesnd esator whshing and hewh."] == 1 and sum(0 < links[x] for x in every if len(x) < 20) > 10
+
+
 def test_line_dedup_of_nothing(spark):
     assert lines.dedup(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
