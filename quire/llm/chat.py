@@ -31,13 +31,32 @@ OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 ESCAPES = [("\\", "\\0"), ("<", "\\1"), ("[", "\\2")]
 _TURNS = "array<struct<role:string,text:string>>"
 
+#: Bytes of a record up to which it is parsed as a variant; these hold 128 MiB, and their
+#: parser strings of 20 million characters.
+VARIANT_BYTES = 16_000_000
+#: Bytes of a larger record without its texts; beyond it there is an error.
+BARE_BYTES = 64_000_000
+JSON_OPTIONS = {"maxStringLen": str((1 << 31) - 1)}
+
+
+def large(record: Column) -> Column:
+    return F.octet_length(record) > VARIANT_BYTES
+
+
+def bare(record: Column) -> Column:
+    """A JSON record with all its string values empty."""
+    t = F.replace(F.replace(record, F.lit("\\\\"), F.lit("\ue000")), F.lit('\\"'), F.lit("\ue000"))
+    t = F.regexp_replace(t, r'("[^"]*+"\s*+:)|(")[^"]*+"', "$1$2$2")
+    return F.when(F.octet_length(t) > BARE_BYTES, F.raise_error(F.lit(f"a chat record has over {BARE_BYTES} bytes without its texts")).cast("string")).otherwise(t)
+
 
 def paths_of(record: Column) -> Column:
     """Sorted nested field paths of a JSON record, comma-joined; null if it isn't an object.
 
-    They come from the record's variant schema: types go, names and nesting stay.
+    They come from the variant schema of the record, or of a large record without its
+    texts: types go, names and nesting stay.
     """
-    schema = F.schema_of_variant(F.try_parse_json(record))
+    schema = F.schema_of_variant(F.try_parse_json(F.when(large(record), bare(record)).otherwise(record)))
     names = F.regexp_replace(schema, r": (?!ARRAY<|OBJECT<)[A-Z]+(\([0-9, ]*\))?", "")
     flat = F.regexp_replace(F.regexp_replace(names, r": ARRAY<OBJECT<([^<>]*)>>", "[]<$1>"), r"^OBJECT<(.*)>$", "$1")
     item = F.split(F.regexp_replace(flat, r",(?![^<]*>)", "\u0001"), "\u0001")
@@ -53,14 +72,19 @@ def fingerprint(paths: Column) -> Column:
     return F.xxhash64(paths)
 
 
-def _text(v: Column, path: str) -> Column:
-    got = [F.coalesce(F.try_variant_get(v, f"$.{p}", "string"), F.lit("")) for p in path.split("\n\n")]
+def _field(record: Column, name: str, kind: str) -> Column:
+    small = F.try_variant_get(F.try_parse_json(record), f"$.{name}", kind)
+    return F.when(large(record), F.from_json(record, f"`{name}` {kind}", JSON_OPTIONS)[name]).otherwise(small)
+
+
+def _text(record: Column, path: str) -> Column:
+    got = [F.coalesce(_field(record, p, "string"), F.lit("")) for p in path.split("\n\n")]
     return got[0] if len(got) == 1 else F.when(got[1] == "", got[0]).otherwise(F.concat_ws("\n\n", *got))
 
 
-def _mapped(layout: dict, v: Column) -> Column:
+def _mapped(layout: dict, record: Column) -> Column:
     if "turns" in layout:
-        return F.array(*[F.struct(F.lit(role).alias("role"), _text(v, path).alias("text")) for role, path in layout["turns"]]).cast(_TURNS)
+        return F.array(*[F.struct(F.lit(role).alias("role"), _text(record, path).alias("text")) for role, path in layout["turns"]]).cast(_TURNS)
     field, role, text = layout["list"]
 
     def turn(x: Column) -> Column:
@@ -68,7 +92,7 @@ def _mapped(layout: dict, v: Column) -> Column:
         name = reduce(lambda out, kv: F.when(r == kv[0], F.lit(kv[1])).otherwise(out), layout["as_role"].items(), r)
         return F.struct(name.alias("role"), F.coalesce(x[text], F.lit("")).alias("text"))
 
-    return F.transform(F.try_variant_get(v, f"$.{field}", f"array<struct<`{role}`:string,`{text}`:string>>"), turn).cast(_TURNS)
+    return F.transform(_field(record, field, f"array<struct<`{role}`:string,`{text}`:string>>"), turn).cast(_TURNS)
 
 
 def canonical(records: DataFrame, record_col: str = "record", layouts: list[dict] = LAYOUTS) -> DataFrame:
@@ -77,11 +101,10 @@ def canonical(records: DataFrame, record_col: str = "record", layouts: list[dict
     A record whose paths no layout has, a null and what isn't a JSON object have null in
     both.  Missing and null fields are empty texts; an empty list gives no turns.
     """
-    v = F.try_parse_json(F.col(record_col))
     df = records.withColumn("__print", fingerprint(paths_of(F.col(record_col))))
     is_ = [F.col("__print") == fingerprint(F.lit(",".join(sorted(x["paths"])))) for x in layouts]
     name = F.coalesce(*[F.when(c, F.lit(x["name"])) for c, x in zip(is_, layouts)])
-    turns = F.coalesce(*[F.when(c, _mapped(x, v)) for c, x in zip(is_, layouts)])
+    turns = F.coalesce(*[F.when(c, _mapped(x, F.col(record_col))) for c, x in zip(is_, layouts)])
     return df.withColumn("layout", F.when(F.col("__print").isNotNull(), name)).withColumn("turns", turns).drop("__print")
 
 

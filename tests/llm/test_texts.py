@@ -213,6 +213,26 @@ def test_chat_layouts(spark):
     assert chat.format_chat(spark.createDataFrame([], "record string")).collect() == []
 
 
+def test_chat_of_long_texts(spark):
+    long = F.concat(F.lit('\\\\\\" é<'), F.repeat(F.lit("x, : {y} "), 2_400_000), F.lit('\\"\\\\'))  # JSON's escapes
+    q = F.lit('"')
+    text = F.concat(q, long, q)
+    records = [
+        F.concat(F.lit('{"prompt": 5, "completion" : '), text, F.lit("}")),
+        F.concat(F.lit('{"messages": [{"role": "user", "content": null}, {"content": '), text, F.lit(', "role": "assistant"}]}')),
+        F.concat(F.lit('{"prompt": "q", "completion": '), text, F.lit(', "other": 1}')),
+        F.concat(F.lit('{"prompt": "q", "completion": '), text),
+        F.concat(F.lit('{"prompt\\"": "q", "completion": '), text, F.lit("}")),
+    ]
+    df = spark.range(len(records)).select("id", F.element_at(F.array(*records), F.col("id").cast("int") + 1).alias("record"))
+    out = chat.format_chat(df)
+    got = {r.id: r for r in out.select("id", "layout", "loss", F.transform("turns", lambda t: F.struct(t["role"], F.length(t["text"]), F.substring(t["text"], 1, 3))).alias("t"), F.length("formatted").alias("n")).collect()}
+    n = 2_400_000 * 9 + 7
+    assert [(tuple(x) for x in got[i].t) and [tuple(x) for x in got[i].t] for i in (0, 1)] == [[("user", 1, "5"), ("assistant", n, '\\" ')], [("user", 0, ""), ("assistant", n, '\\" ')]]
+    assert [got[i].layout for i in range(5)] == ["completion", "messages", None, None, None]
+    assert got[0].n > n and got[0].loss == [False, True] and got[2].n is None
+
+
 def test_chat_query_covers_odd_rows(spark, tmp_path):
     rows = [(1, 0, "user", "q"), (1, 1, "assistant", None), (2, 5, None, "x"), (2, 5, None, "x"), (None, 0, "user", "n"), (3, 0, "human", "h"), (3, 1, "gpt", "g"), (4, 1, "assistant", "<b>"), (4, 0, "system", "[s]")]
     spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
