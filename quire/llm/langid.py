@@ -165,13 +165,18 @@ def fit(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang",
     """A model of at most ``chars`` characters of each label.
 
     Rows without text or label teach nothing.  Rows are taken whole, in the order of a hash
-    of their ids, as long as they fit; hashes beyond what ``rows`` rows need are filtered
+    of their ids, as long as they fit; a label whose texts are all longer is learned from the
+    beginning of one.  Hashes beyond what ``rows`` rows need are filtered
     out before any shuffle, and only the sample reaches the driver.
     """
-    have = labelled.select(F.col(id_col).alias("i"), F.col(lang_col).alias("l"), F.col(text_col).alias("t")).where(F.col("l").isNotNull() & F.col("t").isNotNull() & (F.length("t") <= chars))
-    counts = {r["l"]: r["n"] for r in have.groupBy("l").agg(F.count("*").alias("n")).collect()}
-    if not counts:
+    have = labelled.select(F.col(id_col).alias("i"), F.col(lang_col).alias("l"), F.col(text_col).alias("t")).where(F.col("l").isNotNull() & F.col("t").isNotNull())
+    size, fits = F.length("t"), F.length("t") <= chars
+    found = have.groupBy("l").agg(F.count_if(fits).alias("n"), F.count_if(fits & (size > 0)).alias("some"), F.count_if(size > chars).alias("longer")).collect()
+    if not found:
         return Model({})
+    long = [r["l"] for r in found if not r["some"] and r["longer"]]
+    counts = {r["l"]: r["longer"] if r["l"] in long else r["n"] for r in found}
+    have = have.where(F.when(F.col("l").isin(long), ~fits).otherwise(fits)).withColumn("t", F.substring("t", 1, chars))
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 3.0 * rows / n))])
     h = F.xxhash64(F.col("i").cast("string"), F.lit(17))
     some = have.withColumn("h", F.pmod(h, F.lit(1 << 30)) / float(1 << 30)).where(F.col("h") <= share[F.col("l")])

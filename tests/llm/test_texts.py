@@ -56,6 +56,12 @@ def test_language_of_odd_texts(spark):
     assert {r.language["lang"] for r in langid.identify(df, none).collect()} == {"und"}
 
 
+def test_language_of_long_texts_only(spark):
+    rows = [(1, "the cat and the dog", "en"), (2, "der hund und die katze " * 9, "de"), (3, "", "de"), (4, "il cane e il gatto " * 9, "it"), (5, "un gatto e un cane " * 8, "it")]
+    m = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), chars=60)
+    assert m.predict(["the dog", "und der hund", "il gatto e il cane"])[0] == ["en", "de", "it"]
+
+
 def test_language_held_out_accuracy(spark):
     got = {r.doc_id: r for r in op4_language(spark, SF).collect()}
     docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
