@@ -334,11 +334,11 @@ def routes(pairs: DataFrame) -> DataFrame:
 def linked(pairs: DataFrame, nodes: DataFrame, base: DataFrame, n: int) -> DataFrame:
     """Those of the pairs (a, b) whose whole sets are similar enough.  Only texts of pairs
     that their sketches don't rule out are moved, and each set once for each place where it
-    is compared."""
+    is compared.  Of an id's texts only those with the node's own set count."""
     routed = routes(cut(bounded(pairs, nodes), "pairs")).join(nodes.select("node", "doc_id"), "node")
     routed = cut(routed, "routes")
     may = dense.id_filter(routed, "doc_id")
-    texts = base.where(may(F.col("doc_id"))).join(routed, "doc_id").dropDuplicates(["node"]).select("node", "text", "to")
+    texts = base.where(may(F.col("doc_id"))).join(routed, "doc_id").withColumn("__name", F.xxhash64("text")).dropDuplicates(["node", "__name"]).select("node", "text", "to")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -348,8 +348,10 @@ def linked(pairs: DataFrame, nodes: DataFrame, base: DataFrame, n: int) -> DataF
             for i, j in chunks(off):
                 h, row = sets_of(raw[off[i] : off[j]], off[i : j + 1] - off[i], n)
                 cuts = np.searchsorted(row, np.arange(j - i + 1))
-                out = [(t["centre"], t["g"], t["is_centre"], names[k], h[a:b].tobytes()) for k, a, b in zip(range(i, j), cuts[:-1], cuts[1:]) for t in to[k]]
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary()))], names=["centre", "g", "is_centre", "node", "grams"])
+                own = signatures(h, row, j - i)[1].view(np.int64)
+                out = [(t["centre"], t["g"], t["is_centre"], names[k], h[a:b].tobytes()) for k, x, a, b in zip(range(i, j), own.tolist(), cuts[:-1], cuts[1:]) if x == names[k] for t in to[k]]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary()))], names=["centre", "g", "is_centre", "node", "grams"])
         release()
 
     def compare(group: pa.Table) -> pa.Table:

@@ -62,6 +62,18 @@ def test_ngram_join_finds_all_components(spark):
     assert got == want
 
 
+def test_ngram_join_of_an_id_with_several_texts(spark):
+    r = random.Random(6)
+    text = lambda: [f"w{r.randrange(3000)}" for _ in range(80)]
+    docs = []
+    for i in range(0, 60, 2):
+        a, b = text(), text()
+        docs += [(i, " ".join(a)), (i, " ".join(b)), (i + 1, " ".join(a[:79])), (i + 1, " ".join(b[1:])), (500 + i, " ".join(a[1:])), (600 + i, " ".join(b[:79]))]
+    got = ngramjoin.join(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    want = [(i, len(gram_set(t)), i % 100 // 2 * 2) for i, t in docs]
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 def test_ngram_join_of_nothing(spark):
     assert ngramjoin.join(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
