@@ -1,12 +1,13 @@
 """Suffix-array dedup with sparse suffix arrays.
 
-Of all word suffixes only those at minimisers are kept: positions whose K-word prefix has
-the least hash among the prefixes of some run of MIN_WORDS words.  A passage of MIN_WORDS
-words has the same minimiser wherever it stands, so two occurrences meet as neighbours when
-suffixes are sorted.  Suffixes without a neighbour from another text end there.  The others
-are extended, left from the minimiser by each number of words that it covers and right to
-MIN_WORDS words; the extensions are sorted and neighbours compared again, and those that
-agree merge into spans.
+Of all word suffixes only those at minimisers are kept: positions whose PREFIX-word prefix
+has the least hash among the prefixes of some run of MIN_WORDS words.  A passage of MIN_WORDS
+words has the same minimiser wherever it stands, so two occurrences of it are suffixes with
+an equal prefix and meet in one block of prefix hashes.  Suffixes without one from another
+text end there.  The others get the words around them.  A block sorts its suffixes by their
+words to the right, and by those to the left read backwards, and takes the common lengths of
+neighbours; a match extends left by l words and right to MIN_WORDS in all where both orders
+have no shorter length between two suffixes.  The extensions of a text merge into spans.
 """
 
 from __future__ import annotations
@@ -20,13 +21,16 @@ from pyspark.sql import functions as F
 
 from quire.llm import dense
 from quire.llm.blobs import Dealer, runs, unpack
-from quire.llm.common import chunks, cut, prefix_hash, small_batches, span_hash, text_bytes, word_hashes, word_spans
+from quire.llm.common import chunks, cut, prefix_hash, release, small_batches, span_hash, text_bytes, word_hashes, word_spans
 
 MIN_WORDS = 50
 PREFIX = 16
 BLOCK_ENTRIES = 2_000_000
 U64 = np.uint64
-_PLACE = U64((1 << 26) - 1)
+#: Of a prefix hash the low bits give way to its place in a text, of which Spark holds 2 GB.
+_PLACE = U64((1 << 31) - 1)
+#: Suffixes with their words in a block, and held by a task before they are dealt out.
+CONTEXT_ENTRIES, HELD_ENTRIES = 100_000, 50_000
 
 
 def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
@@ -111,47 +115,103 @@ def neighbours(block: pa.Table) -> pa.Table:
     return pa.Table.from_pydict({"name": pa.array(name[edge[:-1]] if len(name) else [], pa.int64()), "places": pa.array([place[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:])] if len(name) else [], pa.binary())})
 
 
-def extensions(docs: DataFrame, size: int, k: int, parts: int) -> DataFrame:
-    """(block, payload): hash, document and first word of each run of ``size`` words around
-    the suffixes of (doc_id, text, places)."""
+def context_type(reach: int) -> np.dtype:
+    """A suffix: its text (the least id and the name), its place, how many words there are on
+    both sides (of ``reach``), and hashes of those words, going away from the prefix."""
+    return np.dtype([("first", np.int64), ("name", np.int64), ("place", np.int32), ("n_left", np.uint16), ("n_right", np.uint16), ("left", np.uint32, (reach,)), ("right", np.uint32, (reach,))])
+
+
+def contexts(docs: DataFrame, size: int, k: int, parts: int) -> DataFrame:
+    """(block, payload): the suffixes of (first, name, text, places), by their prefixes."""
+    reach = size - k
+    kind = context_type(reach)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        deal = Dealer(parts)
+        deal = Dealer(parts, HELD_ENTRIES)
+        step = np.arange(reach)
         for batch in batches:
-            raw, off = text_bytes(batch.column(1))
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            places = [np.unique(np.frombuffer(b"".join(x), np.int32)) for x in batch.column(2).to_pylist()]
+            raw, off = text_bytes(batch.column(2))
+            first, name = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
+            places = [np.unique(np.frombuffer(b"".join(x), np.int32)) for x in batch.column(3).to_pylist()]
             for i, j in chunks(off):
-                count, row, at, h, place, _ = windows(raw[off[i] : off[j]], off[i : j + 1] - off[i], size, k)
-                base = np.concatenate([[0], np.cumsum(count)])
-                alive = np.zeros(int(base[-1]) + 1, bool)
-                for r in range(j - i):
-                    alive[base[r] + places[i + r]] = True
-                keep = alive[base[row] + place]
-                if deal.add(h[keep], ids[i:j][row[keep]], at[keep].astype(np.int32)):
-                    yield deal.flush()
+                starts, ends, edge = word_spans(raw[off[i] : off[j]], off[i : j + 1] - off[i])
+                words = word_hashes(raw[off[i] : off[j]], starts, ends)
+                prefix = prefix_hash(words)
+                short = np.append((words >> U64(32)).astype(np.uint32) | np.uint32(1), np.uint32(0))
+                row = np.repeat(np.arange(i, j), [len(p) for p in places[i:j]])
+                place = np.concatenate([np.zeros(0, np.int32), *places[i:j]]).astype(np.int64)
+                for x in range(0, len(row), HELD_ENTRIES):
+                    r, p = row[x : x + HELD_ENTRIES], place[x : x + HELD_ENTRIES]
+                    at = edge[r - i] + p
+                    out = np.zeros(len(r), kind)
+                    out["first"], out["name"], out["place"] = first[r], name[r], p
+                    out["n_left"], out["n_right"] = np.minimum(p, reach), np.minimum(edge[r - i + 1] - at - k, reach)
+                    for side, where in (("left", at[:, None] - 1 - step), ("right", at[:, None] + k + step)):
+                        out[side] = short[np.where(step < out[f"n_{side}"][:, None], where, len(short) - 1)]
+                    if deal.add(span_hash(prefix, at, at + k), out):
+                        yield deal.flush()
         yield deal.flush()
-
-    return docs.mapInArrow(run, "block int, payload binary")
-
-
-def agreeing(block: pa.Table) -> pa.Table:
-    """Of each document the first words of runs that another document has too, and whether
-    this is the first of them (by id, then place)."""
-    h, doc, at = unpack(block["payload"].to_pylist(), U64, np.int64, np.int32)
-    order = np.lexsort((at, doc, h))
-    h, doc, at = h[order], doc[order], at[order]
-    edge = runs(h)
-    differ = doc[edge[:-1]] != doc[edge[1:] - 1] if len(doc) else np.zeros(0, bool)
-    first = np.zeros(len(h), bool)
-    first[edge[:-1]] = True
-    keep = np.repeat(differ, np.diff(edge))
-    doc, at, first = doc[keep], at[keep], first[keep]
-    order = np.lexsort((at, doc))
-    doc, at, first = doc[order], at[order], first[order]
-    edge = runs(doc)
-    pairs = list(zip(edge[:-1], edge[1:])) if len(doc) else []
-    return pa.Table.from_pydict({"doc": pa.array([int(doc[a]) for a, _ in pairs], pa.int64()), "at": pa.array([at[a:b].tobytes() for a, b in pairs], pa.binary()), "later": pa.array([at[a:b][~first[a:b]].tobytes() for a, b in pairs], pa.binary())})
+        release()
+
+    return docs.select("first", "name", "text", "places").mapInArrow(run, "block int, payload binary")
+
+
+def common_lengths(prefix: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of (prefix, words) and, for each in that order, how many words it has in
+    common with the one before (-1: not even the prefix)."""
+    keys = np.ascontiguousarray(np.concatenate([prefix.view(np.uint8).reshape(-1, 8), np.ascontiguousarray(words).view(np.uint8).reshape(len(prefix), -1)], axis=1))
+    order = np.argsort(keys.view(f"S{keys.shape[1]}").ravel(), kind="stable")
+    sorted_words, sorted_prefix = words[order], prefix[order]
+    differ = np.concatenate([sorted_words[1:] != sorted_words[:-1], np.ones((len(prefix) - 1, 1), bool)], axis=1)
+    common = np.full(len(prefix), -1)
+    common[1:] = np.where(sorted_prefix[1:] == sorted_prefix[:-1], differ.argmax(axis=1), -1)
+    return order, common
+
+
+def agreeing(size: int, k: int):
+    """Of one block: for each text the first words of runs of ``size`` words, around its
+    suffixes, that another text has too, and of those that aren't the first such run (by the
+    text's least id, its name, and place)."""
+    reach = size - k
+    kind = context_type(reach)
+
+    def run(block: pa.Table) -> pa.Table:
+        prefix, entry = unpack(block["payload"].to_pylist(), U64, kind)
+        names, starts, later = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
+        n = len(prefix)
+        if n:
+            rank = np.empty(n, np.int64)
+            rank[np.lexsort((entry["place"], entry["name"], entry["first"]))] = np.arange(n)
+            right, right_common = common_lengths(prefix, entry["right"])
+            left, left_common = common_lengths(prefix, entry["left"])
+            name, place = entry["name"], entry["place"].astype(np.int64)
+            of_right, of_left = np.empty(n, np.int64), np.empty(n, np.int64)
+            for l in range(reach + 1):  # words to the left of the prefix
+                of_right[right] = np.cumsum(right_common < reach - l)
+                of_left[left] = np.cumsum(left_common < l)
+                some = np.flatnonzero((entry["n_left"] >= l) & (entry["n_right"] >= reach - l))
+                if len(some) < 2:
+                    continue
+                group = of_left[some] * (n + 1) + of_right[some]
+                order = np.lexsort((rank[some], group))
+                some, group = some[order], group[order]
+                edge = runs(group)
+                low, high = np.minimum.reduceat(name[some], edge[:-1]), np.maximum.reduceat(name[some], edge[:-1])
+                keep = np.repeat(low != high, np.diff(edge))
+                first = np.zeros(len(some), bool)
+                first[edge[:-1]] = True
+                names.append(name[some[keep]])
+                starts.append(place[some[keep]] - l)
+                later.append(~first[keep])
+        name, at, again = (np.concatenate(x) for x in (names, starts, later))
+        order = np.lexsort((at, name))
+        name, at, again = name[order], at[order].astype(np.int32), again[order]
+        edge = runs(name) if len(name) else np.zeros(1, np.int64)
+        pairs = list(zip(edge[:-1], edge[1:]))
+        release()
+        return pa.Table.from_pydict({"name": pa.array([int(name[a]) for a, _ in pairs], pa.int64()), "at": pa.array([at[a:b].tobytes() for a, b in pairs], pa.binary()), "later": pa.array([at[a:b][again[a:b]].tobytes() for a, b in pairs], pa.binary())})
+
+    return run
 
 
 SPANS = "array<struct<start:long,end:long>>"
@@ -181,32 +241,37 @@ def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     """(doc_id, n_words, n_repeated, n_cut, spans, cuts) of each row of ``docs``.
 
     ``spans``: words (from, to) that lie in a passage of at least ``min_words`` words which
-    another text has too; ``cuts``: those of which the document isn't the first occurrence
-    (by id), to be removed if each passage is to stay once.  A copy of a whole text is cut
-    whole if it has ``min_words`` words; fewer words repeat nothing.  Null texts have no
-    words.  Null ids are left out of the search and have no spans.  Rows that repeat an id
-    and text get equal results.
+    another text has too; ``cuts``: those of which the text isn't the first occurrence (by
+    the least id that has it, and a hash of it), to be removed if each passage is to stay
+    once.  A passage that only one text has, however often, isn't repeated.  A copy of a
+    whole text is cut whole if it has ``min_words`` words; fewer words repeat nothing.
+
+    Null texts have no words.  Null ids are left out of the search and have no spans.  Rows
+    that repeat an id and text get equal results; an id's different texts are compared like
+    those of different ids.  Texts are searched whole, however long.  Other columns are
+    ignored, whatever their names.  An empty table gives an empty one.
     """
     spark = docs.sparkSession
     small_batches(spark)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("name"), F.coalesce(text_col, F.lit("")).alias("text"))
-    size = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    # about one suffix for every 100 bytes, and at most an extension for every 6
-    parts = max(1, -(-int(size) // 100 // BLOCK_ENTRIES))
+    size = int(base.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # about one suffix for every 100 bytes
+    parts = max(spread, -(-size // 100 // BLOCK_ENTRIES))
     known = base.where("doc_id is not null")
     kept = cut(sample(known, min_words, prefix, parts), "suffixes")
     rows = kept.where("block is null").select("doc_id", "name", "n_words")
     alive = kept.where("block is not null").select("block", "payload").groupBy("block").applyInArrow(neighbours, "name long, places binary")
     alive = alive.groupBy("name").agg(F.collect_list("places").alias("places"))
     firsts = rows.groupBy("name").agg(F.min("doc_id").alias("first"), F.count_distinct("doc_id").alias("copies"))
-    wanted = cut(alive.join(firsts, "name").select(F.col("first").alias("doc_id"), F.col("name").alias("__name"), "places"), "wanted")
-    may = dense.id_filter(wanted, "doc_id")
-    texts = known.where(may(F.col("doc_id"))).join(wanted, "doc_id").where("name = __name").dropDuplicates(["doc_id", "name"]).select("doc_id", "text", "places")
-    found = extensions(texts, min_words, prefix, max(1, parts * 4)).groupBy("block").applyInArrow(agreeing, "doc long, at binary, later binary")
-    found = found.groupBy("doc").agg(F.collect_list("at").alias("at"), F.collect_list("later").alias("later"))
+    wanted = cut(alive.join(firsts, "name").select("first", "name", "places"), "wanted")
+    may = dense.id_filter(wanted, "name")
+    texts = known.where(may(F.col("name"))).join(wanted.withColumn("doc_id", F.col("first")), ["doc_id", "name"]).dropDuplicates(["doc_id", "name"])
+    found = contexts(texts, min_words, prefix, max(spread, -(-size // 100 // CONTEXT_ENTRIES)))
+    found = found.groupBy("block").applyInArrow(agreeing(min_words, prefix), "name long, at binary, later binary")
+    found = found.groupBy("name").agg(F.collect_list("at").alias("at"), F.collect_list("later").alias("later"))
     to_spans = merged(min_words)
-    found = found.select("doc", to_spans("at").alias("at"), to_spans("later").alias("later"))
-    per = firsts.join(found, F.col("first") == F.col("doc"), "left").select(F.col("name").alias("__name"), "first", "copies", "at", "later")
+    per = firsts.join(found.select("name", to_spans("at").alias("at"), to_spans("later").alias("later")), "name", "left").withColumnRenamed("name", "__name")
     out = rows.join(per, F.col("name") == F.col("__name"))
     none = F.array().cast(SPANS)
     whole = F.when(F.col("n_words") >= min_words, F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_words").alias("end")))).otherwise(none).cast(SPANS)

@@ -4,6 +4,7 @@ import random
 import re
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
 from quire.llm import lines, ngramjoin, suffixes
@@ -139,7 +140,9 @@ def test_line_dedup_finds_all_links(spark):
         for p in at[x]:
             want[p] = (*first, links[x], p == first)
     assert sum(links.values()) > 20
-    assert got == want
+    # of the links those stay that connect a class
+    assert all((n == 0) == (want[p][2] == 0) and n <= want[p][2] for p, (_, _, n, _) in got.items())
+    assert {p: (a, b, k) for p, (a, b, _, k) in got.items()} == {p: (a, b, k) for p, (a, b, _, k) in want.items()}
 
 
 def test_line_dedup_links_shorter_lines(spark):
@@ -166,10 +169,45 @@ def test_line_dedup_links_shorter_lines(spark):
     first = {}
     for x in every:
         first.setdefault(u.find(x), x)
-    assert {x: (v.n_links, every[v.class_doc_id]) for x, v in got.items()} == {x: (links[x], first[u.find(x)]) for x in every}
+    assert {x: (v.n_links > 0, every[v.class_doc_id]) for x, v in got.items()} == {x: (links[x] > 0, first[u.find(x)]) for x in every}
     assert links["Thwhesnd esator whshing and hewh."] == 1 and sum(0 < links[x] for x in every if len(x) < 20) > 10
 
 
+def test_line_dedup_of_split_runs(spark, monkeypatch):
+    """Runs in pieces of 8 lines: classes that their hubs don't reach are compared everywhere."""
+    monkeypatch.setattr(lines, "RUN", 8)
+    r = random.Random(8)
+    start = "".join(r.choice("abcdefgh") for _ in range(30))
+    ends = ["".join(r.choice("abcdefgh") for _ in range(20)) for _ in range(12)]
+    every = [start + x for x in ends]
+    for x in ends:
+        for _ in range(12):
+            y = list(x)
+            y[r.randrange(20)] = r.choice("abcdefgh")
+            every.append(start + "".join(y))
+    every = sorted(set(every))
+    r.shuffle(every)
+    got = {every[x.doc_id]: every[x.class_doc_id] for x in lines.dedup(spark.createDataFrame(list(enumerate(every)), "doc_id long, text string")).collect()}
+    u = Union()
+    for k, x in enumerate(every):
+        for y in every[:k]:
+            if edit_distance(x, y) <= 2:
+                u.join(x, y)
+    first = {}
+    for x in every:
+        first.setdefault(u.find(x), x)
+    assert got == {x: first[u.find(x)] for x in every}
+    assert 1 < len(first) < 40
+
+
+def test_line_dedup_of_repeated_rows_and_ids(spark):
+    rows = [(1, "one line of some length\nand another one"), (1, "one line of some length\nand another one"), (1, "one lime of some length"), (None, "x"), (None, "x"), (2, "y" * 70_000), (3, "y" * 69_999)]
+    df = spark.createDataFrame([(i, t, 0, 1, "n") for i, t in rows], "doc_id long, text string, names int, block int, name string")
+    got = lines.dedup(df).collect()
+    assert len(got) == 9
+    assert sorted((x.class_doc_id is not None, x.class_doc_id or 0) for x in got if x.keep) == [(False, 0), (True, 1), (True, 1), (True, 2)]
+
+
 def test_line_dedup_of_nothing(spark):
     assert lines.dedup(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
@@ -214,5 +252,57 @@ def test_suffix_dedup_finds_all_passages(spark):
     assert got == want
 
 
+def passage_words(texts, least=50):
+    """For each distinct text, which of its words lie in a passage that another has too."""
+    texts = sorted(set(texts))
+    where = defaultdict(set)
+    for t in texts:
+        w = words(t)
+        for k in range(len(w) - least + 1):
+            where[tuple(w[k : k + least])].add(t)
+    out = {}
+    for t in texts:
+        w = words(t)
+        hit = [0] * len(w)
+        for k in range(len(w) - least + 1):
+            if len(where[tuple(w[k : k + least])]) > 1:
+                hit[k : k + least] = [1] * least
+        out[t] = [i for i, x in enumerate(hit) if x]
+    return out
+
+
+def test_suffix_dedup_of_an_id_with_several_texts(spark):
+    r = random.Random(9)
+    text = lambda n: [f"v{r.randrange(4000)}" for _ in range(n)]
+    passage, long = text(60), text(30_000)
+    docs = [(5, " ".join(text(20) + passage + text(9))), (5, " ".join(passage + text(70))), (5, " ".join(text(90))), (6, " ".join(text(80)))]
+    docs += [(7, " ".join(long)), (8, " ".join(text(10) + long[20_000:20_070])), (8, " ".join(text(10) + long[20_000:20_070]) + " end")]
+    # near copies, one word apart at one or the other side of their minimisers
+    base = text(140)
+    for i in range(30):
+        w = list(base)
+        for at in r.sample(range(140), r.choice([1, 2, 3])):
+            w[at] = f"n{i}-{at}"
+        docs.append((20 + i % 7, " ".join(w)))
+    df = spark.createDataFrame([(i, t, 1, "b") for i, t in docs], "doc_id long, text string, name int, block string")
+    got = sorted((x.doc_id, [k for s in x.spans for k in range(s["start"], s["end"])]) for x in suffixes.repeats(df).collect())
+    want = passage_words([t for _, t in docs])
+    assert got == sorted((i, want[t]) for i, t in docs)
+    assert sum(len(x) > 0 for _, x in got) > 25
+
+
+def test_suffixes_are_sorted_and_compared():
+    r = random.Random(3)
+    prefix = np.array([r.randrange(3) for _ in range(80)], np.uint64)
+    rows = np.array([[r.randrange(1, 3) for _ in range(6)] for _ in range(80)], np.uint32)
+    order, common = suffixes.common_lengths(prefix, rows)
+    key = [(int(p).to_bytes(8, "little"), x.tobytes()) for p, x in zip(prefix, rows)]
+    assert [key[i] for i in order] == sorted(key)
+    for k in range(1, 80):
+        a, b = order[k - 1], order[k]
+        n = next((i for i in range(6) if rows[a][i] != rows[b][i]), 6)
+        assert common[k] == (n if prefix[a] == prefix[b] else -1)
+
+
 def test_suffix_dedup_of_nothing(spark):
     assert suffixes.repeats(spark.createDataFrame([], "doc_id long, text string")).collect() == []
