@@ -1,14 +1,20 @@
 """HTML extraction by tag-path ratios.
 
-Every text node has a root-to-leaf tag path.  Text length and punctuation are averaged over
-the nodes of a path, smoothed along the page, fused into one ratio and held against a
-threshold; the paths above it are content.  The smallest element around the content nodes
-is the article, and all its blocks are kept but those that are boilerplate by their markup.
+Every text node has a root-to-leaf tag path, of tags with their class words.  Text length
+(outside links) and punctuation are averaged over the nodes of a path and fused into one
+ratio; ratios are smoothed along the page, the more the nearer two nodes stand in the tree,
+and weighed by what a path's elements say of themselves.  Paths whose ratio passes a
+threshold, the standard deviation on the page, are content.
+
+The path with the most text among them leads: the smallest element around its nodes is the
+article.  There all is kept but subtrees without content that are links, that name
+themselves boilerplate, or that stand at the edges of an unnamed element.
 """
 
 from __future__ import annotations
 
 import html
+import math
 import re
 from collections import defaultdict
 
@@ -20,25 +26,35 @@ from pyspark.sql import functions as F
 from quire.llm.common import small_batches
 
 #: Of the standard deviation of the fused ratios.
-THRESHOLD = 0.5
-#: Share of the content's weight that the article's element must hold.
+THRESHOLD = 1.0
+#: Share of the leading path's weight that the article's element must hold.
 COVER = 0.9
+#: What a ratio is multiplied by inside an article or main element, and inside one that names
+#: itself boilerplate.
+ARTICLE_WEIGHT, MARKED_WEIGHT = 2.0, 0.1
+#: Of a smoothed ratio: what a node counts, and its neighbours at most.
+OWN, NEAR = 0.5, 0.25
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label maction mark math menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtext munder munderover q rp rt ruby s samp semantics small span strike strong sub sup time tt u var wbr".split())
-#: Never part of an article's text.
-NEVER = frozenset("script style head title noscript template textarea select option button form input iframe noembed noframes nav aside footer object applet embed svg canvas annotation annotation-xml menu dialog xmp audio video map datalist fieldset search".split())
-#: Words of class, id and role that mark boilerplate.
-MARKS = re.compile(
-    r"(?:^|-)(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner\w*|cookie\w*|consent\w*|gdpr|notices?|alert\w*|popup|modal|overlay|"
-    r"nav\w*|menus?|breadcrumbs?|sidebar\w*|side|aside|rail|footer\w*|foot|masthead|topbar|toolbar|"
-    r"comments?|commentlist|disqus\w*|respond|replies|reply|share\w*|sharing|social\w*|related\w*|recommend\w*|newsletter\w*|subscribe\w*|signup|login|"
-    r"search\w*|widget\w*|pagination|pager|copyright|complementary|navigation|contentinfo|hidden|skip|skiplink)(?:$|-|\d)"
+#: Never part of an article's text; so are forms, unless most of the page is in one.
+NEVER = frozenset("script style head title noscript template textarea select option button input iframe noembed noframes nav aside footer object applet embed svg canvas annotation annotation-xml menu dialog xmp audio video map datalist fieldset search".split())
+#: Elements whose class, id and role are read; a paragraph, list item or inline element isn't
+#: named boilerplate by them.
+CONTAINERS = frozenset("article center details div dl fieldset figure header main ol section table ul".split())
+#: What a container calls itself when it is no article: one of these words, with none besides
+#: but those that only say what kind of box it is.
+MARKED = frozenset(
+    "ad ads advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promos promotion banner cookie cookies consent gdpr notice notices popup modal overlay "
+    "nav navbar navigation menu menus breadcrumb breadcrumbs sidebar aside rail footer masthead topbar toolbar comment comments commentlist disqus respond reply replies "
+    "share sharing social related recommended recommendations newsletter subscribe subscription signup login search pagination pager copyright skiplink".split()
 )
-HEADER = re.compile(r"(?:^|-)header(?:$|-)")
-#: Class words that only say what else there is on the page.
-ABOUT = re.compile(r"^(?:with|has|no|is|without|hide|show)-")
+BOXES = frozenset("main site page top bottom left right primary secondary global header box bar list lists area section sections wrapper wrap container content inner outer block blocks item items group links link buttons button text widget widgets body thread form title row col column panel region slot unit post posts article articles blog entry news js ui the".split())
+ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar".split())
+#: Parts of an article that stay beside its content nodes, and elements of no meaning.
+FLOW = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table pre blockquote figure math details hr".split())
+PAGE = frozenset(("#page", "html", "body"))
 ARTICLE = frozenset(("article", "main"))
 #: An open element of the value ends where an element of the key begins, inside the same parent.
 CLOSES = {k: frozenset(v.split()) for k, v in {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "thead": "tr td th thead tbody", "tbody": "tr td th thead tbody", "tfoot": "tr td th thead tbody", "option": "option", "optgroup": "option optgroup"}.items()}
@@ -54,38 +70,47 @@ SPACE = re.compile(r"\s+")
 
 
 class Element:
-    __slots__ = ("tag", "parent", "path", "dead", "depth", "inside")
+    """dead: never part of the text.  form: the form that it is in, link: whether it is in a
+    link, inside: in an article, marked: the outermost element that names itself boilerplate."""
+
+    __slots__ = ("tag", "parent", "path", "depth", "dead", "inside", "link", "form", "marked")
 
-    def __init__(self, tag: str, parent: Element | None, dead: bool, inside: bool):
-        self.tag, self.parent, self.dead, self.inside = tag, parent, dead, inside
-        self.path = f"{parent.path}/{tag}" if parent else tag
+    def __init__(self, tag: str, parent: Element | None, dead: bool = False, names: list[str] | None = None, marked: bool = False):
+        self.tag, self.parent, self.dead = tag, parent, dead
+        step = ".".join([tag, *(names or [])])
+        self.path = f"{parent.path}/{step}" if parent else step
         self.depth = parent.depth + 1 if parent else 0
+        self.inside = tag in ARTICLE or (parent is not None and parent.inside)
+        self.link = tag == "a" or (parent is not None and parent.link)
+        self.form = (parent.form if parent else None) or (self if tag == "form" else None)
+        self.marked = (parent.marked if parent else None) or (self if marked else None)
 
 
-def is_boilerplate(tag: str, attrs: str, inside: bool) -> bool:
-    """inside: within an article, where a header has the article's own title."""
-    if tag in NEVER or (tag == "header" and not inside):
-        return True
-    if not attrs or tag in ("html", "body", "main") or (tag == "article" and not inside):
-        return False
-    marks = MARKS.match if tag == "article" else MARKS.search  # an article's later words, as in category-social, may be its subject
+def named(tag: str, attrs: str) -> tuple[list[str], bool, bool]:
+    """Class words of an element, without digits; whether it names itself boilerplate, and
+    whether it is hidden."""
+    words, marked, hidden = [], False, False
     for m in ATTR.finditer(attrs):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if name in ("class", "id", "role"):
-            for word in value.replace("_", "-").split():
-                if not ABOUT.match(word) and (marks(word) or (not inside and HEADER.search(word))):
-                    return True
         if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
-            return True
-    return False
+            hidden = True
+        elif name == "role":
+            marked |= value in ROLES
+        elif name in ("class", "id"):
+            for word in re.sub(r"\d+", "", value).replace("_", "-").split():
+                if name == "class":
+                    words.append(word)
+                parts = {x for x in word.split("-") if x}
+                marked |= bool(parts & MARKED) and parts <= MARKED | BOXES
+    return sorted(words), marked and tag in CONTAINERS, hidden
 
 
-def blocks_of(source: str) -> list[tuple[Element, str]]:
-    """Text blocks in page order: the block element and its text, with references decoded
-    and white space made single; those of dead elements are left out."""
-    root = Element("#page", None, False, False)
+def blocks_of(source: str) -> list[tuple[Element, str, int]]:
+    """Text blocks in page order: the block element, its text, with references decoded and
+    white space made single, and how many characters are in links; without dead elements."""
+    root = Element("#page", None)
     top = root
-    out: list[tuple[Element, list[str]]] = []
+    out: list[tuple[Element, list[str], list[int]]] = []
     holder: Element | None = None  # the block element of the text gathered last
     at, n = 0, len(source)
 
@@ -97,9 +122,11 @@ def blocks_of(source: str) -> list[tuple[Element, str]]:
         while block.tag in INLINE and block.parent is not None:
             block = block.parent
         if holder is not block or not out:
-            out.append((block, []))
+            out.append((block, [], [0]))
             holder = block
         out[-1][1].append(part)
+        if top.link:
+            out[-1][2][0] += len(part.strip())
 
     while at < n:
         m = TOKEN.search(source, at)
@@ -150,8 +177,10 @@ def blocks_of(source: str) -> list[tuple[Element, str]]:
                 e = e.parent
             if e.tag == "head":
                 top = e.parent
-        inside = top.inside or tag in ARTICLE
-        dead = top.dead or is_boilerplate(tag, m[3], top.inside)
+        names, marked, hidden = named(tag, m[3]) if m[3] and tag not in ("html", "body") else ([], False, False)
+        if tag == "article" and not top.inside or tag == "main":
+            marked = marked and tag != "main" and names == ["comment"]  # an article's class may be its subject
+        dead = top.dead or hidden or tag in NEVER or (tag == "header" and not top.inside)
         if tag in VOID or m[3].rstrip().endswith("/") and tag in ("svg", "path", "use", "rect", "circle"):
             continue
         if tag in RAW:
@@ -160,29 +189,17 @@ def blocks_of(source: str) -> list[tuple[Element, str]]:
                 text(source[at : end.start() if end else n])
             at = end.end() if end else n
             continue
-        top = Element(tag, top, dead, inside)
+        top = Element(tag, top, dead, names, marked)
     done = []
-    for e, parts in out:
+    for e, parts, linked in out:
         t = SPACE.sub(" ", html.unescape("".join(parts))).strip()
         if t:
-            done.append((e, t))
-    return done
-
-
-def ratios(blocks: list[tuple[Element, str]]) -> np.ndarray:
-    """For each block the smoothed, fused ratio of its tag path: characters a node times
-    (one and) punctuation a node."""
-    nodes, chars, marks = defaultdict(int), defaultdict(int), defaultdict(int)
-    for e, t in blocks:
-        nodes[e.path] += 1
-        chars[e.path] += len(t)
-        marks[e.path] += len(PUNCTUATION.findall(t))
-    by = {p: (chars[p] / n, marks[p] / n) for p, n in nodes.items()}
-    x = np.array([by[e.path] for e, _ in blocks])
-    kernel = np.array([0.25, 0.5, 0.25])
-    wide = np.pad(x, ((1, 1), (0, 0)), mode="edge")
-    smooth = kernel[0] * wide[:-2] + kernel[1] * wide[1:-1] + kernel[2] * wide[2:]
-    return np.sqrt(smooth[:, 0] * (1 + smooth[:, 1]))
+            done.append((e, t, min(linked[0], len(t))))
+    forms: dict[int, int] = defaultdict(int)
+    for e, t, _ in done:
+        forms[id(e.form) if e.form else 0] += len(t)
+    most = sum(forms.values()) / 2
+    return [b for b in done if b[0].form is None or forms[id(b[0].form)] > most]
 
 
 def chain(e: Element | None) -> list[Element]:
@@ -193,33 +210,118 @@ def chain(e: Element | None) -> list[Element]:
     return out[::-1]
 
 
+def nearness(a: list[Element], b: list[Element]) -> float:
+    """How much of two chains is common, squared."""
+    n = 0
+    for x, y in zip(a, b):
+        if x is not y:
+            break
+        n += 1
+    return (n / max(len(a), len(b))) ** 2
+
+
+def ratios(blocks: list[tuple[Element, str, int]]) -> np.ndarray:
+    """For each block the smoothed, fused and weighed ratio of its tag path: characters a
+    node times (one and) punctuation a node."""
+    nodes, chars, marks = defaultdict(int), defaultdict(int), defaultdict(int)
+    for e, t, linked in blocks:
+        nodes[e.path] += 1
+        chars[e.path] += len(t) - linked
+        marks[e.path] += len(PUNCTUATION.findall(t)) * (len(t) - linked) / len(t)
+    fused = {p: math.sqrt(chars[p] / n * (1 + marks[p] / n)) for p, n in nodes.items()}
+    chains = [chain(e) for e, _, _ in blocks]
+    near = [NEAR * nearness(a, b) for a, b in zip(chains, chains[1:])]
+    smooth: dict[str, float] = defaultdict(float)
+    for i, (e, _, _) in enumerate(blocks):
+        before, after = (near[i - 1] if i else 0.0), (near[i] if i < len(near) else 0.0)
+        total = OWN * fused[e.path]
+        total += before * fused[blocks[i - 1][0].path] if i else 0.0
+        total += after * fused[blocks[i + 1][0].path] if i < len(near) else 0.0
+        smooth[e.path] += total / (OWN + before + after) / nodes[e.path]
+    weight = lambda e: (MARKED_WEIGHT if e.marked else 1.0) * (ARTICLE_WEIGHT if e.inside else 1.0)
+    return np.array([smooth[e.path] * weight(e) for e, _, _ in blocks])
+
+
+def article_of(blocks: list[tuple[Element, str, int]], chains: list[list[Element]], content: np.ndarray) -> tuple[Element, str]:
+    """The article's element and its leading path.  A node weighs the square of its length,
+    so that many short ones elsewhere on the page weigh little."""
+    total: dict[str, int] = defaultdict(int)
+    for (e, t, linked), keep in zip(blocks, content):
+        total[e.path] += (len(t) - linked + 1) * int(keep)
+    lead = max(total, key=lambda p: total[p])
+    weight: dict[int, int] = defaultdict(int)
+    for (e, t, _), c in zip(blocks, chains):
+        if e.path == lead:
+            for x in c:
+                weight[id(x)] += len(t) ** 2
+    every = weight[id(chains[0][0])]
+    region = max((x for (e, _, _), c in zip(blocks, chains) if e.path == lead for x in c if weight[id(x)] >= COVER * every), key=lambda x: x.depth)
+    while region.parent is not None and (region.tag in INLINE or region.tag in ("p", "li", "td", "th", "tr", "tbody", "pre", "dd", "dt", "blockquote", *HEADINGS)):
+        region = region.parent
+    around = region
+    while around is not None and not (around.tag in ARTICLE and around.marked is None):
+        around = around.parent
+    return around or region, lead
+
+
 def main_text(source: str | None) -> str:
     """The article's blocks, joined by line feeds; empty if there is none."""
     blocks = blocks_of(source or "")
     if not blocks:
         return ""
     fused = ratios(blocks)
-    limit = min(THRESHOLD * float(fused.std()), float(fused.max()))
-    content = fused >= limit
-    weight: dict[int, float] = defaultdict(float)
-    chains = [chain(e) for e, _ in blocks]
-    total = 0.0
-    for (e, t), c, keep in zip(blocks, chains, content):
-        if keep:
-            total += len(t)
-            for x in c:
-                weight[id(x)] += len(t)
-    region = max((x for c, keep in zip(chains, content) if keep for x in c if weight[id(x)] >= COVER * total), key=lambda x: x.depth)
-    while region.tag in INLINE | HEADINGS | {"p", "li", "td", "th", "tr", "pre", "dd", "dt"} and region.parent is not None:
-        region = region.parent
-    return "\n".join(t for (e, t), c in zip(blocks, chains) if region in c)
+    content = fused >= min(THRESHOLD * float(fused.std()), float(fused.max()))
+    chains = [chain(e) for e, _, _ in blocks]
+    region, lead = article_of(blocks, chains, content)
+    chars, links, with_content, leads, tags = defaultdict(int), defaultdict(int), set(), set(), defaultdict(set)
+    for (e, t, linked), c, keep in zip(blocks, chains, content):
+        for x in c:
+            chars[id(x)] += len(t)
+            links[id(x)] += linked
+            tags[id(x)].update(y.tag for y in c[x.depth + 1 :])
+            if keep:
+                with_content.add(id(x))
+            if e.path == lead:
+                leads.add(id(x))
+    inside = [region in c for c in chains]
+    at = np.flatnonzero(content & np.array(inside))
+    first, last = int(at[0]), int(at[-1])
+    page_level = region.tag in PAGE
+    titled = any(e.tag == "h1" and i for (e, _, _), i in zip(blocks, inside))
+
+    def stays(i: int) -> bool:
+        e, c = blocks[i][0], chains[i]
+        if not inside[i]:  # the title, and content before the article in the same element
+            return i < first and e.marked is None and (e.tag == "h1" and not titled or bool(content[i]) and region.parent in c and region.parent.tag not in PAGE)
+        below = c[region.depth + 1 :]
+        if any(x.tag == "article" and id(x) not in leads for x in below):
+            return False
+        if content[i]:
+            return True
+        if e.marked is not None and e.marked in below:
+            return False
+        child = below[0] if below else e
+        if id(child) in with_content or not below:
+            return True
+        if links[id(child)] > chars[id(child)] / 2 and child.tag not in HEADINGS and child.tag != "p":
+            return False
+        edge = i < first or i > last
+        if child.tag in FLOW:
+            return not (page_level and edge and child.tag not in HEADINGS)
+        if region.tag in ARTICLE:
+            return True
+        return not page_level and (not edge or bool(tags[id(child)] & FLOW - {"p"}))
+
+    return "\n".join(t for i, (_, t, _) in enumerate(blocks) if stays(i))
 
 
 def extract(pages: DataFrame, *, html_col: str = "html") -> DataFrame:
     """``pages`` with ``main_text``.
 
-    Null and empty html: an empty text.  Whole pages are parsed, however long.  Other
-    columns stay (one named ``main_text`` is replaced); repeated rows are each parsed.
+    Null and empty html: an empty text.  Whole pages are parsed, however long.  Of paths
+    with equal text, and of elements with equal weight, the first counts.  Other columns
+    stay (one named ``main_text`` is replaced); repeated rows are each parsed.  An empty
+    table gives an empty one.
     """
     small_batches(pages.sparkSession)
 
