@@ -5,6 +5,7 @@ import json
 import random
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -17,13 +18,13 @@ SF = "/root/testdata/sf0.001"
 def test_suffix_automaton_knows_all_substrings():
     r = random.Random(1)
     text = [r.randrange(3, 6) for _ in range(60)]
-    go = langid.suffix_automaton(text, 6)
+    go = langid.suffix_automaton(text)
     subs = {tuple(text[i:j]) for i in range(60) for j in range(i, 61)}
     for _ in range(2000):
         s = tuple(r.randrange(3, 6) for _ in range(r.randint(1, 8)))
         at = 0
         for c in s:
-            at = int(go[at, c])
+            at = go[at].get(c, 0)
             if not at:
                 break
         assert (at != 0) == (s in subs)
@@ -102,17 +103,23 @@ def test_next_document_of_nothing(spark):
     assert digest.compare_edited(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
 
-def test_decontamination_against_brute_force(spark):
+def test_decontamination_against_brute_force(spark, monkeypatch):
     r = random.Random(8)
     vocab = ["a1", "B2", "çé", "Dd", "e", "f", "g"]
     text = lambda n: [r.choice(vocab) for _ in range(n)]
     items = [(i, " ".join(text(r.choice([3, 10, 14])))) for i in range(12)] + [(50, None), (51, ""), (52, "..."), (53, "lone")]
     docs = [(i, "; ".join(text(r.randint(0, 40)) + (r.choice(items[:12])[1].split() if r.random() < 0.6 else []))) for i in range(40)]
     docs += [(100, None), (101, ""), (102, "x LONE-y"), (103, "lonely")]
+    docs += [(104, " ".join(["zz", *text(2000), items[0][1].replace(" ", "--"), *text(700)])), (105, "a1" * 50_000)]
     df = spark.createDataFrame([(i, t, 3) for i, t in docs], "doc_id long, text string, items int")
     bench = spark.createDataFrame([(i, t, "z") for i, t in items], "item_id long, text string, hits string")
-    for limit in (decontam.BLOCK_BYTES, 40):
-        got = {x.doc_id: x.hits for x in decontam.decontaminate(df, bench, block_bytes=limit).collect()}
+    built = []
+    made = decontam.Automaton.__init__
+    monkeypatch.setattr(decontam.Automaton, "__init__", lambda self, *a: (built.append(len(a[0])), made(self, *a))[1])
+    for limit in (decontam.BLOCK_WINDOWS, 3):
+        built.clear()
+        got = {x.doc_id: x.hits for x in decontam.decontaminate(df, bench, block_windows=limit).collect()}
+        assert len(built) == 1 if limit > 3 else len(built) >= 6
         for i, t in docs:
             w = decontam.normalised(t).split()
             hit, found = [False] * len(w), set()
@@ -128,6 +135,7 @@ def test_decontamination_against_brute_force(spark):
             assert (h["n_words"], h["n_hit"], h["items"]) == (len(w), sum(hit), sorted(found))
             inside = [decontam.normalised(t[s["start"] : s["end"]]).split() for s in h["spans"]]
             assert sum(map(len, inside)) == sum(hit)
+            assert sum((w[s["start"] : s["end"]] for s in h["words"]), []) == sum(inside, [])
     assert {x.hits["n_hit"] for x in decontam.decontaminate(df, bench.limit(0)).collect()} == {0}
     assert decontam.decontaminate(df.limit(0), bench).collect() == []
 
@@ -142,6 +150,89 @@ HTML = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><b
 <form><input><p>Sign up</p></form><!-- c --><footer>&copy; x</footer></body></html>"""
 
 
+PROSE = "<p>It was, as they said, a long and rather cold winter; nobody in the valley, young or old, had seen one like it before.</p>" * 4
+TEXT = "\n".join(["It was, as they said, a long and rather cold winter; nobody in the valley, young or old, had seen one like it before."] * 4)
+
+
+@pytest.mark.parametrize(
+    "body, want",
+    [
+        # names inside an article that only look like boilerplate
+        (f"<article>{PROSE}<p>Code: <span class='comment'># note</span></p><section id='related-work'><p>Others, too.</p></section><p class='notice-of-intent'>Meant so.</p></article>", TEXT + "\nCode: # note\nOthers, too.\nMeant so."),
+        # teasers behind the article
+        (f"<article>{PROSE}</article><article class='card'><h3>One more</h3><p>Read this, too.</p></article><article class='card'><h3>Another</h3><p>And this.</p></article>", TEXT),
+        # the body in main, a reader's comment in an article of its own
+        (f"<main>{PROSE}<article class='comment'><p>Nice, thanks. I read it twice.</p></article></main>", TEXT),
+        # neither article nor main, and names that say nothing
+        (f"<div class='k1'><p>We use cookies, as all do. Fine?</p></div><div class='k2'><h1>Winter</h1>{PROSE}<ul><li>snow<li>ice</ul></div><div class='k3'><div class='k4'><p>Great post, thank you!</p></div><div class='k4'><p>I don't agree, sorry.</p></div></div>", "Winter\n" + TEXT + "\nsnow\nice"),
+        # paragraphs right in the body
+        (f"<div class='k1'>We use cookies. Fine?</div><h1>Winter</h1>{PROSE}<div class='k3'><a href=/>One</a> <a href=/>Two</a></div>", "Winter\n" + TEXT),
+        # links and named boxes inside the article's own element
+        (f"<div class='k2'>{PROSE}<div class='k5'><a href=/>One</a> <a href=/>Two</a></div><div class='share-buttons'>Share, please!</div><pre>x = 1\n  y</pre>{PROSE}</div>", TEXT + "\nx = 1 y\n" + TEXT),
+        # the whole page in a form
+        (f"<form><div class='k1'>Menu</div><div class='k2'>{PROSE}</div><input></form>", TEXT),
+    ],
+)
+def test_html_of_unnamed_and_misnamed_parts(body, want):
+    page = f"<!DOCTYPE html><html><head><title>t</title></head><body><nav><ul><li><a href=/>Home</a></ul></nav>{body}<footer>(c) x, y.</footer></body></html>"
+    assert pages.main_text(page) == want
+
+
+def built_page(r):
+    """A page of random layout and names, and its article's text."""
+    word = lambda: "".join(r.choice("aeioubcdfgmnrst") for _ in range(r.randint(2, 9)))
+    prose = lambda n: " ".join(word() + r.choice(["", "", "", ",", "."]) for _ in range(n)).capitalize() + "."
+    name = lambda: f' class="{word()}-{r.randint(0, 99)}"' if r.random() < 0.8 else ""
+    blocks, text = [], []
+    for i in range(r.randint(4, 12)):
+        kind = r.choice(["p"] * 6 + ["h2", "ul", "pre", "table", "quote"]) if i else "h1"
+        if kind in ("p", "pre", "h2", "h1"):
+            x = prose(r.randint(3, 8) if kind in ("h1", "h2") else r.randint(25, 110))
+            blocks.append(f"<{kind}>{x}</{kind}>")
+            text.append(x)
+        elif kind == "ul":
+            items = [prose(r.randint(1, 6)) for _ in range(3)]
+            blocks.append("<ul>" + "".join(f"<li>{x}" for x in items) + "</ul>")
+            text += items
+        elif kind == "table":
+            items = [word() for _ in range(4)]
+            blocks.append("<table><tr>" + "</tr><tr>".join(f"<td>{a}</td><td>{b}</td>" for a, b in zip(items[::2], items[1::2])) + "</tr></table>")
+            text += items
+        else:
+            x = prose(30)
+            blocks.append(f"<blockquote><p>{x}</p></blockquote>")
+            text.append(x)
+    blocks.append(f"<p>{(x := prose(60))}</p>")
+    text.append(x)
+    tag = r.choice(["article", "main", "div", "section", "div"])
+    body = f"<{tag}{name()}>" + "".join(blocks) + f"</{tag}>"
+    links = lambda n: "".join(f"<li><a href=/{word()}>{word()}</a>" for _ in range(n))
+    before = r.sample([f"<nav><ul>{links(6)}</ul></nav>", f"<header><h2>{word()}</h2></header>", f"<div{name()}>{prose(6)}</div>", f"<div{name()}><ul>{links(9)}</ul></div>", f"<script>var x='<p>{word()}</p>'</script>"], r.randint(1, 4))
+    after = r.sample([f"<aside><p>{prose(12)}</p></aside>", f"<footer><p>{prose(20)}</p></footer>", f"<div{name()}>" + "".join(f"<div{name()}><p>{prose(r.randint(3, 9))}</p></div>" for _ in range(3)) + "</div>", f"<div{name()}><ul>{links(7)}</ul></div>", f"<form><p>{prose(7)}</p><input></form>"], r.randint(1, 4))
+    wrap = r.choice(["{}", "<div id=w>{}</div>", "<div id=w><div id=v>{}</div></div>"])
+    return "<html><body>" + wrap.format("".join(before) + body + "".join(after)) + "</body></html>", "\n".join(text)
+
+
+def test_html_of_built_pages(monkeypatch):
+    """Articles of pages that are built here, so that their text is known: short blocks of
+    furniture without any name that tells what it is."""
+    r = random.Random(7)
+    made = [built_page(r) for _ in range(400)]
+    whole = sum(pages.main_text(page) == text for page, text in made)
+    assert whole >= 0.97 * len(made)
+    ratios = pages.ratios
+    for other in (lambda blocks: np.ones(len(blocks)), lambda blocks: -ratios(blocks)):  # the ratios decide
+        monkeypatch.setattr(pages, "ratios", other)
+        assert sum(pages.main_text(page) == text for page, text in made) < 0.75 * len(made)
+
+
+def test_html_of_long_pages_and_clashing_columns(spark):
+    page = "<body><div>" + PROSE * 2000 + "</div><div>Ad</div></body>"
+    rows = [(1, page, "x", 7)]
+    got = pages.extract(spark.createDataFrame(rows, "page_id long, html string, main_text string, text int")).collect()
+    assert got[0].main_text == "\n".join([TEXT] * 2000) and got[0].text == 7
+
+
 def test_html_keeps_the_article_and_nothing_else(spark):
     want = "The title & more\nFirst bold, text. After.\nSecond.\nA\nB\none\ntwo\nx < y &am"
     assert pages.main_text(HTML) == want
@@ -155,8 +246,10 @@ def test_html_keeps_the_article_and_nothing_else(spark):
 
 def test_html_ratios_choose_beside_and_inside_marked_elements():
     long = "A sentence of the story, and then some more of it, with a clause. " * 6
-    split = f"<body><article><p>{long}</p></article><div><p>{long}</p></div></body>"
-    assert pages.main_text(split) == "\n".join([long.strip()] * 2)
+    beside = f"<body><article><p>{long}</p></article><div><p>{long}</p></div></body>"
+    assert pages.main_text(beside) == long.strip()
+    parts = f"<body><div class='part'><p>{long}</p></div><div class='part'><p>{long}</p></div></body>"
+    assert pages.main_text(parts) == "\n".join([long.strip()] * 2)
     links = "".join(f"<li><a href=/{i}>Link {i}</a></li>" for i in range(9))
     assert pages.main_text(f"<body><main><div><p>{long}</p><p>{long}</p></div><div><ul>{links}</ul></div></main></body>") == "\n".join([long.strip()] * 2)
 
@@ -166,7 +259,7 @@ def test_html_main_with_other_articles():
     body = "\n".join([long.strip()] * 2)
     main = f"<p>{long}</p><p>{long}</p>"
     assert pages.main_text(f"<body><main>{main}<article class='comment'><p>{long}</p></article></main></body>") == body
-    assert pages.main_text(f"<body><main>{main}<article><p>Read this.</p></article></main></body>") == body + "\nRead this."
+    assert pages.main_text(f"<body><main>{main}<article><p>Read this.</p></article></main></body>") == body
     assert pages.main_text(f"<body><main>{main}</main><article><p>Read this.</p></article></body>") == body
     assert pages.main_text(f"<body><main><article class='post category-social'>{main}</article></main></body>") == body
     assert pages.main_text(f"<article><p>{long} <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>x=1</annotation></math></p></article>") == long + "x=1"
