@@ -50,3 +50,23 @@ def runs(x: np.ndarray) -> np.ndarray:
     if not len(x):
         return np.zeros(1, np.int64)
     return np.concatenate([[0], np.flatnonzero(x[1:] != x[:-1]) + 1, [len(x)]])
+
+
+class Seen:
+    """Remembers up to ``most`` names, so that a task sends what repeats once; beyond it some
+    go again."""
+
+    def __init__(self, most: int = 1 << 20):
+        self.most, self.names = most, np.zeros(0, np.uint64)
+
+    def new(self, names: np.ndarray) -> np.ndarray:
+        """Which of the names come here for the first time."""
+        one, at = np.unique(names, return_index=True)
+        fresh = np.ones(len(one), bool)
+        if len(self.names) and len(one):
+            fresh = self.names[np.minimum(np.searchsorted(self.names, one), len(self.names) - 1)] != one
+        if len(self.names) < self.most:
+            self.names = np.insert(self.names, np.searchsorted(self.names, one[fresh]), one[fresh])
+        out = np.zeros(len(names), bool)
+        out[at[fresh]] = True
+        return out

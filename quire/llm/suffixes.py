@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm import dense
-from quire.llm.blobs import Dealer, runs, unpack
+from quire.llm.blobs import Dealer, Seen, pack, runs, unpack
 from quire.llm.common import chunks, cut, prefix_hash, release, small_batches, span_hash, text_bytes, word_hashes, word_spans
 
 MIN_WORDS = 50
@@ -29,8 +29,8 @@ BLOCK_ENTRIES = 2_000_000
 U64 = np.uint64
 #: Of a prefix hash the low bits give way to its place in a text, of which Spark holds 2 GB.
 _PLACE = U64((1 << 31) - 1)
-#: Suffixes with their words in a block, and held by a task before they are dealt out.
-CONTEXT_ENTRIES, HELD_ENTRIES = 100_000, 50_000
+#: Suffixes in a block, and held by a task with their contexts before they are dealt out.
+CONTEXT_ENTRIES, HELD_ENTRIES = 100_000, 20_000
 
 
 def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
@@ -67,7 +67,7 @@ def sample(docs: DataFrame, size: int, k: int, parts: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         deal = Dealer(parts)
-        seen: set[int] = set()
+        seen = Seen()
 
         def out(rows=None, blocks: pa.RecordBatch | None = None) -> pa.RecordBatch:
             ids, names, counts = rows or (pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.int64()))
@@ -83,11 +83,7 @@ def sample(docs: DataFrame, size: int, k: int, parts: int) -> DataFrame:
             for i, j in chunks(off):
                 count, row, _, _, place, gram = windows(raw[off[i] : off[j]], off[i : j + 1] - off[i], size, k)
                 counts.append(count)
-                new = np.zeros(j - i, bool)
-                for r in range(j - i):
-                    if (x := int(name[i + r])) not in seen:
-                        seen.add(x)
-                        new[r] = True
+                new = seen.new(name[i:j].view(U64))
                 keep = np.ones(len(row), bool)
                 keep[1:] = (row[1:] != row[:-1]) | (place[1:] != place[:-1])
                 keep &= new[row]
@@ -116,26 +112,57 @@ def neighbours(block: pa.Table) -> pa.Table:
 
 
 def context_type(reach: int) -> np.dtype:
-    """A suffix: its text (the least id and the name), its place, how many words there are on
-    both sides (of ``reach``), and hashes of those words, going away from the prefix."""
-    return np.dtype([("first", np.int64), ("name", np.int64), ("place", np.int32), ("n_left", np.uint16), ("n_right", np.uint16), ("left", np.uint32, (reach,)), ("right", np.uint32, (reach,))])
+    """What stands around a suffix: its prefix, how many words there are on both sides (of
+    ``reach``), and hashes of those words, going away from the prefix."""
+    return np.dtype([("prefix", U64), ("n_left", np.uint16), ("n_right", np.uint16), ("left", np.uint32, (reach,)), ("right", np.uint32, (reach,))])
+
+
+#: A suffix: its text (the least id and the name), its place, and the number of its context.
+SUFFIX = np.dtype([("first", np.int64), ("name", np.int64), ("place", np.int32), ("context", np.int32)])
+
+
+def distinct(context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first of each of some contexts, and the number of each in that list."""
+    _, at, number = np.unique(context.view(f"S{context.dtype.itemsize}"), return_index=True, return_inverse=True)
+    return at, number.ravel()
 
 
 def contexts(docs: DataFrame, size: int, k: int, parts: int) -> DataFrame:
-    """(block, payload): the suffixes of (first, name, text, places), by their prefixes."""
+    """(block, payload): the suffixes of (first, name, text, places) and their contexts, by
+    their prefixes; of equal contexts that a task has at a time one goes."""
     reach = size - k
     kind = context_type(reach)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        deal = Dealer(parts, HELD_ENTRIES)
         step = np.arange(reach)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        waiting = 0
+
+        def flush() -> pa.RecordBatch:
+            context = np.concatenate([np.zeros(0, kind), *(c for c, _ in held)])
+            suffix = np.concatenate([np.zeros(0, SUFFIX), *(s for _, s in held)])
+            held.clear()
+            at, number = distinct(context)
+            block = ((context["prefix"] >> U64(21)) % U64(parts)).astype(np.int64)
+            order = np.argsort(block, kind="stable")
+            cuts = np.searchsorted(block[order], np.arange(parts + 1))
+            some, payload = np.flatnonzero(np.diff(cuts)), []
+            for b in some:
+                rows = order[cuts[b] : cuts[b + 1]]
+                used, own = np.unique(number[rows], return_inverse=True)
+                out = suffix[rows]
+                out["context"] = own.ravel()
+                first = pack(context[at[used]])
+                payload.append(np.int64(len(first)).tobytes() + first + pack(out))
+            return pa.RecordBatch.from_pydict({"block": pa.array(some, pa.int32()), "payload": pa.array(payload, pa.binary())})
+
         for batch in batches:
             raw, off = text_bytes(batch.column(2))
             first, name = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
             places = [np.unique(np.frombuffer(b"".join(x), np.int32)) for x in batch.column(3).to_pylist()]
             for i, j in chunks(off):
-                starts, ends, edge = word_spans(raw[off[i] : off[j]], off[i : j + 1] - off[i])
-                words = word_hashes(raw[off[i] : off[j]], starts, ends)
+                begin, end, edge = word_spans(raw[off[i] : off[j]], off[i : j + 1] - off[i])
+                words = word_hashes(raw[off[i] : off[j]], begin, end)
                 prefix = prefix_hash(words)
                 short = np.append((words >> U64(32)).astype(np.uint32) | np.uint32(1), np.uint32(0))
                 row = np.repeat(np.arange(i, j), [len(p) for p in places[i:j]])
@@ -143,91 +170,130 @@ def contexts(docs: DataFrame, size: int, k: int, parts: int) -> DataFrame:
                 for x in range(0, len(row), HELD_ENTRIES):
                     r, p = row[x : x + HELD_ENTRIES], place[x : x + HELD_ENTRIES]
                     at = edge[r - i] + p
-                    out = np.zeros(len(r), kind)
-                    out["first"], out["name"], out["place"] = first[r], name[r], p
-                    out["n_left"], out["n_right"] = np.minimum(p, reach), np.minimum(edge[r - i + 1] - at - k, reach)
+                    suffix, context = np.zeros(len(r), SUFFIX), np.zeros(len(r), kind)
+                    suffix["first"], suffix["name"], suffix["place"] = first[r], name[r], p
+                    context["prefix"] = span_hash(prefix, at, at + k)
+                    context["n_left"], context["n_right"] = np.minimum(p, reach), np.minimum(edge[r - i + 1] - at - k, reach)
                     for side, where in (("left", at[:, None] - 1 - step), ("right", at[:, None] + k + step)):
-                        out[side] = short[np.where(step < out[f"n_{side}"][:, None], where, len(short) - 1)]
-                    if deal.add(span_hash(prefix, at, at + k), out):
-                        yield deal.flush()
-        yield deal.flush()
+                        context[side] = short[np.where(step < context[f"n_{side}"][:, None], where, len(short) - 1)]
+                    held.append((context, suffix))
+                    waiting += len(r)
+                    if waiting >= HELD_ENTRIES:
+                        yield flush()
+                        waiting = 0
+        yield flush()
         release()
 
     return docs.select("first", "name", "text", "places").mapInArrow(run, "block int, payload binary")
 
 
+def received(payloads: list[bytes], kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct contexts of a block, and its suffixes with their numbers among them."""
+    context, suffix, had = [np.zeros(0, kind)], [np.zeros(0, SUFFIX)], 0
+    for p in payloads:
+        n = int(np.frombuffer(p, np.int64, 1)[0])
+        context.append(np.frombuffer(p, kind, (n - 8) // kind.itemsize, 16))
+        own = np.frombuffer(p, SUFFIX, (len(p) - n - 16) // SUFFIX.itemsize, n + 16).copy()
+        own["context"] += had
+        suffix.append(own)
+        had += len(context[-1])
+    every, suffixes = np.concatenate(context), np.concatenate(suffix)
+    at, number = distinct(every)
+    suffixes["context"] = number[suffixes["context"]]
+    return every[at], suffixes
+
+
 def common_lengths(prefix: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The order of (prefix, words) and, for each in that order, how many words it has in
     common with the one before (-1: not even the prefix)."""
+    prefix = np.ascontiguousarray(prefix)
     keys = np.ascontiguousarray(np.concatenate([prefix.view(np.uint8).reshape(-1, 8), np.ascontiguousarray(words).view(np.uint8).reshape(len(prefix), -1)], axis=1))
     order = np.argsort(keys.view(f"S{keys.shape[1]}").ravel(), kind="stable")
-    sorted_words, sorted_prefix = words[order], prefix[order]
-    differ = np.concatenate([sorted_words[1:] != sorted_words[:-1], np.ones((len(prefix) - 1, 1), bool)], axis=1)
+    del keys
     common = np.full(len(prefix), -1)
-    common[1:] = np.where(sorted_prefix[1:] == sorted_prefix[:-1], differ.argmax(axis=1), -1)
+    for i in range(1, len(prefix), HELD_ENTRIES):
+        before, here = order[i - 1 : i - 1 + HELD_ENTRIES], order[i : i + HELD_ENTRIES]
+        before = before[: len(here)]
+        differ = np.concatenate([words[here] != words[before], np.ones((len(here), 1), bool)], axis=1)
+        common[i : i + len(here)] = np.where(prefix[here] == prefix[before], differ.argmax(axis=1), -1)
     return order, common
 
 
 def agreeing(size: int, k: int):
-    """Of one block: for each text the first words of runs of ``size`` words, around its
-    suffixes, that another text has too, and of those that aren't the first such run (by the
-    text's least id, its name, and place)."""
+    """Of one block: for each text the first words (from, to) of runs of ``size`` words,
+    around its suffixes, that another text has too, and of those that aren't the first such
+    run (by the text's least id, its name, and place).
+
+    Contexts are sorted and compared, and what they have in common holds for all suffixes
+    that have them: of these only the texts with the least and the greatest name, and the
+    first, matter to others."""
     reach = size - k
     kind = context_type(reach)
 
     def run(block: pa.Table) -> pa.Table:
-        prefix, entry = unpack(block["payload"].to_pylist(), U64, kind)
-        names, starts, later = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
-        n = len(prefix)
+        context, suffix = received(block["payload"].to_pylist(), kind)
+        owners = np.lexsort((suffix["place"], suffix["name"], suffix["first"]))
+        suffix = suffix[owners]  # a suffix's number is its rank
+        by = np.argsort(suffix["context"], kind="stable")
+        edge = runs(suffix["context"][by])[:-1] if len(by) else np.zeros(0, np.int64)
+        low, high, first = (f.reduceat(x, edge) if len(by) else np.zeros(0, np.int64) for f, x in ((np.minimum, suffix["name"][by]), (np.maximum, suffix["name"][by]), (np.minimum, by)))
+        n = len(context)
+        shared, owner = np.zeros((n, reach + 1), bool), np.full((n, reach + 1), -1)
         if n:
-            rank = np.empty(n, np.int64)
-            rank[np.lexsort((entry["place"], entry["name"], entry["first"]))] = np.arange(n)
-            right, right_common = common_lengths(prefix, entry["right"])
-            left, left_common = common_lengths(prefix, entry["left"])
-            name, place = entry["name"], entry["place"].astype(np.int64)
+            right, right_common = common_lengths(context["prefix"], context["right"])
+            left, left_common = common_lengths(context["prefix"], context["left"])
             of_right, of_left = np.empty(n, np.int64), np.empty(n, np.int64)
-            for l in range(reach + 1):  # words to the left of the prefix
-                of_right[right] = np.cumsum(right_common < reach - l)
-                of_left[left] = np.cumsum(left_common < l)
-                some = np.flatnonzero((entry["n_left"] >= l) & (entry["n_right"] >= reach - l))
-                if len(some) < 2:
+            for more in range(reach + 1):  # words to the left of the prefix
+                of_right[right] = np.cumsum(right_common < reach - more)
+                of_left[left] = np.cumsum(left_common < more)
+                some = np.flatnonzero((context["n_left"] >= more) & (context["n_right"] >= reach - more))
+                if not len(some):
                     continue
                 group = of_left[some] * (n + 1) + of_right[some]
-                order = np.lexsort((rank[some], group))
-                some, group = some[order], group[order]
-                edge = runs(group)
-                low, high = np.minimum.reduceat(name[some], edge[:-1]), np.maximum.reduceat(name[some], edge[:-1])
-                keep = np.repeat(low != high, np.diff(edge))
-                first = np.zeros(len(some), bool)
-                first[edge[:-1]] = True
-                names.append(name[some[keep]])
-                starts.append(place[some[keep]] - l)
-                later.append(~first[keep])
-        name, at, again = (np.concatenate(x) for x in (names, starts, later))
-        order = np.lexsort((at, name))
-        name, at, again = name[order], at[order].astype(np.int32), again[order]
-        edge = runs(name) if len(name) else np.zeros(1, np.int64)
-        pairs = list(zip(edge[:-1], edge[1:]))
+                order = np.argsort(group, kind="stable")
+                some, at = some[order], runs(group[order])
+                size_of = np.diff(at)
+                shared[some, reach - more] = np.repeat(np.minimum.reduceat(low[some], at[:-1]) != np.maximum.reduceat(high[some], at[:-1]), size_of)
+                owner[some, reach - more] = np.repeat(np.minimum.reduceat(first[some], at[:-1]), size_of)
+        names, ats, laters = [], [], []
+        edge = runs(suffix["name"]) if len(suffix) else np.zeros(1, np.int64)
+        for a, b in zip(edge[:-1], edge[1:]):
+            at = suffix["context"][a:b]
+            if shared[at].any():
+                names.append(int(suffix["name"][a]))
+                ats.append(starts(shared[at], suffix["place"][a:b], reach))
+                laters.append(starts(shared[at] & (owner[at] != np.arange(a, b)[:, None]), suffix["place"][a:b], reach))
         release()
-        return pa.Table.from_pydict({"name": pa.array([int(name[a]) for a, _ in pairs], pa.int64()), "at": pa.array([at[a:b].tobytes() for a, b in pairs], pa.binary()), "later": pa.array([at[a:b][again[a:b]].tobytes() for a, b in pairs], pa.binary())})
+        return pa.Table.from_pydict({"name": pa.array(names, pa.int64()), "at": pa.array(ats, pa.binary()), "later": pa.array(laters, pa.binary())})
 
     return run
 
 
+def starts(flags: np.ndarray, place: np.ndarray, reach: int) -> bytes:
+    """Packed (from, to) of the first words that the rows' flags stand for: the last flag is
+    for a row's own place, those before for places before it."""
+    edge = np.diff(np.pad(flags, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+    row, begin = np.nonzero(edge == 1)
+    end = np.nonzero(edge == -1)[1] - 1
+    base = place[row].astype(np.int64) - reach
+    return np.stack([base + begin, base + end], axis=1).astype(np.int32).tobytes()
+
+
 SPANS = "array<struct<start:long,end:long>>"
 
 
 def merged(size: int):
-    """From lists of packed first words to spans of words."""
+    """From lists of packed first words (from, to) to spans of words."""
 
     @F.arrow_udf(SPANS)
     def spans(column: pa.Array) -> pa.Array:
         out = []
         for parts in column.to_pylist():
-            at = np.unique(np.frombuffer(b"".join(parts or []), np.int32)).astype(np.int64)
-            gap = np.flatnonzero(np.diff(at) > size)
-            begin, end = at[np.concatenate([[0], gap + 1])] if len(at) else [], at[np.concatenate([gap, [len(at) - 1]])] + size if len(at) else []
-            out.append([{"start": int(a), "end": int(b)} for a, b in zip(begin, end)])
+            at = np.frombuffer(b"".join(parts or []), np.int32).reshape(-1, 2).astype(np.int64)
+            at = at[np.argsort(at[:, 0], kind="stable")]
+            end = np.maximum.accumulate(at[:, 1]) + size
+            new = np.flatnonzero(np.concatenate([[True], at[1:, 0] > end[:-1]])) if len(at) else np.zeros(0, np.int64)
+            out.append([{"start": int(a), "end": int(b)} for a, b in zip(at[new, 0], end[np.append(new[1:], len(at)) - 1])] if len(at) else [])
         return pa.array(out, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
 
     return spans
