@@ -30,10 +30,14 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is named."""
+    """The folder that driver and executors share.  Only where all run in one process may it
+    be left unnamed; then it is a local one."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("name a folder that driver and executors share in spark.checkpoint.dir")
     if spark.conf.get("spark.quire.stage.dir", None) is None:
         import tempfile
 
@@ -41,17 +45,32 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.conf.get("spark.quire.stage.dir")
 
 
-def cut(df: DataFrame, name: str = "stage") -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: lineage ends there and each
-    row is computed once.  Lost executors don't matter to what is read later."""
+def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``df`` as a table of the shared folder, and its path."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quire-{name}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def cut(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Write ``df`` to the shared folder and read it again: lineage ends there and each
+    row is computed once.  Lost executors don't matter to what is read later."""
+    return written(df, name)[0]
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a table that nothing reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def default_parallelism(spark: SparkSession) -> int:
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), 1)
+def free_name(columns: list[str], name: str) -> str:
+    """``name``, with underscores until no column is called so in any case."""
+    had = {c.lower() for c in columns}
+    while name.lower() in had:
+        name = f"_{name}"
+    return name
 
 
 def release() -> None:
