@@ -9,7 +9,9 @@ the threshold are discarded; the overlap of the others is counted over their who
 
 Equal sets are one row.  A column that more than a few rows share is linked first through
 one of its rows, the hub.  Rows that these links don't join with their hub are then
-multiplied with all rows of their columns; pairs inside a component can't change it.
+multiplied with all rows of their columns; pairs inside a component can't change it.  A
+column whose bin is very frequent is dealt to pieces; they have one hub, and rows outside its
+component are multiplied with every piece.
 """
 
 from __future__ import annotations
@@ -22,8 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm import dense
-from quire.llm.blobs import pack, runs, unpack
-from quire.llm.common import ARROW_ROWS, chunks, cut, mix64, release, shingles, small_batches, text_bytes, word_hashes, word_spans
+from quire.llm.blobs import Seen, pack, runs, unpack
+from quire.llm.common import chunks, cut, mix64, release, remove, shingles, small_batches, text_bytes, word_hashes, word_spans, written
 
 NGRAM = 5
 #: 100 * overlap >= 75 * union.  With it: overlap >= 3/7 of the sum of sizes, at least 6/7 of
@@ -34,6 +36,10 @@ BINS = 1 << 19
 FEW = 8
 #: Sets that are compared with one other in one group.
 GROUP = 64
+#: Occurrences of a bin from which its columns are dealt to pieces, of about that many rows.
+HOT = 1 << 20
+#: Bytes of sets in one batch that goes to be compared.
+BATCH_BYTES = 4 << 20
 #: Entries in a block of columns.
 BLOCK_ENTRIES = 1_000_000
 #: A set's sketch: how many of its n-grams fall in each of some buckets, 255 for that many or
@@ -127,20 +133,22 @@ def index_length(size: np.ndarray) -> np.ndarray:
     return size - (6 * size + 6) // 7 + 1
 
 
-def entries(docs: DataFrame, counts: np.ndarray, n: int, parts: int) -> DataFrame:
+def entries(docs: DataFrame, shared, n: int, parts: int) -> DataFrame:
     """(block, payload): packed prefix entries of the incidence matrix, by blocks of columns."""
-    shared = docs.sparkSession.sparkContext.broadcast(np.minimum(counts, (1 << 24) - 1).astype(np.int32))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = shared.value.astype(np.int64)
-        seen: set[int] = set()
+        seen = Seen()
         held: list[tuple] = []
         waiting = 0
 
         def flush() -> pa.RecordBatch:
             cols, pos, node, size = (np.concatenate(x) for x in zip(*held))
             held.clear()
-            block = ((cols >> U64(21)) % U64(parts)).astype(np.int64)
+            pieces = -(-count[dense.bin_of(cols, BINS)] // HOT)
+            piece = (mix64(node) % np.maximum(pieces, 1).astype(U64)).astype(U64)
+            place = np.where(pieces > 1, mix64(cols >> U64(1) ^ mix64(piece + U64(1))), cols)
+            block = ((place >> U64(21)) % U64(parts)).astype(np.int64)
             order = np.argsort(block, kind="stable")
             cuts = np.searchsorted(block[order], np.arange(parts + 1))
             ids, payload = [], []
@@ -157,11 +165,7 @@ def entries(docs: DataFrame, counts: np.ndarray, n: int, parts: int) -> DataFram
             for i, j in chunks(off):
                 h, row = sets_of(raw[off[i] : off[j]], off[i : j + 1] - off[i], n, count)
                 size, name = signatures(h, row, j - i)
-                fresh = np.zeros(j - i, bool)
-                for k in np.flatnonzero(size):
-                    if (x := int(name[k])) not in seen:
-                        seen.add(x)
-                        fresh[k] = True
+                fresh = seen.new(name)
                 pos = np.arange(len(h)) - (np.cumsum(size) - size)[row]
                 take = fresh[row] & (pos < probe_length(size)[row])
                 h, row, pos = h[take], row[take], pos[take]
@@ -196,11 +200,11 @@ def possible(size_a, pos_a, size_b, pos_b) -> np.ndarray:
     return (4 * size_a.astype(np.int64) >= 3 * size_b) & (7 * rest.astype(np.int64) >= 3 * (size_a.astype(np.int64) + size_b))
 
 
-PACKED = "kind int, bucket int, payload binary"
-PAIRS, MEMBERS, COLUMNS = 0, 1, 2
+PACKED = "kind int, bucket int, col long, payload binary"
+PAIRS, MEMBERS, COLUMNS, PIECES, HEADS = 0, 1, 2, 3, 4
 
 
-def dealt(kind: int, a: np.ndarray, b: np.ndarray, buckets: int) -> list[tuple[int, int, bytes]]:
+def dealt(kind: int, a: np.ndarray, b: np.ndarray, buckets: int) -> list[tuple]:
     """Distinct pairs, packed by buckets of their hash."""
     if not len(a):
         return []
@@ -208,12 +212,12 @@ def dealt(kind: int, a: np.ndarray, b: np.ndarray, buckets: int) -> list[tuple[i
     bucket = (mix64(mix64(a.view(U64)) ^ b.view(U64)) % U64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    return [(kind, int(k), pack(a[order[cuts[k] : cuts[k + 1]]], b[order[cuts[k] : cuts[k + 1]]])) for k in np.flatnonzero(np.diff(cuts))]
+    return [(kind, int(k), None, pack(a[order[cuts[k] : cuts[k + 1]]], b[order[cuts[k] : cuts[k + 1]]])) for k in np.flatnonzero(np.diff(cuts))]
 
 
-def packed_table(rows: list[tuple[int, int, bytes]]) -> pa.Table:
-    kind, bucket, payload = zip(*rows) if rows else ((), (), ())
-    return pa.Table.from_pydict({"kind": pa.array(kind, pa.int32()), "bucket": pa.array(bucket, pa.int32()), "payload": pa.array(payload, pa.binary())})
+def packed_table(rows: list[tuple]) -> pa.Table:
+    kind, bucket, col, payload = zip(*rows) if rows else ((), (), (), ())
+    return pa.Table.from_pydict({"kind": pa.array(kind, pa.int32()), "bucket": pa.array(bucket, pa.int32()), "col": pa.array(col, pa.int64()), "payload": pa.array(payload, pa.binary())})
 
 
 def distinct_pairs(packed: DataFrame) -> DataFrame:
@@ -227,23 +231,31 @@ def distinct_pairs(packed: DataFrame) -> DataFrame:
     return packed.select("bucket", "payload").groupBy("bucket").applyInArrow(run, "a long, b long")
 
 
-def product(parts: int):
+def with_hub(v: np.ndarray, p: np.ndarray, s: np.ndarray, hub: tuple) -> np.ndarray:
+    """Of a column's rows those that its hub (row, place, size) may be similar to."""
+    row, pos, size = (np.array([x]) for x in hub)
+    small = (s < size) | ((s == size) & (v < row))
+    return np.where(small, possible(s, p, size, pos), possible(size, pos, s, p)) & (v != row)
+
+
+def product(parts: int, counts):
     """Of one block of columns: pairs to count, (row, hub) of the columns that more than FEW
-    rows share, and those columns themselves."""
+    rows share, and those columns themselves; of pieces of columns, them and a hub each."""
 
     def run(block: pa.Table) -> pa.Table:
         col, node, pos, size = unpacked(block["payload"].to_pylist())
         indexed = (col & U64(1)).astype(bool)
+        hot = counts.value[dense.bin_of(col, BINS)] > HOT
         col = col >> U64(1)
         order = np.lexsort((node, size, col))
-        col, node, pos, size, indexed = (x[order] for x in (col, node, pos, size, indexed))
+        col, node, pos, size, indexed, hot = (x[order] for x in (col, node, pos, size, indexed, hot))
         keep = np.ones(len(col), bool)
         keep[1:] = (col[1:] != col[:-1]) | (node[1:] != node[:-1])
-        col, node, pos, size, indexed = (x[keep] for x in (col, node, pos, size, indexed))
+        col, node, pos, size, indexed, hot = (x[keep] for x in (col, node, pos, size, indexed, hot))
         edge = runs(col)
         length = np.diff(edge)
         some = np.logical_or.reduceat(indexed, edge[:-1]) if len(col) else np.zeros(0, bool)
-        shared = np.repeat((length > 1) & some, length)
+        shared = np.repeat((length > 1) & some, length) & ~hot
         few = np.repeat(length <= FEW, length)
         c, v, p, s, x = (y[shared & few] for y in (col, node, pos, size, indexed))
         left, right = [np.zeros(0, U64)], [np.zeros(0, U64)]
@@ -254,52 +266,102 @@ def product(parts: int):
             ok[ok] = possible(s[:-d][ok], p[:-d][ok], s[d:][ok], p[d:][ok])
             left.append(v[:-d][ok])
             right.append(v[d:][ok])
-        c, v, p, s, x = (y[shared & ~few] for y in (col, node, pos, size, indexed))
-        members, hubs, chunks_ = [np.zeros(0, U64)], [np.zeros(0, U64)], []
-        if len(c):
-            edge = runs(c)
+        members, hubs, more = [np.zeros(0, U64)], [np.zeros(0, U64)], []
+        for chosen, split in ((shared & ~few, False), (hot, True)):
+            c, v, p, s, x = (y[chosen] for y in (col, node, pos, size, indexed))
+            edge = runs(c) if len(c) else np.zeros(1, np.int64)
             for i, j in zip(edge[:-1], edge[1:]):
                 # the fewer rarer n-grams before this column, the fewer of its own a row has: a good hub
                 hub = i + int(np.lexsort((v[i:j], s[i:j], p[i:j]))[0])
+                if split:
+                    at = int(c[i].view(np.int64))
+                    more += [(PIECES, 0, at, pack(c[i:j], v[i:j], p[i:j].astype(np.int32), s[i:j].astype(np.int32), x[i:j])), (HEADS, 0, at, pack(v[hub : hub + 1], p[hub : hub + 1].astype(np.int32), s[hub : hub + 1].astype(np.int32)))]
+                    continue
                 r = slice(i, j)
-                small = (s[r] < s[hub]) | ((s[r] == s[hub]) & (v[r] < v[hub]))
-                ok = np.where(small, possible(s[r], p[r], s[hub], p[hub]), possible(s[hub], p[hub], s[r], p[r])) & (v[r] != v[hub])
+                ok = with_hub(v[r], p[r], s[r], (v[hub], p[hub], s[hub]))
                 left.append(v[r][ok])
                 right.append(np.full(int(ok.sum()), v[hub]))
                 members.append(v[r])
                 hubs.append(np.full(j - i, v[hub]))
-            chunks_.append((COLUMNS, 0, pack(c, v, p.astype(np.int32), s.astype(np.int32), x)))
-        a, b = np.concatenate(left).view(np.int64), np.concatenate(right).view(np.int64)
+            if len(c) and not split:
+                more.append((COLUMNS, 0, None, pack(c, v, p.astype(np.int32), s.astype(np.int32), x)))
+        out = packed_table(pairs_of(left, right, parts) + dealt(MEMBERS, np.concatenate(members), np.concatenate(hubs), parts) + more)
         release()
-        return packed_table(dealt(PAIRS, np.minimum(a, b), np.maximum(a, b), parts) + dealt(MEMBERS, np.concatenate(members), np.concatenate(hubs), parts) + chunks_)
+        return out
 
     return run
 
 
-def stray_pairs(columns: DataFrame, strays: DataFrame, parts: int, bins: int = 1 << 21) -> DataFrame:
-    """Packed pairs of (at least) the rows in ``strays`` with all rows of their columns."""
-    bits = columns.sparkSession.sparkContext.broadcast(dense.bit_table(strays.select("node"), bins))
+def pairs_of(left: list[np.ndarray], right: list[np.ndarray], parts: int) -> list[tuple]:
+    a, b = np.concatenate(left).view(np.int64), np.concatenate(right).view(np.int64)
+    return dealt(PAIRS, np.minimum(a, b), np.maximum(a, b), parts)
+
+
+def head_of(column: pa.Table) -> pa.Table:
+    """The hub of a column in pieces: the best of its pieces' hubs."""
+    v, p, s = unpack(column["payload"].to_pylist(), U64, np.int32, np.int32)
+    k = int(np.lexsort((v, s, p))[0])
+    return pa.Table.from_pydict({"col": column["col"][:1], "hub": pa.array(v[k : k + 1].view(np.int64)), "pos": pa.array(p[k : k + 1]), "size": pa.array(s[k : k + 1])})
+
+
+def piece_links(made: DataFrame, parts: int) -> DataFrame:
+    """Packed pairs and (row, hub) of the columns in pieces."""
+    heads = made.where(F.col("kind") == HEADS).select("col", "payload").groupBy("col").applyInArrow(head_of, "col long, hub long, pos int, size int")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for payload in batch.column(0):
-                c, v, p, s, x = unpack([payload.as_py()], U64, U64, np.int32, np.int32, bool)
-                stray = dense.in_table(bits.value, v, bins)
+            for payload, *hub in zip(*(c.to_pylist() for c in batch.columns)):
+                _, v, p, s, _ = unpack([payload], U64, U64, np.int32, np.int32, bool)
+                row = np.array([hub[0]], np.int64).view(U64)
+                ok = with_hub(v, p, s, (row[0], hub[1], hub[2]))
+                out = pairs_of([v[ok]], [np.repeat(row, int(ok.sum()))], parts) + dealt(MEMBERS, v, np.repeat(row, len(v)), parts)
+                yield from packed_table(out).to_batches()
+
+    return made.where(F.col("kind") == PIECES).select("col", "payload").join(heads, "col").select("payload", "hub", "pos", "size").mapInArrow(run, PACKED)
+
+
+def multiplied(rows: tuple, strays: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of one column's stray rows with its other rows; each (row, place, size, indexed)."""
+    (v, p, s, x), left, right = rows, [np.zeros(0, U64)], [np.zeros(0, U64)]
+    for row, pos, size, own in zip(*strays):
+        smaller = (s < size) | ((s == size) & (v < row))
+        pos, size = np.array([pos]), np.array([size])
+        ok = np.where(smaller, x & possible(s, p, size, pos), own & possible(size, pos, s, p)) & (v != row)
+        left.append(np.full(int(ok.sum()), row))
+        right.append(v[ok])
+    return np.concatenate(left), np.concatenate(right)
+
+
+def stray_pairs(made: DataFrame, strays: DataFrame, parts: int, bins: int = 1 << 21) -> DataFrame:
+    """Packed pairs of (at least) the rows in ``strays`` with all rows of their columns, and
+    of their columns' other pieces."""
+    bits = made.sparkSession.sparkContext.broadcast(dense.bit_table(strays.select("node"), bins))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for payload, others in zip(*(c.to_pylist() for c in batch.columns)):
+                c, *rows = unpack([payload], U64, U64, np.int32, np.int32, bool)
                 edge = runs(c)
-                left, right = [np.zeros(0, U64)], [np.zeros(0, U64)]
-                for i, j in zip(edge[:-1], edge[1:]):  # smaller sets come first
-                    for k in np.flatnonzero(stray[i:j]) + i:
-                        lo, hi = np.arange(i, k), np.arange(k + 1, j)
-                        lo = lo[x[lo]]
-                        lo = lo[possible(s[lo], p[lo], s[k], p[k])]
-                        hi = hi[possible(s[k : k + 1], p[k : k + 1], s[hi], p[hi])] if x[k] else hi[:0]
-                        other = np.concatenate([lo, hi])
-                        left.append(np.full(len(other), v[k]))
-                        right.append(v[other])
-                a, b = np.concatenate(left).view(np.int64), np.concatenate(right).view(np.int64)
-                yield from packed_table(dealt(PAIRS, np.minimum(a, b), np.maximum(a, b), parts)).to_batches()
-
-    return columns.select("payload").mapInArrow(run, PACKED)
+                for i, j in zip(edge[:-1], edge[1:]):
+                    part = tuple(y[i:j] for y in rows)
+                    some = unpack([others], U64, np.int32, np.int32, bool) if others is not None else [y[dense.in_table(bits.value, part[0], bins)] for y in part]
+                    for k in range(0, len(some[0]), 1024):
+                        left, right = multiplied(part, tuple(y[k : k + 1024] for y in some))
+                        if len(left):
+                            yield from packed_table(pairs_of([left], [right], parts)).to_batches()
+
+    def only_strays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for col, payload in zip(*(c.to_pylist() for c in batch.columns)):
+                _, *rows = unpack([payload], U64, U64, np.int32, np.int32, bool)
+                stray = dense.in_table(bits.value, rows[0], bins)
+                if stray.any():
+                    yield pa.RecordBatch.from_pydict({"col": pa.array([col], pa.int64()), "others": pa.array([pack(*(y[stray] for y in rows))], pa.binary())})
+
+    whole = made.where(F.col("kind") == COLUMNS).select("payload", F.lit(None).cast("binary").alias("others"))
+    pieces = made.where(F.col("kind") == PIECES).select("col", "payload")
+    whole = whole.unionByName(pieces.join(pieces.mapInArrow(only_strays, "col long, others binary"), "col").select("payload", "others"))
+    return whole.mapInArrow(run, PACKED)
 
 
 def bounded(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -319,7 +381,7 @@ def routes(pairs: DataFrame) -> DataFrame:
     """(node, to): where the sets of the nodes go to be compared.  Each pair meets at the
     one of its nodes that has more pairs, its centre; what meets at one centre is dealt to
     groups of about GROUP sets, and the centre's own set goes to each of them.  to: centre,
-    group, and whether the node is the centre."""
+    group (of a centre, how many it has), and whether the node is the centre."""
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b"))
     degree = ends.groupBy("node").agg(F.count("*").alias("n"))
     p = pairs.join(degree.select(F.col("node").alias("a"), F.col("n").alias("na")), "a").join(degree.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b")
@@ -327,7 +389,7 @@ def routes(pairs: DataFrame) -> DataFrame:
     p = p.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("centre"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("node"), F.expr(f"(greatest(na, nb) + {GROUP - 1}) div {GROUP}").alias("groups"))
     p = p.withColumn("g", F.pmod(F.xxhash64("node"), F.col("groups")))
     to = lambda is_centre: F.struct("centre", "g", F.lit(is_centre).alias("is_centre")).alias("to")
-    centres = p.select("centre", "g").distinct().select(F.col("centre").alias("node"), to(True))
+    centres = p.groupBy("centre").agg(F.max("groups").alias("g")).select(F.col("centre").alias("node"), "centre", "g").select("node", to(True))
     return p.select("node", to(False)).unionByName(centres).groupBy("node").agg(F.collect_list("to").alias("to"))
 
 
@@ -349,11 +411,23 @@ def linked(pairs: DataFrame, nodes: DataFrame, base: DataFrame, n: int) -> DataF
                 h, row = sets_of(raw[off[i] : off[j]], off[i : j + 1] - off[i], n)
                 cuts = np.searchsorted(row, np.arange(j - i + 1))
                 own = signatures(h, row, j - i)[1].view(np.int64)
-                out = [(t["centre"], t["g"], t["is_centre"], names[k], h[a:b].tobytes()) for k, x, a, b in zip(range(i, j), own.tolist(), cuts[:-1], cuts[1:]) if x == names[k] for t in to[k]]
+                out, held = [], 0
+                for k in np.flatnonzero(own == np.array(names[i:j], np.int64)).tolist():
+                    grams = h[cuts[k] : cuts[k + 1]].tobytes()
+                    for t in to[i + k]:
+                        for g in range(t["g"]) if t["is_centre"] else (t["g"],):
+                            out.append((t["centre"], g, t["is_centre"], names[i + k], grams))
+                            held += len(grams)
+                            if held >= BATCH_BYTES:
+                                yield as_batch(out)
+                                out, held = [], 0
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary()))], names=["centre", "g", "is_centre", "node", "grams"])
+                    yield as_batch(out)
         release()
 
+    def as_batch(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary()))], names=["centre", "g", "is_centre", "node", "grams"])
+
     def compare(group: pa.Table) -> pa.Table:
         rows = list(zip(group["is_centre"].to_pylist(), group["node"].to_pylist(), group["grams"]))
         centre = next(np.frombuffer(x.as_buffer(), U64) for own, _, x in rows if own)
@@ -374,14 +448,17 @@ def linked(pairs: DataFrame, nodes: DataFrame, base: DataFrame, n: int) -> DataF
 def components(links: DataFrame) -> DataFrame:
     """(node, comp) of all nodes with links; comp is the least node.  Labels spread along
     links and jump to their label's label, each round written before the next."""
+    spark = links.sparkSession
     edges = cut(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = cut(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("comp")), "labels")
+    labels, path = written(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("comp")), "labels")
     while True:
         near = edges.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("comp").alias("near"))
         moved = labels.join(near, F.col("node") == F.col("a")).select("node", F.col("comp").alias("old"), F.least("comp", "near").alias("comp"))
         to = labels.select(F.col("node").alias("__n"), F.col("comp").alias("__c"))
         moved = moved.join(to, F.col("comp") == F.col("__n")).select("node", "old", F.least("comp", "__c").alias("comp"))
-        moved = cut(moved, "labels")
+        before = path
+        moved, path = written(moved, "labels")
+        remove(spark, before)
         labels = moved.select("node", "comp")
         if moved.where("old != comp").limit(1).count() == 0:
             return labels
@@ -403,16 +480,20 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n:
     counts = dense.total(found.where("block is not null").select("block", "at", "n"), BINS)
     total = rows.agg(F.sum(F.col("size") - F.expr("(3 * size + 3) div 4") + 1)).first()[0] or 0
     parts = max(1, -(-int(total) // BLOCK_ENTRIES))
-    blocks = entries(base.where("doc_id is not null").select("text"), counts, n, parts)
-    made = cut(blocks.groupBy("block").applyInArrow(product(parts), PACKED), "product")
-    pairs = cut(distinct_pairs(made.where(F.col("kind") == PAIRS)), "pairs")
-    members = cut(distinct_pairs(made.where(F.col("kind") == MEMBERS)), "members")
+    shared = spark.sparkContext.broadcast(np.minimum(counts, (1 << 24) - 1).astype(np.int32))
+    blocks = entries(base.where("doc_id is not null").select("text"), shared, n, parts)
+    made = cut(blocks.groupBy("block").applyInArrow(product(parts, shared), PACKED), "product")
+    linking = made
+    if made.where(F.col("kind") == HEADS).limit(1).count():
+        linking = made.unionByName(cut(piece_links(made, parts), "pieces"))
+    pairs = cut(distinct_pairs(linking.where(F.col("kind") == PAIRS)), "pairs")
+    members = cut(distinct_pairs(linking.where(F.col("kind") == MEMBERS)), "members")
     nodes = cut(rows.where("size > 0 and doc_id is not null").groupBy("node").agg(*[F.min(c).alias(c) for c in ("doc_id", "size", "sketch")]), "nodes")
     links = linked(pairs, nodes, base, n)
     labels = components(links)
     far = members.join(labels.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a", "left").join(labels.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b", "left")
     strays = cut(far.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select(F.col("a").alias("node")).distinct(), "strays")
-    rest = distinct_pairs(stray_pairs(made.where(F.col("kind") == COLUMNS), strays, parts))
+    rest = distinct_pairs(stray_pairs(made, strays, parts))
     rest = rest.join(labels.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a", "left").join(labels.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b", "left")
     rest = rest.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
     more = linked(rest, nodes, base, n)

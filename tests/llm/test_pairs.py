@@ -75,6 +75,24 @@ def test_ngram_join_of_an_id_with_several_texts(spark):
     assert sorted(map(tuple, got)) == sorted(want)
 
 
+def test_ngram_join_of_hot_columns(spark, monkeypatch):
+    """Columns of bins with over 6 occurrences are dealt to pieces, with one hub each."""
+    monkeypatch.setattr(ngramjoin, "HOT", 6)
+    docs = [(i, t) for i, t in near_docs(7) if i is not None]
+    got = {r.doc_id: r.component_id for r in ngramjoin.join(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    sets = {i: gram_set(t) for i, t in docs}
+    u = Union()
+    for i, s in sets.items():
+        for j, t in sets.items():
+            both = len(s & t)
+            if i < j and both and 100 * both >= 75 * (len(s) + len(t) - both):
+                u.join(i, j)
+    comp = defaultdict(list)
+    for i in sets:
+        comp[u.find(i)].append(i)
+    assert got == {i: min(comp[u.find(i)]) for i in sets}
+
+
 def test_ngram_join_of_nothing(spark):
     assert ngramjoin.join(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
