@@ -7,6 +7,7 @@ the logarithm of the length.  Digests are compared by a bounded difference score
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 from collections.abc import Iterator
 
@@ -67,7 +68,8 @@ def likeness(a: str, b: str) -> float:
 
 def fingerprint(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     """``docs`` with ``fingerprint``; a null text counts as empty.  Other columns stay (one
-    named ``fingerprint`` is replaced)."""
+    named ``fingerprint`` is replaced); repeated rows, whole texts and empty tables are taken
+    as they are."""
     small_batches(docs.sparkSession)
     return docs.withColumn("fingerprint", fingerprint_udf(F.col(text_col)))
 
@@ -80,32 +82,42 @@ def fingerprint_udf(text: Column) -> Column:
     return run(text)
 
 
-def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(part, lead, doc_id, text): documents by ranges of their ids, with ``lead`` true on
-    a copy of the first document of the range after (the first of all after the last).
+#: Ranges of documents for each shuffle partition, so that partitions are about even, and
+#: code points of a text that a range's key has.
+RANGES, START = 8, 64
+
 
-    Ranges are cut by a pass over ids alone; besides the documents only one document a
-    range is moved.  Equal ids: their order is that of their texts, nulls first.
+def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(part, lead, has_id, id, start, text): documents by ranges of their order, with ``lead``
+    true on a copy of the first document of the range after (the first of all after the
+    last).
+
+    The order is by id, nulls first, then by text.  Ranges are found by a pass over ids and
+    the beginnings of texts (START code points), so an id that many rows have is cut into
+    ranges as well; the driver gets the first key of each, RANGES for each shuffle partition.
+    Besides the documents only one document a range is moved.
     """
     spark = docs.sparkSession
-    base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ids = base.select("doc_id").where("doc_id is not null").repartitionByRange(parts, "doc_id")
-    firsts = sorted(r[0] for r in ids.groupBy(F.spark_partition_id().alias("p")).agg(F.min("doc_id").alias("m")).select("m").toLocalIterator())
-    has_null = len(base.where("doc_id is null").limit(1).collect()) > 0
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    base = docs.select(F.col(id_col).isNotNull().alias("has_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("id"), F.substring(text, 1, START).alias("start"), text.alias("text"))
+    key = F.struct("has_id", "id", "start")
+    ranged = base.select(key.alias("k")).repartitionByRange(RANGES * int(spark.conf.get("spark.sql.shuffle.partitions")), "k")
+    firsts = sorted(tuple(r["m"]) for r in ranged.groupBy(F.spark_partition_id().alias("p")).agg(F.min("k").alias("m")).collect())
+    firsts = [x for i, x in enumerate(firsts) if i == 0 or x != firsts[i - 1]]
+    shared = spark.sparkContext.broadcast(firsts)
+
+    @F.arrow_udf("int")
+    def part_of(has_id: pa.Array, number: pa.Array, start: pa.Array) -> pa.Array:
+        return pa.array([bisect.bisect_right(shared.value, x) - 1 for x in zip(has_id.to_pylist(), number.to_pylist(), start.to_pylist())], pa.int32())
+
+    own = base.select(part_of("has_id", "id", "start").alias("part"), F.lit(False).alias("lead"), "*")
     if not firsts:
-        return base.select(F.lit(0).alias("part"), F.lit(False).alias("lead"), "doc_id", "text").unionByName(base.select(F.lit(0).alias("part"), F.lit(True).alias("lead"), "doc_id", "text").orderBy("text").limit(1))
-    n = len(firsts)
-    part = F.coalesce(F.size(F.filter(F.array(*[F.lit(x) for x in firsts]), lambda x: x <= F.col("doc_id"))) - 1, F.lit(0))
-    part = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(part)
-    own = base.select(part.cast("int").alias("part"), F.lit(False).alias("lead"), "doc_id", "text")
-    heads = base.where("doc_id is null") if has_null else None
-    first = base.where(F.col("doc_id").isin(firsts)).select(((F.array_position(F.array(*[F.lit(x) for x in firsts]), F.col("doc_id")) + n - 2) % n).cast("int").alias("part"), F.lit(True).alias("lead"), "doc_id", "text")
-    if heads is not None:  # null ids come before all others
-        first = first.where(F.col("doc_id") != firsts[0]).unionByName(heads.select(F.lit(n - 1).alias("part"), F.lit(True).alias("lead"), "doc_id", "text"))
-    # of several documents with the first id, the one with the least text leads
-    first = first.groupBy("part", "lead").agg(F.min(F.struct("doc_id", "text")).alias("m")).select("part", "lead", "m.doc_id", "m.text")
-    return own.unionByName(first)
+        return own
+    # of several documents with a range's first key, that with the least text leads
+    heads = own.join(F.broadcast(spark.createDataFrame([(i, *x) for i, x in enumerate(firsts)], "before int, has_id boolean, id long, start string")), ["has_id", "id", "start"])
+    heads = heads.groupBy("before", "has_id", "id", "start").agg(F.min("text").alias("text"))
+    heads = heads.select(((F.col("before") + len(firsts) - 1) % len(firsts)).cast("int").alias("part"), F.lit(True).alias("lead"), "has_id", "id", "start", "text")
+    return own.unionByName(heads)
 
 
 EDITED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -119,7 +131,14 @@ def edited(text: str, following: str) -> str:
 def compare_edited(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of each text, of its edited text (its last half replaced by the first
     as many code points of the next text) and the likeness of the first to the edited one
-    and to the next document's."""
+    and to the next document's.
+
+    The next document is the next by id; null ids come first, and equal ids follow each
+    other in the order of their texts.  The last is followed by
+    the first, a single one by itself.  Null texts are empty; an empty text's edited text is
+    empty, and two empty texts are alike (1).  Whole texts count, however long.  Repeated
+    rows give a row each.  Other columns are ignored; an empty table gives an empty one.
+    """
     small_batches(docs.sparkSession)
     d = with_next(docs, id_col, text_col)
     parts = int(d.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -134,12 +153,12 @@ def compare_edited(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
         for batch in batches:
             out = []
-            for part, lead, doc, text in zip(*(c.to_pylist() for c in batch.columns)):
+            for part, lead, has_id, number, text in zip(*(c.to_pylist() for c in batch.columns)):
                 fp = digest(text)
                 if held is not None and held[0] == part:
                     out.append(row(held[2], held[3], text, fp, held[1]))
-                held = None if lead else (part, doc, text, fp)
+                held = None if lead else (part, number if has_id else None, text, fp)
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out) if out else [[]] * 7, (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()))], names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
 
-    ordered = d.repartition(parts, "part").sortWithinPartitions("part", "lead", F.col("doc_id").asc_nulls_first(), "text")
-    return ordered.mapInArrow(run, EDITED)
+    ordered = d.repartition(parts, "part").sortWithinPartitions("part", "lead", "has_id", "id", "text")
+    return ordered.select("part", "lead", "has_id", "id", "text").mapInArrow(run, EDITED)
