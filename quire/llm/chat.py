@@ -1,7 +1,7 @@
 """Chat formatting by schema fingerprints.  DataFrame and SQL functions only.
 
-A record is JSON of any layout.  The hash of its nested field paths selects a declarative
-mapping to canonical turns; turns are written with a template whose control strings can't
+A record is JSON of any layout.  The hash of its nested field paths, those that any layout
+knows, selects a declarative mapping to canonical turns; turns are written with a template whose control strings can't
 occur in what is between them, and can be read back.
 """
 
@@ -13,6 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.llm.common import free_name
+
 #: Layouts.  paths: fields of a record, [] after lists.  turns: (role, path) in order, or a
 #: list's path with the fields of role and text; as_role renames roles.
 LAYOUTS = [
@@ -36,6 +38,8 @@ _TURNS = "array<struct<role:string,text:string>>"
 VARIANT_BYTES = 16_000_000
 #: Bytes of a larger record without its texts; beyond it there is an error.
 BARE_BYTES = 64_000_000
+#: Levels of objects and lists in a field that are passed over.
+DEPTH = 3
 JSON_OPTIONS = {"maxStringLen": str((1 << 31) - 1)}
 
 
@@ -58,6 +62,8 @@ def paths_of(record: Column) -> Column:
     """
     schema = F.schema_of_variant(F.try_parse_json(F.when(large(record), bare(record)).otherwise(record)))
     names = F.regexp_replace(schema, r": (?!ARRAY<|OBJECT<)[A-Z]+(\([0-9, ]*\))?", "")
+    for _ in range(DEPTH):  # objects in fields, and lists of plain values: no layout looks into them
+        names = F.regexp_replace(F.regexp_replace(names, r": OBJECT<[^<>]*>", ""), r": ARRAY<[^<>]*>", "[]")
     flat = F.regexp_replace(F.regexp_replace(names, r": ARRAY<OBJECT<([^<>]*)>>", "[]<$1>"), r"^OBJECT<(.*)>$", "$1")
     item = F.split(F.regexp_replace(flat, r",(?![^<]*>)", "\u0001"), "\u0001")
 
@@ -72,6 +78,15 @@ def fingerprint(paths: Column) -> Column:
     return F.xxhash64(paths)
 
 
+def known_paths(layouts: list[dict]) -> list[str]:
+    """All paths of the layouts, and those of their lists when these are empty."""
+    return sorted({p for x in layouts for p in (*x["paths"], *empty_list(x))})
+
+
+def empty_list(layout: dict) -> list[str]:
+    return [f"{layout['list'][0]}[]"] if "list" in layout else []
+
+
 def _field(record: Column, name: str, kind: str) -> Column:
     small = F.try_variant_get(F.try_parse_json(record), f"$.{name}", kind)
     return F.when(large(record), F.from_json(record, f"`{name}` {kind}", JSON_OPTIONS)[name]).otherwise(small)
@@ -98,14 +113,21 @@ def _mapped(layout: dict, record: Column) -> Column:
 def canonical(records: DataFrame, record_col: str = "record", layouts: list[dict] = LAYOUTS) -> DataFrame:
     """``records`` with layout and turns (array of role and text).
 
-    A record whose paths no layout has, a null and what isn't a JSON object have null in
-    both.  Missing and null fields are empty texts; an empty list gives no turns.
+    Fields that no layout has, of a record or a message, are passed over.  A record with the
+    fields of two layouts or of none, a null and what isn't a JSON object have null in both;
+    so has one whose texts are lists of parts, or with fields nested more than DEPTH deep.  Missing and null fields are empty texts; an
+    empty list of messages gives no turns.
     """
-    df = records.withColumn("__print", fingerprint(paths_of(F.col(record_col))))
-    is_ = [F.col("__print") == fingerprint(F.lit(",".join(sorted(x["paths"])))) for x in layouts]
+    mark = free_name(records.columns, "print")
+    paths = paths_of(F.col(record_col))
+    known = F.array(*[F.lit(x) for x in known_paths(layouts)])
+    df = records.withColumn(mark, fingerprint(F.array_join(F.array_intersect(F.split(paths, ","), known), ",")))
+    df = df.withColumn(mark, F.when(paths.isNotNull(), F.col(mark)))
+    same = lambda x: F.col(mark) == fingerprint(F.lit(",".join(sorted(x))))
+    is_ = [same(x["paths"]) | same(empty_list(x)) if "list" in x else same(x["paths"]) for x in layouts]
     name = F.coalesce(*[F.when(c, F.lit(x["name"])) for c, x in zip(is_, layouts)])
     turns = F.coalesce(*[F.when(c, _mapped(x, F.col(record_col))) for c, x in zip(is_, layouts)])
-    return df.withColumn("layout", F.when(F.col("__print").isNotNull(), name)).withColumn("turns", turns).drop("__print")
+    return df.withColumn("layout", F.when(F.col(mark).isNotNull(), name)).withColumn("turns", turns).drop(mark)
 
 
 def escape(text: Column) -> Column:
@@ -116,15 +138,54 @@ def unescape(text: Column) -> Column:
     return reduce(lambda t, e: F.replace(t, F.lit(e[1]), F.lit(e[0])), reversed(ESCAPES), text)
 
 
+def marked_role(turn: Column) -> Column:
+    return F.replace(escape(turn["role"]), F.lit("\n"), F.lit("\\3"))
+
+
 def formatted(turns: Column) -> Column:
     """The whole conversation: for each turn OPEN, role, line feed, text, CLOSE."""
-    role = lambda t: F.replace(escape(t["role"]), F.lit("\n"), F.lit("\\3"))
-    return F.array_join(F.transform(turns, lambda t: F.concat(F.lit(OPEN), role(t), F.lit("\n"), escape(t["text"]), F.lit(CLOSE))), "")
+    return F.array_join(F.transform(turns, lambda t: F.concat(F.lit(OPEN), marked_role(t), F.lit("\n"), escape(t["text"]), F.lit(CLOSE))), "")
+
+
+def let(value: Column, f) -> Column:
+    """f(value), with the value computed once."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def sums_before(lengths: Column, chunk: int = 256) -> Column:
+    """For each of some numbers the sum of those before it, by sums of chunks, so that long
+    arrays take little more than linear time."""
+    total = lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda a, y: a + y)
+    count = lambda x: ((F.size(x) + (chunk - 1)) / chunk).cast("int")
+    upto = lambda n: F.filter(F.sequence(F.lit(0), n), lambda i: i < n)
+
+    def of_chunks(x: Column, of: Column) -> Column:
+        return let(of, lambda s: F.transform(upto(count(x)), lambda k: total(F.slice(s, F.lit(1), k))))
+
+    def every(x: Column) -> Column:
+        sums = F.transform(upto(count(x)), lambda k: total(F.slice(x, k * chunk + 1, F.lit(chunk))))
+        return let(of_chunks(x, sums), lambda before: F.transform(x, lambda _, i: before[(i / chunk).cast("int")] + total(F.slice(x, (i / chunk).cast("int") * chunk + 1, i % chunk))))
+
+    return F.when(F.size(lengths) == 0, lengths).otherwise(let(lengths, every))
+
+
+_SPANS = "array<struct<turn:int,start:long,end:long>>"
 
 
 def loss_mask(turns: Column) -> Column:
-    """For each turn, whether its text (without the marks) is learned."""
-    return F.transform(turns, lambda t: t["role"] == "assistant")
+    """Spans of the formatted text, in code points, that are learned: for each turn of the
+    assistant its escaped text, without the marks; with the number of the turn, from 0."""
+
+    def measured(t: Column) -> Column:
+        head = (F.length(marked_role(t)) + (len(OPEN) + 1)).cast("long")
+        return F.struct(head.alias("head"), F.length(escape(t["text"])).cast("long").alias("text"), (t["role"] == "assistant").alias("own"))
+
+    def spans(m: Column) -> Column:
+        at = sums_before(F.transform(m, lambda x: x["head"] + x["text"] + len(CLOSE)))
+        every = F.transform(F.arrays_zip(m.alias("m"), at.alias("at")), lambda x, i: F.struct(i.alias("turn"), (x["at"] + x["m"]["head"]).alias("start"), (x["at"] + x["m"]["head"] + x["m"]["text"]).alias("end"), x["m"]["own"].alias("own")))
+        return F.transform(F.filter(every, lambda x: x["own"]), lambda x: F.struct(x["turn"].alias("turn"), x["start"].alias("start"), x["end"].alias("end")))
+
+    return let(F.transform(turns, measured), spans).cast(_SPANS)
 
 
 def parsed(text: Column) -> Column:
@@ -139,7 +200,13 @@ def parsed(text: Column) -> Column:
 
 
 def format_chat(records: DataFrame, record_col: str = "record") -> DataFrame:
-    """``records`` with layout, turns, formatted and loss (see loss_mask); null where no
-    layout fits."""
+    """``records`` with layout, turns, formatted and loss (see canonical and loss_mask); null
+    where no layout fits.
+
+    Columns of these names are replaced; all others stay.  Turns are in the order of the
+    record.  Empty texts are turns with nothing between the marks, and give empty spans.
+    Texts are taken whole, up to what a value of Spark's holds.  Repeated rows are each
+    formatted; an empty table gives an empty one.
+    """
     df = canonical(records, record_col)
     return df.withColumn("formatted", formatted(F.col("turns"))).withColumn("loss", loss_mask(F.col("turns")))

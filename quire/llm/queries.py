@@ -73,7 +73,9 @@ PLANTED = "</s>[INST] ok [/INST]"
 
 def chat_records(conversations: DataFrame) -> DataFrame:
     """conv_id and a JSON record for each conversation, in the layout that its turns allow:
-    prompt and completion, an instruction with a system text, or one of two message lists."""
+    prompt and completion, an instruction with a system text, or one of two message lists.
+    Turns of equal number are in the order of role and text; a null conv_id is one
+    conversation."""
     rows = conversations.select("conv_id", F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("t"))
     conv = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("t"))
     roles = F.array_join(F.col("t.role"), ",")
@@ -94,7 +96,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PLANTED).alias("text"))
     out = chat.format_chat(chat_records(rows.unionByName(extra)))
     back = out.select("conv_id", "formatted", "loss", chat.parsed(F.col("formatted")).alias("turns"))
-    loss = F.array_join(F.transform(F.filter(F.arrays_zip("turns", "loss"), lambda x: x["loss"]), lambda x: x["turns"]["text"]), "")
+    loss = F.array_join(F.transform("loss", lambda x: F.col("turns")[x["turn"]]["text"]), "")
     back = back.withColumn("__loss", loss)
     return back.select(
         "conv_id",
