@@ -113,7 +113,12 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     source_targets().  ``pieces``: the same place, with slot, epoch, first (word of the
     document, from 0) and words: what the slot takes.  Null or empty texts have no words
     and no pieces; a null source is a source of its own; repeated rows are streamed one
-    after the other.  Nothing taken passes ``repeats`` times a document.
+    after the other, as are rows whose ids are equal or null.  Nothing taken passes
+    ``repeats`` times a document.  Long texts are cut into blocks, not dropped.  Other
+    columns are ignored.  An empty table gives three empty ones.
+
+    Targets are windows over all sources in one task: a row a source, so meant for up to some
+    million sources.  All that is about documents is dealt by source and slice.
     """
     sized = cut(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")), "sized")
     targets = cut(source_targets(sized, weights, repeats), "targets")

@@ -9,7 +9,6 @@ slots.  The shard of a record follows from its id and the number of shards alone
 from __future__ import annotations
 
 import math
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.llm.common import small_batches
+from quire.llm.common import free_name, small_batches
 
 BUCKET_BYTES = 32 << 20
 SEED = 11
@@ -41,7 +40,8 @@ def shard(docs: DataFrame, shards: int, *, id_col: str = "doc_id", text_col: str
     Null ids share one shard; null texts count 16 bytes.  Reruns give the same slots:
     buckets are put in the order of a hash of the whole row before they are shuffled, and
     rows equal in all columns are interchangeable.  Columns named ``shard`` or ``slot`` are
-    replaced.  An empty table gives an empty one.
+    replaced; all others stay, whatever their names.  Records are moved whole, however
+    long: a bucket has at least one.  An empty table gives an empty one.
     """
     if shards < 1:
         raise ValueError("shards must be at least 1")
@@ -49,32 +49,33 @@ def shard(docs: DataFrame, shards: int, *, id_col: str = "doc_id", text_col: str
     small_batches(spark)
     docs = docs.drop("shard", "slot")
     names = docs.columns
+    order, size, bucket = (free_name([*names, "shard", "slot"], x) for x in ("order", "size", "bucket"))
     keyed = docs.select(
         *[F.col(f"`{c}`") for c in names],
-        shard_of(F.col(id_col), shards, seed).alias("shard"),
-        F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in names if not isinstance(docs.schema[c].dataType, (T.MapType, T.VariantType))]).alias("__order"),
-        record_bytes(F.col(text_col)).alias("__bytes"),
+        shard_of(F.col(f"`{id_col}`"), shards, seed).alias("shard"),
+        F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in names if not isinstance(docs.schema[c].dataType, (T.MapType, T.VariantType))]).alias(order),
+        record_bytes(F.col(f"`{text_col}`")).alias(size),
     )
-    total = keyed.agg(F.sum("__bytes")).first()[0] or 0
+    total = keyed.agg(F.sum(f"`{size}`")).first()[0] or 0
     bits = max(0, math.ceil(math.log2(max(1.0, total / shards / bucket_bytes))))
     k = 1 << bits
-    keyed = keyed.withColumn("__bucket", (F.col("shard") * k + F.pmod(F.shiftright("__order", 7), F.lit(k))).cast("long"))
+    keyed = keyed.withColumn(bucket, (F.col("shard") * k + F.pmod(F.shiftright(order, 7), F.lit(k))).cast("long")).drop(size)
     counts = np.zeros(shards * k, np.int64)  # 8 bytes for each bucket of about bucket_bytes
-    for r in keyed.groupBy("__bucket").count().toLocalIterator():
+    for r in keyed.groupBy(bucket).count().toLocalIterator():
         counts[r[0]] = r[1]
     offsets = (np.cumsum(counts.reshape(shards, k), axis=1) - counts.reshape(shards, k)).ravel()
     shared = spark.sparkContext.broadcast(offsets)
     out = T.StructType([*docs.schema.fields, T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType())])
 
-    def pass_two(bucket: pa.Table) -> pa.Table:
-        number = bucket["__bucket"][0].as_py()
-        bucket = bucket.sort_by([("__order", "ascending")])
-        turn = np.arange(bucket.num_rows)
+    def pass_two(part: pa.Table) -> pa.Table:
+        number = part[bucket][0].as_py()
+        part = part.sort_by([(order, "ascending")])
+        turn = np.arange(part.num_rows)
         np.random.Generator(np.random.PCG64([seed, number])).shuffle(turn)
-        bucket = bucket.take(pa.array(turn)).drop_columns(["__order", "__bytes", "__bucket"])
-        return bucket.append_column("slot", pa.array(shared.value[number] + np.arange(len(turn)), pa.int64()))
+        part = part.take(pa.array(turn)).drop_columns([order, bucket])
+        return part.append_column("slot", pa.array(shared.value[number] + np.arange(len(turn)), pa.int64()))
 
-    return keyed.groupBy("__bucket").applyInArrow(pass_two, out)
+    return keyed.groupBy(bucket).applyInArrow(pass_two, out)
 
 
 def write_shards(sharded: DataFrame, path: str, fmt: str = "parquet") -> None:

@@ -163,3 +163,32 @@ def test_pipeline_runs(spark):
     assert {"shard", "slot"} <= set(out.columns) and out.count() > 50
     assert out.groupBy("shard").agg((F.max("slot") + 1 - F.count("*")).alias("x")).where("x <> 0").count() == 0
     assert np.isfinite(out.count())
+
+
+def test_clashing_names_and_empty_tables(spark):
+    names = ["doc_id", "text", "source", "shard", "slot", "order", "_order", "bucket", "size", "may", "one", "n", "copies", "rank", "again", "language", "hits"]
+    kinds = "doc_id long, text string, source string, " + ", ".join(f"`{n}` int" for n in names[3:])
+    rows = [(i, f"some text of the number {i} and more", "ab"[i % 2], *range(len(names) - 3)) for i in range(30)]
+    df = spark.createDataFrame([*rows, rows[3], rows[3]], kinds)
+    out = sharding.shard(df, 4)
+    assert set(out.columns) == set(names) and out.count() == 32
+    mixed = corpus_pipeline.source_mix(spark, df, SF)
+    assert mixed.columns == names and mixed.count() > 0
+    kept = corpus_pipeline.near_duplicates(spark, df, SF)
+    assert kept.columns == names and kept.count() == 32  # rows of one id stay together
+    for stage in (corpus_pipeline.language, corpus_pipeline.near_duplicates, corpus_pipeline.decontamination, corpus_pipeline.source_mix, corpus_pipeline.shards):
+        empty = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
+        assert stage(spark, empty, SF).collect() == []
+
+
+def test_mix_stage_shares_copies_among_equal_rows(spark):
+    """As many rows as the mix takes first words, also of rows that are equal."""
+    rows = [(i // 3, "w " * (20 + i // 3 % 5), f"s{i // 3 % 3}") for i in range(120)] + [(5, "w " * 33, "s2"), (None, "w " * 9, "s1"), (7, "", "s0")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = Counter(map(tuple, corpus_pipeline.source_mix(spark, df, SF).collect()))
+    keyed = df.withColumn("row", F.struct(F.col("doc_id").alias("id"), F.col("source").alias("source"), F.xxhash64("text").alias("h")))
+    taken = defaultdict(int)
+    for r in mixing.taken(*mixing.mix(keyed, id_col="row")).where("size > 0").collect():
+        taken[(r.id.id, r.source, r.size)] += r.copies
+    want = {(i, t, s): taken[(i, s, n_words(t))] if t else 1 for i, t, s in rows}
+    assert got == Counter({k: v for k, v in want.items() if v})

@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import math
 import random
 import zlib
 
@@ -99,6 +100,42 @@ def test_next_document(spark, ids):
     assert got == sorted(want, key=str)
 
 
+def plain_digest(text):
+    """The digest, triplet by triplet."""
+    raw, counts, m = text.encode(), [0] * 256, 0xFFFFFFFF
+    for (a, b, c), salt in zip(((0, 1, 2), (0, 1, 3), (0, 2, 3)), (0x165667B1, 0x27D4EB2F, 0x2545F491)):
+        for i in range(len(raw) - c):
+            h = (raw[i + a] + salt) * 0x9E3779B1 & m
+            h ^= (raw[i + b] * 0x85EBCA77 & m) ^ (h >> 15)
+            h = (h + raw[i + c] * 0xC2B2AE3D) & m
+            h = (h ^ (h >> 13)) * 0x9E3779B1 & m
+            counts[h >> 24] += 1
+    marks = sorted(counts)
+    quartiles = [sum(n > marks[64 * k - 1] for k in (1, 2, 3)) for n in counts]
+    bits = "".join(f"{q:02b}" for q in quartiles)
+    return f"{min(255, round(8 * math.log2(1 + len(raw)))):02x}{int(bits, 2):0128x}", quartiles
+
+
+def test_digest_against_a_plain_one():
+    r = random.Random(12)
+    texts = ["", "abc", "abcd", "ä" * 40] + ["".join(r.choice("abcdé fg.") for _ in range(n)) for n in (5, 60, 900, 4000)]
+    for t in texts:
+        assert digest.digest(t) == plain_digest(t)[0]
+        for u in texts:
+            steps = sum((0, 1, 2, 4)[abs(x - y)] for x, y in zip(plain_digest(t)[1], plain_digest(u)[1]))
+            length = abs(int(digest.digest(t)[:2], 16) - int(digest.digest(u)[:2], 16))
+            assert digest.likeness(digest.digest(t), digest.digest(u)) == pytest.approx(1 - (min(32, length) + steps) / (32 + 4 * 256))
+
+
+def test_next_document_of_one_id(spark):
+    """One id for most rows is cut into ranges, in the order of texts."""
+    docs = [(7 if i % 10 else i, f"{i * 7919 % 1000:04d} text") for i in range(300)]
+    got = sorted((x.doc_id, x.edited_sha256) for x in digest.compare_edited(spark.createDataFrame(docs, "doc_id long, text string").repartition(5)).collect())
+    order = sorted(docs)
+    want = [(i, hashlib.sha256((t[:-4] + order[(k + 1) % len(order)][1][:4]).encode()).hexdigest()) for k, (i, t) in enumerate(order)]
+    assert got == sorted(want)
+
+
 def test_next_document_of_nothing(spark):
     assert digest.compare_edited(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
@@ -312,6 +349,34 @@ def test_chat_layouts(spark):
     assert chat.format_chat(spark.createDataFrame([], "record string")).collect() == []
 
 
+def test_chat_of_more_fields_and_empty_lists(spark):
+    records = [
+        ('{"id": 4, "messages": [{"role": "user", "content": "a", "weight": 1}, {"role": "assistant", "content": "[b] <c>", "tag": {"x": 1}}], "meta": {"y": [1]}}', [("user", "a"), ("assistant", "[b] <c>")]),
+        ('{"messages": []}', []),
+        ('{"messages": [], "id": 3}', []),
+        ('{"conversations": [{"from": "human", "value": "q"}, {"from": "gpt", "value": ""}, {"from": "gpt", "value": "z\\\\"}]}', [("user", "q"), ("assistant", ""), ("assistant", "z\\")]),
+        ('{"prompt": "a", "completion": "b", "messages": []}', None),
+        ('{"id": 1}', None),
+    ]
+    df = spark.createDataFrame([(i, r, "x", 1) for i, (r, _) in enumerate(records)], "id int, record string, print string, loss int")
+    for r in chat.format_chat(df).collect():
+        want = records[r.id][1]
+        assert (r.turns if r.turns is None else [tuple(t) for t in r.turns]) == want and r["print"] == "x"
+        if want is None:
+            assert r.loss is None and r.formatted is None
+            continue
+        own = [(i, t) for i, (role, t) in enumerate(want) if role == "assistant"]
+        assert [(s.turn, r.formatted[s.start : s.end].replace("\\2", "[").replace("\\1", "<").replace("\\0", "\\")) for s in r.loss] == own
+    assert chat.format_chat(df.limit(0)).collect() == []
+
+
+def test_chat_mask_of_many_turns(spark):
+    """Over several chunks of sums."""
+    turns = [{"role": ("user", "assistant")[i % 2], "content": "x<" * (i % 7)} for i in range(1100)]
+    r = chat.format_chat(spark.createDataFrame([(json.dumps({"messages": turns}),)], "record string")).first()
+    assert [r.formatted[s.start : s.end] for s in r.loss] == [t["content"].replace("<", "\\1") for t in turns if t["role"] == "assistant"]
+
+
 def test_chat_of_long_texts(spark):
     long = F.concat(F.lit('\\\\\\" é<'), F.repeat(F.lit("x, : {y} "), 2_400_000), F.lit('\\"\\\\'))  # JSON's escapes
     q = F.lit('"')
@@ -328,8 +393,8 @@ def test_chat_of_long_texts(spark):
     got = {r.id: r for r in out.select("id", "layout", "loss", F.transform("turns", lambda t: F.struct(t["role"], F.length(t["text"]), F.substring(t["text"], 1, 3))).alias("t"), F.length("formatted").alias("n")).collect()}
     n = 2_400_000 * 9 + 7
     assert [(tuple(x) for x in got[i].t) and [tuple(x) for x in got[i].t] for i in (0, 1)] == [[("user", 1, "5"), ("assistant", n, '\\" ')], [("user", 0, ""), ("assistant", n, '\\" ')]]
-    assert [got[i].layout for i in range(5)] == ["completion", "messages", None, None, None]
-    assert got[0].n > n and got[0].loss == [False, True] and got[2].n is None
+    assert [got[i].layout for i in range(5)] == ["completion", "messages", "completion", None, None]
+    assert got[0].n > n and [(x.turn, x.end - x.start > n) for x in got[0].loss] == [(1, True)] and got[2].n > n and got[3].n is None
 
 
 def test_chat_query_covers_odd_rows(spark, tmp_path):
