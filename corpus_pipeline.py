@@ -2,15 +2,18 @@
 
 Every stage takes (spark, docs, sf_dir) and returns the columns of documents; the last adds
 its own.  run() writes each stage's result to the shared folder and reads it again.
+Documents may have other columns, whatever their names.  An empty table goes through all
+stages.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quire.llm import decontam, dense, langid, mixing, ngramjoin, sharding
-from quire.llm.common import cut, table
+from quire.llm.common import cut, free_name, table
 
 SHARDS = 40
 
@@ -29,9 +32,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     joined = cut(ngramjoin.join(docs.select("doc_id", "text")), "components")
     gone = joined.where("doc_id != component_id").select("doc_id").distinct()
     may = dense.id_filter(gone, "doc_id")
-    marked = docs.withColumn("__may", F.coalesce(may(F.col("doc_id")), F.lit(False)) & F.col("doc_id").isNotNull())
-    clear = marked.where(~F.col("__may")).drop("__may")
-    return clear.unionByName(marked.where("__may").drop("__may").join(gone, "doc_id", "left_anti").select(*docs.columns))
+    mark = free_name(docs.columns, "may")
+    marked = docs.withColumn(mark, F.coalesce(may(F.col("doc_id")), F.lit(False)) & F.col("doc_id").isNotNull())
+    clear = marked.where(~F.col(mark)).drop(mark)
+    return clear.unionByName(marked.where(F.col(mark)).drop(mark).join(gone, "doc_id", "left_anti").select(*docs.columns))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,11 +45,21 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes their first word (not at all, up to three times).
-    Rows without an id or without words stay once."""
-    counted = mixing.taken(*mixing.mix(docs)).where("id is not null and size > 0")
-    counted = counted.groupBy("id").agg(F.max("copies").alias("__copies")).withColumnRenamed("id", "__id")
-    out = docs.join(counted, F.col("doc_id") == F.col("__id"), "left").withColumn("__copies", F.coalesce("__copies", F.lit(1)))
-    return out.where("__copies > 0").withColumn("__n", F.explode(F.expr("sequence(1, __copies)"))).select(*docs.columns)
+    Rows without words stay once.  Rows are known by id, source and a hash of the text; of
+    rows that are equal in these, each gets its share of what they are taken in all."""
+    one, n, copies, rank, again = (free_name(docs.columns, x) for x in ("one", "n", "copies", "rank", "again"))
+    row = F.struct(F.col("doc_id").alias("id"), F.col("source").alias("source"), F.xxhash64("text").alias("h"))
+    keyed = docs.withColumn(one, row)
+    counted = mixing.taken(*mixing.mix(keyed.select(F.col(one).alias("row"), "text", "source"), id_col="row"))
+    counted = counted.where("size > 0").groupBy("id").agg(F.count("*").alias(n), F.sum("copies").alias(copies)).withColumnRenamed("id", again)
+    # keys are made null-safe by their text form
+    text_of = lambda c: F.to_json(F.col(c), {"ignoreNullFields": "false"})
+    out = keyed.withColumn(one, text_of(one)).join(counted.withColumn(again, text_of(again)), F.col(one) == F.col(again), "left")
+    single = out.where(F.coalesce(F.col(n), F.lit(1)) == 1).withColumn(copies, F.coalesce(F.col(copies), F.lit(1)))
+    repeated = out.where(F.col(n) > 1).withColumn(rank, F.row_number().over(Window.partitionBy(one).orderBy(one)))
+    repeated = repeated.withColumn(copies, F.expr(f"{copies} div {n} + if({rank} <= {copies} % {n}, 1, 0)")).drop(rank)
+    every = single.unionByName(repeated).where(F.col(copies) > 0)
+    return every.withColumn(again, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies)))).select(*docs.columns)
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
