@@ -12,8 +12,7 @@ SECTION = rf"^\s*第\s*{CN_OR_AR}\s*节\s+\S"
 DOTTED = r"^\s*(\d+)\.(\d+)(\.\d+)?\s+\S"
 LISTED = rf"^\s*{CN_NUM}、\S"
 BRACKETED = rf"^\s*[（(]\s*{CN_OR_AR}\s*[）)]\s*\S"
-BOARDS = ["思考与练习", "习题", "上机训练题", "内容提要", "本章内容提要", "参考答案", "知识拓展", "知识链接", "SPSS软件应用提要", "附录", "索引", "参考文献", "目录", r"目\s*录"]
-BOARD = rf"^\s*({'|'.join(BOARDS)})\s*[一二三四五六七八九十\d]*\s*$"
+BOARD = r"^\s*(思考与练习|习题|上机训练题|内容提要|本章内容提要|参考答案|知识拓展|知识链接|SPSS软件应用提要|附录|索引|参考文献|目录|目\s*录)\s*[一二三四五六七八九十\d]*\s*$"
 HASHES = r"^#{1,6}\s*"
 
 # Tables of contents.

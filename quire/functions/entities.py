@@ -7,7 +7,9 @@ import html
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
+
+from quire.functions.text import Decoding
 
 
 @F.arrow_udf(StringType())
@@ -19,3 +21,20 @@ def unescape(text: Column) -> Column:
     """Texts without an ampersand don't go to Python's decoder in vain, but they do travel;
     use text.unescape_basic where the set of references is known."""
     return _unescape(text)
+
+
+def decoded(x):
+    return None if x is None else html.unescape(x) if isinstance(x, str) else [decoded(y) for y in x]
+
+
+@F.arrow_udf(ArrayType(StringType()))
+def unescape_list(column: pa.Array) -> pa.Array:
+    return pa.array(decoded(column.to_pylist()), pa.list_(pa.string()))
+
+
+@F.arrow_udf(ArrayType(ArrayType(StringType())))
+def unescape_lists(column: pa.Array) -> pa.Array:
+    return pa.array(decoded(column.to_pylist()), pa.list_(pa.list_(pa.string())))
+
+
+ALL = Decoding(unescape, unescape_list, unescape_lists)

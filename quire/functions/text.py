@@ -5,7 +5,9 @@ Patterns get the flags (?dU): Unicode classes for \\s and \\d, and only \\n ends
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -187,16 +189,17 @@ def escape_pipes(text: Column) -> Column:
     return F.array_join(F.transform(parts, lambda x: F.when(inside(x), F.replace(x, F.lit("|"), F.lit("\\vert "))).otherwise(F.replace(x, F.lit("|"), F.lit("\\|")))), "")
 
 
-def table_md(html: Column, unescape=None) -> Column:
+def table_md(html: Column, decoding=None) -> Column:
     """An HTML table as Markdown rows between empty lines; the ruler has as many columns as
-    the first row has pipes, less one."""
-    decode = unescape or unescape_basic
-    latex = F.array_join(
-        F.transform(F.regexp_extract_all(html, F.lit(r"(?s)<eq>.*?</eq>|(?:(?!<eq>.*?</eq>).)+"), F.lit(0)), lambda x: F.when(x.startswith("<eq>"), F.concat(F.lit("$"), decode(F.regexp_extract(x, r"(?s)^<eq>(.*)</eq>$", 1)), F.lit("$"))).otherwise(x)),
-        "",
-    )
-    cell = lambda c: escape_pipes(normalize_math(html_images(sub(decode(F.replace(strip(c), F.lit("\n"), F.lit(" "))), r"\$\s{2,}\$", r"\$ \$"))))
-    rows = F.filter(F.transform(table_rows(latex), row_cells), lambda r: F.size(r) > 0)
+    the first row has pipes, less one.  decoding: a Decoding; BASIC if there is none."""
+    decode = decoding or BASIC
+    parts = F.regexp_extract_all(html, F.lit(r"(?s)<eq>.*?</eq>|(?:(?!<eq>.*?</eq>).)+"), F.lit(0))
+    inner = decode.list(F.transform(parts, lambda x: F.regexp_extract(x, r"(?s)^<eq>(.*)</eq>$", 1)))
+    formula = lambda x: F.when(x["part"].startswith("<eq>"), F.concat(F.lit("$"), x["inner"], F.lit("$"))).otherwise(x["part"])
+    latex = F.array_join(F.transform(F.arrays_zip(parts.alias("part"), inner.alias("inner")), formula), "")
+    cell = lambda c: escape_pipes(normalize_math(html_images(sub(c, r"\$\s{2,}\$", r"\$ \$"))))
+    flat = lambda r: F.transform(row_cells(r), lambda c: F.replace(strip(c), F.lit("\n"), F.lit(" ")))
+    rows = decode.lists(F.filter(F.transform(table_rows(latex), flat), lambda r: F.size(r) > 0))
     lines = F.transform(rows, lambda r: F.concat(F.lit("| "), F.array_join(F.transform(r, cell), " | "), F.lit(" |")))
     n = F.regexp_count(lines[0], F.lit(r"\|")) - 1
     ruler = F.concat(F.lit("| "), F.array_join(F.array_repeat(F.lit("---"), n), " | "), F.lit(" |"))
@@ -220,6 +223,17 @@ def unescape_basic(text: Column) -> Column:
     return reduce(lambda t, e: F.replace(t, F.lit(e[0]), F.lit(e[1])), ENTITIES, text)
 
 
+class Decoding(NamedTuple):
+    """How character references are decoded: in a text, a list of texts, a list of lists."""
+
+    text: Callable[[Column], Column]
+    list: Callable[[Column], Column]
+    lists: Callable[[Column], Column]
+
+
+BASIC = Decoding(unescape_basic, lambda c: F.transform(c, unescape_basic), lambda c: F.transform(c, lambda r: F.transform(r, unescape_basic)))
+
+
 def clean_markdown(text: Column, unescape=None) -> Column:
     decode = unescape or unescape_basic
     t = decode(decode(F.coalesce(text, F.lit(""))))

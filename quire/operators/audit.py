@@ -9,6 +9,10 @@ from pyspark.sql.window import Window
 from quire.functions import text as T
 
 
+#: Characters that a folder's name has at most.
+LONGEST_NAME = 255
+
+
 def orphan_dirs(disk: DataFrame, catalog: DataFrame) -> DataFrame:
     """Folders (kind, name) whose b<id> prefix no catalogue entry (name) has."""
     known = catalog.select(T.dir_prefix(F.col("name")).alias("__p")).where("__p is not null").distinct()
@@ -37,13 +41,19 @@ def verify_golden(current: DataFrame, golden: DataFrame) -> DataFrame:
     return joined.select("name", verdict.alias("verdict"))
 
 
-def match_vault(vault: DataFrame, structures: DataFrame, blocks: int = 1) -> DataFrame:
-    """For each vault folder (dir) the first structure folder (name) that contains the
-    folder's title: structure folders are b<id>_<title>, so equal titles are joined."""
-    s = structures.select("name", F.regexp_replace("name", r"^b\d+_", "").alias("__t"))
-    w = Window.partitionBy("dir").orderBy("name")
-    hits = vault.join(s, F.col("dir") == F.col("__t"))
-    return hits.withColumn("__k", F.row_number().over(w)).where("__k = 1").select("dir", "name")
+def match_vault(vault: DataFrame, structures: DataFrame) -> DataFrame:
+    """For each vault folder (dir) the first structure folder (name), by name, whose title is
+    a part of the folder's name.  The title is what follows the first underscore, or all.
+
+    Parts of a folder's name as long as some title are looked up among the titles, so the
+    join is one of equal keys; folder names have at most 255 characters."""
+    title = F.when(F.contains("name", F.lit("_")), F.regexp_replace("name", "^[^_]*_", "")).otherwise(F.col("name"))
+    s = structures.select("name", title.alias("__t")).where("__t <> ''").groupBy("__t").agg(F.min("name").alias("name"))
+    sizes = [r[0] for r in s.select(F.length("__t").alias("n")).distinct().where(f"n <= {LONGEST_NAME}").collect()]
+    if not sizes:
+        return vault.select("dir", F.lit(None).cast("string").alias("name")).limit(0)
+    parts = F.array_distinct(F.flatten(F.transform(F.array(*[F.lit(n) for n in sizes]), lambda n: F.transform(F.filter(F.sequence(F.lit(1), F.greatest(F.length("dir") - n + 1, F.lit(1))), lambda i: i + n - 1 <= F.length("dir")), lambda i: F.substr("dir", i, n)))))
+    return vault.select("dir", F.explode(parts).alias("__t")).join(s, "__t").groupBy("dir").agg(F.min("name").alias("name"))
 
 
 def incomplete_batches(content: DataFrame, files: DataFrame) -> DataFrame:
@@ -55,6 +65,26 @@ def incomplete_batches(content: DataFrame, files: DataFrame) -> DataFrame:
 
 def newest(df: DataFrame, keep: int, *order) -> DataFrame:
     """All but the ``keep`` first rows in an order, as what a retention rule deletes.  The
-    rows kept are found by a top-k, the rest by an anti-join."""
-    kept = df.orderBy(*order).limit(keep)
-    return df.join(kept, df.columns, "left_anti")
+    rows kept are found by a top-k, the rest by a null-safe anti-join; of rows equal in all
+    columns either all stay or all go."""
+    kept = df.orderBy(*order).limit(keep).select(F.struct(*df.columns).alias("__kept")).distinct()
+    return df.join(kept, F.struct(*df.columns).eqNullSafe(F.col("__kept")), "left_anti")
+
+
+def cleanup_plan(disk: DataFrame, catalog: DataFrame, files: DataFrame, refs: DataFrame) -> DataFrame:
+    """(action, kind, name, bytes): what a clean-up would do, in one relation: folders and
+    images without use to delete, and folders that are missing.  Nothing is deleted."""
+    none = F.lit(None).cast("long").alias("bytes")
+    dirs = orphan_dirs(disk, catalog).select(F.lit("delete_dir").alias("action"), "kind", "name", none)
+    gone = missing_dirs(disk, catalog).select(F.lit("missing_dir").alias("action"), "kind", "name", none)
+    images = orphan_images(files, refs).select(F.lit("delete_image").alias("action"), F.lit("md").alias("kind"), F.concat(F.lit("b"), F.col("book_id").cast("string"), F.lit("/"), "rel").alias("name"), "bytes")
+    return dirs.unionByName(gone).unionByName(images)
+
+
+def upload_plan(refs: DataFrame, files: DataFrame, stored: DataFrame) -> DataFrame:
+    """(book_id, rel, action) of images referred to: failed if there is no file, skip if the
+    store has the key, else upload."""
+    there = files.select("book_id", "rel").distinct().withColumn("__there", F.lit(True))
+    had = stored.select("book_id", "rel").distinct().withColumn("__stored", F.lit(True))
+    j = refs.select("book_id", "rel").distinct().join(there, ["book_id", "rel"], "left").join(had, ["book_id", "rel"], "left")
+    return j.select("book_id", "rel", F.when(F.col("__there").isNull(), "failed").when(F.col("__stored"), "skip").otherwise("upload").alias("action"))

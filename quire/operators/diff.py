@@ -44,3 +44,11 @@ def diff(pairs: DataFrame, *keys: str, left: Column | str = "raw", right: Column
     """(keys, seq, t, n, a, b): the ops that make the left text's lines the right's.  Null
     texts are empty."""
     return pairs.select(*keys, F.posexplode(_udf(trim)(left, right)).alias("seq", "op")).select(*keys, "seq", "op.*")
+
+
+def stale(pairs: DataFrame, cache: DataFrame, *keys: str) -> DataFrame:
+    """``pairs`` (keys, version, raw_lines, rebuilt_lines) with cached: whether ``cache`` has
+    an entry of the same keys, version and numbers of lines; others are to be diffed anew."""
+    same = [*keys, "version", "raw_lines", "rebuilt_lines"]
+    have = cache.select(*same).distinct().withColumn("__have", F.lit(True))
+    return pairs.join(have, same, "left").withColumn("cached", F.coalesce("__have", F.lit(False))).drop("__have")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -72,3 +74,25 @@ def vault_health(docs: DataFrame) -> DataFrame:
         n(r"\\\(|\\\)").alias("bad_math"),
         n(r"\n{3,}").alias("blank_run"),
     )
+
+
+COUNTERS = ["image_non_remote", "html_tag", "html_entity", "bad_math", "blank_run"]
+
+
+def vault_reports(files: DataFrame) -> DataFrame:
+    """One row for each folder (book_id) of vault files (book_id, path, content): the sums of
+    its files' counters, whether its last overview has links, and how many files are named
+    neither like a chapter nor like an overview."""
+    name = F.substring_index("path", "/", -1)
+    stem = F.regexp_replace(name, r"\.[^.]*$", "")
+    overview = F.startswith(name, F.lit("00_")) | F.contains(stem, F.lit("总览"))
+    orphan = ~F.startswith(name, F.lit("00_")) & (stem != "总览") & ~F.startswith(stem, F.lit("第"))
+    counted = vault_health(files.select(F.struct("book_id", "path", orphan.alias("orphan"), F.when(overview, F.struct("path", F.contains("content", F.lit("[[")).alias("ok"))).alias("moc")).alias("book_id"), F.col("content").alias("md")))
+    g = counted.groupBy(F.col("book_id.book_id").alias("book_id")).agg(*[F.sum(c).alias(c) for c in COUNTERS], F.max("book_id.moc").alias("moc"), F.count_if(F.col("book_id.orphan")).alias("orphan_md"))
+    return g.select("book_id", *COUNTERS, "orphan_md", F.coalesce("moc.ok", F.lit(False)).alias("moc_ok"))
+
+
+def vault_summary(reports: DataFrame) -> DataFrame:
+    """One row: folders, issues of all of them, and whether there are none."""
+    total = reduce(lambda a, b: a + b, [F.coalesce(F.sum(c), F.lit(0)) for c in (*COUNTERS, "orphan_md")])
+    return reports.agg(F.count("*").alias("books"), total.cast("long").alias("issues")).withColumn("healthy", F.col("issues") == 0)

@@ -106,3 +106,38 @@ def error_summary(errors: DataFrame) -> DataFrame:
     g = errors.groupBy("book_id").agg(F.array_sort(F.collect_list(F.struct("seq", "error"))).alias("e"))
     text = F.array_join(F.slice(F.col("e.error"), 1, fixed.ERRORS_SHOWN), "；")
     return g.select("book_id", F.when(F.size("e") > fixed.ERRORS_SHOWN, F.concat(text, F.lit("；共 "), F.size("e").cast("string"), F.lit(" 个"))).otherwise(text).alias("summary"), F.size("e").alias("n"))
+
+
+def quota_today(ledger: DataFrame, today: Column) -> DataFrame:
+    """One row (day, pages_used, files_used) of a ledger (date, used, priority_pages_used,
+    files_used): a row of another day, or none, counts nothing; rows of the old form have
+    their pages in ``used``."""
+    own = ledger.where(F.col("date") == today)
+    pages = F.coalesce(F.sum(F.coalesce("priority_pages_used", "used", F.lit(0))), F.lit(0)).cast("long")
+    return own.agg(pages.alias("pages_used"), F.coalesce(F.sum(F.coalesce("files_used", F.lit(0))), F.lit(0)).cast("long").alias("files_used")).withColumn("day", today)
+
+
+def quota_status(usage: DataFrame, has_key: bool, page_limit: int = fixed.DAILY_PAGES, file_limit: int = fixed.DAILY_FILES) -> DataFrame:
+    """A status row for each (day, pages_used, files_used), with the names of before too."""
+    left = lambda limit, c: F.greatest(F.lit(limit) - F.col(c), F.lit(0)).cast("long")
+    pages, remaining = F.col("pages_used").cast("long"), left(page_limit, "pages_used")
+    return usage.select(
+        F.lit(page_limit).cast("long").alias("daily_priority_pages"),
+        pages.alias("priority_used"),
+        remaining.alias("priority_remaining"),
+        (remaining <= 0).alias("priority_exhausted"),
+        F.lit(file_limit).cast("long").alias("daily_file_limit"),
+        F.col("files_used").cast("long").alias("files_used"),
+        left(file_limit, "files_used").alias("files_remaining"),
+        F.col("day").alias("date"),
+        F.lit(has_key).alias("has_api_key"),
+        F.lit(page_limit).cast("long").alias("daily_limit"),
+        pages.alias("used"),
+        remaining.alias("remaining"),
+    )
+
+
+def first_seen(df: DataFrame, keys: list[str], *order: str) -> DataFrame:
+    """The first row of each key in an order."""
+    rank = "__rank"
+    return df.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(rank) == 1).drop(rank)

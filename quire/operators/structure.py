@@ -261,8 +261,9 @@ def pages_covered(batches: DataFrame) -> DataFrame:
 
 def structures(batches: DataFrame, marked: DataFrame, tree: DataFrame) -> DataFrame:
     """One row a book: pages_covered, chapter_count, pre_matter_chars, warnings (level jumps
-    in order)."""
+    in order) and orphans: titles after the front matter that no chapter takes.  There are
+    none, as the first chapter ends the front matter and one is open from then on."""
     front = marked.groupBy("book_id").agg(F.coalesce(F.sum(F.when(F.col("role") == "front", F.length("line"))), F.lit(0)).cast("long").alias("pre_matter_chars"), F.count_if(F.col("role") == "chapter").alias("chapter_count"))
     jumps = level_jumps(tree).groupBy("book_id").agg(F.array_sort(F.collect_list(F.struct("node_id", "warning"))).alias("w"))
     out = pages_covered(batches).join(front, "book_id", "left").join(jumps, "book_id", "left")
-    return out.select("book_id", "pages_covered", F.coalesce("chapter_count", F.lit(0)).alias("chapter_count"), F.coalesce("pre_matter_chars", F.lit(0)).alias("pre_matter_chars"), F.coalesce(F.col("w.warning"), F.array().cast("array<string>")).alias("warnings"))
+    return out.select("book_id", "pages_covered", F.coalesce("chapter_count", F.lit(0)).alias("chapter_count"), F.coalesce("pre_matter_chars", F.lit(0)).alias("pre_matter_chars"), F.coalesce(F.col("w.warning"), F.array().cast("array<string>")).alias("warnings"), F.array().cast("array<string>").alias("orphans"))

@@ -11,6 +11,7 @@ from quire.functions import text as T
 from quire.operators import audit, catalog, diff, lint, reports, structure
 from quire.plans import render
 from quire.sources import adapters as A
+from quire.sources import files
 
 QUERIES: dict = {}
 LONG = "long"
@@ -65,11 +66,6 @@ def _normed(lines):
 
 @query
 def p5_norm_titles(spark, sf):
-    return _normed(_lines(spark, sf).where("ln % 12 < 5"))
-
-
-@query
-def p5_norm_titles_all(spark, sf):
     return _normed(_lines(spark, sf))
 
 
@@ -159,11 +155,6 @@ def _image_refs(lines):
 
 @query
 def f8_image_refs(spark, sf):
-    return _image_refs(_lines(spark, sf).where("ln % 12 = 9"))
-
-
-@query
-def f8_image_refs_all(spark, sf):
     return _image_refs(_lines(spark, sf))
 
 
@@ -175,11 +166,6 @@ def _file_names(docs):
 
 @query
 def f9_file_names(spark, sf):
-    return _file_names(_docs(spark, sf).withColumn("text", F.substring("text", 1, 12)))
-
-
-@query
-def f9_file_names_all(spark, sf):
     return _file_names(_docs(spark, sf))
 
 
@@ -263,11 +249,6 @@ def _catalog(books):
 
 @query
 def src3_catalog_scan(spark, sf):
-    return _catalog(A.fx_books(spark, sf).where("id between 100 and 400"))
-
-
-@query
-def src3_catalog_scan_all(spark, sf):
     return _catalog(A.fx_books(spark, sf))
 
 
@@ -284,11 +265,9 @@ def snk3_raw_export(spark, sf):
 
 @query
 def snk7_upload_plan(spark, sf):
-    refs = reports.line_refs(A.fx_lines(spark, sf, toc=False), "book_id").distinct()
-    files = A.fx_image_files(spark, sf).select("book_id", "rel", F.lit(True).alias("there"))
-    stored = files.where("book_id % 3 = 0").select("book_id", "rel", F.lit(True).alias("stored"))
-    j = refs.join(files, ["book_id", "rel"], "left").join(stored, ["book_id", "rel"], "left")
-    return j.select("book_id", "rel", F.when(F.col("there").isNull(), "failed").when(F.col("stored"), "skip").otherwise("upload").alias("action"))
+    refs = reports.line_refs(A.fx_lines(spark, sf, toc=False), "book_id")
+    have = A.fx_image_files(spark, sf)
+    return audit.upload_plan(refs, have, have.where("book_id % 3 = 0"))
 
 
 @query
@@ -522,7 +501,7 @@ def j8_golden(spark, sf):
 @query
 def j9_vault_folders(spark, sf):
     disk, cat = _dirs(spark, sf)
-    vault = A.fx_books(spark, sf).where("id % 5 = 0").select(F.col("title").alias("dir"))
+    vault = A.fx_books(spark, sf).where("id % 5 = 0").select(F.concat("title", F.lit(" notes")).alias("dir"))
     return audit.match_vault(vault, cat)
 
 
@@ -535,12 +514,6 @@ def _links_rewritten(spark, sf, lines):
 
 @query
 def j10_link_rewrite(spark, sf):
-    """Of the lines that its SQL takes, none of which has a link."""
-    return _links_rewritten(spark, sf, A.fx_lines(spark, sf, toc=False).where("ln % 12 = 9"))
-
-
-@query
-def j10_link_rewrite_all(spark, sf):
     return _links_rewritten(spark, sf, A.fx_lines(spark, sf, toc=False))
 
 
@@ -576,6 +549,12 @@ def c6_rebuilt_chapters(spark, sf):
     return out.select("book_id", "chapter_no", "title", F.length("md").cast(LONG).alias("n"), F.md5("md").alias("md5"))
 
 
+@query
+def c6_rebuilt_chapters_md(spark, sf):
+    out = render.chapters_md(render.rendered_lines(_marked(spark, sf), "md"))
+    return out.select("book_id", "chapter_no", "title", F.length("md").cast(LONG).alias("n"), F.md5("md").alias("md5"))
+
+
 @query
 def snk2_rebuilt_books(spark, sf):
     b = A.fx_batches(spark, sf)
@@ -593,17 +572,163 @@ def snk5_vault_files(spark, sf):
 @query
 def snk6_fallback(spark, sf):
     b = A.fx_batches(spark, sf, toc=False)
-    ch = render.chapters_md(render.rendered_lines(structure.marked_lines(b))).where("book_id % 4 <> 0")
+    ch = render.chapters_md(render.rendered_lines(structure.marked_lines(b)))
     return render.with_fallback(ch, b).groupBy("title").agg(F.count("*").alias("n"), F.sum(F.length("md")).alias("chars"))
 
 
-@query
-def c8_chapter_diff(spark, sf):
+def _diffed(spark, sf, trim=True):
     lines = A.fx_lines(spark, sf, toc=False)
     joined = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ln", c.alias("x")))), lambda v: v["x"]), "\n")
-    edited = F.when(F.col("ln") % 8 == 0, F.concat("line", F.lit("!"))).otherwise(F.col("line"))
-    pairs = lines.groupBy("book_id").agg(joined(F.col("line")).alias("raw"), joined(F.when(F.col("ln") % 6 != 0, edited)).alias("rebuilt"))
-    return diff.diff(pairs, "book_id").select("book_id", F.col("seq").cast(LONG).alias("seq"), "t", F.col("n").cast(LONG).alias("n"), "a", "b")
+    edited = F.when(F.col("ln") % 8 == 0, F.concat("line", F.lit("!"))).otherwise(F.concat("line", F.lit("")))
+    pairs = lines.groupBy("book_id").agg(joined(F.concat("line", F.lit(" "))).alias("raw"), joined(F.when(F.col("ln") % 6 != 0, F.concat(edited, F.lit(" ")))).alias("rebuilt"))
+    return diff.diff(pairs, "book_id", trim=trim)
+
+
+@query
+def c8_chapter_diff(spark, sf):
+    return _diffed(spark, sf).select("book_id", F.col("seq").cast(LONG).alias("seq"), "t", F.col("n").cast(LONG).alias("n"), "a", "b")
+
+
+@query
+def c9_chapter_diff_untrimmed(spark, sf):
+    return _diffed(spark, sf, trim=False).select("book_id", F.col("seq").cast(LONG).alias("seq"), "t", F.col("n").cast(LONG).alias("n"), "a", "b")
+
+
+@query
+def c8_diff_totals(spark, sf):
+    """Lines of both sides, from the ops alone."""
+    side = lambda t: F.sum(F.when(F.col("t") == "eq", F.col("n")).when(F.col("t") == t, 1).otherwise(0)).cast(LONG)
+    return _diffed(spark, sf).groupBy("book_id").agg(side("del").alias("left_lines"), side("add").alias("right_lines"))
+
+
+def _vault(spark, sf):
+    return render.vault_files(render.chapters_md(render.rendered_lines(_marked(spark, sf))))
+
+
+@query
+def a14_vault_reports(spark, sf):
+    return lint.vault_reports(_vault(spark, sf)).select("book_id", *[F.col(c).cast(LONG).alias(c) for c in (*lint.COUNTERS, "orphan_md")], "moc_ok")
+
+
+@query
+def a14_vault_summary(spark, sf):
+    return lint.vault_summary(lint.vault_reports(_vault(spark, sf)))
+
+
+@query
+def c5_outline_reports(spark, sf):
+    b = A.fx_batches(spark, sf)
+    m = structure.marked_lines(b)
+    tree = structure.nodes(m)
+    out = render.outline_reports(structure.structures(b, m, tree), tree)
+    return out.select("book_id", F.length("report").cast(LONG).alias("n"), F.md5("report").alias("md5"))
+
+
+# --- states, plans and logs -------------------------------------------------------------------
+
+
+def _usage(spark, sf):
+    e = A.load(spark, sf, "events").where("value is not null").select(F.to_date("ts").cast("string").alias("day"), F.floor("value").cast(LONG).alias("pages"), F.col("user_id").alias("book"))
+    return reports.quota_usage(e)
+
+
+@query
+def a16_quota_status(spark, sf):
+    return reports.quota_status(_usage(spark, sf), has_key=True)
+
+
+@query
+def src7_quota_today(spark, sf):
+    """A ledger with rows of the old form, read on the last of its days."""
+    u = _usage(spark, sf)
+    old = F.dayofmonth(F.to_date("day")) % 2 == 0
+    ledger = u.select(F.col("day").alias("date"), F.when(old, F.col("pages_used")).alias("used"), F.when(~old, F.col("pages_used")).alias("priority_pages_used"), F.when(~old, F.col("files_used")).alias("files_used"))
+    return u.select("day").distinct().join(ledger, F.col("day") == F.col("date"), "left").groupBy("day").agg(F.coalesce(F.sum(F.coalesce("priority_pages_used", "used")), F.lit(0)).alias("pages"), F.coalesce(F.sum("files_used"), F.lit(0)).alias("files")).unionByName(
+        reports.quota_today(ledger, F.lit("1999-01-01")).select(F.col("day"), F.col("pages_used").alias("pages"), F.col("files_used").alias("files"))
+    )
+
+
+@query
+def p12_guards(spark, sf):
+    e = A.load(spark, sf, "events")
+    req = e.select("event_id", (F.col("event_id") * 3).alias("book_id"), F.when(F.col("event_id") % 5 == 0, "pdf").when(F.col("event_id") % 2 == 0, "html").otherwise("md").alias("mode"))
+    return catalog.guards(req, A.fx_books(spark, sf), ["html", "md"], ["parsed", "structure_ok"]).groupBy("code").agg(F.count("*").alias("n"), F.min("event_id").alias("first_id"))
+
+
+@query
+def c16_operations(spark, sf):
+    return catalog.operations(A.fx_books(spark, sf), "build", "export", "vault").select("id", F.col("step").cast(LONG).alias("step"), "command", "target")
+
+
+@query
+def c12_cleanup_plan(spark, sf):
+    refs = reports.line_refs(A.fx_lines(spark, sf, toc=False), "book_id")
+    plan = audit.cleanup_plan(*_dirs(spark, sf), A.fx_image_files(spark, sf), refs)
+    return plan.select("action", "kind", "name", F.coalesce("bytes", F.lit(0)).cast(LONG).alias("bytes"))
+
+
+def _log(spark, sf):
+    """Events as a log of a table by user: of each type one kind of change."""
+    e = A.load(spark, sf, "events")
+    op = F.when(F.col("event_id") % 7 == 3, "delete").when(F.col("event_id") % 7 < 2, "insert").otherwise("update")
+    return e.select("user_id", F.col("event_id").alias("seq"), op.alias("op"), F.when(F.col("event_id") % 2 == 0, F.col("event_type")).alias("status"), F.when(F.col("event_id") % 5 == 0, F.col("event_id")).alias("added"))
+
+
+@query
+def snk12_replayed_log(spark, sf):
+    return catalog.replay(_log(spark, sf), "user_id", "seq", "op", ["status", "added"])
+
+
+@query
+def snk11_stale_diffs(spark, sf):
+    lines = A.fx_lines(spark, sf, toc=False).groupBy("book_id").agg(F.count("*").alias("raw_lines"), F.count_if(F.col("ln") % 6 != 0).alias("rebuilt_lines"))
+    version = F.lit(1).cast(LONG)
+    cache = lines.select("book_id", F.when(F.col("book_id") % 5 == 0, 0).otherwise(1).cast(LONG).alias("version"), "raw_lines", F.when(F.col("book_id") % 7 == 0, 0).otherwise(F.col("rebuilt_lines")).alias("rebuilt_lines"))
+    out = diff.stale(lines.withColumn("version", version), cache, "book_id")
+    return out.select("book_id", "raw_lines", "rebuilt_lines", "cached")
+
+
+@query
+def w14_first_seen_refs(spark, sf):
+    refs = reports.line_refs(A.fx_lines(spark, sf, toc=False).withColumn("line", F.concat("line", F.lit(" ![](images/logo.png)"))), "book_id", "ln")
+    return reports.first_seen(refs, ["book_id", "rel"], "ln").select("book_id", "rel", "ln")
+
+
+@query
+def f19_json_kept(spark, sf):
+    b = A.fx_books(spark, sf).select("id", F.concat(F.lit("《题》"), "title").alias("title"))
+    return b.select("id", F.to_json(F.struct("id", "title")).alias("json"))
+
+
+# --- files ------------------------------------------------------------------------------------
+
+
+@query
+def snk1_written_trees(spark, sf):
+    """Trees written by book and read again."""
+    path = files.work_dir(spark)
+    files.write_nodes(_tree(spark, sf), path)
+    return _flat(files.read_nodes(spark, path))
+
+
+@query
+def snk8_replaced_trees(spark, sf):
+    """Trees of all books, and then those of some again with other titles: only these are
+    replaced, whole."""
+    path = files.work_dir(spark)
+    tree = structure.nodes(_marked(spark, sf))
+    files.write_nodes(tree, path)
+    files.write_nodes(files.read_nodes(spark, path).where("book_id % 3 = 0 and level = 1").withColumn("title", F.concat(F.lit("* "), "title")), path)
+    return files.read_nodes(spark, path).select("book_id", "node_id", "title")
+
+
+@query
+def snk4_bundles(spark, sf):
+    """Members of each book's bundle: its text and the images that it refers to."""
+    text = A.fx_lines(spark, sf, toc=False).groupBy("book_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ln", "line"))), lambda x: x["line"]), "\n").alias("md"))
+    docs = text.select("book_id", F.lit("book.md").alias("path"), "md")
+    images = A.fx_image_files(spark, sf).select("book_id", "rel", F.encode("rel", "UTF-8").alias("data"))
+    return files.unbundled(files.zip_bundles(files.bundle_members(docs, images))).select("book_id", "path", F.md5("data").alias("md5"))
 
 
 # --- sorts and sets ---------------------------------------------------------------------------
@@ -629,11 +754,6 @@ def _title_union(spark, sf, lines):
 
 @query
 def u1_union_of_titles(spark, sf):
-    return _title_union(spark, sf, _lines(spark, sf).where("ln % 12 = 0"))
-
-
-@query
-def u1_union_of_titles_all(spark, sf):
     """Of the contents and of all heading lines."""
     lines = _lines(spark, sf).withColumn("bare", T.bare(F.col("line"))).where(T.heading(F.col("line"), F.col("bare")).isNotNull())
     return _title_union(spark, sf, lines)

@@ -27,12 +27,16 @@ def fx_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     stray = F.when(k % 19 == 0, F.lit("stray")).otherwise(F.lit(""))
     end = F.when(k % 23 == 0, F.lit("")).otherwise(F.lit("</table>"))
-    return rows.select("k", F.concat(F.lit("<table>"), F.array_join(F.transform("r", row), ""), stray, end).alias("html"))
+    body = F.when(k % 31 == 0, F.lit("")).otherwise(F.array_join(F.transform("r", row), ""))
+    long = F.when(k % 37 == 0, F.lit("<tr><td>a</td><td>b</td></tr>" * 21)).otherwise(F.lit(""))
+    return rows.select("k", F.concat(F.lit("<table>"), body, long, stray, end).alias("html"))
 
 
 def fx_lines(spark: SparkSession, sf_dir: str, toc: bool = True) -> DataFrame:
     """(book_id, batch_idx, ln, line): lines of books with headings, contents, images and
-    tables at fixed places.  With ``toc``, every second book begins with its contents."""
+    tables at fixed places.  Of 8 books one has chapters without numbers, and of 16 one has
+    no chapters.  With ``toc``, every second book begins with its contents: of 8 one with
+    page numbers and in a batch of its own, and that without chapter numbers."""
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
     raw = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "raw")).withColumn("ln", (F.col("i") + 1).cast("long"))
     d, ln = F.col("doc_id"), F.col("ln")
@@ -40,7 +44,9 @@ def fx_lines(spark: SparkSession, sf_dir: str, toc: bool = True) -> DataFrame:
     s = lambda c: c.cast("string")
     table = d % 4 == 1
     line = (
-        F.when(k == 0, F.concat(F.lit("# 第"), s(ch), F.lit("章 T"), s(ch), F.lit("x")))
+        F.when((k == 0) & (d % 16 == 9), F.col("raw"))
+        .when((k == 0) & (d % 8 == 2), F.concat(F.lit("# T"), s(ch), F.lit("x")))
+        .when(k == 0, F.concat(F.lit("# 第"), s(ch), F.lit("章 T"), s(ch), F.lit("x")))
         .when(k == 2, F.concat(F.lit("# 第"), F.when((d % 5 == 0) & (ch % 2 == 0), "3").otherwise("1"), F.lit("节 A")))
         .when(k == 7, F.lit("# 第2节 D"))
         .when(k == 3, F.when(d % 2 == 0, F.lit("## 一、B")).otherwise(F.lit("一、B")))
@@ -57,15 +63,18 @@ def fx_lines(spark: SparkSession, sf_dir: str, toc: bool = True) -> DataFrame:
         return body
     last = docs.where("doc_id % 2 = 0").select("doc_id", (F.floor((F.size(F.split("text", "\n")) - 1) / 12) + 1).cast("int").alias("n"))
     entries = last.select("doc_id", F.explode(F.sequence(F.lit(0), "n")).alias("i")).where("i = 0 or i % 4 <> 0")
-    text = F.when(F.col("i") == 0, F.lit("## 目录")).otherwise(F.concat(F.lit("第"), s(F.col("i")), F.lit("章 T"), s(F.col("i")), F.lit("x")))
-    head = entries.select(d.alias("book_id"), F.lit(1).alias("batch_idx"), (F.col("i") - 1000).cast("long").alias("ln"), text.alias("line"))
+    i = F.col("i")
+    named = F.concat(F.lit("第"), s(i), F.lit("章 T"), s(i), F.lit("x"))
+    paged = F.concat(F.lit(" …… "), s(i * 3))
+    text = F.when(i == 0, F.lit("## 目录")).when(d % 8 == 0, F.concat(named, paged)).when(d % 8 == 2, F.concat(s(i), F.lit(" T"), s(i), F.lit("x"), paged)).otherwise(named)
+    head = entries.select(d.alias("book_id"), F.when(d % 8 == 0, 0).otherwise(1).alias("batch_idx"), (i - 1000).cast("long").alias("ln"), text.alias("line"))
     return body.unionByName(head)
 
 
 def fx_batches(spark: SparkSession, sf_dir: str, toc: bool = True) -> DataFrame:
     """(book_id, batch_idx, page_start, page_end, text)"""
     lines = fx_lines(spark, sf_dir, toc).groupBy("book_id", "batch_idx").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ln", "line"))), lambda x: x["line"]), "\n").alias("text"))
-    return lines.select("book_id", "batch_idx", ((F.col("batch_idx") - 1) * 25 + 1).alias("page_start"), (F.col("batch_idx") * 25).alias("page_end"), "text")
+    return lines.select("book_id", "batch_idx", F.greatest((F.col("batch_idx") - 1) * 25 + 1, F.lit(0)).alias("page_start"), (F.col("batch_idx") * 25).alias("page_end"), "text")
 
 
 def fx_md(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import io
+import tempfile
+import uuid
 import zipfile
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -44,6 +47,36 @@ def write_nodes(nodes: DataFrame, path: str) -> None:
     nodes.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("book_id").parquet(path)
 
 
+def read_nodes(spark: SparkSession, path: str, book_id: int | None = None) -> DataFrame:
+    """Trees as write_nodes leaves them; of one book only its folder is read."""
+    trees = spark.read.parquet(path)
+    return trees if book_id is None else trees.where(F.col("book_id") == book_id)
+
+
+def write_structures(structures: DataFrame, path: str) -> None:
+    """A JSON line for each book, with non-ASCII characters as they are."""
+    structures.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").text(path)
+
+
+GOLDEN = "name string, book_id string, chapter_count int, titles array<string>, pages_covered string"
+
+
+def read_golden(spark: SparkSession, path: str) -> DataFrame:
+    """A baseline: a JSON array of samples, or a sample a line."""
+    return spark.read.schema(GOLDEN).option("multiLine", True).json(path)
+
+
+def work_dir(spark: SparkSession) -> str:
+    """A new folder below the one that the cluster shares; a local one only where all run in
+    one process."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("name a folder that driver and executors share in spark.checkpoint.dir")
+        shared = "file://" + tempfile.gettempdir()
+    return f"{shared.rstrip('/')}/quire-files-{uuid.uuid4().hex}"
+
+
 def zip_bundles(files: DataFrame) -> DataFrame:
     """(book_id, zip) of (book_id, path, data): a bundle a book, members in order."""
 
@@ -57,6 +90,19 @@ def zip_bundles(files: DataFrame) -> DataFrame:
     return files.select("book_id", "path", "data").groupBy("book_id").applyInArrow(bundle, "book_id long, zip binary")
 
 
+def unbundled(bundles: DataFrame) -> DataFrame:
+    """(book_id, path, data) of the members of bundles."""
+
+    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for book, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                with zipfile.ZipFile(io.BytesIO(data)) as z:
+                    for name in z.namelist():
+                        yield pa.RecordBatch.from_pydict({"book_id": pa.array([book], pa.int64()), "path": pa.array([name], pa.string()), "data": pa.array([z.read(name)], pa.binary())})
+
+    return bundles.select("book_id", "zip").mapInArrow(members, "book_id long, path string, data binary")
+
+
 def bundle_members(docs: DataFrame, files: DataFrame) -> DataFrame:
     """(book_id, path, data) for a bundle: each document (book_id, path, md), and each image
     that it refers to and that exists (book_id, rel, data), once."""
