@@ -27,38 +27,52 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 def scan(docs: DataFrame, files: DataFrame | None = None) -> DataFrame:
     """(book_id, rule, severity, line) of documents (book_id, md).  files: (book_id, rel) of
-    the images that exist; without it that rule is off."""
+    the images that exist; without it that rule is off.
+
+    All rules are read off windows over a document's lines, so lines are moved once; blocks
+    and tables report at their first line."""
     w = Window.partitionBy("book_id").orderBy("i")
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    s, free = F.col("s"), ~F.col("in_table")
+    s, i, free = F.col("s"), F.col("i"), ~F.col("in_table")
     lines = _lines(docs)
     lines = lines.withColumn("table_no", F.sum(F.col("begins").cast("int")).over(upto))
     lines = lines.withColumn("prev", F.last(F.when(free | F.col("ends"), s), True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
     lines = lines.withColumn("run", F.sum(((free & (s != "")) | F.col("begins")).cast("int")).over(upto))
     blank = free & (s == "")
-    in_run = Window.partitionBy("book_id", "run").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    lines = lines.withColumn("blanks", F.sum(blank.cast("int")).over(in_run))
     pipe = free & F.startswith("s", F.lit("|"))
     lines = lines.withColumn("block", F.sum((free & ~pipe).cast("int")).over(upto)).withColumn("pipe", pipe)
+    lines = lines.withColumn("row", F.col("in_table") & F.contains("s", F.lit("<tr")))
+    lines = lines.withColumn("blanks", F.sum(blank.cast("int")).over(Window.partitionBy("book_id", "run").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)))
+
+    def ragged(group: str, member: str, columns: Column) -> tuple[Column, Column, Column]:
+        """Of a line's group: the first member, how many there are, and of how many widths."""
+        g = Window.partitionBy("book_id", group)
+        m = F.col(member)
+        return F.min(F.when(m, i)).over(g), F.count_if(m).over(g), F.size(F.collect_set(F.when(m, columns)).over(g))
+
+    first, n, widths = ragged("block", "pipe", T.md_columns(s))
+    lines = lines.withColumn("md_ragged", F.col("pipe") & (i == first) & (n >= 3) & (widths > 1))
+    first, n, widths = ragged("table_no", "row", F.regexp_count(s, F.lit(r"<td\b")))
+    closed = F.bool_or(F.col("in_table") & F.col("ends")).over(Window.partitionBy("book_id", "table_no"))
+    lines = lines.withColumn("html_ragged", F.col("row") & (i == first) & (widths > 1) & closed)
     hit: list[tuple[str, Column]] = [
         ("blank_run", blank & (F.col("blanks") == 3)),
         ("table_touch", free & F.coalesce(F.startswith("prev", F.lit("</table")), F.lit(False)) & (s != "")),
         ("unexpected_img_tag", free & T.has(s, r"<img\b", "i")),
         ("unexpected_del_tag", free & T.has(s, r"</?del\b", "i")),
         ("math_unclosed", free & (T.dollars(s) % 2 == 1)),
+        ("md_table_ragged", F.col("md_ragged")),
+        ("html_table_ragged", F.col("html_ragged")),
     ]
-    per_line = lines.select("book_id", F.explode(F.array_compact(F.array(*[F.when(c, F.lit(rule)) for rule, c in hit]))).alias("rule"), F.col("i").alias("line"))
-    blocks = lines.where("pipe").groupBy("book_id", "block").agg(F.min("i").alias("line"), F.count("*").alias("n"), F.count_distinct(T.md_columns(s)).alias("k"))
-    blocks = blocks.where("n >= 3 and k > 1").select("book_id", F.lit("md_table_ragged").alias("rule"), "line")
-    row = F.contains("s", F.lit("<tr"))
-    tables = lines.where("in_table").groupBy("book_id", "table_no").agg(F.min(F.when(row, F.col("i"))).alias("line"), F.count_distinct(F.when(row, F.regexp_count(s, F.lit(r"<td\b")))).alias("k"), F.bool_or("ends").alias("closed"))
-    tables = tables.where("k > 1 and closed").select("book_id", F.lit("html_table_ragged").alias("rule"), "line")
-    out = per_line.unionByName(blocks).unionByName(tables)
+    issue = lambda rule, rel: F.struct(F.lit(rule).alias("rule"), rel.cast("string").alias("rel"))
+    issues = F.array_compact(F.array(*[F.when(c, issue(rule, F.lit(None))) for rule, c in hit]))
+    if files is not None:
+        refs = F.when(free, T.image_refs(s)).otherwise(F.array().cast("array<string>"))
+        issues = F.concat(issues, F.transform(refs, lambda r: issue("missing_image", r)))
+    out = lines.select("book_id", i.cast("long").alias("line"), F.explode(issues).alias("x")).select("book_id", "line", "x.rule", "x.rel")
     if files is not None:
-        refs = lines.where(free).select("book_id", F.col("i").alias("line"), F.explode(T.image_refs(s)).alias("rel"))
-        gone = refs.join(files.select("book_id", "rel").distinct(), ["book_id", "rel"], "left_anti")
-        out = out.unionByName(gone.select("book_id", F.lit("missing_image").alias("rule"), "line"))
-    return out.select("book_id", "rule", F.when(F.col("rule").isin(list(SEVERITY)), "warning").otherwise("error").alias("severity"), F.col("line").cast("long").alias("line"))
+        out = out.join(files.select("book_id", "rel").distinct(), ["book_id", "rel"], "left_anti")
+    return out.select("book_id", "rule", F.when(F.col("rule").isin(list(SEVERITY)), "warning").otherwise("error").alias("severity"), "line")
 
 
 def vault_health(docs: DataFrame) -> DataFrame:

@@ -56,12 +56,20 @@ def image_stats(refs: DataFrame, files: DataFrame, *by: str) -> DataFrame:
     return seen.groupBy(*by).agg(F.count("*").alias("referenced"), F.count_distinct(F.when(F.col("__r").isNull(), F.col("rel"))).alias("missing"))
 
 
-def chapter_report(marked: DataFrame, tree: DataFrame) -> DataFrame:
-    """Characters, images and tables of each chapter, each book and all (grouping sets)."""
-    chars = tree.groupBy("book_id", "chapter_no").agg(F.sum("char_count").alias("chars"), F.sum("image_count").alias("images"))
-    lines = marked.where("role = 'content'").withColumn("html", F.col("line")).where(F.startswith("line", F.lit("<table")))
-    tables = graded_tables(lines).groupBy("book_id", "chapter_no").agg(*table_counts()[:3])
-    both = chars.join(tables, ["book_id", "chapter_no"], "left").na.fill(0, ["converted", "kept", "math_total"])
+def chapter_report(marked: DataFrame) -> DataFrame:
+    """Characters, images and tables of each chapter, each book and all (grouping sets), from
+    one aggregate of the marked lines."""
+    lines = marked.where(F.col("role").isin("chapter", "board", "sub", "content"))
+    content = F.col("role") == "content"
+    table = content & F.startswith("line", F.lit("<table"))
+    lines = lines.withColumn("gate", F.when(table, T.table_gate(F.col("line")))).withColumn("is_math", table & T.is_math_table(F.col("line")))
+    both = lines.groupBy("book_id", "chapter_no").agg(
+        F.sum(F.length(F.when(content, F.col("line")).otherwise(F.col("title")))).cast("long").alias("chars"),
+        F.count_if(content & T.has(F.col("line"), fixed.IMAGE_MD)).alias("images"),
+        F.count_if(F.col("gate") == "ok").alias("converted"),
+        F.count_if(F.col("gate") != "ok").alias("kept"),
+        F.count_if("is_math").alias("math_total"),
+    )
     sums = [F.sum(c).alias(c) for c in ("chars", "images", "converted", "kept", "math_total")]
     return both.rollup("book_id", "chapter_no").agg(F.grouping_id().alias("depth"), *sums)
 

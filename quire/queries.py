@@ -401,8 +401,7 @@ def a5_image_stats(spark, sf):
 
 @query
 def a6_report(spark, sf):
-    m = _marked(spark, sf)
-    out = reports.chapter_report(m, structure.nodes(m))
+    out = reports.chapter_report(_marked(spark, sf))
     return out.select("book_id", "chapter_no", F.col("depth").cast(LONG).alias("depth"), "chars", "images", "converted", "kept", "math_total")
 
 
@@ -715,10 +714,10 @@ def snk1_written_trees(spark, sf):
 def snk8_replaced_trees(spark, sf):
     """Trees of all books, and then those of some again with other titles: only these are
     replaced, whole."""
-    path = files.work_dir(spark)
-    tree = structure.nodes(_marked(spark, sf))
-    files.write_nodes(tree, path)
-    files.write_nodes(files.read_nodes(spark, path).where("book_id % 3 = 0 and level = 1").withColumn("title", F.concat(F.lit("* "), "title")), path)
+    path, other = files.work_dir(spark), files.work_dir(spark)
+    files.write_nodes(structure.nodes(_marked(spark, sf)), path)
+    files.write_nodes(files.read_nodes(spark, path).where("book_id % 3 = 0 and level = 1").withColumn("title", F.concat(F.lit("* "), "title")), other)
+    files.write_nodes(files.read_nodes(spark, other), path)
     return files.read_nodes(spark, path).select("book_id", "node_id", "title")
 
 

@@ -42,15 +42,50 @@ def list_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path).select("path", "length")
 
 
+def _path(spark: SparkSession, path: str):
+    """A path of the shared file system, and that system."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    at, fs = _path(spark, path)
+    return fs.exists(at)
+
+
+#: Folders that books are dealt to.
+BOOK_BUCKETS = 1024
+
+
+def book_bucket(book_id: F.Column) -> F.Column:
+    return F.pmod(F.xxhash64(book_id.cast("long")), F.lit(BOOK_BUCKETS)).cast("int")
+
+
 def write_nodes(nodes: DataFrame, path: str) -> None:
-    """Trees by book, so that one book's is read alone and rewritten alone."""
-    nodes.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("book_id").parquet(path)
+    """Trees in BOOK_BUCKETS folders.  The books of ``nodes`` replace themselves; others in
+    the same folders stay, and other folders aren't touched."""
+    spark, aside = nodes.sparkSession, None
+    new = nodes.withColumn("bucket", book_bucket(F.col("book_id")))
+    if _exists(spark, path):
+        # what stays is written beside first, as a folder can't be read while it is replaced
+        old = spark.read.parquet(path)
+        touched = new.select("bucket").distinct()
+        kept = old.join(touched, "bucket", "left_semi").join(new.select("book_id").distinct(), "book_id", "left_anti")
+        aside = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
+        new.unionByName(kept.select(*new.columns)).write.parquet(aside)
+        new = spark.read.schema(new.schema).parquet(aside)
+    new.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    if aside:
+        at, fs = _path(spark, aside)
+        fs.delete(at, True)
 
 
 def read_nodes(spark: SparkSession, path: str, book_id: int | None = None) -> DataFrame:
-    """Trees as write_nodes leaves them; of one book only its folder is read."""
+    """Trees as write_nodes leaves them; for one book only its folder is read."""
     trees = spark.read.parquet(path)
-    return trees if book_id is None else trees.where(F.col("book_id") == book_id)
+    if book_id is not None:
+        trees = trees.where((F.col("bucket") == spark.range(1).select(book_bucket(F.lit(book_id))).first()[0]) & (F.col("book_id") == book_id))
+    return trees.drop("bucket")
 
 
 def write_structures(structures: DataFrame, path: str) -> None:
