@@ -1,6 +1,7 @@
 """Mixing, sharding and the pipeline."""
 
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -99,6 +100,15 @@ def test_shards_are_whole_and_stable(spark):
     assert sorted(rows) == sorted(op8_sharding(spark, SF).collect())
 
 
+def test_one_more_shard_takes_records_only_into_itself(spark):
+    now = {r.doc_id: r for r in op8_sharding(spark, SF).collect()}
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    grown = {r.doc_id: r.shard for r in sharding.shard(docs, 41).collect()}
+    assert grown == {i: r.grown_shard for i, r in now.items()} and 40 in grown.values()
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    assert all(r.text_crc32 == zlib.crc32(texts[i].encode()) and r.law == "key" for i, r in now.items())
+
+
 def test_shards_of_odd_rows(spark):
     rows = [(i, f"t{i}", "s", i) for i in range(200)] + [(None, None, "s", 0), (None, "x", "s", 0), (7, "dup", "s", 1), (7, "dup", "s", 1), (8, "", None, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, shard string, slot int")

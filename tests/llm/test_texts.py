@@ -46,6 +46,43 @@ def test_phrases_are_longest_matches():
         assert got in (n, n + 1)  # a symbol no sample has ends a phrase and is one
 
 
+def test_predictions_against_plain_parsing():
+    """Whole predictions, by the longest substrings of each sample."""
+    r = random.Random(21)
+    words = {"a": ["ka", "kato", "mi", "sol", "ré"], "b": ["ka", "kata", "mu", "sul", "ro"], "c": ["zz", "mi", "kot", "ré"]}
+    text = lambda k, n: " ".join(r.choice(words[k]) for _ in range(n))
+    samples = {k: [text(k, 40), text(k, 15)] for k in words}
+    m = langid.Model(samples)
+    texts = [text(r.choice("abc"), r.randint(1, 40)) + r.choice(["", " ñu", " w"]) for _ in range(200)]
+    squeezed = lambda t: "".join(map(chr, langid.squeezed(langid.code_points(t))))
+
+    def phrases(t, sample):
+        n, have = 1, ""
+        for c in t:  # a symbol ends the phrase if none in the sample goes on with it
+            if have + c in sample:
+                have += c
+            else:
+                n += 1
+                have = c if c in sample else ""
+        return n
+
+    joined = {k: "".join(squeezed(t) + " " for t in v) for k, v in samples.items()}
+    langs, scores = m.predict(texts)
+    for t, lang, score in zip(texts, langs, scores):
+        n = {k: phrases(squeezed(t), joined[k]) for k in joined}
+        low = sorted(n.values())
+        assert len(squeezed(t)) <= langid.PIECE and lang == min(n, key=lambda k: (n[k], k))
+        assert score == pytest.approx(1 - low[0] / low[1])
+
+
+def test_cells_follow_transitions_not_the_alphabet():
+    r = random.Random(2)
+    many = "".join(chr(0x4E00 + r.randrange(5000)) for _ in range(20_000))
+    m = langid.Model({"zh": [many], "en": ["the cat and the dog " * 50]})
+    assert m.cells.nbytes < 8 * 12 * 20_000 * 2
+    assert m.predict([many[500:700], "the dog and"])[0] == ["zh", "en"]
+
+
 def test_language_of_odd_texts(spark):
     m = langid.Model({"en": ["the cat and the dog"], "de": ["der hund und die katze"]})
     docs = [(1, "the dog"), (2, None), (3, ""), (4, "12 $$ !"), (5, "und der hund " * 500), (1, "the dog")]
