@@ -111,19 +111,17 @@ def toc_entries(batches: DataFrame) -> DataFrame:
 CHAPTER_TITLE = rf"^第\s*({fixed.CN_OR_AR})\s*章\s*(.*)$"
 
 
-def _accepted(candidates: DataFrame) -> DataFrame:
-    """(book_id, o, page) of chapters that the contents confirm: each must match an entry
-    after the last one matched.  A fold over a book's chapters, of which there are few."""
-    books = candidates.groupBy("book_id").agg(F.array_sort(F.collect_list(F.struct("o", "no", "body"))).alias("c"), F.first("entries").alias("e"))
+def _accepted(chapters: Column, entries: Column) -> Column:
+    """(o, page) of the chapters (o, no, body) that the contents confirm: each must match an
+    entry after the last one matched.  A fold over a book's chapters, of which there are few."""
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<o:bigint,page:int>>").alias("ok"))
 
     def step(acc: Column, c: Column) -> Column:
-        fits = F.filter(F.col("e"), lambda e: (e["k"] > acc["at"]) & (e["no"] == c["no"]) & (c["body"] != "") & (e["title"] == c["body"]))
+        fits = F.filter(entries, lambda e: (e["k"] > acc["at"]) & (e["no"] == c["no"]) & (c["body"] != "") & (e["title"] == c["body"]))
         hit = F.element_at(fits, 1)
         return F.when(F.size(fits) > 0, F.struct(hit["k"].alias("at"), F.concat(acc["ok"], F.array(F.struct(c["o"].alias("o"), hit["page"].alias("page")))).alias("ok"))).otherwise(acc)
 
-    folded = books.select("book_id", F.explode(F.aggregate("c", start, step)["ok"]).alias("x"))
-    return folded.select("book_id", F.col("x.o").alias("__o"), F.col("x.page").alias("toc_page"), F.lit(True).alias("confirmed"))
+    return F.aggregate(F.array_sort(chapters), start, step)["ok"]
 
 
 def _last(value: Column, w) -> Column:
@@ -138,15 +136,18 @@ def marked_lines(batches: DataFrame, version: int = 2) -> DataFrame:
     lines = lines.withColumn("numbered", F.count_if(_numbered()).over(_book())).withColumn("hashed", F.count_if(_hashed()).over(_book()))
     lines = lines.withColumn("style", _style(F.col("numbered"), F.col("hashed")))
     own_title = F.when(F.col("toc"), T.norm_title(T.toc_title(line)))
-    lines = lines.withColumn("titles", F.collect_set(F.when(own_title != "", own_title)).over(_book()))
+    # what a book's contents have is kept on the lines that may be headings, not on all
+    lines = lines.withColumn("found", T.heading(line, F.col("bare")))
+    maybe = F.col("found").isNotNull() | T.starts_hash(line)
+    lines = lines.withColumn("titles", F.collect_set(F.when(own_title != "", own_title)).over(_book())).withColumn("titles", F.when(maybe, F.col("titles")))
     if version == 2:
         lines = _with_entries(lines)
         w = Window.partitionBy("book_id").orderBy("o")
         k = F.when(F.col("entry").isNotNull(), F.count("entry").over(w.rowsBetween(Window.unboundedPreceding, 0)))
         numbered_entry = F.when(F.col("entry").isNotNull(), F.struct(k.cast("int").alias("k"), F.col("entry.no").alias("no"), T.norm_title(F.col("entry.title")).alias("title"), F.col("entry.page").alias("page")))
         lines = lines.withColumn("__e", numbered_entry)
-        lines = lines.withColumn("entries", F.array_sort(F.collect_list("__e").over(_book()))).drop("__e")
-        lines = lines.withColumn("driven", (F.col("style") == "numbered") & (F.size("entries") >= fixed.TOC_LEAST_ENTRIES))
+        lines = lines.withColumn("driven", (F.col("style") == "numbered") & (F.count("__e").over(_book()) >= fixed.TOC_LEAST_ENTRIES))
+        lines = lines.withColumn("entries", F.collect_list("__e").over(_book())).withColumn("entries", F.when(maybe, F.array_sort("entries"))).drop("__e")
         lines = lines.where((F.col("ratio") <= fixed.TOC_PAGE_SHARE) & ~F.col("toc"))
         enter = is_anchor(line)
         leave = T.starts_hash(line) & (T.has(F.col("bare"), fixed.CHAPTER) | T.has(F.col("bare"), fixed.CHAPTER_BARE))
@@ -160,7 +161,7 @@ def marked_lines(batches: DataFrame, version: int = 2) -> DataFrame:
     bare = F.col("bare")
     known = lambda t: F.array_contains("titles", T.norm_title(t))
     hash_chapter = (F.col("style") == "hash") & T.starts_hash(line) & (bare != "") & ~T.has(bare, fixed.BOARD) & ~T.has(bare, fixed.CHAPTER_BARE) & ~T.has(bare, fixed.SECTION) & known(bare)
-    found = F.coalesce(T.heading(line, bare), F.when(hash_chapter, F.struct(F.lit(1).alias("level"), T.strip(F.regexp_replace(bare, "^#+", "")).alias("title"), F.lit(False).alias("board"), F.lit("hash").alias("kind"))))
+    found = F.coalesce("found", F.when(hash_chapter, F.struct(F.lit(1).alias("level"), T.strip(F.regexp_replace(bare, "^#+", "")).alias("title"), F.lit(False).alias("board"), F.lit("hash").alias("kind"))))
     lines = lines.withColumn("h", found)
     stranger = (F.col("style") == "hash") & (F.col("h.level") == 1) & (F.size("titles") > 0) & ~known(T.strip(T.sub(F.col("h.title"), "^[·•]+", "")))
     lines = lines.withColumn("h", F.when(~F.coalesce(stranger, F.lit(False)), F.col("h")))
@@ -168,9 +169,16 @@ def marked_lines(batches: DataFrame, version: int = 2) -> DataFrame:
     board = F.coalesce(F.col("h.board"), F.lit(False))
     first = F.coalesce((level == 1) & ~board, F.lit(False))
     if version == 2:
-        candidates = lines.where(first & F.col("driven")).select("book_id", "o", "entries", T.cn_to_int(T.group(F.col("h.title"), CHAPTER_TITLE)).alias("no"), T.norm_title(T.strip(T.group(F.col("h.title"), CHAPTER_TITLE, 2))).alias("body"))
-        ok = _accepted(candidates).withColumnRenamed("book_id", "__b")
-        lines = lines.join(ok, (F.col("book_id") == F.col("__b")) & (o == F.col("__o")), "left").drop("__b", "__o", "entries", "entry")
+        candidate = first & F.col("driven")
+        chapter_no = T.cn_to_int(T.group(F.col("h.title"), CHAPTER_TITLE))
+        body = T.norm_title(T.strip(T.group(F.col("h.title"), CHAPTER_TITLE, 2)))
+        lines = lines.withColumn("__c", F.when(candidate, F.struct(o.alias("o"), chapter_no.alias("no"), body.alias("body"))))
+        # the fold runs once, on a book's first candidate
+        lines = lines.withColumn("__all", F.collect_list("__c").over(_book())).withColumn("__least", F.min(F.col("__c.o")).over(_book()))
+        lines = lines.withColumn("__ok", F.when(o == F.col("__least"), _accepted(F.col("__all"), F.col("entries")))).drop("__all")
+        lines = lines.withColumn("__ok", F.first("__ok", True).over(_book()))
+        lines = lines.withColumn("__ok", F.when(candidate, F.get(F.filter("__ok", lambda x: x["o"] == o), F.lit(0))))
+        lines = lines.withColumn("toc_page", F.col("__ok.page")).withColumn("confirmed", F.col("__ok").isNotNull()).drop("__c", "__least", "__ok", "entries", "entry")
         lines = lines.withColumn("opens", first & (~F.col("driven") | F.coalesce("confirmed", F.lit(False))))
     else:
         lines = lines.withColumn("opens", first).withColumn("toc_page", F.lit(None).cast("int"))
