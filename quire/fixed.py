@@ -24,6 +24,11 @@ TOC_PAGE_SHARE = 0.5
 TOC_LEAST_ENTRIES = 3
 TOC_ANCHORS = ["目录", "目 录", "目　录"]
 HASH_STYLE_LEAST = 3
+ENTRY = rf"^第\s*({CN_OR_AR})\s*[章篇]\s*(.*)$"
+ENTRY_PAGE = r"(?:[（(]?\s*(\d+)\s*[）)]?|\.{2,}\s*(\d+))\s*$"
+BODY_CHAPTER = rf"^#+\s*第\s*{CN_OR_AR}\s*章"
+CHAPTER_TITLE = rf"^第\s*({CN_OR_AR})\s*章\s*(.*)$"
+SECTION_NO = rf"^第\s*({CN_OR_AR})\s*节"
 
 # Tables and images.
 IMAGE_MD = r"!\[[^\]]*\]\([^)]*\)"

@@ -78,25 +78,20 @@ def toc_title_sets(batches: DataFrame) -> DataFrame:
     return lines.select("book_id", T.norm_title(T.toc_title(F.col("line"))).alias("title")).where("title is not null and title <> ''").distinct()
 
 
-ENTRY = rf"^第\s*({fixed.CN_OR_AR})\s*[章篇]\s*(.*)$"
-ENTRY_PAGE = r"(?:[（(]?\s*(\d+)\s*[）)]?|\.{2,}\s*(\d+))\s*$"
-BODY_CHAPTER = rf"^#+\s*第\s*{fixed.CN_OR_AR}\s*章"
-
-
 def _with_entries(lines: DataFrame) -> DataFrame:
     """Adds entry: struct(no, title, page) on the lines that are entries of the contents."""
     line = F.col("line")
     anchor = F.min(F.when(is_anchor(line), F.col("o"))).over(_book())
     lines = lines.withColumn("anchor", anchor)
-    stop = F.min(F.when((F.col("o") > F.col("anchor")) & T.has(line, BODY_CHAPTER), F.col("o"))).over(_book())
+    stop = F.min(F.when((F.col("o") > F.col("anchor")) & T.has(line, fixed.BODY_CHAPTER), F.col("o"))).over(_book())
     within = (F.col("o") > F.col("anchor")) & (F.col("o") < F.coalesce(stop, F.lit(1 << 62)))
 
     def parsed(rest):
-        page = F.when(T.has(rest, ENTRY_PAGE), F.coalesce(T.group(rest, ENTRY_PAGE, 1).try_cast("int"), T.group(rest, ENTRY_PAGE, 2).try_cast("int")))
-        title = T.strip(T.sub(T.strip(T.sub(rest, ENTRY_PAGE, "")), r"[….·\-—\s]+$", ""))
-        return F.struct(T.cn_to_int(T.group(line, ENTRY)).alias("no"), title.alias("title"), page.alias("page"))
+        page = F.when(T.has(rest, fixed.ENTRY_PAGE), F.coalesce(T.group(rest, fixed.ENTRY_PAGE, 1).try_cast("int"), T.group(rest, fixed.ENTRY_PAGE, 2).try_cast("int")))
+        title = T.strip(T.sub(T.strip(T.sub(rest, fixed.ENTRY_PAGE, "")), r"[….·\-—\s]+$", ""))
+        return F.struct(T.cn_to_int(T.group(line, fixed.ENTRY)).alias("no"), title.alias("title"), page.alias("page"))
 
-    entry = F.when(within & T.has(line, ENTRY), T.let(T.strip(T.group(line, ENTRY, 2)), parsed))
+    entry = F.when(within & T.has(line, fixed.ENTRY), T.let(T.strip(T.group(line, fixed.ENTRY, 2)), parsed))
     entry = T.let(entry, lambda e: F.when(e["title"] != "", e))
     return lines.withColumn("entry", entry)
 
@@ -108,9 +103,6 @@ def toc_entries(batches: DataFrame) -> DataFrame:
     return e.select("book_id", pos.alias("pos"), "entry.no", "entry.title", "entry.page")
 
 
-CHAPTER_TITLE = rf"^第\s*({fixed.CN_OR_AR})\s*章\s*(.*)$"
-
-
 def _accepted(chapters: Column, entries: Column) -> Column:
     """(o, page) of the chapters (o, no, body) that the contents confirm: each must match an
     entry after the last one matched.  A fold over a book's chapters, of which there are few."""
@@ -170,8 +162,8 @@ def marked_lines(batches: DataFrame, version: int = 2) -> DataFrame:
     first = F.coalesce((level == 1) & ~board, F.lit(False))
     if version == 2:
         candidate = first & F.col("driven")
-        chapter_no = T.cn_to_int(T.group(F.col("h.title"), CHAPTER_TITLE))
-        body = T.norm_title(T.strip(T.group(F.col("h.title"), CHAPTER_TITLE, 2)))
+        chapter_no = T.cn_to_int(T.group(F.col("h.title"), fixed.CHAPTER_TITLE))
+        body = T.norm_title(T.strip(T.group(F.col("h.title"), fixed.CHAPTER_TITLE, 2)))
         lines = lines.withColumn("__c", F.when(candidate, F.struct(o.alias("o"), chapter_no.alias("no"), body.alias("body"))))
         # the fold runs once, on a book's first candidate
         lines = lines.withColumn("__all", F.collect_list("__c").over(_book())).withColumn("__least", F.min(F.col("__c.o")).over(_book()))
@@ -248,14 +240,11 @@ def level_jumps(tree: DataFrame) -> DataFrame:
     return tree.where("not board and level - parent_level > 1").select("book_id", "node_id", text.alias("warning"))
 
 
-SECTION_NO = rf"^第\s*({fixed.CN_OR_AR})\s*节"
-
-
 def continuity(tree: DataFrame) -> DataFrame:
     """(book_id, chapter_no, numbers, warning) of chapters whose direct sections' numbers
     aren't consecutive, in the order of the document."""
     chapters = tree.where("level = 1 and not board").select("book_id", F.col("node_id").alias("__c"), "chapter_no", F.col("title").alias("__t"))
-    sections = tree.where(~F.col("board") & T.has(F.col("title"), SECTION_NO)).select("book_id", F.col("parent_id").alias("__c"), "node_id", T.cn_to_int(T.group(F.col("title"), SECTION_NO)).alias("no"))
+    sections = tree.where(~F.col("board") & T.has(F.col("title"), fixed.SECTION_NO)).select("book_id", F.col("parent_id").alias("__c"), "node_id", T.cn_to_int(T.group(F.col("title"), fixed.SECTION_NO)).alias("no"))
     g = sections.groupBy("book_id", "__c").agg(F.array_sort(F.collect_list(F.struct("node_id", "no"))).alias("s")).withColumn("numbers", F.col("s.no"))
     bad = g.where(F.size("numbers") > 1).where(F.col("numbers") != F.sequence(F.array_min("numbers"), F.array_max("numbers")))
     shown = F.concat(F.lit("["), F.array_join(F.col("numbers").cast("array<string>"), ", "), F.lit("]"))
