@@ -332,9 +332,9 @@ def multiplied(rows: tuple, strays: tuple) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(left), np.concatenate(right)
 
 
-def stray_pairs(made: DataFrame, strays: DataFrame, parts: int, bins: int = 1 << 21) -> DataFrame:
+def stray_pairs(made: DataFrame, strays: DataFrame, parts: int, in_pieces: bool, bins: int = 1 << 21) -> DataFrame:
     """Packed pairs of (at least) the rows in ``strays`` with all rows of their columns, and
-    of their columns' other pieces."""
+    of their columns' other pieces if there are columns in pieces."""
     bits = made.sparkSession.sparkContext.broadcast(dense.bit_table(strays.select("node"), bins))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -360,7 +360,8 @@ def stray_pairs(made: DataFrame, strays: DataFrame, parts: int, bins: int = 1 <<
 
     whole = made.where(F.col("kind") == COLUMNS).select("payload", F.lit(None).cast("binary").alias("others"))
     pieces = made.where(F.col("kind") == PIECES).select("col", "payload")
-    whole = whole.unionByName(pieces.join(pieces.mapInArrow(only_strays, "col long, others binary"), "col").select("payload", "others"))
+    if in_pieces:
+        whole = whole.unionByName(pieces.join(pieces.mapInArrow(only_strays, "col long, others binary"), "col").select("payload", "others"))
     return whole.mapInArrow(run, PACKED)
 
 
@@ -493,7 +494,7 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n:
     labels = components(links)
     far = members.join(labels.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a", "left").join(labels.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b", "left")
     strays = cut(far.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select(F.col("a").alias("node")).distinct(), "strays")
-    rest = distinct_pairs(stray_pairs(made, strays, parts))
+    rest = distinct_pairs(stray_pairs(made, strays, parts, linking is not made))
     rest = rest.join(labels.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a", "left").join(labels.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b", "left")
     rest = rest.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
     more = linked(rest, nodes, base, n)
