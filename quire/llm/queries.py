@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import chat, decontam, digest, langid, lines, mixing, ngramjoin, pages, sharding, suffixes
+from quire.llm import balls, chat, decontam, digest, langid, lines, mixing, ngramjoin, pages, rules, sharding, suffixes, whiten
 from quire.llm.common import table
 
 SHARDS = 40
@@ -108,6 +108,25 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: From this score on a text is predicted to be good.
+GOOD = 0.3
+
+
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = lambda c: F.coalesce(F.crc32(c.cast("string")) % 5 == 0, F.lit(False))
+    out, _ = rules.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~held(F.col("id")))
+    return out.select(F.col("id").alias("doc_id"), held(F.col("id")).alias("held_out"), "score", (F.col("score") >= GOOD).cast("int").alias("predicted"))
+
+
+def op12_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = balls.with_inertia(*balls.cluster(table(spark, sf_dir, "embeddings")))
+    return out.withColumnRenamed("id", "vec_id")
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten.whiten(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_fingerprints": op2_fingerprints,
@@ -119,6 +138,9 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_html": op9_html,
     "op10_chat": op10_chat,
+    "op11_quality": op11_quality,
+    "op12_clusters": op12_clusters,
+    "op13_whitening": op13_whitening,
 }
 
 ORACLE_SQL: dict[str, str] = {
