@@ -52,7 +52,8 @@ def centred_products(dims: int) -> list[str]:
 def covariance(points: DataFrame, n: int, sums: list[int]) -> np.ndarray:
     """Of the vectors x, with divisor n: each component less its mean, then multiplied."""
     dims = len(sums)
-    centred = points.select(*[(F.col("x")[i].cast("double") - F.lit(s / n)).alias(f"c{i}") for i, s in enumerate(sums)])
+    # columns that can't be null make sums of half the code
+    centred = points.select(*[F.coalesce(F.col("x")[i].cast("double") - F.lit(s / n), F.lit(0.0)).alias(f"c{i}") for i, s in enumerate(sums)])
     row = centred.selectExpr(*centred_products(dims)).first()
     out = np.zeros((dims, dims))
     out[np.triu_indices(dims)] = np.array(row, np.float64) / n
