@@ -143,7 +143,34 @@ QUERIES = {
     "op13_whitening": op13_whitening,
 }
 
+
+
+def _rounds(n: int) -> str:
+    """SQL of n rounds from centroids c0(k, i, c) over components e(rid, i, x): the last ones
+    are c<n>, and the nearest of each vector to them a<n>."""
+    out = []
+    for r in range(n + 1):
+        out.append(f"d{r} as materialized (select rid, k, sum((x - c) * (x - c))::bigint as d from e join c{r} using (i) group by rid, k)")
+        out.append(f"a{r} as materialized (select rid, k, d from d{r} qualify row_number() over (partition by rid order by d, k) = 1)")
+        if r < n:
+            out.append(f"m{r} as materialized (select k, i, ((s - ((s % n + n) % n)) // n)::bigint as c from (select k, i, sum(x) as s, count(*)::hugeint as n from a{r} join e using (rid) group by k, i))")
+            out.append(f"c{r + 1} as materialized (select c.k, c.i, coalesce(m.c, c.c) as c from c{r} c left join m{r} m on m.k = c.k and m.i = c.i)")
+    return ",\n".join(out)
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op12_clusters": f"""
+with v as materialized (
+  select row_number() over () as rid, vec_id, list_transform(embedding, lambda c: floor(1024 * c::double)::bigint) as x from embeddings
+  where len(embedding) = 64 and len(list_filter(embedding, lambda c: c is not null and isfinite(c))) = 64
+), e as materialized (select rid, unnest(range(1, 65)) as i, unnest(x) as x from v),
+s as (select rid, row_number() over (order by sha256('3:' || coalesce(vec_id::varchar, '')), x) - 1 as k from v qualify k < 8),
+c0 as materialized (select k, i, x as c from s join e using (rid)),
+{_rounds(10)},
+h as (select k, sha256(string_agg(c::varchar, ',' order by i)) as sha from c10 group by k)
+select vec_id, k::int as cluster, d as distance, sum(d) over (partition by k)::bigint as cluster_inertia, sum(d) over ()::bigint as inertia, sha as centroid_sha256
+from a10 join v using (rid) join h using (k)
+""",
     "op5_ngram_join": r"""
 with recursive w as (
   select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents
