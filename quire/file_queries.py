@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quire import oracle
 from quire.functions import text as T
-from quire.operators import documents, intervals, links, structure
+from quire.operators import documents, intervals, links, segments, structure
 from quire.plans import render
 from quire.queries import LONG, TREE, _flat, _marked, _vault
 from quire.sources import adapters as A
@@ -210,6 +210,15 @@ def src8_baseline_files(spark, sf):
     return back.select("s.name", F.col("s.chapter_count").cast(LONG).alias("chapter_count"), F.array_join("s.titles", "|").alias("titles"))
 
 
+# --- long books -------------------------------------------------------------------------------
+
+
+@query(oracle.SQL["c3_rebuild"])
+def c3_rebuild_in_segments(spark, sf):
+    """The trees of all books by scans over segments of two batches."""
+    return _flat(structure.nodes(segments.marked_lines(A.fx_batches(spark, sf), span=50)))
+
+
 # --- documents --------------------------------------------------------------------------------
 
 

@@ -86,14 +86,19 @@ def _with_entries(lines: DataFrame) -> DataFrame:
     stop = F.min(F.when((F.col("o") > F.col("anchor")) & T.has(line, fixed.BODY_CHAPTER), F.col("o"))).over(_book())
     within = (F.col("o") > F.col("anchor")) & (F.col("o") < F.coalesce(stop, F.lit(1 << 62)))
 
+    return lines.withColumn("entry", F.when(within, _entry(line)))
+
+
+def _entry(line: Column) -> Column:
+    """struct(no, title, page) of a line that has the form of an entry of the contents."""
+
     def parsed(rest):
         page = F.when(T.has(rest, fixed.ENTRY_PAGE), F.coalesce(T.group(rest, fixed.ENTRY_PAGE, 1).try_cast("int"), T.group(rest, fixed.ENTRY_PAGE, 2).try_cast("int")))
         title = T.strip(T.sub(T.strip(T.sub(rest, fixed.ENTRY_PAGE, "")), r"[….·\-—\s]+$", ""))
         return F.struct(T.cn_to_int(T.group(line, fixed.ENTRY)).alias("no"), title.alias("title"), page.alias("page"))
 
-    entry = F.when(within & T.has(line, fixed.ENTRY), T.let(T.strip(T.group(line, fixed.ENTRY, 2)), parsed))
-    entry = T.let(entry, lambda e: F.when(e["title"] != "", e))
-    return lines.withColumn("entry", entry)
+    entry = F.when(T.has(line, fixed.ENTRY), T.let(T.strip(T.group(line, fixed.ENTRY, 2)), parsed))
+    return T.let(entry, lambda e: F.when(e["title"] != "", e))
 
 
 def toc_entries(batches: DataFrame) -> DataFrame:
@@ -120,6 +125,63 @@ def _last(value: Column, w) -> Column:
     return F.last(value, True).over(w)
 
 
+def _leaves_contents() -> Column:
+    return T.starts_hash(F.col("line")) & (T.has(F.col("bare"), fixed.CHAPTER) | T.has(F.col("bare"), fixed.CHAPTER_BARE))
+
+
+def _hash_title() -> Column:
+    """Of a line that is a chapter in books whose chapters have no numbers."""
+    return T.strip(F.regexp_replace("bare", "^#+", ""))
+
+
+def _with_hash_chapters(known: Column) -> Column:
+    """What a line is, or a chapter without a number; ``known``: its text is in the contents."""
+    bare = F.col("bare")
+    hash_chapter = (F.col("style") == "hash") & T.starts_hash(F.col("line")) & (bare != "") & ~T.has(bare, fixed.BOARD) & ~T.has(bare, fixed.CHAPTER_BARE) & ~T.has(bare, fixed.SECTION) & known
+    return F.coalesce("found", F.when(hash_chapter, F.struct(F.lit(1).alias("level"), _hash_title().alias("title"), F.lit(False).alias("board"), F.lit("hash").alias("kind"))))
+
+
+def _undotted(title: Column) -> Column:
+    return T.strip(T.sub(title, "^[·•]+", ""))
+
+
+def _is_weak() -> Column:
+    """Headings of a form that texts have too."""
+    kind, level = F.col("h.kind"), F.col("h.level")
+    return F.coalesce((kind == "cn") | ((kind == "") & (level == 3) & T.has(F.col("h.title"), fixed.BRACKETED)), F.lit(False))
+
+
+def _base_event() -> Column:
+    kind = F.col("h.kind")
+    return F.when(F.col("opens"), F.struct(F.col("o"), F.lit("").alias("kind"))).when(F.col("sub") & kind.isin("jie", "dot"), F.struct(F.col("o"), kind.alias("kind")))
+
+
+def _level_below(base: str, cn: str) -> Column:
+    """A line's level, given the last section or chapter before and the last listed heading."""
+    level, kind, board = F.col("h.level"), F.col("h.kind"), F.coalesce(F.col("h.board"), F.lit(False))
+    under = F.coalesce(F.col(f"{base}.kind") == "jie", F.lit(False))
+    deep = under & F.coalesce(F.col(cn) > F.col(f"{base}.o"), F.lit(False))
+    return F.when(board, 0).when(F.col("sub") & (kind == "cn"), F.when(under, 3).otherwise(2)).when(F.col("sub") & (kind == "") & (level == 3), F.when(deep, 4).otherwise(3)).otherwise(level)
+
+
+def _role(first: Column, board: Column) -> Column:
+    return (
+        F.when(F.col("opens"), "chapter")
+        .when(board & F.col("in_book"), "board")
+        .when(board, "dropped")
+        .when(F.col("in_board"), "content")
+        .when(first, F.when(F.col("in_book"), "content").otherwise("dropped"))
+        .when(F.col("sub"), F.when(F.col("in_book"), "sub").otherwise("dropped"))
+        .when(F.col("in_book"), "content")
+        .otherwise("front")
+    )
+
+
+def _page_range() -> Column:
+    pages = F.concat(F.lit("p"), F.col("page_start").cast("string"), F.lit("-"), F.col("page_end").cast("string"))
+    return F.when(F.col("opens") & (F.coalesce("toc_page", F.lit(0)) != 0), F.concat(F.lit("p"), F.col("toc_page").cast("string"))).otherwise(pages)
+
+
 def marked_lines(batches: DataFrame, version: int = 2) -> DataFrame:
     """Lines with what they are in the tree: role (chapter, sub, board, content, front or
     dropped), level, title, chapter_no, node_id, parent_level, parent_id, page_range."""
@@ -141,8 +203,7 @@ def marked_lines(batches: DataFrame, version: int = 2) -> DataFrame:
         lines = lines.withColumn("driven", (F.col("style") == "numbered") & (F.count("__e").over(_book()) >= fixed.TOC_LEAST_ENTRIES))
         lines = lines.withColumn("entries", F.collect_list("__e").over(_book())).withColumn("entries", F.when(maybe, F.array_sort("entries"))).drop("__e")
         lines = lines.where((F.col("ratio") <= fixed.TOC_PAGE_SHARE) & ~F.col("toc"))
-        enter = is_anchor(line)
-        leave = T.starts_hash(line) & (T.has(F.col("bare"), fixed.CHAPTER) | T.has(F.col("bare"), fixed.CHAPTER_BARE))
+        enter, leave = is_anchor(line), _leaves_contents()
         before = F.coalesce(_last(F.when(enter, 1).when(leave, 0), w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         lines = lines.withColumn("__in", before).where(~F.col("driven") | F.when(F.col("__in") == 1, leave).otherwise(~enter)).drop("__in")
     else:
@@ -152,10 +213,8 @@ def marked_lines(batches: DataFrame, version: int = 2) -> DataFrame:
     prev, upto = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(Window.unboundedPreceding, 0)
     bare = F.col("bare")
     known = lambda t: F.array_contains("titles", T.norm_title(t))
-    hash_chapter = (F.col("style") == "hash") & T.starts_hash(line) & (bare != "") & ~T.has(bare, fixed.BOARD) & ~T.has(bare, fixed.CHAPTER_BARE) & ~T.has(bare, fixed.SECTION) & known(bare)
-    found = F.coalesce("found", F.when(hash_chapter, F.struct(F.lit(1).alias("level"), T.strip(F.regexp_replace(bare, "^#+", "")).alias("title"), F.lit(False).alias("board"), F.lit("hash").alias("kind"))))
-    lines = lines.withColumn("h", found)
-    stranger = (F.col("style") == "hash") & (F.col("h.level") == 1) & (F.size("titles") > 0) & ~known(T.strip(T.sub(F.col("h.title"), "^[·•]+", "")))
+    lines = lines.withColumn("h", _with_hash_chapters(known(bare)))
+    stranger = (F.col("style") == "hash") & (F.col("h.level") == 1) & (F.size("titles") > 0) & ~known(_undotted(F.col("h.title")))
     lines = lines.withColumn("h", F.when(~F.coalesce(stranger, F.lit(False)), F.col("h")))
     level, kind = F.col("h.level"), F.col("h.kind")
     board = F.coalesce(F.col("h.board"), F.lit(False))
@@ -180,27 +239,13 @@ def marked_lines(batches: DataFrame, version: int = 2) -> DataFrame:
     lines = lines.withColumn("in_board", (region == 1) & ~first)
     if version == 2:
         vouched = T.starts_hash(line) | known(F.col("h.title")) | known(T.unnumbered(F.col("h.title")))
-        weak = (kind == "cn") | ((kind == "") & (level == 3) & T.has(F.col("h.title"), fixed.BRACKETED))
-        take = F.col("h").isNotNull() & (~F.coalesce(weak, F.lit(False)) | vouched)
+        take = F.col("h").isNotNull() & (~_is_weak() | vouched)
     else:
         take = F.col("h").isNotNull()
     lines = lines.withColumn("sub", take & ~board & ~first & ~F.col("in_board"))
-    base = F.when(F.col("opens"), F.struct(o.alias("o"), F.lit("").alias("kind"))).when(F.col("sub") & kind.isin("jie", "dot"), F.struct(o.alias("o"), kind.alias("kind")))
-    lines = lines.withColumn("__base", _last(base, prev)).withColumn("__cn", _last(F.when(F.col("sub") & (kind == "cn"), o), prev))
-    under = F.coalesce(F.col("__base.kind") == "jie", F.lit(False))
-    deep = under & F.coalesce(F.col("__cn") > F.col("__base.o"), F.lit(False))
-    lines = lines.withColumn("level", F.when(board, 0).when(F.col("sub") & (kind == "cn"), F.when(under, 3).otherwise(2)).when(F.col("sub") & (kind == "") & (level == 3), F.when(deep, 4).otherwise(3)).otherwise(level))
-    role = (
-        F.when(F.col("opens"), "chapter")
-        .when(board & F.col("in_book"), "board")
-        .when(board, "dropped")
-        .when(F.col("in_board"), "content")
-        .when(first, F.when(F.col("in_book"), "content").otherwise("dropped"))
-        .when(F.col("sub"), F.when(F.col("in_book"), "sub").otherwise("dropped"))
-        .when(F.col("in_book"), "content")
-        .otherwise("front")
-    )
-    lines = lines.withColumn("role", role)
+    lines = lines.withColumn("__base", _last(_base_event(), prev)).withColumn("__cn", _last(F.when(F.col("sub") & (kind == "cn"), o), prev))
+    lines = lines.withColumn("level", _level_below("__base", "__cn"))
+    lines = lines.withColumn("role", _role(first, board))
     node = F.col("role").isin("chapter", "board", "sub")
     lines = lines.withColumn("node_id", _last(F.when(node, o), upto))
     inside = Window.partitionBy("book_id", "chapter_no").orderBy("o").rowsBetween(Window.unboundedPreceding, -1)
@@ -214,10 +259,8 @@ def marked_lines(batches: DataFrame, version: int = 2) -> DataFrame:
     chapter = _last(F.when(F.col("opens"), mine), inside)
     lines = lines.withColumn("__parent", F.when(F.col("role").isin("sub", "board"), F.coalesce(parent, chapter)))
     lines = lines.withColumn("parent_id", F.col("__parent.o")).withColumn("parent_level", F.col("__parent.level"))
-    pages = F.concat(F.lit("p"), F.col("page_start").cast("string"), F.lit("-"), F.col("page_end").cast("string"))
-    pages = F.when(F.col("opens") & (F.coalesce("toc_page", F.lit(0)) != 0), F.concat(F.lit("p"), F.col("toc_page").cast("string"))).otherwise(pages)
     title = F.when(node, F.col("h.title"))
-    return lines.select("book_id", "batch_idx", "o", "line", "role", F.when(node, F.col("level")).alias("level"), F.when(node, kind).alias("kind"), title.alias("title"), "chapter_no", "node_id", "parent_id", "parent_level", F.when(node, pages).alias("page_range"))
+    return lines.select("book_id", "batch_idx", "o", "line", "role", F.when(node, F.col("level")).alias("level"), F.when(node, kind).alias("kind"), title.alias("title"), "chapter_no", "node_id", "parent_id", "parent_level", F.when(node, _page_range()).alias("page_range"))
 
 
 def nodes(marked: DataFrame) -> DataFrame:

@@ -106,12 +106,20 @@ def work_dir(spark: SparkSession) -> str:
     one process."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
             raise ValueError("name a folder that driver and executors share in spark.checkpoint.dir")
         shared = "file://" + tempfile.gettempdir()
     return f"{shared.rstrip('/')}/quire-files-{uuid.uuid4().hex}"
 
 
+def staged(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read again: what is read several times is
+    computed once, and lineage ends there."""
+    path = work_dir(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def zip_bundles(files: DataFrame) -> DataFrame:
     """(book_id, zip) of (book_id, path, data): a bundle a book, members in order."""
 
