@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from quire import oracle
 from quire.functions import text as T
-from quire.operators import documents, intervals, links, segments, structure
+from quire.operators import documents, evolving, incremental, intervals, links, segments, structure
 from quire.plans import render
 from quire.queries import LONG, TREE, _flat, _marked, _vault
 from quire.sources import adapters as A
 from quire.sources import files, tree
+from quire.streaming import resume
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -254,3 +255,94 @@ def c7_walked_trees(spark, sf):
     return documents.walk(nodes).select("book_id", "node_id", F.col("depth").cast(LONG).alias("depth"), "pre", F.array_join(F.col("path").cast("array<string>"), "/").alias("path"))
 
 
+
+
+# --- results kept up to date, columns added later, resumed parsing ----------------------------
+
+
+@query(
+    f"""with {oracle.BODY}, {oracle.batches('body')}, b as (select book_id, batch_idx, page_start, page_end, case when book_id % 100 = 7 then text || '!' else text end as text from batches where book_id % 50 <> 3)
+select book_id, string_agg(chr(10) || '<!-- batch ' || batch_idx || ': p' || page_start || '-' || page_end || ' -->' || chr(10) || chr(10) || text, chr(10) order by page_start, batch_idx) as md, book_id % 100 <> 7 as cached from b group by book_id"""
+)
+def snk11_refreshed_exports(spark, sf):
+    """Exports of all books, then again after some changed and some went: only the changed
+    ones are read and computed, and all rows are those of a full computation."""
+    store, at = files.work_dir(spark), files.work_dir(spark)
+    batches = A.fx_batches(spark, sf, toc=False)
+    incremental.write_inputs(batches, f"{at}/1")
+    made = lambda path: lambda books: render.raw_md(incremental.inputs_of(spark, path, books))
+    one = spark.read.parquet(f"{at}/1").select("book_id").distinct().withColumn("version", F.lit(1).cast(LONG))
+    incremental.refresh(one, made(f"{at}/1"), store)
+    changed = F.col("book_id") % 100 == 7
+    incremental.write_inputs(batches.withColumn("text", F.when(changed, F.concat("text", F.lit("!"))).otherwise(F.col("text"))), f"{at}/2")
+    two = one.where("book_id % 50 <> 3").withColumn("version", F.when(changed, 2).otherwise(1).cast(LONG))
+    incremental.refresh(two, made(f"{at}/2"), store)
+    return incremental.current(spark, store).select("book_id", "md", (F.col("generation") == 1).alias("cached"))
+
+
+_COLUMNS = {"id": ("long", None), "title": ("string", ""), "parse_status": ("string", "pending"), "parse_progress": ("string", ""), "quota_files": ("int", 0), "parse_error": ("string", "")}
+
+
+def _changes(spark, sf):
+    """Events as changes of the catalogue, of which some set columns to null."""
+    e = A.load(spark, sf, "events")
+    n = F.col("event_id")
+    op = F.when(n % 11 == 5, "delete").when(n % 11 == 6, "insert").otherwise("update")
+    sets = F.when(n % 11 == 6, F.array(F.lit("title"), F.lit("parse_status"))).when(n % 3 == 0, F.array(F.lit("parse_status"))).otherwise(F.array(F.lit("parse_progress"), F.lit("quota_files")))
+    return e.select(
+        F.col("user_id").alias("id"),
+        n.alias("seq"),
+        op.alias("op"),
+        sets.alias("sets"),
+        F.concat(F.lit("N"), n.cast("string")).alias("title"),
+        F.col("event_type").alias("parse_status"),
+        F.when(n % 4 != 0, F.concat(n.cast("string"), F.lit("/9"))).alias("parse_progress"),
+        F.lit(1).alias("quota_files"),
+        F.lit(None).cast("string").alias("parse_error"),
+    )
+
+
+@query(
+    f"""with recursive {oracle.BOOKS.strip()},
+t as (select id, title, parse_status, case when id % 2 = 0 then '' else parse_progress end as parse_progress, case when id % 2 = 0 then 0 else 1 end as quota_files, case when id % 2 = 0 then '' else parse_error end as parse_error from books),
+ch as (select user_id as id, event_id as n, row_number() over (partition by user_id order by event_id) as k, event_type from events),
+r as (select t.id, 0::bigint as k, true as there, t.title, t.parse_status, t.parse_progress, t.quota_files, t.parse_error from t
+  union all select distinct ch.id, 0, false, null, null, null, null::int, null from ch where ch.id not in (select id from t)
+  union all select r.id, ch.k, case when n % 11 = 5 then false when n % 11 = 6 then true else there end,
+    case when n % 11 = 5 then null when n % 11 = 6 then 'N' || n else r.title end,
+    case when n % 11 = 5 then null when n % 11 = 6 then event_type when there and n % 3 = 0 then event_type else r.parse_status end,
+    case when n % 11 in (5, 6) then null when there and n % 3 <> 0 then case when n % 4 <> 0 then n || '/9' end else r.parse_progress end,
+    case when n % 11 in (5, 6) then null when there and n % 3 <> 0 then 1 else r.quota_files end,
+    case when n % 11 in (5, 6) then null else r.parse_error end
+  from r join ch on ch.id = r.id and ch.k = r.k + 1)
+select id, title, parse_status, parse_progress, quota_files, parse_error from (select * from r qualify row_number() over (partition by id order by k desc) = 1) where there"""
+)
+def snk12_merged_catalog(spark, sf):
+    """A catalogue of two generations of files, of which the older lack three columns, and
+    changes merged into it row by row."""
+    path = files.work_dir(spark)
+    books = A.fx_books(spark, sf)
+    evolving.write_generation(books.where("id % 2 = 0").select("id", "title", "parse_status"), path, 1)
+    evolving.write_generation(books.where("id % 2 = 1").select("title", "parse_error", "parse_status", "id", "parse_progress", "quota_files"), path, 2)
+    return evolving.merged(evolving.read_generations(spark, path, _COLUMNS), _changes(spark, sf), "id")
+
+
+_RESULTS = "book long, seq long, day string, batch_idx long, pages long, error string"
+
+
+@query(
+    """with r as (select user_id as book, event_id as seq, ts::date::varchar as day, event_id % 7 + 1 as batch_idx, coalesce(floor(value), 0)::bigint as pages, case when event_id % 4 = 1 then 'e' end as error from events),
+f as (select *, min(case when error is null then seq end) over (partition by book, batch_idx) as done, min(seq) over (partition by book) as begun from r)
+select book, seq, day, batch_idx, case when seq > done then 'skipped' when error is not null then 'failed' else 'parsed' end as action, case when seq = done then pages else 0 end as pages, (seq = begun)::bigint as files from f"""
+)
+def c14_resumed_batches(spark, sf):
+    """Results of parsing in three parts as they arrive."""
+    at = files.work_dir(spark)
+    e = A.load(spark, sf, "events")
+    r = e.select(F.col("user_id").alias("book"), F.col("event_id").alias("seq"), F.to_date("ts").cast("string").alias("day"), (F.col("event_id") % 7 + 1).alias("batch_idx"), F.coalesce(F.floor("value"), F.lit(0)).cast(LONG).alias("pages"), F.when(F.col("event_id") % 4 == 1, "e").alias("error"))
+    cuts = r.agg(F.min("seq"), F.max("seq")).first()
+    third = F.floor((F.col("seq") - F.lit(cuts[0])) * 3 / F.lit(cuts[1] - cuts[0] + 1))
+    for k in range(3):
+        r.where(third == k).coalesce(1).write.parquet(f"{at}/in/{k}")
+        resume.run(spark, f"{at}/in", _RESULTS, f"{at}/out", f"{at}/state")
+    return spark.read.schema(resume.OUT).parquet(f"{at}/out")
