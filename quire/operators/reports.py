@@ -116,13 +116,18 @@ def error_summary(errors: DataFrame) -> DataFrame:
     return g.select("book_id", F.when(F.size("e") > fixed.ERRORS_SHOWN, F.concat(text, F.lit("；共 "), F.size("e").cast("string"), F.lit(" 个"))).otherwise(text).alias("summary"), F.size("e").alias("n"))
 
 
+def quota_on(ledger: DataFrame, days: DataFrame) -> DataFrame:
+    """(day, pages_used, files_used) for each of ``days`` (day), by the rows of a ledger (date,
+    used, priority_pages_used, files_used) of that day: none count nothing; rows of the old
+    form have their pages in ``used``."""
+    used = lambda *c: F.coalesce(F.sum(F.coalesce(*c, F.lit(0))), F.lit(0)).cast("long")
+    own = days.select("day").distinct().join(ledger, F.col("day") == F.col("date"), "left")
+    return own.groupBy("day").agg(used("priority_pages_used", "used").alias("pages_used"), used("files_used").alias("files_used"))
+
+
 def quota_today(ledger: DataFrame, today: Column) -> DataFrame:
-    """One row (day, pages_used, files_used) of a ledger (date, used, priority_pages_used,
-    files_used): a row of another day, or none, counts nothing; rows of the old form have
-    their pages in ``used``."""
-    own = ledger.where(F.col("date") == today)
-    pages = F.coalesce(F.sum(F.coalesce("priority_pages_used", "used", F.lit(0))), F.lit(0)).cast("long")
-    return own.agg(pages.alias("pages_used"), F.coalesce(F.sum(F.coalesce("files_used", F.lit(0))), F.lit(0)).cast("long").alias("files_used")).withColumn("day", today)
+    """The row of one day."""
+    return quota_on(ledger, ledger.sparkSession.range(1).select(today.alias("day")))
 
 
 def quota_status(usage: DataFrame, has_key: bool, page_limit: int = fixed.DAILY_PAGES, file_limit: int = fixed.DAILY_FILES) -> DataFrame:

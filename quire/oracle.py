@@ -336,7 +336,7 @@ left join (select n.book_id, count(*) as j from nodes n join nodes p on n.book_i
     "a9_continuity": f"{TREE}, {SECTIONS} select book_id, chapter_no, warning from cont",
     "a11_outline_totals": f"{TREE}, {DEAD} select book_id, sum(char_count)::bigint as chars, sum(image_count)::bigint as images, sum(table_count)::bigint as tables from nodes where (book_id, node_id) not in (select (book_id, node_id) from dead) group by book_id",
     "c5_outlines": f"""{TREE}, {DEAD} select book_id, string_agg(case when level = 1 then '- **' || title || '**（' || page_range || '，' || char_count || '字，图' || image_count || ' 表' || table_count || '）' else repeat('  ', (level - 1)::int) || '- ' || title || '（' || page_range || '，' || char_count || '字）' end, chr(10) order by node_id) as outline from nodes where (book_id, node_id) not in (select (book_id, node_id) from dead) group by book_id""",
-    "p14_chapter_titles": f"{TREE} select book_id, chapter_no, title from nodes where level = 1 and chapter_no <= 2",
+    "p14_chapter_titles": f"{TREE} select book_id, chapter_no, title from nodes where level = 1",
     "a4_table_stats": f"""with {GRADED} select k % 10 as g, count(*) filter (where gate = 'ok') as converted, count(*) filter (where gate <> 'ok') as kept, count(*) filter (where is_math) as math_total, count(*) filter (where is_math and gate = 'ok') as math_converted,
 count(*) filter (where is_math and gate <> 'ok') as math_kept, count(*) filter (where is_math and gate <> 'ok' and regexp_matches(html, '(?i)colspan|rowspan')) as math_kept_merged, count(*) filter (where is_math and gate <> 'ok' and max_cell > 300) as math_kept_cell_too_long from graded group by 1""",
     "a4_kept_reasons": f"with {GRADED}, a as (select k % 10 as g, gate, count(*) as n from graded where gate <> 'ok' group by 1, 2) select g, string_agg(gate || '=' || n, ';' order by gate) as reasons from a group by g",
@@ -360,7 +360,8 @@ from c left join t using (book_id, chapter_no) left join t2 using (book_id, chap
     "u3_missing_dirs": f"with {DIRS} select kind, c.name from cat c, (select unnest(['build', 'md']) as kind) k where not exists (select 1 from disk d where d.kind = k.kind and d.name = c.name)",
     "j8_golden": f"""{TREE}, c as (select book_id, list(title order by node_id) as t from nodes where level = 1 group by 1) select case when book_id % 10 = 0 then 'new' when book_id % 9 = 0 then 'count' when book_id % 8 = 0 then 'titles' else 'ok' end as verdict, count(*) as n from c group by 1""",
     "j9_vault_folders": f"with {DIRS} select title || ' notes' as dir, min(name) as name from books join cat on contains(title || ' notes', regexp_replace(name, '^[^_]*_', '')) where id % 5 = 0 group by 1",
-    "j10_link_rewrite": f"with {BODY}, {FILES}, {REFS} select r.book_id, ln, case when f.rel is null then line else replace(line, '(' || r.rel || ')', '(https://cdn/' || r.rel || ')') end as line from refs r left join files f using (book_id, rel)",
+    "j10_link_rewrite": f"""with {BODY}, {FILES}, known as (select book_id, list(distinct rel) as rels from files group by book_id)
+select book_id, ln, list_reduce(list_prepend(line, coalesce(rels, [])), lambda acc, r: replace(acc, '(' || r || ')', '(https://cdn/' || r || ')')) as line from body left join known using (book_id)""",
     "j11_incomplete_batches": f"with {BODY}, {FILES}, {REFS} select book_id, batch_idx::bigint as batch_idx, count(distinct rel) as missing from refs anti join files using (book_id, rel) group by 1, 2",
     "c10_lint": f"with {LINT}, {FILES}, lr as (select book_id, i, unnest(regexp_extract_all(s, '!\\[[^\\]]*\\]\\((images/[^)\\s]+)\\)', 1)) as rel from l6 where free), al as (select * from issues union all select book_id, 'missing_image', i from lr anti join files using (book_id, rel)) select book_id, rule, case when rule = 'html_table_ragged' then 'warning' else 'error' end as severity, line::bigint as line from al",
     "a12_lint_counts": f"with {LINT} select rule, case when rule = 'html_table_ragged' then 'warning' else 'error' end as severity, count(*) as n from issues group by 1, 2",

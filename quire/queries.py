@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from quire import fixed
 from quire.functions import text as T
-from quire.operators import audit, catalog, diff, lint, reports, structure
+from quire.operators import audit, catalog, diff, intervals, links, lint, reports, structure
 from quire.plans import render
 from quire.sources import adapters as A
 from quire.sources import files
@@ -349,7 +349,7 @@ def c4_rebuild_flat(spark, sf):
 @query
 def a7_structures(spark, sf):
     b = A.fx_batches(spark, sf)
-    m = structure.marked_lines(b)
+    m = files.staged(structure.marked_lines(b))
     s = structure.structures(b, m, structure.nodes(m))
     return s.select("book_id", "pages_covered", "chapter_count", "pre_matter_chars", F.size("warnings").cast(LONG).alias("n_warnings"))
 
@@ -376,7 +376,7 @@ def c5_outlines(spark, sf):
 
 @query
 def p14_chapter_titles(spark, sf):
-    return _tree(spark, sf).where("level = 1 and chapter_no <= 2").select("book_id", "chapter_no", "title")
+    return _tree(spark, sf).where("level = 1").select("book_id", "chapter_no", "title")
 
 
 # --- reports ----------------------------------------------------------------------------------
@@ -448,15 +448,14 @@ def _spans(spark, sf):
 @query
 def j1_overlapping_batches(spark, sf):
     b = A.fx_batches(spark, sf, toc=False).select("book_id", "batch_idx", "page_start", "page_end", "text")
-    j = _spans(spark, sf).join(b, "book_id").where("page_start <= hi and page_end >= lo")
+    j = intervals.overlapping(_spans(spark, sf), b, "book_id", ("lo", "hi"), ("page_start", "page_end"))
     return j.groupBy("book_id", "chapter_no").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
 
 
 @query
 def j2_until_next_chapter(spark, sf):
-    s = _spans(spark, sf).withColumn("next_lo", F.lead("lo").over(Window.partitionBy("book_id").orderBy("chapter_no")))
     b = A.fx_batches(spark, sf, toc=False).select("book_id", "page_start", "page_end", "text")
-    j = s.join(b, "book_id").where("page_end >= lo and (next_lo is null or page_start < next_lo)")
+    j = intervals.until_next(_spans(spark, sf), b, "book_id", "chapter_no", "lo", ("page_start", "page_end"))
     return j.groupBy("book_id", "chapter_no").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
 
 
@@ -491,7 +490,7 @@ def u3_missing_dirs(spark, sf):
 
 @query
 def j8_golden(spark, sf):
-    t = _tree(spark, sf).where("level = 1").groupBy("book_id").agg(F.array_sort(F.collect_list(F.struct("node_id", "title"))).alias("t"))
+    t = files.staged(_tree(spark, sf).where("level = 1")).groupBy("book_id").agg(F.array_sort(F.collect_list(F.struct("node_id", "title"))).alias("t"))
     cur = t.select(F.concat(F.lit("b"), F.col("book_id").cast("string")).alias("name"), "book_id", F.size("t").alias("chapter_count"), F.col("t.title").alias("titles"))
     gold = cur.where("book_id % 10 <> 0").select("name", F.when(F.col("book_id") % 9 == 0, F.col("chapter_count") + 1).otherwise(F.col("chapter_count")).alias("chapter_count"), F.when(F.col("book_id") % 8 == 0, F.array(F.lit("x"))).otherwise(F.col("titles")).alias("titles"))
     return audit.verify_golden(cur.select("name", "chapter_count", "titles"), gold).groupBy("verdict").agg(F.count("*").alias("n"))
@@ -504,16 +503,10 @@ def j9_vault_folders(spark, sf):
     return audit.match_vault(vault, cat)
 
 
-def _links_rewritten(spark, sf, lines):
-    refs = reports.line_refs(lines, "book_id", "ln", "line")
-    urls = A.fx_image_files(spark, sf).select("book_id", "rel", F.concat(F.lit("https://cdn/"), T.quote_key(F.col("rel"))).alias("url"))
-    j = refs.join(urls, ["book_id", "rel"], "left")
-    return j.select("book_id", "ln", F.when(F.col("url").isNull(), F.col("line")).otherwise(F.replace("line", F.concat(F.lit("("), "rel", F.lit(")")), F.concat(F.lit("("), "url", F.lit(")")))).alias("line"))
-
-
 @query
 def j10_link_rewrite(spark, sf):
-    return _links_rewritten(spark, sf, A.fx_lines(spark, sf, toc=False))
+    urls = A.fx_image_files(spark, sf).select("book_id", "rel", F.concat(F.lit("https://cdn/"), T.quote_key(F.col("rel"))).alias("url"))
+    return links.rewritten(A.fx_lines(spark, sf, toc=False).select("book_id", "ln", "line"), urls)
 
 
 @query
@@ -617,8 +610,8 @@ def a14_vault_summary(spark, sf):
 @query
 def c5_outline_reports(spark, sf):
     b = A.fx_batches(spark, sf)
-    m = structure.marked_lines(b)
-    tree = structure.nodes(m)
+    m = files.staged(structure.marked_lines(b))
+    tree = files.staged(structure.nodes(m))
     out = render.outline_reports(structure.structures(b, m, tree), tree)
     return out.select("book_id", F.length("report").cast(LONG).alias("n"), F.md5("report").alias("md5"))
 
@@ -638,13 +631,12 @@ def a16_quota_status(spark, sf):
 
 @query
 def src7_quota_today(spark, sf):
-    """A ledger with rows of the old form, read on the last of its days."""
+    """A ledger with rows of the old form, read on each of its days, and on one without rows."""
     u = _usage(spark, sf)
     old = F.dayofmonth(F.to_date("day")) % 2 == 0
     ledger = u.select(F.col("day").alias("date"), F.when(old, F.col("pages_used")).alias("used"), F.when(~old, F.col("pages_used")).alias("priority_pages_used"), F.when(~old, F.col("files_used")).alias("files_used"))
-    return u.select("day").distinct().join(ledger, F.col("day") == F.col("date"), "left").groupBy("day").agg(F.coalesce(F.sum(F.coalesce("priority_pages_used", "used")), F.lit(0)).alias("pages"), F.coalesce(F.sum("files_used"), F.lit(0)).alias("files")).unionByName(
-        reports.quota_today(ledger, F.lit("1999-01-01")).select(F.col("day"), F.col("pages_used").alias("pages"), F.col("files_used").alias("files"))
-    )
+    days = u.select("day").unionByName(spark.createDataFrame([("1999-01-01",)], "day string"))
+    return reports.quota_on(ledger, days).select("day", F.col("pages_used").alias("pages"), F.col("files_used").alias("files"))
 
 
 @query
@@ -760,5 +752,5 @@ def u1_union_of_titles(spark, sf):
 
 @query
 def u5_all_warnings(spark, sf):
-    t = _tree(spark, sf)
+    t = files.staged(_tree(spark, sf))
     return structure.level_jumps(t).select("book_id", "warning").unionByName(structure.continuity(t).select("book_id", "warning"))
