@@ -9,7 +9,7 @@ from quire import oracle
 from quire.functions import text as T
 from quire.operators import documents, evolving, incremental, intervals, links, segments, structure
 from quire.plans import render
-from quire.queries import LONG, TREE, _flat, _marked, _vault
+from quire.queries import LONG, TREE, _flat, _marked
 from quire.sources import adapters as A
 from quire.sources import files, tree
 from quire.streaming import resume
@@ -89,6 +89,11 @@ def j2_chapter_raw_texts(spark, sf):
 # --- files of exact names ---------------------------------------------------------------------
 
 
+def _vault(spark, sf):
+    chapters = files.staged(render.chapters_md(render.rendered_lines(_marked(spark, sf))))
+    return render.vault_files(chapters)
+
+
 def _listed(back):
     return back.select("path", "length", F.md5("content").alias("md5"))
 
@@ -117,12 +122,12 @@ def snk8_replaced_vaults(spark, sf):
     folders is replaced as a whole.  Books with a path that leads out of the vault, or into
     the folder of another, are rejected."""
     root = files.work_dir(spark)
-    vault = _vault(spark, sf)
+    vault = files.staged(_vault(spark, sf))
     tree.write_files(vault.select("path", "content"), root)
     folders = vault.select("book_id", F.substring_index("path", "/", 1).alias("b")).distinct()
     again = folders.where("book_id % 4 = 0").select("book_id", F.concat("b", F.lit("/01_全文/全文.md")).alias("path"), F.concat(F.lit("x"), F.col("book_id").cast("string")).alias("content"))
     bad = folders.where("book_id % 4 = 1").select("book_id", F.concat(F.col("b"), F.lit("/../../etc/x")).alias("path"), F.lit("bad").alias("content"))
-    kept, _ = tree.accepted(again.unionByName(bad), "book_id")
+    kept, _ = tree.accepted(files.staged(again.unionByName(bad)), "book_id")
     tree.write_files(kept.select("path", "content"), root)
     return _listed(tree.read_files(spark, root))
 
@@ -225,8 +230,8 @@ def c3_rebuild_in_segments(spark, sf):
 
 def _documents(spark, sf):
     b = A.fx_batches(spark, sf)
-    m = structure.marked_lines(b)
-    nodes = structure.nodes(m)
+    m = files.staged(structure.marked_lines(b))
+    nodes = files.staged(structure.nodes(m))
     return documents.documents(structure.structures(b, m, nodes), nodes, documents.node_lines(m))
 
 
@@ -245,13 +250,29 @@ def src2_documents_read(spark, sf):
     return documents.nodes_of(back).select(*[F.col(c).cast(LONG).alias(c) if c == "level" else c for c in TREE], F.md5(F.array_join("lines", "\n")).alias("lines"))
 
 
+@query(f"""with o as ({oracle.SQL['c5_outline_reports']}) select 'b' || book_id || '_T/outline.md' as path, md5 from o union all select 'b' || book_id || '_T/structure.json', null from o""")
+def snk1_structure_files(spark, sf):
+    """structure.json and outline.md of each book; what the former has is src2_documents_read's."""
+    root = files.work_dir(spark)
+    b = A.fx_batches(spark, sf)
+    m = files.staged(structure.marked_lines(b))
+    nodes = files.staged(structure.nodes(m))
+    s = files.staged(structure.structures(b, m, nodes))
+    at = lambda name: F.concat(F.lit("b"), F.col("book_id").cast("string"), F.lit(f"_T/{name}")).alias("path")
+    docs = documents.documents(s, nodes, documents.node_lines(m)).select(at("structure.json"), F.col("document").alias("content"))
+    reports = render.outline_reports(s, nodes).select(at("outline.md"), F.col("report").alias("content"))
+    tree.write_files(docs.unionByName(reports), root)
+    back = tree.read_files(spark, root)
+    return back.select("path", F.when(F.endswith("path", F.lit(".md")), F.md5("content")).alias("md5"))
+
+
 @query(
     f"""{oracle.TREE}, d as (select book_id, node_id, 0 as depth, [node_id] as p from nodes where parent_id is null union all select n.book_id, n.node_id, depth + 1, list_append(p, n.node_id) from d join nodes n on n.book_id = d.book_id and n.parent_id = d.node_id)
 select book_id, node_id, depth, row_number() over (partition by book_id order by node_id) as pre, array_to_string(p, '/') as path from d"""
 )
 def c7_walked_trees(spark, sf):
     """Depth-first order of trees whose nodes are read back in any order: that of the lines."""
-    nodes = _flat(structure.nodes(_marked(spark, sf))).repartition(F.xxhash64("node_id", "title"))
+    nodes = files.staged(_flat(structure.nodes(_marked(spark, sf))).repartition(F.xxhash64("node_id", "title")))
     return documents.walk(nodes).select("book_id", "node_id", F.col("depth").cast(LONG).alias("depth"), "pre", F.array_join(F.col("path").cast("array<string>"), "/").alias("path"))
 
 

@@ -39,17 +39,15 @@ def merged(rows: DataFrame, changes: DataFrame, key: str, seq: str = "seq", op:
     meet in one aggregate by key: the last setting of each column since the row began."""
     columns = [c for c in rows.columns if c != key]
     base = rows.select(key, F.lit(None).cast(changes.schema[seq].dataType).alias(seq), F.lit("insert").alias(op), F.array(*[F.lit(c) for c in columns]).cast("array<string>").alias(sets), *columns)
-    every = base.unionByName(changes.select(key, seq, op, sets, *columns)).withColumn("__at", F.struct(F.col(seq).isNotNull().alias("later"), F.col(seq).alias("n")))
-    setting = lambda c: F.when((F.col(op) == "insert") | F.array_contains(sets, c), F.struct(F.when(F.array_contains(sets, c), F.col(c)).alias("v")))
-    # states in order: an aggregate of few changes a key, and a fold that begins anew at each insert
-    events = every.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("__at", F.col(op).alias("op"), *[setting(c).alias(c) for c in columns]))).alias("__e"))
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    empty = F.struct(F.lit(False).alias("there"), *[F.lit(None).cast(kinds[c]).alias(c) for c in columns])
-
-    def step(acc: Column, e: Column) -> Column:
-        kept = lambda c: F.when(e[c].isNotNull(), e[c]["v"]).otherwise(acc[c])
-        now = F.struct(F.lit(True).alias("there"), *[kept(c).alias(c) for c in columns])
-        return F.when(e["op"] == "delete", empty).when((e["op"] == "insert") | acc["there"], now).otherwise(acc)
-
-    out = events.select(key, F.aggregate("__e", empty, step).alias("__s")).where("__s.there")
-    return out.select(key, *[F.col(f"__s.{c}").alias(c) for c in columns])
+    at = F.struct(F.col(seq).isNotNull().alias("later"), F.col(seq).alias("n"))
+    every = base.unionByName(changes.select(key, seq, op, sets, *columns)).withColumn("__at", at)
+
+    def last(c: str) -> Column:
+        given = F.array_contains(sets, c)
+        value = F.struct(F.when(given, F.col(c)).alias("v"))  # a struct, as max_by passes over nulls
+        return F.max_by(value, F.when((F.col(op) == "insert") | (F.col(op) == "update") & given, F.col("__at"))).alias(c)
+
+    # an insert sets all columns, so what was set last was set since the last insert
+    begun = F.max_by(op, F.when(F.col(op).isin("insert", "delete"), F.col("__at"))).alias("__begun")
+    out = every.groupBy(key).agg(begun, *[last(c) for c in columns]).where("__begun = 'insert'")
+    return out.select(key, *[F.col(f"{c}.v").alias(c) for c in columns])

@@ -104,6 +104,10 @@ class TreeWriter(DataSourceArrowWriter):
                         data = content.as_buffer() if content.is_valid else b""
                         out.write(data)
                         size += len(data)
+            tops = sorted({p.split("/")[0] for p in seen})
+            fs.create_dir(f"{base}/{JOBS}/{self.job}/tops", recursive=True)
+            with fs.open_output_stream(f"{base}/{JOBS}/{self.job}/tops/{attempt}") as out:
+                out.write("\n".join(tops).encode())
         except BaseException:
             fs.delete_dir(home)
             raise
@@ -124,16 +128,26 @@ class TreeWriter(DataSourceArrowWriter):
             fs.delete_dir(f"{base}/{JOBS}/{self.job}")
 
 
-def _each(spark: SparkSession, names: list[str], column: str, f, schema: str) -> DataFrame:
-    """f(name) -> rows, for each name in a task of its own."""
+def _each(names: DataFrame, f, schema: str) -> DataFrame:
+    """The rows of f(name) for each name (one string column)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name in batch.column(0).to_pylist():
                 yield from f(name)
 
-    parts = max(1, min(len(names), 4 * spark.sparkContext.defaultParallelism))
-    return spark.createDataFrame([(n,) for n in names], f"{column} string").repartition(parts).mapInArrow(run, schema)
+    return names.mapInArrow(run, schema)
+
+
+def _tops(root: str, job: str):
+    """The top folders of an attempt's files."""
+
+    def tops(attempt: str) -> Iterator[pa.RecordBatch]:
+        fs, base = _open(root)
+        with fs.open_input_stream(f"{base}/{JOBS}/{job}/tops/{attempt}") as f:
+            yield pa.RecordBatch.from_pydict({"folder": pa.array(f.read().decode().split("\n"), pa.string())})
+
+    return tops
 
 
 def _gather(root: str, job: str):
@@ -176,14 +190,16 @@ def _switch(root: str, job: str):
 
 def publish(spark: SparkSession, root: str, job: str) -> dict:
     """Finishes a committed job: gathers what was staged, switches folders, cleans up.  Gives
-    the manifest.  The driver handles names of attempts and of top folders only."""
+    the manifest.  The driver has the names of attempts only."""
     fs, base = _open(root)
     home = f"{base}/{JOBS}/{job}"
     with fs.open_input_stream(f"{home}/manifest") as f:
         manifest = json.loads(f.read())
     if manifest["attempts"]:
-        _each(spark, manifest["attempts"], "attempt", _gather(root, job), "attempt string").count()
-        _each(spark, _names(fs, f"{home}/new"), "folder", _switch(root, job), "folder string").count()
+        attempts = spark.createDataFrame([(a,) for a in manifest["attempts"]], "attempt string").repartition(len(manifest["attempts"]))
+        _each(attempts, _gather(root, job), "attempt string").count()
+        folders = _each(attempts, _tops(root, job), "folder string").distinct()
+        _each(folders, _switch(root, job), "folder string").count()
     fs.delete_dir(home)
     return manifest
 
