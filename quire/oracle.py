@@ -287,8 +287,8 @@ SQL = {
     "p11_max_cell": f"with {GRADED} select k, max_cell::bigint as max_cell from graded",
     "p13_status_filters": f"with {BOOKS} select case when parse_status in ('pending', 'failed') then 'actionable' when parse_status in ('parsed', 'structure_ok') then 'ready' else 'busy' end as side, count(*) as n, min(id) as first_id from books group by 1",
     "p16_progress": f"with {BOOKS} select id, coalesce(floor(try_cast(split_part(parse_progress, '/', 1) as double) * 100 / nullif(try_cast(split_part(parse_progress, '/', 2) as double), 0) + 0.5), 0)::bigint as percent from books",
-    "f1_numerals": f"""with a as (select doc_id as n, [{', '.join(repr(x) for x in _DIGITS)}] as z from documents)
-select n as doc_id, case n % 4 when 0 then n::varchar when 1 then z[n % 9 + 1] when 2 then z[n % 9 + 1] || '十' || z[(n + 3) % 9 + 1] else z[n % 9 + 1] || '百' || z[(n + 1) % 9 + 1] || '十' || z[(n + 2) % 9 + 1] end as numeral,
+    "f1_numerals": f"""with a as (select doc_id, len(string_split(text, ' '))::bigint as n, [{', '.join(repr(x) for x in _DIGITS)}] as z from documents)
+select doc_id, case n % 4 when 0 then n::varchar when 1 then z[n % 9 + 1] when 2 then z[n % 9 + 1] || '十' || z[(n + 3) % 9 + 1] else z[n % 9 + 1] || '百' || z[(n + 1) % 9 + 1] || '十' || z[(n + 2) % 9 + 1] end as numeral,
 (case n % 4 when 0 then n when 1 then n % 9 + 1 when 2 then (n % 9 + 1) * 10 + (n + 3) % 9 + 1 else (n % 9 + 1) * 100 + ((n + 1) % 9 + 1) * 10 + (n + 2) % 9 + 1 end)::bigint as n from a""",
     "f2_clean_markdown": r"""with a as (select doc_id, '<del>x</DEL>&amp;lt; &quot;' || text || repeat(chr(10), 4) || '&amp;&middot;&copy;' as t from documents),
 b as (select doc_id, replace(replace(replace(replace(replace(replace(replace(replace(t, '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&gt;', '>'), '&lt;', '<'), '&#39;', ''''), '&nbsp;', chr(160)), '&amp;', '&') as t from a)
@@ -299,17 +299,17 @@ select doc_id, regexp_replace(regexp_replace(replace(replace(replace(t, '&gt;',
     "f5_break_tables": f"with {TABLES} select k, md5(replace(html, '><', '>' || chr(10) || '<')) as md5 from tables",
     "f6_table_markdown": f"""with {GRADED}, r as (select k, list_transform({_ROWS}, lambda r: '| ' || array_to_string(regexp_extract_all(r, '<td>(.*?)</td>', 1), ' | ') || ' |') as r from graded where gate = 'ok')
 select k, chr(10) || r[1] || chr(10) || '| --- | --- |' || chr(10) || array_to_string(r[2:], chr(10)) || chr(10) as md from r""",
-    "f7_escape_pipes": r"""select doc_id, 'a\|b $P(A\vert B)$ \| $c' || doc_id || '\vert d$' as t from documents""",
+    "f7_escape_pipes": r"""with a as (select doc_id, 'a|b $P(A|B)$ | ' || text || ' $c|d$' as t from documents)
+select doc_id, array_to_string(list_transform(regexp_extract_all(t, '(?s)\$[^$]*\$|[^$]+|\$'), lambda x: case when length(x) > 2 and starts_with(x, '$') then replace(x, '|', '\vert ') else replace(x, '|', '\|') end), '') as t from a""",
     "f8_image_refs": f"with {LINES}, {REFS.replace('from body', 'from lines')} select book_id, ln, rel from refs union all select book_id, ln, 'images/h' || ln || '.png' from lines",
     "f9_file_names": r"""select doc_id, rtrim(ltrim(regexp_replace(' .a:b*' || text || '|c?. ', '[<>:"/\\|?*]', '_', 'g'), ' .'), ' .') as file, doc_id || '_a.b' as stem, doc_id || '_a.b.pdf' as title from documents""",
-    "f11_heading_markdown": "select doc_id, case when doc_id % 5 = 0 then '## [板块] T' || doc_id else repeat('#', least(greatest(doc_id % 9, 1), 6)::int) || ' T' || doc_id end as md from documents",
-    "f12_object_urls": "select doc_id, 'B%20~%2A' || doc_id || '/images/a%2Bb.PNG' as url, 'image/png' as mime from documents",
+    "f11_heading_markdown": f"with {LINES}, a as (select book_id, ln, {heading(bare('line'), 'line')} as h from lines) select book_id, ln, case when h.board then '## [板块] ' || h.title else repeat('#', least(greatest(h.level, 1), 6)::int) || ' ' || h.title end as md from a where h is not null",
+    "f12_object_urls": f"with {LINES} select book_id, ln, 'B%20~%2A' || replace(url_encode(line), '%2F', '/') || '/images/a%2Bb.PNG' as url, 'image/png' as mime from lines",
     "f13_line_md5": f"with {LINES} select book_id, ln, md5(line) as md5 from lines",
     "f14_session_tokens": "select doc_id, 'web_' || left(sha256(doc_id || 'salt'), 48) as token from documents",
-    "f15_page_start": "select doc_id, (case when doc_id % 3 = 2 then 1 else doc_id end)::bigint as page from documents",
-    "f16_display_math": "select doc_id, 'a' || chr(10) || '$$' || chr(10) || 'x' || doc_id || chr(10) || '$$' || chr(10) || 'b ' || chr(10) || '$$' || chr(10) || 'y' || chr(10) || '$$' || chr(10) as t from documents",
+    "f16_display_math": r"""select doc_id, regexp_replace('a$$x$$' || text || 'b $$y$$', '\$\$([^$\n]+)\$\$', chr(10) || '$$' || chr(10) || '\1' || chr(10) || '$$' || chr(10), 'g') as t from documents""",
     "f17_dollar_parity": r"""with a as (select doc_id, replace(text, '\$', '') as t from documents) select doc_id, (length(t) - length(replace(t, '$', '')))::bigint as n, (length(t) - length(replace(t, '$', ''))) % 2 = 1 as open from a""",
-    "f18_md_columns": "select doc_id, (1 + doc_id % 6)::bigint as n from documents",
+    "f18_md_columns": rf"""with {LINES}, a as (select book_id, ln, trim(trim(replace('| a\|b |' || line || '|', '\|', chr(1))), '|') as t from lines) select book_id, ln, (length(t) - length(replace(t, '|', '')) + 1)::bigint as n from a""",
     "f19_json": "select event_id, array_to_string(list_sort(json_keys(props)), ',') as keys, len(json_keys(props))::bigint as n from events",
     "f21_plan_batches": f"with {BOOKS}, a as (select id, page_count, case when id % 2 = 0 then 25 else 20 end as size from books), b as (select *, unnest(range(1, page_count + 1, size)) as page_start from a) select id, (page_start // size + 1)::bigint as batch_idx, page_start::bigint as page_start, least(page_start + size - 1, page_count)::bigint as page_end from b",
     "f22_dir_names": f"with {BOOKS} select id, 'b' || id || '_' || title as name, 'b' || id as prefix, null::varchar as \"none\" from books",
@@ -395,6 +395,7 @@ f as (select day, count(*) as n from (select book, min(day) as day from e group
 u as (select e.day, sum(pages)::bigint as pages, coalesce(any_value(n), 0)::bigint as files from e left join f using (day) group by e.day)"""
 _LINES_OF = lambda x: f"coalesce(list_transform({x}, lambda w: '- ' || w), [])"
 
+SQL["f15_page_start"] = rf"{TREE} select book_id, node_id, coalesce(try_cast(regexp_extract(page_range, 'p(\d+)', 1) as bigint), 1) as page, coalesce(try_cast(regexp_extract(title, 'p(\d+)', 1) as bigint), 1) as none from nodes"
 SQL |= {
     "a14_vault_reports": f"{_VAULT_REPORTS} select * from vr",
     "a14_vault_summary": f"{_VAULT_REPORTS}, t as (select count(*) as books, sum(image_non_remote + html_tag + html_entity + bad_math + blank_run + orphan_md)::bigint as issues from vr) select books, issues, issues = 0 as healthy from t",

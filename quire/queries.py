@@ -102,7 +102,7 @@ def p16_progress(spark, sf):
 @query
 def f1_numerals(spark, sf):
     digits = F.array(*[F.lit(x) for x in "一二三四五六七八九"])
-    n = F.col("doc_id")
+    n = F.size(F.split("text", " ")).cast(LONG)
     d = lambda c: F.element_at(digits, (c % 9 + 1).cast("int"))
     s = F.when(n % 4 == 0, n.cast("string")).when(n % 4 == 1, d(n)).when(n % 4 == 2, F.concat(d(n), F.lit("十"), d(n + 3))).otherwise(F.concat(d(n), F.lit("百"), d(n + 1), F.lit("十"), d(n + 2)))
     return _docs(spark, sf).select("doc_id", s.alias("numeral"), T.cn_to_int(s).cast(LONG).alias("n"))
@@ -171,14 +171,14 @@ def f9_file_names(spark, sf):
 
 @query
 def f11_heading_markdown(spark, sf):
-    n = F.col("doc_id")
-    return _docs(spark, sf).select("doc_id", T.heading_md((n % 9).cast("int"), F.concat(F.lit("T"), n.cast("string")), n % 5 == 0).alias("md"))
+    df = _lines(spark, sf).withColumn("h", T.heading(F.col("line"), T.bare(F.col("line")))).where("h is not null")
+    return df.select("book_id", "ln", T.heading_md(F.col("h.level"), F.col("h.title"), F.col("h.board")).alias("md"))
 
 
 @query
 def f12_object_urls(spark, sf):
-    key = F.concat(F.lit("B ~*"), F.col("doc_id").cast("string"), F.lit("/images/a+b.PNG"))
-    return _docs(spark, sf).select("doc_id", T.quote_key(key).alias("url"), T.mime(key).alias("mime"))
+    key = F.concat(F.lit("B ~*"), "line", F.lit("/images/a+b.PNG"))
+    return _lines(spark, sf).select("book_id", "ln", T.quote_key(key).alias("url"), T.mime(key).alias("mime"))
 
 
 @query
@@ -193,13 +193,14 @@ def f14_session_tokens(spark, sf):
 
 @query
 def f15_page_start(spark, sf):
-    r = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("p"), F.col("doc_id").cast("string"), F.lit("-9"))).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("p"), F.col("doc_id").cast("string")))
-    return _docs(spark, sf).select("doc_id", T.page_start(r).cast(LONG).alias("page"))
+    """Of the page ranges of all nodes, with and without an end, and of titles, which have none."""
+    t = _tree(spark, sf)
+    return t.select("book_id", "node_id", T.page_start(F.col("page_range")).cast(LONG).alias("page"), T.page_start(F.col("title")).cast(LONG).alias("none"))
 
 
 @query
 def f16_display_math(spark, sf):
-    t = F.concat(F.lit("a$$x"), F.col("doc_id").cast("string"), F.lit("$$b $$y$$"))
+    t = F.concat(F.lit("a$$x$$"), "text", F.lit("b $$y$$"))
     return _docs(spark, sf).select("doc_id", T.display_math(t).alias("t"))
 
 
@@ -211,13 +212,13 @@ def f17_dollar_parity(spark, sf):
 
 @query
 def f18_md_columns(spark, sf):
-    t = F.concat(F.lit("| a\\|b |"), F.repeat(F.lit(" c |"), (F.col("doc_id") % 6).cast("int")))
-    return _docs(spark, sf).select("doc_id", T.md_columns(t).cast(LONG).alias("n"))
+    t = F.concat(F.lit("| a\\|b |"), "line", F.lit("|"))
+    return _lines(spark, sf).select("book_id", "ln", T.md_columns(t).cast(LONG).alias("n"))
 
 
 @query
 def f7_escape_pipes(spark, sf):
-    t = F.concat(F.lit("a|b $P(A|B)$ | $c"), F.col("doc_id").cast("string"), F.lit("|d$"))
+    t = F.concat(F.lit("a|b $P(A|B)$ | "), "text", F.lit(" $c|d$"))
     return _docs(spark, sf).select("doc_id", T.escape_pipes(t).alias("t"))
 
 
