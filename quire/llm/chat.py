@@ -38,8 +38,6 @@ _TURNS = "array<struct<role:string,text:string>>"
 VARIANT_BYTES = 16_000_000
 #: Bytes of a larger record without its texts; beyond it there is an error.
 BARE_BYTES = 64_000_000
-#: Levels of objects and lists in a field that are passed over.
-DEPTH = 3
 JSON_OPTIONS = {"maxStringLen": str((1 << 31) - 1)}
 
 
@@ -62,8 +60,11 @@ def paths_of(record: Column) -> Column:
     """
     schema = F.schema_of_variant(F.try_parse_json(F.when(large(record), bare(record)).otherwise(record)))
     names = F.regexp_replace(schema, r": (?!ARRAY<|OBJECT<)[A-Z]+(\([0-9, ]*\))?", "")
-    for _ in range(DEPTH):  # objects in fields, and lists of plain values: no layout looks into them
-        names = F.regexp_replace(F.regexp_replace(names, r": OBJECT<[^<>]*>", ""), r": ARRAY<[^<>]*>", "[]")
+    # objects in fields, lists of plain values, lists in lists and in messages: no layout looks
+    # into them.  From the innermost outwards, as often as there are any at all.
+    inner = [(r": OBJECT<[^<>]*>", ""), (r": ARRAY<[^<>]*>", "[]"), (r"<ARRAY<(?:OBJECT<[^<>]*>|[^<>]*)>", "<LIST"), (r"([ <]OBJECT<[^<>]*): ARRAY<OBJECT<[^<>]*>>", "$1[]")]
+    once = lambda t: reduce(lambda x, r: F.regexp_replace(x, r[0], r[1]), inner, t)
+    names = let(names, lambda t: F.aggregate(F.sequence(F.lit(1), F.greatest(F.regexp_count(t, F.lit("<")), F.lit(1))), t, lambda x, _: once(x)))
     flat = F.regexp_replace(F.regexp_replace(names, r": ARRAY<OBJECT<([^<>]*)>>", "[]<$1>"), r"^OBJECT<(.*)>$", "$1")
     item = F.split(F.regexp_replace(flat, r",(?![^<]*>)", "\u0001"), "\u0001")
 
@@ -115,7 +116,7 @@ def canonical(records: DataFrame, record_col: str = "record", layouts: list[dict
 
     Fields that no layout has, of a record or a message, are passed over.  A record with the
     fields of two layouts or of none, a null and what isn't a JSON object have null in both;
-    so has one whose texts are lists of parts, or with fields nested more than DEPTH deep.  Missing and null fields are empty texts; an
+    so has one whose texts are lists of parts.  Fields are passed over however deep they are.  Missing and null fields are empty texts; an
     empty list of messages gives no turns.
     """
     mark = free_name(records.columns, "print")
@@ -199,6 +200,21 @@ def parsed(text: Column) -> Column:
     return F.transform(F.slice(F.split(text, re.escape(OPEN)), 2, 1 << 30), turn)
 
 
+def under_mask(text: Column, loss: Column) -> Column:
+    """What is under the loss mask of formatted text: each span cut from it at its code
+    points, unescaped, all joined.  Spans are cut from the part between two marks that they
+    are in, so that long texts with many spans take linear time."""
+    parts = F.slice(F.split(text, re.escape(OPEN)), 2, 1 << 30)
+
+    def cut(p: Column) -> Column:
+        # where each part begins in the text, counted in the text
+        begins = F.transform(sums_before(F.transform(p, lambda x: (F.length(x) + len(OPEN)).cast("long"))), lambda at: at + len(OPEN))
+        span = lambda b: lambda x: unescape(F.substr(p[x["turn"]], (x["start"] - b[x["turn"]] + 1).cast("int"), (x["end"] - x["start"]).cast("int")))
+        return let(begins, lambda b: F.array_join(F.transform(loss, span(b)), ""))
+
+    return let(parts, cut)
+
+
 def format_chat(records: DataFrame, record_col: str = "record") -> DataFrame:
     """``records`` with layout, turns, formatted and loss (see canonical and loss_mask); null
     where no layout fits.

@@ -3,7 +3,10 @@
 A suffix automaton of a sample of labelled text stands for each language.  A text is parsed
 greedily into the longest phrases that occur in the sample; the language that needs the
 fewest phrases for each symbol wins.  Texts are parsed in pieces of ``PIECE`` symbols, all
-pieces of a batch and all languages in step, as one lookup of a cell for each symbol.
+pieces of a batch and all languages in step, as one lookup of a cell for each symbol.  A piece
+is parsed as if a phrase began with it; then the phrase that comes in from the piece before is
+followed until it is in the same state, from where on both are one.  So phrases are those of
+the whole text, wherever pieces begin.
 
 Transitions are sparse: each state has a place of its own, and its transition by a symbol is
 in the cell of that place plus the symbol, which says whose it is.  Cells are about four
@@ -25,6 +28,8 @@ SAMPLE_CHARS = 24_000
 #: Rows of a language looked at, in the order of a hash of their ids, until the sample is full.
 SAMPLE_ROWS = 200
 PIECE = 256
+#: Symbols that are parsed at once; of a longer text one block after the other.
+BLOCK = 1200 * PIECE
 UNKNOWN = "und"
 
 _MASK = np.int64((1 << 32) - 1)
@@ -144,24 +149,69 @@ class Model:
             at += len(own)
         self.cells = np.concatenate(cells)
 
-    def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
-        """[language, text] counts of phrases, for non-empty texts in squeezed code points."""
-        sizes = np.array([len(t) for t in texts])
+    def _parsed(self, parts: list[np.ndarray], entry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """[language, part] counts of the phrases that begin inside parts of texts (symbols),
+        and the states after them, given the states before (``entry``)."""
+        sizes = np.array([len(t) for t in parts])
         lanes = -(-sizes // PIECE)
         first = np.cumsum(lanes) - lanes
-        flat = self.symbol[np.concatenate(texts)]
-        row = np.repeat(np.arange(len(texts)), sizes)
-        pos = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        row = np.repeat(np.arange(len(parts)), sizes)
+        pos = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         grid = np.zeros((PIECE, int(lanes.sum())), self.symbol.dtype)
-        grid[pos % PIECE, first[row] + pos // PIECE] = flat
-        state = np.repeat(np.array(self.start, np.int64)[:, None], grid.shape[1], axis=1)
-        count = np.ones(state.shape, np.int32)
-        for symbols in grid:
+        grid[pos % PIECE, first[row] + pos // PIECE] = np.concatenate(parts)
+        begin = np.array(self.start, np.int64)[:, None]
+        state = np.repeat(begin, grid.shape[1], axis=1)
+        states, breaks = np.empty((PIECE, *state.shape), np.int64), np.empty((PIECE, *state.shape), bool)
+        for p, symbols in enumerate(grid):
             cell = self.cells[state + symbols]
             on = cell >> 32 == state
-            count += ~on & (symbols != 0)
-            state = np.where(on, cell & _MASK, self.first[:, symbols])  # or the symbol opens the next phrase
-        return np.add.reduceat(count, first, axis=1)
+            breaks[p] = ~on & (symbols != 0)
+            state = states[p] = np.where(on, cell & _MASK, self.first[:, symbols])  # or the symbol opens the next phrase
+        alone, ends = breaks.sum(0), state.copy()
+        count = alone.copy()
+        # what comes in from the piece before, until it ends in the state of the piece alone
+        opens = np.zeros(grid.shape[1], bool)
+        opens[first] = True
+        into = np.concatenate([begin, ends[:, :-1]], axis=1)
+        into[:, first] = entry
+        lang, lane = np.nonzero(into != begin)
+        while len(lang):
+            at, more, end = into[lang, lane], np.zeros(len(lang), np.int64), state[lang, lane]
+            left = np.arange(len(lang))
+            for p in range(PIECE):
+                k, w = lang[left], lane[left]
+                symbols = grid[p, w]
+                cell = self.cells[at + symbols]
+                on = cell >> 32 == at
+                at = np.where(on, cell & _MASK, self.first[k, symbols])
+                more[left] += (~on & (symbols != 0)).astype(np.int64) - breaks[p, k, w]
+                apart = at != states[p, k, w]
+                left, at = left[apart], at[apart]
+                if not len(left):
+                    break
+            end[left] = at
+            count[lang, lane] = alone[lang, lane] + more
+            other = end != ends[lang, lane]  # then the next piece is followed again
+            ends[lang, lane] = end
+            onwards = other & (lane + 1 < len(opens))
+            onwards[onwards] &= ~opens[lane[onwards] + 1]
+            lang, lane = lang[onwards], lane[onwards] + 1
+            into[lang, lane] = ends[lang, lane - 1]
+        return np.add.reduceat(count, first, axis=1), ends[:, first + lanes - 1]
+
+    def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
+        """[language, text] counts of phrases, for non-empty texts in squeezed code points."""
+        begin = np.array(self.start, np.int64)[:, None]
+        out = np.ones((len(self.languages), len(texts)), np.int64)
+        short = [i for i, t in enumerate(texts) if len(t) <= BLOCK]
+        if short:
+            out[:, short] += self._parsed([self.symbol[texts[i]] for i in short], np.repeat(begin, len(short), axis=1))[0]
+        for i in sorted(set(range(len(texts))) - set(short)):
+            state = begin
+            for at in range(0, len(texts[i]), BLOCK):
+                more, state = self._parsed([self.symbol[texts[i][at : at + BLOCK]]], state)
+                out[:, i] += more[:, 0]
+        return out
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         langs, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
@@ -170,7 +220,7 @@ class Model:
         i = 0
         while i < len(texts):  # some hundred thousand symbols at once
             take, points, size = [], [], 0
-            while i < len(texts) and size < 300_000:
+            while i < len(texts) and size < BLOCK:
                 p = squeezed(code_points(texts[i] or ""))
                 if len(p) and not (len(p) == 1 and p[0] == 32):
                     take.append(i)

@@ -25,7 +25,8 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def held_out(doc_id):
-    return F.crc32(doc_id.cast("string")) % 3 == 1
+    """False for a null id: it has no remainder."""
+    return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,9 +96,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PLANTED).alias("text"))
     out = chat.format_chat(chat_records(rows.unionByName(extra)))
-    back = out.select("conv_id", "formatted", "loss", chat.parsed(F.col("formatted")).alias("turns"))
-    loss = F.array_join(F.transform("loss", lambda x: F.col("turns")[x["turn"]]["text"]), "")
-    back = back.withColumn("__loss", loss)
+    back = out.select("conv_id", "formatted", chat.parsed(F.col("formatted")).alias("turns"), chat.under_mask(F.col("formatted"), F.col("loss")).alias("__loss"))
     return back.select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),

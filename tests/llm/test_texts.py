@@ -75,6 +75,35 @@ def test_predictions_against_plain_parsing():
         assert score == pytest.approx(1 - low[0] / low[1])
 
 
+def plain_phrases(t, sample):
+    n, have = 1, ""
+    for c in t:
+        if have + c in sample:
+            have += c
+        else:
+            n += 1
+            have = c if c in sample else ""
+    return n
+
+
+def test_phrases_run_on_over_pieces(monkeypatch):
+    """Counts of long texts are those of a plain parser, whatever the pieces and blocks."""
+    r = random.Random(5)
+    words = ["ka", "kato", "mi", "sol", "ré", "katomi"]
+    text = lambda n: " ".join(r.choice(words) for _ in range(n))
+    samples = {"a": [text(900)], "b": [text(100), "ab" * 700], "c": ["x"]}
+    m = langid.Model(samples)
+    squeezed = lambda t: langid.squeezed(langid.code_points(t))
+    joined = {k: "".join("".join(map(chr, squeezed(t))) + " " for t in v) for k, v in samples.items()}
+    texts = ["".join(r.choice("kami soltré") for _ in range(n)) for n in (1, 255, 256, 257, 511, 513, 700)]
+    texts += [text(n) for n in (60, 400, 1200)] + [samples["a"][0], samples["a"][0][300:], "ab" * 650, "ba" * 600 + "q" + "ab" * 600, "ñ" * 900, samples["a"][0] * 2]
+    points = [squeezed(t) for t in texts]
+    want = [[plain_phrases("".join(map(chr, p)), joined[k]) for p in points] for k in "abc"]
+    assert m.phrases(points).tolist() == want and want[0][10] == 1
+    monkeypatch.setattr(langid, "BLOCK", 2 * langid.PIECE)
+    assert m.phrases(points).tolist() == want
+
+
 def test_cells_follow_transitions_not_the_alphabet():
     r = random.Random(2)
     many = "".join(chr(0x4E00 + r.randrange(5000)) for _ in range(20_000))
@@ -389,6 +418,8 @@ def test_chat_layouts(spark):
 def test_chat_of_more_fields_and_empty_lists(spark):
     records = [
         ('{"id": 4, "messages": [{"role": "user", "content": "a", "weight": 1}, {"role": "assistant", "content": "[b] <c>", "tag": {"x": 1}}], "meta": {"y": [1]}}', [("user", "a"), ("assistant", "[b] <c>")]),
+        ('{"messages": [{"role": "user", "content": "a", "x": {"y": {"z": {"u": {"v": [{"w": [[1]]}]}}}}}, {"role": "assistant", "content": "b", "tool_calls": [{"id": 1, "fn": {"args": [{"k": []}]}}], "tags": [["t"]]}], "m": [[{"a": 1}]], "n": [{"b": {"c": [{}]}}]}', [("user", "a"), ("assistant", "b")]),
+        ('{"prompt": "p", "completion": "c", "deep": ' + '{"d": ' * 40 + "1" + "}" * 40 + "}", [("user", "p"), ("assistant", "c")]),
         ('{"messages": []}', []),
         ('{"messages": [], "id": 3}', []),
         ('{"conversations": [{"from": "human", "value": "q"}, {"from": "gpt", "value": ""}, {"from": "gpt", "value": "z\\\\"}]}', [("user", "q"), ("assistant", ""), ("assistant", "z\\")]),
@@ -407,6 +438,16 @@ def test_chat_of_more_fields_and_empty_lists(spark):
     assert chat.format_chat(df.limit(0)).collect() == []
 
 
+def test_what_is_under_the_mask_is_cut_from_the_text(spark):
+    """By its code points: another mask gives another text."""
+    turns = [{"role": r, "content": c} for r, c in (("system", "é<|im_start|>"), ("assistant", "a[b]\\\n<"), ("user", "日本"), ("assistant", ""), ("assistant", "𝒳y"))]
+    out = chat.format_chat(spark.createDataFrame([(json.dumps({"messages": turns}),)], "record string"))
+    moved = F.transform("loss", lambda x: F.struct(x["turn"].alias("turn"), (x["start"] + 1).alias("start"), x["end"].alias("end")))
+    r = out.select("formatted", "loss", chat.under_mask(F.col("formatted"), F.col("loss")).alias("own"), chat.under_mask(F.col("formatted"), moved).alias("other")).first()
+    assert r.own == "a[b]\\\n<𝒳y" and r.other != r.own
+    assert r.own == "".join(r.formatted[x.start : x.end].replace("\\2", "[").replace("\\1", "<").replace("\\0", "\\") for x in r.loss)
+
+
 def test_chat_mask_of_many_turns(spark):
     """Over several chunks of sums."""
     turns = [{"role": ("user", "assistant")[i % 2], "content": "x<" * (i % 7)} for i in range(1100)]
