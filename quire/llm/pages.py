@@ -16,7 +16,7 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -47,10 +47,10 @@ CONTAINERS = frozenset("article center details div dl fieldset figure header mai
 #: but those that only say what kind of box it is.
 MARKED = frozenset(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promos promotion banner cookie cookies consent gdpr notice notices popup modal overlay "
-    "nav navbar navigation menu menus breadcrumb breadcrumbs sidebar aside rail footer masthead topbar toolbar comment comments commentlist disqus respond reply replies "
+    "nav navbar navigation menu menus breadcrumb breadcrumbs sidebar aside rail footer masthead topbar toolbar comment comments commentlist disqus respond reply replies feedback "
     "share sharing social related recommended recommendations newsletter subscribe subscription signup login search pagination pager copyright skiplink".split()
 )
-BOXES = frozenset("main site page top bottom left right primary secondary global header box bar list lists area section sections wrapper wrap container content inner outer block blocks item items group links link buttons button text widget widgets body thread form title row col column panel region slot unit post posts article articles blog entry news js ui the".split())
+BOXES = frozenset("user users reader readers visitor visitors main site page top bottom left right primary secondary global header box bar list lists area section sections wrapper wrap container content inner outer block blocks item items group links link buttons button text widget widgets body thread form title row col column panel region slot unit post posts article articles blog entry news js ui the".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar".split())
 #: Parts of an article that stay beside its content nodes, and elements of no meaning.
 FLOW = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table pre blockquote figure math details hr".split())
@@ -63,22 +63,31 @@ SCOPE = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>?", re.S)
+#: A quote that never closes is a character as others, so that its tag ends at the next >.
+TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">]|\"(?=[^\"]*\Z)|'(?=[^']*\Z))*)>?", re.S)
 ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+#: Headings over what readers say.
+COMMENTS = re.compile(r"(?:\d+ )?(?:all |(?:reader|user|visitor)(?:s|'s|s')? )?comments?(?: ?\(\d+\))?:?|(?:leave|post|add|write) (?:a|your) (?:comment|reply)|\d+ (?:responses?|repl(?:y|ies))|(?:\d+ )?(?:kommentare?|commentaires?|comentarios?)(?: ?\(\d+\))?:?", re.I)
 PUNCTUATION = re.compile(r"[.,;:!?…。，；：！？、]")
 SPACE = re.compile(r"\s+")
 
 
+#: Levels of a page, as browsers have them: deeper elements stand beside each other.
+DEEPEST = 512
+
+
 class Element:
-    """dead: never part of the text.  form: the form that it is in, link: whether it is in a
+    """n: its number on the page, parents before children.  path: the number of its tag path.
+    dead: never part of the text.  form: the form that it is in, link: whether it is in a
     link, inside: in an article, marked: the outermost element that names itself boilerplate."""
 
-    __slots__ = ("tag", "parent", "path", "depth", "dead", "inside", "link", "form", "marked")
+    __slots__ = ("tag", "parent", "n", "paths", "path", "depth", "dead", "inside", "link", "form", "marked")
 
-    def __init__(self, tag: str, parent: Element | None, dead: bool = False, names: list[str] | None = None, marked: bool = False):
-        self.tag, self.parent, self.dead = tag, parent, dead
-        step = ".".join([tag, *(names or [])])
-        self.path = f"{parent.path}/{step}" if parent else step
+    def __init__(self, tag: str, parent: Element | None, n: int = 0, dead: bool = False, names: list[str] | None = None, marked: bool = False):
+        self.tag, self.parent, self.n, self.dead = tag, parent, n, dead
+        self.paths: dict[tuple, int] = parent.paths if parent else {}
+        step = (parent.path if parent else -1, tag, *(names or []))
+        self.path = self.paths.setdefault(step, len(self.paths))
         self.depth = parent.depth + 1 if parent else 0
         self.inside = tag in ARTICLE or (parent is not None and parent.inside)
         self.link = tag == "a" or (parent is not None and parent.link)
@@ -109,7 +118,7 @@ def blocks_of(source: str) -> list[tuple[Element, str, int]]:
     """Text blocks in page order: the block element, its text, with references decoded and
     white space made single, and how many characters are in links; without dead elements."""
     root = Element("#page", None)
-    top = root
+    top, made = root, 0
     out: list[tuple[Element, list[str], list[int]]] = []
     holder: Element | None = None  # the block element of the text gathered last
     at, n = 0, len(source)
@@ -189,7 +198,8 @@ def blocks_of(source: str) -> list[tuple[Element, str, int]]:
                 text(source[at : end.start() if end else n])
             at = end.end() if end else n
             continue
-        top = Element(tag, top, dead, names, marked)
+        made += 1
+        top = Element(tag, top if top.depth < DEEPEST else top.parent, made, dead, names, marked)
     done = []
     for e, parts, linked in out:
         t = SPACE.sub(" ", html.unescape("".join(parts))).strip()
@@ -202,36 +212,69 @@ def blocks_of(source: str) -> list[tuple[Element, str, int]]:
     return [b for b in done if b[0].form is None or forms[id(b[0].form)] > most]
 
 
-def chain(e: Element | None) -> list[Element]:
-    out = []
-    while e is not None:
-        out.append(e)
-        e = e.parent
-    return out[::-1]
-
-
-def nearness(a: list[Element], b: list[Element]) -> float:
-    """How much of two chains is common, squared."""
-    n = 0
-    for x, y in zip(a, b):
-        if x is not y:
-            break
-        n += 1
-    return (n / max(len(a), len(b))) ** 2
+def without_comments(blocks: list[tuple[Element, str, int]]) -> list[tuple[Element, str, int]]:
+    """Blocks but those under a heading that announces readers' comments: up to the end of
+    the element that it stands in (with more than itself), or a heading as high."""
+    if not any(e.tag in HEADINGS and COMMENTS.fullmatch(t) for e, t, _ in blocks[1:]):
+        return blocks
+    count = gathered(elements_of(blocks), Counter(e.n for e, _, _ in blocks))
+    out, shut, rank = [], None, ""
+    for e, t, linked in blocks:
+        if shut is not None:
+            x = e
+            while x is not None and x is not shut:
+                x = x.parent
+            if x is None or e.tag in HEADINGS and e.tag <= rank and not COMMENTS.fullmatch(t):
+                shut = None
+        if shut is None and out and e.tag in HEADINGS and COMMENTS.fullmatch(t):
+            shut, rank = e, e.tag
+            while shut.parent is not None and count[shut.n] == 1:
+                shut = shut.parent
+        if shut is None:
+            out.append((e, t, linked))
+    return out
+
+
+def nearness(a: Element, b: Element) -> float:
+    """How much of the two chains up to the root is common, squared."""
+    x, y = (a, b) if a.depth > b.depth else (b, a)
+    while x.depth > y.depth:
+        x = x.parent
+    while x is not y:
+        x, y = x.parent, y.parent
+    return ((x.depth + 1) / (max(a.depth, b.depth) + 1)) ** 2
+
+
+def elements_of(blocks: list[tuple[Element, str, int]]) -> list[Element]:
+    """All elements around the blocks, parents before children."""
+    seen: dict[int, Element] = {}
+    for e, _, _ in blocks:
+        while e is not None and e.n not in seen:
+            seen[e.n] = e
+            e = e.parent
+    return [seen[n] for n in sorted(seen)]
+
+
+def gathered(elements: list[Element], of: dict[int, float]) -> dict[int, float]:
+    """Sums (of numbers by element) over each element and all that is in it."""
+    out = defaultdict(float, of)
+    for e in reversed(elements):
+        if e.parent is not None and out[e.n]:
+            out[e.parent.n] += out[e.n]
+    return out
 
 
 def ratios(blocks: list[tuple[Element, str, int]]) -> np.ndarray:
     """For each block the smoothed, fused and weighed ratio of its tag path: characters a
     node times (one and) punctuation a node."""
-    nodes, chars, marks = defaultdict(int), defaultdict(int), defaultdict(int)
+    nodes, chars, marks = defaultdict(int), defaultdict(int), defaultdict(int)  # by path
     for e, t, linked in blocks:
         nodes[e.path] += 1
         chars[e.path] += len(t) - linked
         marks[e.path] += len(PUNCTUATION.findall(t)) * (len(t) - linked) / len(t)
     fused = {p: math.sqrt(chars[p] / n * (1 + marks[p] / n)) for p, n in nodes.items()}
-    chains = [chain(e) for e, _, _ in blocks]
-    near = [NEAR * nearness(a, b) for a, b in zip(chains, chains[1:])]
-    smooth: dict[str, float] = defaultdict(float)
+    near = [NEAR * nearness(a[0], b[0]) for a, b in zip(blocks, blocks[1:])]
+    smooth: dict[int, float] = defaultdict(float)
     for i, (e, _, _) in enumerate(blocks):
         before, after = (near[i - 1] if i else 0.0), (near[i] if i < len(near) else 0.0)
         total = OWN * fused[e.path]
@@ -242,20 +285,19 @@ def ratios(blocks: list[tuple[Element, str, int]]) -> np.ndarray:
     return np.array([smooth[e.path] * weight(e) for e, _, _ in blocks])
 
 
-def article_of(blocks: list[tuple[Element, str, int]], chains: list[list[Element]], content: np.ndarray) -> tuple[Element, str]:
+def article_of(blocks: list[tuple[Element, str, int]], elements: list[Element], content: np.ndarray) -> tuple[Element, int]:
     """The article's element and its leading path.  A node weighs the square of its length,
     so that many short ones elsewhere on the page weigh little."""
-    total: dict[str, int] = defaultdict(int)
+    total: dict[int, int] = defaultdict(int)
     for (e, t, linked), keep in zip(blocks, content):
         total[e.path] += (len(t) - linked + 1) * int(keep)
     lead = max(total, key=lambda p: total[p])
-    weight: dict[int, int] = defaultdict(int)
-    for (e, t, _), c in zip(blocks, chains):
+    own: dict[int, int] = defaultdict(int)
+    for e, t, _ in blocks:
         if e.path == lead:
-            for x in c:
-                weight[id(x)] += len(t) ** 2
-    every = weight[id(chains[0][0])]
-    region = max((x for (e, _, _), c in zip(blocks, chains) if e.path == lead for x in c if weight[id(x)] >= COVER * every), key=lambda x: x.depth)
+            own[e.n] += len(t) ** 2
+    weight = gathered(elements, own)
+    region = max((x for x in elements if weight[x.n] >= COVER * weight[elements[0].n]), key=lambda x: x.depth)
     while region.parent is not None and (region.tag in INLINE or region.tag in ("p", "li", "td", "th", "tr", "tbody", "pre", "dd", "dt", "blockquote", *HEADINGS)):
         region = region.parent
     around = region
@@ -265,52 +307,65 @@ def article_of(blocks: list[tuple[Element, str, int]], chains: list[list[Element
 
 
 def main_text(source: str | None) -> str:
-    """The article's blocks, joined by line feeds; empty if there is none."""
-    blocks = blocks_of(source or "")
+    """The article's blocks, joined by line feeds; empty if there is none.
+
+    What is asked of elements is gathered once from the leaves up, or once from the root down,
+    so a page takes time in proportion to its length, however deep it is."""
+    blocks = without_comments(blocks_of(source or ""))
     if not blocks:
         return ""
     fused = ratios(blocks)
     content = fused >= min(THRESHOLD * float(fused.std()), float(fused.max()))
-    chains = [chain(e) for e, _, _ in blocks]
-    region, lead = article_of(blocks, chains, content)
-    chars, links, with_content, leads, tags = defaultdict(int), defaultdict(int), set(), set(), defaultdict(set)
-    for (e, t, linked), c, keep in zip(blocks, chains, content):
-        for x in c:
-            chars[id(x)] += len(t)
-            links[id(x)] += linked
-            tags[id(x)].update(y.tag for y in c[x.depth + 1 :])
-            if keep:
-                with_content.add(id(x))
-            if e.path == lead:
-                leads.add(id(x))
-    inside = [region in c for c in chains]
+    elements = elements_of(blocks)
+    region, lead = article_of(blocks, elements, content)
+    own = [defaultdict(int) for _ in range(4)]
+    for (e, t, linked), keep in zip(blocks, content):
+        for d, value in zip(own, (len(t), linked, int(keep), int(e.path == lead))):
+            d[e.n] += value
+    chars, links, with_content, leads = (gathered(elements, d) for d in own)
+    below_flow: set[int] = set()  # elements with some of FLOW, but not only paragraphs, in them
+    for e in reversed(elements):
+        if e.parent is not None and (e.n in below_flow or e.tag in FLOW and e.tag != "p"):
+            below_flow.add(e.parent.n)
+    around, child, other = set(), {}, set()  # in the region's parent; the region's child that one is in; in another article
+    within: set[int] = set()
+    for e in elements:
+        up = e.parent.n if e.parent is not None else None
+        if e is region or up in within:
+            within.add(e.n)
+        if e is region.parent or up in around:
+            around.add(e.n)
+        if up in within:
+            child[e.n] = child.get(up, e)
+            if up in other or e.tag == "article" and not leads[e.n]:
+                other.add(e.n)
+    inside = [e.n in within for e, _, _ in blocks]
     at = np.flatnonzero(content & np.array(inside))
     first, last = int(at[0]), int(at[-1])
     page_level = region.tag in PAGE
     titled = any(e.tag == "h1" and i for (e, _, _), i in zip(blocks, inside))
 
     def stays(i: int) -> bool:
-        e, c = blocks[i][0], chains[i]
+        e = blocks[i][0]
         if not inside[i]:  # the title, and content before the article in the same element
-            return i < first and e.marked is None and (e.tag == "h1" and not titled or bool(content[i]) and region.parent in c and region.parent.tag not in PAGE)
-        below = c[region.depth + 1 :]
-        if any(x.tag == "article" and id(x) not in leads for x in below):
+            return i < first and e.marked is None and (e.tag == "h1" and not titled or bool(content[i]) and e.n in around and region.parent.tag not in PAGE)
+        if e.n in other:
             return False
         if content[i]:
             return True
-        if e.marked is not None and e.marked in below:
+        if e.marked is not None and e.marked.n in child:
             return False
-        child = below[0] if below else e
-        if id(child) in with_content or not below:
+        c = child.get(e.n, e)
+        if with_content[c.n] or e.n not in child:
             return True
-        if links[id(child)] > chars[id(child)] / 2 and child.tag not in HEADINGS and child.tag != "p":
+        if links[c.n] > chars[c.n] / 2 and c.tag not in HEADINGS and c.tag != "p":
             return False
         edge = i < first or i > last
-        if child.tag in FLOW:
-            return not (page_level and edge and child.tag not in HEADINGS)
+        if c.tag in FLOW:
+            return not (page_level and edge and c.tag not in HEADINGS)
         if region.tag in ARTICLE:
             return True
-        return not page_level and (not edge or bool(tags[id(child)] & FLOW - {"p"}))
+        return not page_level and (not edge or c.n in below_flow)
 
     return "\n".join(t for i, (_, t, _) in enumerate(blocks) if stays(i))
 

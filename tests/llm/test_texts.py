@@ -4,6 +4,7 @@ import hashlib
 import json
 import math
 import random
+import time
 import zlib
 
 import numpy as np
@@ -316,6 +317,46 @@ def built_page(r):
     return "<html><body>" + wrap.format("".join(before) + body + "".join(after)) + "</body></html>", "\n".join(text)
 
 
+BODY = "<p>The first paragraph of the article, with a clause, and another one.</p><p>The second paragraph goes on, as it must, for a while.</p>"
+SAID = "<p>I don't agree at all, as a reader, with what is said here.</p><p>Me neither, and I say so at length, with commas.</p>"
+PLAIN = "The first paragraph of the article, with a clause, and another one.\nThe second paragraph goes on, as it must, for a while."
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<article>{BODY}<section><h2>Comments</h2><div class='c'><b>Bob</b>{SAID}</div></section></article>",
+        f"<article>{BODY}<div class='user-feedback'>{SAID}</div></article>",
+        f"<article>{BODY}<div><header><h3>3 Comments</h3></header><div><h4>Bob</h4>{SAID}</div></div></article>",
+        f"<main>{BODY}<h2>Leave a reply</h2>{SAID}</main>",
+        f"<div class='post'>{BODY}</div><div><h2>Kommentare (2)</h2>{SAID}</div>",
+    ],
+)
+def test_html_without_what_readers_say(page):
+    assert pages.main_text(f"<html><body>{page}</body></html>") == PLAIN
+
+
+def test_html_after_and_without_comments():
+    page = f"<article>{BODY}<h2>Comments</h2>{SAID}<h2>Sources</h2><p>The sources are named here, one by one, in full.</p></article>"
+    assert pages.main_text(page) == PLAIN + "\nSources\nThe sources are named here, one by one, in full."
+    assert pages.main_text(f"<article><h1>Comments</h1>{BODY}</article>") == "Comments\n" + PLAIN
+
+
+def test_html_of_quotes_that_never_close():
+    page = "<article><p>Some text here, long enough.</p><p>A {} here.</p></article>"
+    for link in ('<a href="x>link</a>', "<a href='x>link</a>", '<a title="a" href="x>link</a>'):
+        assert pages.main_text(page.format(link)) == "Some text here, long enough.\nA link here."
+
+
+@pytest.mark.parametrize("unit", ["<div>x, y. ", "<div><li>x</b> y", "<b><i>x y ", "<p><span>x</div> y", "<table><tr><td>x "])
+def test_html_of_very_deep_pages(unit):
+    """Time grows with the page, not with its depth."""
+    n = 20_000
+    began = time.process_time()
+    text = pages.main_text(unit * n)
+    assert time.process_time() - began < 6 and text.count("x") > 0.9 * n
+
+
 def test_html_of_built_pages(monkeypatch):
     """Articles of pages that are built here, so that their text is known: short blocks of
     furniture without any name that tells what it is."""
