@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -113,6 +114,23 @@ def test_banded_edit_distance(edits):
     for _ in range(4000):
         a, b = ("".join(r.choice("abc") for _ in range(r.randint(0, 9))) for _ in range(2))
         assert lines.within(a, b, edits) == (edit_distance(a, b) <= edits)
+    for _ in range(60):  # over several parts of the band
+        a = "".join(r.choice("abcd") for _ in range(r.randint(60, 300)))
+        b = list(a)
+        for _ in range(r.randint(0, edits + 1)):
+            at = r.randrange(len(b))
+            b[at : at + r.randint(0, 1)] = r.choice(["", "a", "bd"])
+        assert lines.within(a, "".join(b), edits) == (edit_distance(a, "".join(b)) <= edits)
+
+
+def test_edit_distance_of_very_long_lines():
+    """In time that grows with the line."""
+    a = "abcdefg hij" * 30_000
+    b = "x" + a[1:200_000] + a[200_001:] + "y"
+    began = time.process_time()
+    assert lines.within(a, b, 3) and not lines.within(a, b, 2) and lines.within(a, a + "z", 1) and lines.within(a, a, 0)
+    assert time.process_time() - began < 8
+
 
 
 def test_line_dedup_finds_all_links(spark):
