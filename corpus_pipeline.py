@@ -39,7 +39,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no window of a benchmark item occurs."""
+    """Documents in which no window of a benchmark item occurs: whole texts are read, however
+    long; equal documents stay or go together; null texts have no words and stay."""
     return decontam.decontaminate(docs, table(spark, sf_dir, "benchmark")).where("hits.n_hit = 0").select(*docs.columns)
 
 
@@ -63,7 +64,8 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with their shard and their slot in it."""
+    """Documents with their shard and their slot in it.  Repeated rows are each one record of
+    their document's shard, in an order that the seed decides; long texts aren't cut."""
     return sharding.shard(docs, SHARDS)
 
 
