@@ -12,7 +12,6 @@ from quire.plans import render
 from quire.queries import LONG, TREE, _flat, _marked
 from quire.sources import adapters as A
 from quire.sources import files, tree
-from quire.streaming import resume
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -358,6 +357,8 @@ select book, seq, day, batch_idx, case when seq > done then 'skipped' when error
 )
 def c14_resumed_batches(spark, sf):
     """Results of parsing in three parts as they arrive."""
+    from quire.streaming import resume  # needs protobuf, which nothing else does
+
     at = files.work_dir(spark)
     e = A.load(spark, sf, "events")
     r = e.select(F.col("user_id").alias("book"), F.col("event_id").alias("seq"), F.to_date("ts").cast("string").alias("day"), (F.col("event_id") % 7 + 1).alias("batch_idx"), F.coalesce(F.floor("value"), F.lit(0)).cast(LONG).alias("pages"), F.when(F.col("event_id") % 4 == 1, "e").alias("error"))
