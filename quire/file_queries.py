@@ -267,7 +267,7 @@ def snk1_structure_files(spark, sf):
 
 @query(
     f"""{oracle.TREE}, d as (select book_id, node_id, 0 as depth, [node_id] as p from nodes where parent_id is null union all select n.book_id, n.node_id, depth + 1, list_append(p, n.node_id) from d join nodes n on n.book_id = d.book_id and n.parent_id = d.node_id)
-select book_id, node_id, depth, row_number() over (partition by book_id order by node_id) as pre, array_to_string(p, '/') as path from d"""
+select book_id, node_id, depth::bigint as depth, row_number() over (partition by book_id order by node_id) as pre, array_to_string(p, '/') as path from d"""
 )
 def c7_walked_trees(spark, sf):
     """Depth-first order of trees whose nodes are read back in any order: that of the lines."""

@@ -49,7 +49,8 @@ def is_safe(path: str | None) -> bool:
 
 
 def _open(root: str) -> tuple[pafs.FileSystem, str]:
-    fs, base = pafs.FileSystem.from_uri(root) if "://" in root else (pafs.LocalFileSystem(), root.removeprefix("file:"))
+    at = re.sub("^s3[an]:", "s3:", root)  # one store, by Spark's names for it and by this library's
+    fs, base = pafs.FileSystem.from_uri(at) if "://" in at else (pafs.LocalFileSystem(), at.removeprefix("file:"))
     return fs, base.rstrip("/")
 
 
