@@ -5,9 +5,10 @@ the statistics of labelled rows give rules, one for each path from a root to a n
 logistic regression with an L1 penalty leaves most of them without a weight; the others
 become one Spark column expression, which scores any number of rows without Python.
 
-What is learned from is bounded: of more than ``most`` labelled rows those whose id hashes
-below ``most`` over their number are taken (``TRAIN_ROWS``: in expectation that many).  Trees
-and weights are fitted by Spark's own library on that table.
+What is learned from is bounded: of more than ``most`` labels those whose id hashes below
+``most`` over their number are taken (``TRAIN_ROWS``: in expectation that many), and of rows
+that have one again if ids repeat.  Trees and weights are fitted by Spark's own library on
+that table.
 
 Nulls and odd rows: a null text is an empty one; all statistics of an empty text are 0, and it
 has a score as any other.  A null id has no label.  A document with several labels has their
@@ -199,10 +200,18 @@ class Ensemble:
         return "\n".join([f"{self.constant:+.3f}", *(f"{w:+.3f} if {shown(r)}" for r, w in sorted(self.weights, key=lambda x: -abs(x[1])))])
 
 
-def labelled(rows: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality") -> DataFrame:
-    """(id, s, label) of the measured rows that have a label."""
-    mean = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.avg(label_col).alias("m")).where("m is not null")
-    return rows.join(mean.select("id", (F.col("m") >= 0.5).cast("double").alias("label")), "id").select("id", "s", "label")
+def hashed_below(most: int, n: int) -> Column:
+    """Of n ids about ``most``, by a hash."""
+    return F.pmod(F.xxhash64(F.col("id"), F.lit(SEED)), F.lit(1 << 30)) < int(most / n * (1 << 30))
+
+
+def labelled(rows: DataFrame, labels: DataFrame, learn: Column, most: int, id_col: str = "doc_id", label_col: str = "quality") -> DataFrame:
+    """(id, s, label) of measured rows with a label, of about ``most`` labels at most.  These are
+    chosen first and broadcast, being so few, so that rows without one aren't moved."""
+    mean = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.avg(label_col).alias("m")).where("m is not null").where(learn)
+    n = mean.count()
+    some = mean.where(hashed_below(most, n)) if n > most else mean
+    return rows.join(F.broadcast(some.select("id", (F.col("m") >= 0.5).cast("double").alias("label"))), "id").select("id", "s", "label")
 
 
 def fit(rows: DataFrame, most: int = TRAIN_ROWS, trees: int = TREES, depth: int = DEPTH, lasso: float = LASSO) -> Ensemble:
@@ -215,7 +224,7 @@ def fit(rows: DataFrame, most: int = TRAIN_ROWS, trees: int = TREES, depth: int
     if good in (0, n):
         return Ensemble([], math.log((good + 1) / (n - good + 1)))
     if n > most:
-        rows = rows.where(F.pmod(F.xxhash64(F.col("id"), F.lit(SEED)), F.lit(1 << 30)) < int(most / n * (1 << 30)))
+        rows = rows.where(hashed_below(most, n))
     train = cut(rows.select("s", "label").repartition(TRAIN_PARTS), "train")
     features = VectorAssembler(inputCols=STATISTICS, outputCol="features").transform(train.select("label", "s.*")).select("label", "features")
     boosted = GBTClassifier(maxIter=trees, maxDepth=depth, maxBins=64, stepSize=0.3, minInstancesPerNode=max(5, int(1e-4 * min(n, most))), seed=SEED).fit(features)
@@ -231,5 +240,5 @@ def classify(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "d
     """(id, s, score) of all documents, and the rules, learned from the labelled rows for
     which ``learn``, a condition on id, holds."""
     rows = measured(docs, id_col, text_col)
-    rules = fit(labelled(rows, labels, id_col).where(learn), most)
+    rules = fit(labelled(rows, labels, learn, most, id_col), most)
     return rows.withColumn(free_name(rows.columns, "score"), rules.score()), rules

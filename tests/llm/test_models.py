@@ -282,6 +282,11 @@ def test_quality_of_odd_rows(spark):
     assert scores(labels((1, 1), (1, 1), (None, 0), (7, 0), (3, None))) == pytest.approx([3 / 4] * 6)
     assert scores(labels((2, 0))) == pytest.approx([1 / 3] * 6)
     assert scores(labels((1, 1)), docs.limit(0)) == []
+    # of many labels about ``most`` are chosen; all rows have scores
+    many = spark.range(400).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), F.col("id").cast("int")).alias("text"))
+    some, e = rules.classify(many, spark.range(400).select(F.col("id").alias("doc_id"), (F.col("id") > 200).cast("int").alias("quality")), every, most=120)
+    right = sum((r.score >= 0.5) == (r.id > 200) for r in some.collect())
+    assert e.weights and 360 <= right <= 400
     mixed = scores(labels((1, 1), (1, 0), (2, 0), (4, 0), (4, 1)))  # means of a half count as good
     assert len(mixed) == 6 and all(0 < x < 1 for x in mixed)
 
