@@ -5,11 +5,12 @@ longer at a bounded shift equals a segment of the shorter.  Segments and substri
 the length of the line that the segment is of) meet in runs of equal hashes, dealt to blocks.
 Lines whose character counts differ from all others of a run by more than the edits can
 explain leave it there.  The texts of the others are brought to their runs, where a banded
-bit-parallel automaton compares a line with those that no link has reached yet: each run
-gives the links of a spanning forest, so a group of N near lines gives N - 1 of them.
+bit-parallel automaton compares all pairs whose character counts are near.  Of the runs that
+two lines share, the one with the least key compares them, so each pair is compared and each
+link counted once.  What leaves a block are each line's number of links and the links of a
+spanning forest, for the classes; never the pairs.
 
-A run of over RUN lines is dealt to pieces, each with one line of the run, the hub.  Lines
-that then aren't in their hub's class are compared again with all pieces.
+A run of over RUN lines is dealt to pieces, and any two pieces meet in one place.
 
 Lines are the parts of a text between line feeds; empty ones don't count.  Equal lines are
 one class.  Lines within as many edits as the shorter one allows are linked, and connected
@@ -36,10 +37,13 @@ EDITS = 2
 #: Code points of a line that allows all EDITS.
 MIN_CHARS = 20
 BLOCK_ENTRIES = 2_000_000
-#: Lines of a run that are compared in one place.
+#: Lines of a run, or of a piece of it, that are compared in one place.
 RUN = 4096
 #: Comparisons of letters in a run, up to which lines without a near one are found at once.
 LETTER_PAIRS = 4_000_000
+#: Pairs of lines whose letters are compared at once, and whose edits are; fewer than FEW of
+#: them, and lines longer than WIDE, are compared one by one.
+PAIRS, TOGETHER, FEW, WIDE = 1 << 17, 1 << 13, 64, 512
 #: Bytes of packed lines that a task holds before it deals them out.
 HELD_BYTES = 8 << 20
 BINS = 1 << 22
@@ -74,9 +78,9 @@ def segment(length: np.ndarray, i: int, edits: int) -> tuple[np.ndarray, np.ndar
     return i * short + lead, short + (i >= edits + 1 - longer)
 
 
-def allowed(length: int, edits: int, least: int) -> int:
-    """Edits between a line of this length and another as long or longer."""
-    return min(edits, length * edits // least)
+def allowed(length: np.ndarray, edits: int, least: int) -> np.ndarray:
+    """Edits between lines of these lengths and others as long or longer."""
+    return np.minimum(edits, length * edits // least)
 
 
 def tiers(edits: int, least: int) -> list[tuple[int, int, int]]:
@@ -85,25 +89,28 @@ def tiers(edits: int, least: int) -> list[tuple[int, int, int]]:
     return list(zip(range(1, edits + 1), low, [*(x - 1 for x in low[1:]), 1 << 62]))
 
 
-def probes(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray, edits: int, least: int, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
-    """(lines, keys, part): of each line its segments (part 3: they are looked for and
-    found) and the substrings that may equal a segment of a line as long or shorter (1);
-    for segments of lines of least to most code points."""
+def shifts(i: int, less: int, edits: int) -> range:
+    """Of segment i of a line, in another that has ``less`` code points more."""
+    return range(max(-i, less - (edits - i)), min(i, less + (edits - i)) + 1)
+
+
+def probes(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray, edits: int, least: int, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, int, int]]:
+    """(lines, keys, part, less): of each line its segments (part 3: they are looked for and
+    found) and the substrings that may equal a segment of a line as long or shorter, by
+    ``less`` code points (1); for segments of lines of least to most code points."""
     size = ends - starts
     for less in range(edits + 1):
         other = size - less
         ok = np.flatnonzero((other >= least) & (other <= most))
         for i in range(edits + 1):
             at, n = segment(other[ok], i, edits)
-            lo = max(-i, less - (edits - i))
-            hi = min(i, less + (edits - i))
-            for shift in range(lo, hi + 1):
+            for shift in shifts(i, less, edits):
                 begin = at + shift
                 fits = (begin >= 0) & (begin + n <= size[ok])
                 k = ok[fits]
                 b = starts[k] + begin[fits]
                 key = mix64(span_hash(prefix, b, b + n[fits]) + U64((i + 1) * 0x9E3779B97F4A7C15 % (1 << 64)) + other[k].astype(U64) * U64(0xC2B2AE3D27D4EB4F))
-                yield k, key, 3 if less == 0 and shift == 0 else 1
+                yield k, key, 3 if less == 0 and shift == 0 else 1, less
 
 
 def letter_counts(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -147,7 +154,7 @@ def sign(docs: DataFrame, edits: int, least: int, parts: int) -> DataFrame:
                 starts, ends, name = starts[new], ends[new], name[new]
                 letters = letter_counts(points, starts, ends).view(U64).ravel()
                 for level in levels:
-                    for k, key, part in probes(prefix, starts, ends, *level):
+                    for k, key, part, _ in probes(prefix, starts, ends, *level):
                         if deal.add(key, name[k], letters[k], np.full(len(k), part, np.uint8)):
                             yield out(blocks=deal.flush())
             if every:
@@ -190,8 +197,8 @@ def accompanied(edge: np.ndarray, n: np.ndarray, found: np.ndarray, name: np.nda
 
 
 def gathered(edits: int, parts: int):
-    """Of one block: (block, payload) of name, run, lines of the run, and whether the line
-    is the run's hub, for lines that have a key and nearly the letters of another."""
+    """Of one block: (block, payload) of name, run and lines of the run, for lines that have
+    a key and nearly the letters of another."""
 
     def run(block: pa.Table) -> pa.Table:
         key, name, letters, part = unpack(block["payload"].to_pylist(), U64, U64, U64, np.uint8)
@@ -210,29 +217,22 @@ def gathered(edits: int, parts: int):
         keep[1:] = (key[1:] != key[:-1]) | (name[1:] != name[:-1])
         key, name = key[keep], name[keep]
         edge = runs(key)
-        hub = np.zeros(len(key), bool)
-        hub[edge[:-1]] = True
         deal = Dealer(parts)
-        deal.add(name, key, np.repeat(np.diff(edge), np.diff(edge)).astype(np.int32) if len(key) else np.zeros(0, np.int32), hub)
+        deal.add(name, key, np.repeat(np.diff(edge), np.diff(edge)).astype(np.int32) if len(key) else np.zeros(0, np.int32))
         release()
         return pa.Table.from_batches([deal.flush()])
 
     return run
 
 
-def wanted(most: int):
-    """Of one block: (name, keys, split): each line once with its packed runs, and whether
-    one of them has over ``most`` lines."""
-
-    def run(block: pa.Table) -> pa.Table:
-        name, key, size, hub = unpack(block["payload"].to_pylist(), U64, U64, np.int32, bool)
-        order = np.lexsort((key, name))
-        name, key, size, hub = (x[order] for x in (name, key, size, hub))
-        edge = runs(name) if len(name) else np.zeros(1, np.int64)
-        pieces = list(zip(edge[:-1], edge[1:]))
-        return pa.Table.from_pydict({"name": pa.array([int(name[a].view(np.int64)) for a, _ in pieces], pa.int64()), "keys": pa.array([pack(key[a:b], size[a:b], hub[a:b]) for a, b in pieces], pa.binary()), "split": pa.array([bool((size[a:b] > most).any()) for a, b in pieces], pa.bool_())})
-
-    return run
+def wanted(block: pa.Table) -> pa.Table:
+    """Of one block: (name, keys), each line once with its packed runs."""
+    name, key, size = unpack(block["payload"].to_pylist(), U64, U64, np.int32)
+    order = np.lexsort((key, name))
+    name, key, size = (x[order] for x in (name, key, size))
+    edge = runs(name) if len(name) else np.zeros(1, np.int64)
+    pieces = list(zip(edge[:-1], edge[1:]))
+    return pa.Table.from_pydict({"name": pa.array([int(name[a].view(np.int64)) for a, _ in pieces], pa.int64()), "keys": pa.array([pack(key[a:b], size[a:b]) for a, b in pieces], pa.binary())})
 
 
 def texts_of(docs: DataFrame, bits: np.ndarray) -> DataFrame:
@@ -304,14 +304,60 @@ def within(a: str, b: str, edits: int) -> bool:
     return bool(state[edits] >> (len(a) - len(b) + edits) & 1)
 
 
-def placed(docs: DataFrame, parts: int, everywhere: bool) -> DataFrame:
-    """(block, payload): lines (name, line, keys, stray) packed for their runs' pieces.
-
-    A run's hub, and a line whose ``stray`` runs have it, go to all its pieces.  With
-    ``everywhere`` only split runs count."""
+def all_within(texts: list[str], x: np.ndarray, y: np.ndarray, edits: np.ndarray) -> np.ndarray:
+    """``within`` of the pairs (x, y) of lines, y as long or longer, each with its number of
+    edits: the same band, a column of all pairs at a time."""
+    out = np.zeros(len(x), bool)
+    if len(x) < FEW:
+        out[:] = [within(texts[u], texts[v], d) for u, v, d in zip(x.tolist(), y.tolist(), edits.tolist())]
+        return out
+    one, who = np.unique(np.concatenate([x, y]), return_inverse=True)
+    size = np.array([len(texts[i]) for i in one], np.int64)
+    most, longest = int(edits.max()), int(size.max())
+    alone = (size[who[len(x) :]] > WIDE) | (edits > 3)  # eight bits hold a band of 3 edits
+    if alone.any():
+        for k in np.flatnonzero(alone).tolist():
+            out[k] = within(texts[x[k]], texts[y[k]], int(edits[k]))
+        out[~alone] = all_within(texts, x[~alone], y[~alone], edits[~alone])
+        return out
+    points = np.array([texts[i] for i in one], f"U{longest}").view(np.uint32).reshape(len(one), longest)
+    points[np.arange(longest) >= size[:, None]] = 1 << 31
+    columns = np.full((longest + 2 * most, len(one)), 1 << 31, np.uint32)
+    columns[most : most + longest] = points.T
+    width, band = 2 * most + 1, np.uint8((1 << (2 * most + 1)) - 1)
+    a, b, at = who[: len(x)], who[len(x) :], np.arange(len(x))
+    left, right, end = columns[:, a], columns[most:, b], size[b]
+    last = size[a] - end + most
+    state = [np.full(len(x), ((1 << (d + 1)) - 1) << most, np.uint8) & band for d in range(most + 1)]
+    for j in range(longest):
+        equal = np.zeros(len(at), np.uint8)
+        for p in range(width):
+            equal |= (left[j + p] == right[j]).view(np.uint8) << np.uint8(p)
+        now: list[np.ndarray] = []
+        for d in range(most + 1):
+            bits = state[d] & equal
+            if d:
+                bits |= state[d - 1] >> np.uint8(1) | state[d - 1] | now[d - 1] << np.uint8(1)
+            now.append(bits & band)
+        state = now
+        done = np.flatnonzero(end == j + 1)
+        out[at[done]] = np.stack(state)[edits[at[done]], done] >> last[done] & 1 if len(done) else False
+        live = np.flatnonzero((state[most] != 0) & (end > j + 1))
+        if not len(live):
+            break
+        if 2 * len(live) < len(at):
+            left, right, end, last, at, state = left[:, live], right[:, live], end[live], last[live], at[live], [w[live] for w in state]
+    return out
+
+
+def placed(docs: DataFrame, parts: int) -> DataFrame:
+    """(block, payload): lines (name, line, keys) packed for their runs.
+
+    A run of over RUN lines has pieces: a line goes to each pair of its own and another, and
+    to its own alone (see ``side_of``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[tuple[np.ndarray, int, bytes]]] = {}
+        held: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray, int, bytes]]] = {}
         waiting = 0
 
         def flush() -> pa.RecordBatch:
@@ -321,136 +367,175 @@ def placed(docs: DataFrame, parts: int, everywhere: bool) -> DataFrame:
             return out
 
         for batch in batches:
-            for name, line, keys, stray in zip(*(c.to_pylist() for c in batch.columns)):
-                key, size, hub = unpack([keys], U64, np.int32, bool)
-                if everywhere:
-                    key, size, hub = (x[size > RUN] for x in (key, size, hub))
-                    hub = hub | np.isin(key.view(np.int64), np.array(stray or [], np.int64))
+            for name, line, keys in zip(*(c.to_pylist() for c in batch.columns)):
+                key, size = unpack([keys], U64, np.int32)
                 text = line.encode("utf-8", "surrogatepass")
                 pieces = -(-size.astype(np.int64) // RUN)
                 own = (mix64(np.array([name], np.int64).view(U64)) % pieces.astype(U64)).astype(np.int64)
-                first, n = np.where(hub, 0, own), np.where(hub, pieces, 1)
-                k = np.repeat(np.arange(len(key)), n)
-                piece = first[k] + np.arange(len(k)) - np.repeat(np.cumsum(n) - n, n)
-                place = mix64(key[k] ^ mix64(piece.astype(U64) + U64(1)))
-                for b in np.unique(block := (place >> U64(21)) % U64(parts)):
-                    held.setdefault(int(b), []).append((place[block == b], name, text))
-                waiting += len(k) * (len(text) + 16)
+                k = np.repeat(np.arange(len(key)), pieces)
+                other = np.arange(len(k)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                key, own = key[k], own[k]
+                pair = np.minimum(own, other) * pieces[k] + np.maximum(own, other)
+                side = side_of(own, other)
+                place = mix64(key ^ mix64(pair.astype(U64) + U64(1)))
+                block = ((place >> U64(21)) % U64(parts)).astype(np.int64)
+                for b in np.unique(block):
+                    here = block == b
+                    held.setdefault(int(b), []).append((key[here], pair[here], side[here], name, text))
+                waiting += len(k) * (len(text) + 32)
                 if waiting >= HELD_BYTES:
                     yield flush()
                     waiting = 0
         yield flush()
         release()
 
-    return docs.select("name", "line", "keys", "stray").mapInArrow(run, "block int, payload binary")
+    return docs.select("name", "line", "keys").mapInArrow(run, "block int, payload binary")
+
+
+def side_of(own: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """0: a line of the first of two pieces, compared with those of the second (1); 2: of a
+    piece alone, compared with all of it."""
+    return np.where(own == other, 2, own > other).astype(np.uint8)
 
 
-def packed_lines(lines: list[tuple[np.ndarray, int, bytes]]) -> bytes:
-    """Run, name and size in bytes of each line, then the lines."""
+def packed_lines(lines: list[tuple[np.ndarray, np.ndarray, np.ndarray, int, bytes]]) -> bytes:
+    """Run, pieces, side, name and size in bytes of each line, then the lines."""
     n = np.array([len(x[0]) for x in lines])
-    texts = [t for place, _, t in lines for _ in range(len(place))]
-    return pack(np.concatenate([x[0] for x in lines]), np.repeat(np.array([x[1] for x in lines], np.int64), n), np.array([len(t) for t in texts], np.int64)) + b"".join(texts)
+    texts = [x[4] for x in lines]
+    size = np.array([len(t) for t in texts], np.int64)
+    key, pair, side = (np.concatenate([x[i] for x in lines]) for i in range(3))
+    return pack(key, pair, side, np.repeat(np.array([x[3] for x in lines], np.int64), n), np.repeat(size, n)) + b"".join(t for t, m in zip(texts, n) for _ in range(m))
 
 
-def unpacked_lines(payloads: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    texts: list[str] = []
+def unpacked_lines(payloads: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, dict[int, str]]:
+    """Run, pieces, side and name of each line, and each name's line."""
+    texts: dict[int, str] = {}
+    kinds = U64, np.int64, np.uint8, np.int64, np.int64
     for p in payloads:
-        size = unpack([p], U64, np.int64, np.int64)[2]
-        at = np.concatenate([[0], np.cumsum(size)]) + 8 + 24 * len(size)
-        texts += [p[a:b].decode("utf-8", "surrogatepass") for a, b in zip(at[:-1], at[1:])]
-    key, name, _ = unpack(payloads, U64, np.int64, np.int64)
-    return key, name, texts
+        *_, name, size = unpack([p], *kinds)
+        at = np.concatenate([[0], np.cumsum(size)]) + len(p) - int(size.sum())
+        for k in np.unique(name, return_index=True)[1].tolist():
+            if int(name[k]) not in texts:
+                texts[int(name[k])] = p[at[k] : at[k + 1]].decode("utf-8", "surrogatepass")
+    key, pair, side, name, _ = unpack(payloads, *kinds)
+    return key, pair, side, name, texts
+
+
+def marks(texts: list[str], edits: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each line its letters; the keys of its segments; and by ``less`` the keys that
+    segments of a line as much shorter may have (0: none)."""
+    n = len(texts)
+    letters, own = np.zeros(n, U64), np.zeros((n, edits + 1), U64)
+    keys = np.zeros((n, edits + 1, max(sum(len(shifts(i, less, e)) for i in range(e + 1)) for e in range(edits + 1) for less in range(e + 1))), U64)
+    size = np.array([len(t) for t in texts], np.int64)
+    for a, b in chunks(np.concatenate([[0], np.cumsum(size)])):
+        points = np.frombuffer("".join(texts[a:b]).encode("utf-32-le", "surrogatepass"), np.uint32)
+        ends = np.cumsum(size[a:b])
+        starts = ends - size[a:b]
+        letters[a:b] = letter_counts(points, starts, ends).view(U64).ravel()
+        prefix = hashed(points)
+        for level in tiers(edits, least):
+            slot, segments = [0] * (edits + 1), 0
+            for k, key, part, less in probes(prefix, starts, ends, *level):
+                keys[a + k, less, slot[less]] = key
+                slot[less] += 1
+                if part == 3:
+                    own[a + k, segments] = key
+                    segments += 1
+    return letters, own, keys
+
+
+def least_shared(own: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """The least of the segments' keys that are among the others; beyond all keys if none is."""
+    hit = (own[:, :, None] == keys[:, None, :]).any(axis=2) & (own != 0)
+    return np.where(hit, own, ~U64(0)).min(axis=1)
+
+
+def met(edge: np.ndarray, side: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (left, right) of lines that a run compares, some at once."""
+    n = np.diff(edge)
+    end = np.repeat(edge[1:], n)
+    at = np.arange(len(side))
+    second = end - np.repeat(np.add.reduceat((side == 1).astype(np.int64), edge[:-1]), n)
+    first = np.where(side == 2, at + 1, np.where(side == 0, second, end))
+    work = end - first
+    total = np.cumsum(work)
+    i = 0
+    while i < len(side):
+        j = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + PAIRS, side="right")))
+        left = np.repeat(at[i:j], work[i:j])
+        yield left, first[left] + np.arange(len(left)) - np.repeat(np.cumsum(work[i:j]) - work[i:j], work[i:j])
+        i = j
 
 
-def forest(edits: int, least: int):
-    """Of one block: links (a, b) that connect all lines of each run that are near, through
-    others or not.  A pair that links of the block connect already isn't compared."""
+def linked(edits: int, least: int):
+    """Of one block: (a, b, n): lines a with their numbers n of links that are found here
+    (b is null), and links (a, b) that connect all lines with links (n is null)."""
 
     def run(block: pa.Table) -> pa.Table:
-        key, name, texts = unpacked_lines(block["payload"].to_pylist())
-        order = np.lexsort((name, key))
-        key, name = key[order], name[order]
-        keep = np.ones(len(key), bool)
-        keep[1:] = (key[1:] != key[:-1]) | (name[1:] != name[:-1])
-        key, name, texts = key[keep], name[keep], [texts[i] for i in order[keep]]
-        size = np.array([len(t) for t in texts], np.int64)
-        points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-        letters = letter_counts(points, np.cumsum(size) - size, np.cumsum(size)).view(U64).ravel() if len(texts) else np.zeros(0, U64)
-        above: dict[int, int] = {}
+        key, pair, side, name, texts = unpacked_lines(block["payload"].to_pylist())
+        order = np.lexsort((name, side, pair, key))
+        key, pair, side, name = (x[order] for x in (key, pair, side, name))
+        one, who = np.unique(name, return_inverse=True)
+        line = [texts[int(x)] for x in one]
+        size = np.array([len(t) for t in line], np.int64)
+        letters, own, keys = marks(line, edits, least)
+        above = list(range(len(one)))
 
         def top(x: int) -> int:
-            while (y := above.get(x, x)) != x:
-                above[x] = above.get(y, y)
+            while (y := above[x]) != x:
+                above[x] = above[y]
                 x = y
             return x
 
+        count = np.zeros(len(one), np.int64)
         found: list[tuple[int, int]] = []
-        edge = runs(key) if len(key) else np.zeros(1, np.int64)
-        for a, b in zip(edge[:-1], edge[1:]):
-            rest, todo = np.arange(a + 1, b), [int(a)]
-            while len(rest):
-                if not todo:
-                    todo.append(int(rest[0]))
-                    rest = rest[1:]
-                    continue
-                x = todo.pop()
-                reached = []
-                for y in rest[near_letters(letters[rest], np.broadcast_to(letters[x : x + 1], len(rest)).copy(), edits)].tolist():
-                    u, v = top(int(name[x])), top(int(name[y]))
-                    if u == v:
-                        reached.append(y)
-                    elif within(texts[x], texts[y], allowed(int(min(size[x], size[y])), edits, least)):
-                        above[max(u, v)] = min(u, v)
-                        found.append((int(name[x]), int(name[y])))
-                        reached.append(y)
-                if reached:
-                    todo += reached
-                    rest = rest[~np.isin(rest, reached)]
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (pair[1:] != pair[:-1])
+        for left, right in met(np.append(np.flatnonzero(new), len(key)), side) if len(key) else ():
+            x, y = who[left], who[right]
+            at = np.flatnonzero(np.abs(size[x] - size[y]) <= edits)
+            at = at[near_letters(letters[x[at]], letters[y[at]], edits)]
+            x, y, run_of = x[at], y[at], key[left[at]]
+            swap = size[x] > size[y]
+            x, y = np.where(swap, y, x), np.where(swap, x, y)
+            less = size[y] - size[x]
+            shared = np.minimum(least_shared(own[x], keys[y, less]), np.where(less == 0, least_shared(own[y], keys[x, 0]), ~U64(0)))
+            here = shared == run_of
+            x, y = x[here], y[here]
+            most = allowed(size[x], edits, least)
+            near = [all_within(line, *(c[i : i + TOGETHER] for c in (x, y, most))) for i in range(0, len(x), TOGETHER)]
+            near = np.concatenate(near) if near else np.zeros(0, bool)
+            x, y = x[near], y[near]
+            count += np.bincount(x, minlength=len(one)) + np.bincount(y, minlength=len(one))
+            for u, v in zip(x.tolist(), y.tolist()):
+                if (p := top(u)) != (q := top(v)):
+                    above[max(p, q)] = min(p, q)
+                    found.append((u, v))
         release()
-        pairs = np.array(found, np.int64).reshape(-1, 2)
-        return pa.Table.from_pydict({"a": pa.array(pairs.min(axis=1) if len(pairs) else [], pa.int64()), "b": pa.array(pairs.max(axis=1) if len(pairs) else [], pa.int64())})
+        some = np.flatnonzero(count)
+        ends = one[np.sort(np.array(found, np.int64).reshape(-1, 2), axis=1)]
+        links, counts = pa.nulls(len(ends), pa.int64()), pa.nulls(len(some), pa.int64())
+        columns = [(pa.array(one[some]), pa.array(ends[:, 0])), (counts, pa.array(ends[:, 1])), (pa.array(count[some]), links)]
+        return pa.Table.from_arrays([pa.concat_arrays(x) for x in columns], names=["a", "b", "n"])
 
     return run
 
 
 def near_lines(docs: DataFrame, edits: int, least: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(doc_id, doc, names) of the texts; the links (a, b) between names of different lines
-    that connect all classes; and (node, comp), the classes."""
+    """(doc_id, doc, names) of the texts; (node, n_links) of the names of lines with links to
+    different lines; and (node, comp), their classes."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-int(size) // 25 // BLOCK_ENTRIES))  # about a key for every 25 bytes
     signed = cut(sign(docs.select("doc_id", "doc", "text"), edits, least, parts), "signed")
     blocks = signed.where("block is not null").select("block", "payload")
     spread = max(parts, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     names = blocks.groupBy("block").applyInArrow(gathered(edits, spread), "block int, payload binary")
-    names = cut(names.groupBy("block").applyInArrow(wanted(RUN), "name long, keys binary, split boolean"), "names")
+    names = cut(names.groupBy("block").applyInArrow(wanted, "name long, keys binary"), "names")
     texts = texts_of(docs.select("text"), dense.bit_table(names.select("name"), BINS)).groupBy("name").agg(F.min("line").alias("line"))
-    lines = cut(texts.join(names, "name").withColumn("stray", F.array().cast("array<long>")), "lines")
-    links = cut(placed(lines, spread, False).groupBy("block").applyInArrow(forest(edits, least), "a long, b long").distinct(), "links")
-    labels = components(links)
-    if lines.where("split").limit(1).count():
-        strays = cut(stray_lines(lines.where("split").select("name", "keys"), labels), "strays")
-        if strays.limit(1).count():
-            again = lines.where("split").drop("stray").join(strays, "name", "left")
-            more = placed(again, spread, True).groupBy("block").applyInArrow(forest(edits, least), "a long, b long").distinct()
-            links = cut(links.union(more).distinct(), "links")
-            labels = components(links)
-    return signed.where("block is null").select("doc_id", "doc", "names"), links, labels
-
-
-def stray_lines(lines: DataFrame, labels: DataFrame) -> DataFrame:
-    """(name, stray): the split runs in which a line isn't in its hub's class."""
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            name, keys = (c.to_pylist() for c in batch.columns)
-            for n, k in zip(name, keys):
-                key, size, hub = unpack([k], U64, np.int32, bool)
-                wide = size > RUN
-                yield pa.RecordBatch.from_pydict({"name": pa.array([n] * int(wide.sum()), pa.int64()), "key": pa.array(key[wide].view(np.int64)), "hub": pa.array(hub[wide])})
-
-    runs_of = cut(lines.mapInArrow(spread, "name long, key long, hub boolean").join(labels.select(F.col("node").alias("name"), "comp"), "name", "left").select("name", "key", "hub", F.coalesce("comp", "name").alias("comp")), "split")
-    hubs = runs_of.where("hub").select("key", F.col("comp").alias("main"))
-    return runs_of.join(hubs, "key").where("comp != main").groupBy("name").agg(F.collect_set("key").alias("stray"))
+    found = cut(placed(texts.join(names, "name"), spread).groupBy("block").applyInArrow(linked(edits, least), "a long, b long, n long"), "links")
+    counts = found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n_links"))
+    return signed.where("block is null").select("doc_id", "doc", "names"), counts, components(found.where("b is not null").select("a", "b"))
 
 
 def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", edits: int = EDITS, least: int = MIN_CHARS) -> DataFrame:
@@ -458,8 +543,7 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ed
     class_doc_id and class_line_no (the first line of its class, by doc_id, nulls first, a
     hash of the text, and place), n_links and keep (it is that first line).
 
-    ``n_links`` counts the links to different lines that were needed to connect the class
-    (see ``forest``): none exactly if no other line is near.
+    ``n_links`` counts all links of the line, to different lines; copies of one line count once.
 
     Null and empty texts have no lines, and an empty table has no rows.  Lines are compared
     whole, however long.  Of rows that repeat an id and text, one keeps its lines; an id's
@@ -469,11 +553,10 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ed
     small_batches(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
     base = base.select("doc_id", F.xxhash64("text").alias("doc"), "text")
-    rows, links, labels = near_lines(base, edits, least)
+    rows, counts, labels = near_lines(base, edits, least)
     once = rows.groupBy("doc_id", "doc").agg(F.first("names").alias("names"), F.count("*").alias("n"))
     lines = once.select("doc_id", "doc", "n", F.posexplode("names").alias("line_no", "name")).withColumn("line_no", F.col("line_no").cast("long"))
-    ends = links.select(F.col("a").alias("node")).union(links.select("b"))
-    labels = labels.select("node", "comp").join(ends.groupBy("node").agg(F.count("*").alias("n_links")), "node")
+    labels = labels.select("node", "comp").join(counts, "node")
     first = lines.groupBy("name").agg(F.min(F.struct("doc_id", "doc", "line_no")).alias("at"))
     first = first.join(labels, F.col("name") == F.col("node"), "left").select("name", "at", F.coalesce("comp", "name").alias("comp"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
     top = first.groupBy("comp").agg(F.min("at").alias("top"))

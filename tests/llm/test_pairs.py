@@ -236,6 +236,54 @@ def test_line_dedup_of_split_runs(spark, monkeypatch):
     assert 1 < len(first) < 40
 
 
+@pytest.mark.parametrize("edits", [1, 2, 3, 4])
+def test_edit_distances_of_many_pairs(edits):
+    """Together as one by one, lines of all lengths and with null characters too."""
+    r = random.Random(edits)
+    texts = []
+    for n in (10, 12, 20, 33, 64, 130, lines.WIDE, lines.WIDE + 1):
+        x = "".join(r.choice("abc\0\U0001f600") for _ in range(n))
+        for _ in range(20):
+            y = list(x)
+            for _ in range(r.randint(0, edits + 1)):
+                at = r.randrange(len(y))
+                y[at : at + r.randint(0, 1)] = r.choice(["", "a", "\0", "bc"])
+            texts.append("".join(y))
+    pairs = sorted({tuple(sorted((i, j), key=lambda k: len(texts[k]))) for i in range(len(texts)) for j in range(i - i % 20, i)})
+    x, y = np.array(pairs).T
+    some = np.array([r.randint(1, edits) for _ in pairs])
+    want = [lines.within(texts[i], texts[j], int(d)) for (i, j), d in zip(pairs, some)]
+    assert lines.all_within(texts, x, y, some).tolist() == want and 0 < sum(want) < len(want)
+
+
+@pytest.mark.parametrize("most", [4096, 8])
+def test_line_dedup_counts_all_links(spark, monkeypatch, most):
+    """Each pair of near lines once, however many segments they share, in runs whole and split."""
+    monkeypatch.setattr(lines, "RUN", most)
+    r = random.Random(most)
+    every = {"a" * n for n in (9, 10, 11, 19, 20, 21, 22, 23)} | {"ab" * 9 + x for x in ("", "a", "b", "ab", "ba", "abab")}
+    for n in (12, 24, 60):
+        x = "".join(r.choice("abcdefgh é\U0001f600") for _ in range(n))
+        for _ in range(40):
+            y = list(x)
+            for _ in range(r.choice([1, 1, 2])):
+                at = r.randrange(len(y))
+                y[at : at + r.randint(0, 1)] = r.choice(["", "z", x[at - 1], "zq"])
+            every.add("".join(y))
+    every = sorted(every)
+    links = dict.fromkeys(every, 0)
+    for k, x in enumerate(every):
+        for y in every[:k]:
+            n = min(len(x), len(y))
+            if edit_distance(x, y) <= (2 if n >= 20 else 1 if n >= 10 else 0):
+                links[x] += 1
+                links[y] += 1
+    rows = [(i, x + "\n" + x) for i, x in enumerate(every)]
+    got = lines.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((x.doc_id, x.line_no, x.n_links) for x in got) == sorted((i, k, links[x]) for i, x in enumerate(every) for k in (0, 1))
+    assert max(links.values()) > 8
+
+
 def test_line_dedup_of_repeated_rows_and_ids(spark):
     rows = [(1, "one line of some length\nand another one"), (1, "one line of some length\nand another one"), (1, "one lime of some length"), (None, "x"), (None, "x"), (2, "y" * 70_000), (3, "y" * 69_999)]
     df = spark.createDataFrame([(i, t, 0, 1, "n") for i, t in rows], "doc_id long, text string, names int, block int, name string")
