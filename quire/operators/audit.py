@@ -46,14 +46,16 @@ def match_vault(vault: DataFrame, structures: DataFrame) -> DataFrame:
     a part of the folder's name.  The title is what follows the first underscore, or all.
 
     Parts of a folder's name as long as some title are looked up among the titles, so the
-    join is one of equal keys; folder names have at most 255 characters."""
+    join is one of equal keys; folder names have at most 255 characters.  A name has many
+    parts, which Spark's estimate of sizes doesn't see: the join is sorted, as the parts
+    would else be broadcast where the table of folders is small."""
     title = F.when(F.contains("name", F.lit("_")), F.regexp_replace("name", "^[^_]*_", "")).otherwise(F.col("name"))
     s = structures.select("name", title.alias("__t")).where("__t <> ''").groupBy("__t").agg(F.min("name").alias("name"))
     sizes = [r[0] for r in s.select(F.length("__t").alias("n")).distinct().where(f"n <= {LONGEST_NAME}").collect()]
     if not sizes:
         return vault.select("dir", F.lit(None).cast("string").alias("name")).limit(0)
     parts = F.array_distinct(F.flatten(F.transform(F.array(*[F.lit(n) for n in sizes]), lambda n: F.transform(F.filter(F.sequence(F.lit(1), F.greatest(F.length("dir") - n + 1, F.lit(1))), lambda i: i + n - 1 <= F.length("dir")), lambda i: F.substr("dir", i, n)))))
-    return vault.select("dir", F.explode(parts).alias("__t")).join(s, "__t").groupBy("dir").agg(F.min("name").alias("name"))
+    return vault.select("dir", F.explode(parts).alias("__t")).hint("merge").join(s, "__t").groupBy("dir").agg(F.min("name").alias("name"))
 
 
 def incomplete_batches(content: DataFrame, files: DataFrame) -> DataFrame:

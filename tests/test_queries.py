@@ -117,6 +117,13 @@ def test_vault_folders_by_a_part_of_their_names(spark):
     assert audit.match_vault(vault, names.limit(0)).collect() == []
 
 
+def test_parts_of_folder_names_are_not_broadcast(spark):
+    """A name has many parts: a table of folders that Spark takes for small makes too many for a driver."""
+    vault = spark.createDataFrame([("a T1 b",)], "dir string")
+    found = audit.match_vault(vault, spark.createDataFrame([("b1_T1",)], "name string"))
+    assert found.collect() and "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_retention_with_nulls(spark):
     df = spark.createDataFrame([(1, None), (2, "a"), (3, None)], "k int, v string")
     assert [r.k for r in audit.newest(df, 2, "k").collect()] == [3]
