@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import html
+import re
+from html.entities import html5
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -23,6 +25,24 @@ def unescape(text: Column) -> Column:
     return _unescape(text)
 
 
+_CLOSED = re.compile(r"&(#[0-9]+;|#[xX][0-9a-fA-F]+;|[^\t\n\f <&#;]{1,32};)")
+
+
+def closed(x: str) -> str:
+    return _CLOSED.sub(lambda m: html.unescape(m[0]) if m[1][0] == "#" else html5.get(m[1], m[0]), x)
+
+
+@F.arrow_udf(StringType())
+def _unescape_closed(column: pa.Array) -> pa.Array:
+    return pa.array([None if x is None else closed(x) for x in column.to_pylist()], pa.string())
+
+
+def unescape_closed(text: Column) -> Column:
+    """As ``unescape``, but a reference must end with a semicolon: raw pages have addresses
+    like ?a=1&copy=2, and cut texts like x&amp, which stay as they are."""
+    return _unescape_closed(text)
+
+
 def decoded(x):
     return None if x is None else html.unescape(x) if isinstance(x, str) else [decoded(y) for y in x]
 

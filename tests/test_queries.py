@@ -48,6 +48,16 @@ def test_query_without_sql_gives_rows(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
 
 
+def test_pages_with_references_that_do_not_end(spark, tmp_path):
+    """Of a title cut inside &amp; and of an address: SQL leaves them, too."""
+    rows = [(1, "<title>a&amp</title> &amp;quot; &quot;x&quot;"), (2, "?a=1&copy=2&middot;&copy"), (3, "&amp&amp;&am&amp;p;"), (4, "&notit; &nosuch;"), (5, None)]
+    spark.createDataFrame(rows, "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    c = duckdb.connect()
+    c.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    want = sorted(c.execute(oracle.SQL["f2_unescape_pages"]).fetchall())
+    assert sorted(tuple(r) for r in QUERIES["f2_unescape_pages"](spark, str(tmp_path)).collect()) == want
+
+
 def test_link_rewrite_changes_links(spark):
     lines = [r.line for r in QUERIES["j10_link_rewrite"](spark, SF).collect()]
     assert sum("(https://cdn/images/" in x for x in lines) > 10
