@@ -2,9 +2,11 @@
 manifest, then switched in; and read by folder, with filters that open fewer files.
 
 A job writes below ``<root>/.jobs/<job>``: tasks stage files, each attempt in its own folder,
-and the commit lists the attempts that count in a manifest.  A failed or lost attempt isn't
-in it, so nothing of it is ever seen.  ``publish`` then moves staged files together by folder
-and puts each folder in the place of the old one, whole.  Its steps are spread over tasks,
+where they are numbered, beside a list of their names (a folder takes a block of the disk, as
+a small file does, so staged files have none of their own); and the commit lists the attempts
+that count in a manifest.  A failed or lost attempt isn't in it, so nothing of it is ever
+seen.  ``publish`` then moves staged files together by folder and puts each folder in the
+place of the old one, whole.  Its steps are spread over tasks,
 keep to the manifest, and may be run again after a crash: before the manifest the old folders
 stay as they are, after it ``recover`` finishes the job.  Files are dealt out by path, so a
 folder with a third of all files is written by many tasks.
@@ -79,36 +81,43 @@ class Staged(WriterCommitMessage):
     size: int
 
 
+def _refused(fs: pafs.FileSystem, path: str) -> bool:
+    """Whether a local disk has no room for a path's name, or that of a part of it."""
+    return isinstance(fs, pafs.LocalFileSystem) and (len(path.encode()) > 4095 or any(len(p.encode()) > 255 for p in path.split("/")))
+
+
 class TreeWriter(DataSourceArrowWriter):
     def __init__(self, root: str, job: str):
         self.root, self.job = root, job
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Staged:
         fs, base = _open(self.root)
-        attempt, seen, size = uuid.uuid4().hex, set(), 0
+        attempt, seen, size = uuid.uuid4().hex, {}, 0
         home = f"{base}/{JOBS}/{self.job}/attempts/{attempt}"
         try:
             fs.create_dir(home, recursive=True)
-            made = set()
             for batch in iterator:
                 for path, content in zip(batch.column("path").to_pylist(), batch.column("content")):
                     if not is_safe(path):
                         raise ValueError(f"not a path below the root: {path!r}")
                     if path in seen:
                         raise ValueError(f"two files of one name: {path!r}")
-                    seen.add(path)
-                    folder = f"{home}/{path}".rpartition("/")[0]
-                    if folder not in made:
-                        fs.create_dir(folder, recursive=True)
-                        made.add(folder)
-                    with fs.open_output_stream(f"{home}/{path}") as out:
+                    if _refused(fs, f"{base}/{JOBS}/{self.job}/new/{path}"):
+                        raise OSError(f"too long a name: {path!r}")
+                    with fs.open_output_stream(f"{home}/{len(seen)}") as out:
                         data = content.as_buffer() if content.is_valid else b""
                         out.write(data)
                         size += len(data)
-            tops = sorted({p.split("/")[0] for p in seen})
-            fs.create_dir(f"{base}/{JOBS}/{self.job}/tops", recursive=True)
-            with fs.open_output_stream(f"{base}/{JOBS}/{self.job}/tops/{attempt}") as out:
-                out.write("\n".join(tops).encode())
+                    seen[path] = None
+            for path in seen:
+                above = path
+                while "/" in above:
+                    above = above.rpartition("/")[0]
+                    if above in seen:
+                        raise ValueError(f"a file and a folder of one name: {above!r}")
+            fs.create_dir(f"{base}/{JOBS}/{self.job}/paths", recursive=True)
+            with fs.open_output_stream(f"{base}/{JOBS}/{self.job}/paths/{attempt}") as out:
+                out.write("\n".join(seen).encode())
         except BaseException:
             fs.delete_dir(home)
             raise
@@ -140,13 +149,19 @@ def _each(names: DataFrame, f, schema: str) -> DataFrame:
     return names.mapInArrow(run, schema)
 
 
+def _paths(fs: pafs.FileSystem, home: str, attempt: str) -> list[str]:
+    """The names of an attempt's files, by their numbers."""
+    with fs.open_input_stream(f"{home}/paths/{attempt}") as f:
+        return f.read().decode().split("\n")
+
+
 def _tops(root: str, job: str):
     """The top folders of an attempt's files."""
 
     def tops(attempt: str) -> Iterator[pa.RecordBatch]:
         fs, base = _open(root)
-        with fs.open_input_stream(f"{base}/{JOBS}/{job}/tops/{attempt}") as f:
-            yield pa.RecordBatch.from_pydict({"folder": pa.array(f.read().decode().split("\n"), pa.string())})
+        folders = sorted({p.split("/")[0] for p in _paths(fs, f"{base}/{JOBS}/{job}", attempt)})
+        yield pa.RecordBatch.from_pydict({"folder": pa.array(folders, pa.string())})
 
     return tops
 
@@ -157,23 +172,29 @@ def _gather(root: str, job: str):
     def gather(attempt: str) -> Iterator[pa.RecordBatch]:
         fs, base = _open(root)
         home, new = f"{base}/{JOBS}/{job}/attempts/{attempt}", f"{base}/{JOBS}/{job}/new"
-        made = set()
-        for info in _files(fs, home):
-            to = f"{new}/{info.path[len(home) + 1 :]}"
+        paths, made = _paths(fs, f"{base}/{JOBS}/{job}", attempt), set()
+        for number in sorted(map(int, _names(fs, home))):
+            to = f"{new}/{paths[number]}"
             folder = to.rpartition("/")[0]
             if folder not in made:
                 fs.create_dir(folder, recursive=True)
                 made.add(folder)
             if _exists(fs, to):
-                raise ValueError(f"two files of one name: {to[len(new) + 1 :]!r}")
-            fs.move(info.path, to)
+                raise ValueError(f"two files of one name: {paths[number]!r}")
+            fs.move(f"{home}/{number}", to)
         yield pa.RecordBatch.from_pydict({"attempt": pa.array([attempt])})
 
     return gather
 
 
+def _remove(fs: pafs.FileSystem, path: str) -> None:
+    kind = fs.get_file_info(path).type
+    if kind != pafs.FileType.NotFound:
+        (fs.delete_file if kind == pafs.FileType.File else fs.delete_dir)(path)
+
+
 def _switch(root: str, job: str):
-    """Puts a new folder in the place of the old one."""
+    """Puts a new folder in the place of the old one, which goes."""
 
     def switch(folder: str) -> Iterator[pa.RecordBatch]:
         fs, base = _open(root)
@@ -184,6 +205,7 @@ def _switch(root: str, job: str):
                 if not _exists(fs, old):
                     fs.move(place, old)
             fs.move(new, place)
+        _remove(fs, old)
         yield pa.RecordBatch.from_pydict({"folder": pa.array([folder])})
 
     return switch
@@ -199,7 +221,9 @@ def publish(spark: SparkSession, root: str, job: str) -> dict:
     if manifest["attempts"]:
         attempts = spark.createDataFrame([(a,) for a in manifest["attempts"]], "attempt string").repartition(len(manifest["attempts"]))
         _each(attempts, _gather(root, job), "attempt string").count()
-        folders = _each(attempts, _tops(root, job), "folder string").distinct()
+        # as many tasks as cores at least: a folder is a short name, but several steps on the disk
+        tasks = max(len(manifest["attempts"]), spark.sparkContext.defaultParallelism)
+        folders = _each(attempts, _tops(root, job), "folder string").distinct().repartition(tasks, "folder")
         _each(folders, _switch(root, job), "folder string").count()
     fs.delete_dir(home)
     return manifest

@@ -69,6 +69,23 @@ def test_unsafe_paths_fail_the_job_and_leave_nothing(spark, tmp_path, bad):
     assert on_disk(tmp_path) == {} and not list((tmp_path / ".jobs").iterdir())
 
 
+def test_staged_files_have_no_folders_of_their_own(spark, tmp_path):
+    """A folder takes a block of the disk, and a job has as many as files."""
+    job = tree.stage(frame(spark, {f"b{i}/x/{i % 3}.md": str(i) for i in range(40)}), str(tmp_path))
+    home = tmp_path / ".jobs" / job
+    assert [p for a in (home / "attempts").iterdir() for p in a.rglob("*") if p.is_dir()] == []
+    tree.publish(spark, str(tmp_path), job)
+    assert on_disk(tmp_path) == {f"b{i}/x/{i % 3}.md": str(i) for i in range(40)} and not home.exists()
+
+
+@pytest.mark.parametrize("bad", [{"a": "1", "a/b/c": "2"}, {"a/" + "题" * 100: "x"}, {"/".join(["x" * 200] * 25): "x"}])
+def test_names_that_a_disk_cannot_have_fail_before_the_manifest(spark, tmp_path, bad):
+    tree.write_files(frame(spark, {"a/1": "old"}), str(tmp_path))
+    with pytest.raises(Exception, match="a file and a folder of one name|too long a name"):
+        tree.stage(frame(spark, bad).coalesce(1), str(tmp_path))
+    assert on_disk(tmp_path) == {"a/1": "old"} and not list((tmp_path / ".jobs").iterdir())
+
+
 def test_two_files_of_one_name_fail(spark, tmp_path):
     with pytest.raises(Exception, match="two files of one name"):
         tree.write_files(frame(spark, [("a/x", "1"), ("a/x", "2")]), str(tmp_path))
