@@ -16,23 +16,26 @@ def _recursive(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.cteRecursionLevelLimit", str(DEEPEST))
 
 
-def walk(nodes: DataFrame, parent: str = "parent_id") -> DataFrame:
+def walk(nodes: DataFrame, parent: str = "parent_id", along: str | None = None) -> DataFrame:
     """``nodes`` (book_id, node_id, parent, ...) in whatever order, with path (the ids from the
     root on), depth (0 for roots) and pre, the node's number in depth-first order; siblings go
-    by node_id.  Nodes that no root leads to aren't in it: ``unreached`` has them."""
+    by node_id.  along: a column of which path_<along> has the values on the path.  Nodes that
+    no root leads to aren't in it: ``unreached`` has them."""
     spark = nodes.sparkSession
     _recursive(spark)
+    more = f", path_{along}" if along else ""
+    first, then = (f", array({along})", f", concat(w.path_{along}, array(n.{along}))") if along else ("", "")
     found = spark.sql(
         f"""
-        with recursive w(book_id, node_id, path) as (
-          select book_id, node_id, array(node_id) from {{n}} where {parent} is null
+        with recursive w(book_id, node_id, path{more}) as (
+          select book_id, node_id, array(node_id){first} from {{n}} where {parent} is null
           union all
-          select n.book_id, n.node_id, concat(w.path, array(n.node_id)) from w join {{n}} n on n.book_id = w.book_id and n.{parent} = w.node_id)
-        select book_id, node_id, path from w""",
-        n=nodes.select("book_id", "node_id", parent),
+          select n.book_id, n.node_id, concat(w.path, array(n.node_id)){then} from w join {{n}} n on n.book_id = w.book_id and n.{parent} = w.node_id)
+        select book_id, node_id, path{more} from w""",
+        n=nodes.select("book_id", "node_id", parent, *([along] if along else [])),
     )
     order = Window.partitionBy("book_id").orderBy("path")
-    placed = found.select("book_id", "node_id", "path", (F.size("path") - 1).alias("depth"), F.row_number().over(order).cast("long").alias("pre"))
+    placed = found.withColumn("depth", F.size("path") - 1).withColumn("pre", F.row_number().over(order).cast("long"))
     return nodes.join(placed, ["book_id", "node_id"])
 
 
@@ -71,16 +74,16 @@ def documents(structures: DataFrame, tree: DataFrame, lines: DataFrame) -> DataF
 
     Walked nodes go down and up again: each begins with its own fields, and ends as many
     lists as the next one is higher.  So one ordered aggregate by book nests all levels."""
-    walked = walk(tree).join(lines, ["book_id", "node_id"], "left")
+    walked = walk(tree, along="board").join(lines, ["book_id", "node_id"], "left")
     own = F.to_json(F.struct(*NODE), {"ignoreNullFields": "false"})
     opened = F.concat(F.substr(own, F.lit(1), F.length(own) - 1), F.lit(',"children":['))
     after = F.coalesce(F.lead("depth").over(Window.partitionBy("book_id").orderBy("pre")), F.lit(-1))
-    # what closes a node needs its board, and so do those of the ancestors that end with it
-    path_boards = walked.select("book_id", "node_id", "board").withColumnRenamed("node_id", "__a")
     ended = walked.withColumn("__next", after)
-    up = ended.select("book_id", "node_id", "depth", "__next", F.posexplode("path").alias("__d", "__a")).where(F.col("__d") > F.col("__next") - 1)
-    closed = up.join(path_boards, ["book_id", "__a"]).groupBy("book_id", "node_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("__d")).alias("d"), F.concat(F.lit('],"board":'), F.col("board").cast("string"), F.lit("}")).alias("x")))).alias("c"))
-    text = ended.join(closed, ["book_id", "node_id"], "left").select("book_id", "pre", F.concat(opened, F.coalesce(F.array_join("c.x", ""), F.lit("")), F.when(F.col("__next") < 0, "").when(F.col("__next") <= F.col("depth"), ",").otherwise("")).alias("x"))
+    # what closes a node needs its board, and so do those of the ancestors that end with it
+    upto = F.greatest("__next", F.lit(0))
+    ending = F.reverse(F.slice("path_board", upto + 1, F.col("depth") - upto + 1))
+    closed = F.array_join(F.transform(ending, lambda b: F.concat(F.lit('],"board":'), b.cast("string"), F.lit("}"))), "")
+    text = ended.select("book_id", "pre", F.concat(opened, closed, F.when(F.col("__next") < 0, "").when(F.col("__next") <= F.col("depth"), ",").otherwise("")).alias("x"))
     chapters = text.groupBy("book_id").agg(F.array_sort(F.collect_list(F.struct("pre", "x"))).alias("t")).select("book_id", F.array_join("t.x", "").alias("chapters"))
     s = structures.select("book_id", F.concat(F.lit("B"), F.col("book_id").cast("string")).alias("book"), "pages_covered", "pre_matter_chars", F.col("orphans").alias("skipped_orphans"), "warnings").join(chapters, "book_id", "left")
     head, tail = F.to_json(F.struct("book", "pages_covered")), F.to_json(F.struct("pre_matter_chars", "skipped_orphans", "warnings"))
@@ -107,7 +110,8 @@ def nodes_of(documents: DataFrame) -> DataFrame:
         d=documents.select("book_id", "document"),
     )
     numbered = every.withColumn("node_id", F.row_number().over(Window.partitionBy("book_id").orderBy("path")).cast("long"))
+    # each node stands under its own path, and under its parent's to take the parent's id
     up = F.when(F.size("path") > 1, F.slice("path", 1, F.size("path") - 1))
-    own = numbered.select("book_id", F.col("path").alias("__up"), F.col("node_id").alias("parent_id"))
-    out = numbered.withColumn("__up", up).join(own, ["book_id", "__up"], "left").drop("__up")
+    twice = numbered.withColumn("__at", F.explode(F.array(F.struct(F.col("path").alias("p"), F.col("node_id").alias("id")), F.struct(up.alias("p"), F.lit(None).cast("long").alias("id")))))
+    out = twice.withColumn("parent_id", F.max("__at.id").over(Window.partitionBy("book_id", "__at.p"))).where("__at.id is null")
     return out.select("book_id", "node_id", "parent_id", (F.get("path", F.lit(0)) + 1).cast("long").alias("chapter_no"), (F.size("path") - 1).alias("depth"), *NODE, "board")

@@ -305,3 +305,13 @@ def test_links_of_a_long_line(spark):
     urls = spark.range(3000).select(F.lit(1).alias("book_id"), F.concat(F.lit("images/"), F.col("id").cast("string"), F.lit(".jpg")).alias("rel"), F.concat(F.lit("u"), F.col("id").cast("string")).alias("url"))
     got = links.rewritten(spark.createDataFrame([(1, 1, line)], "book_id int, ln int, line string"), urls).first().line
     assert got == re.sub(r"images/(\d+)\.jpg", r"u\1", line)
+
+
+def test_trees_are_walked_and_read_once(spark):
+    """Each mention of a recursion is run anew, and reading documents reads their files anew."""
+    df = tree_frame(spark, some_tree(1, 9, 1))
+    s = spark.createDataFrame([(1, "p1-9", 3, ["w"], [])], "book_id long, pages_covered string, pre_matter_chars long, warnings array<string>, orphans array<string>")
+    docs = documents.documents(s, df, df.select("book_id", "node_id", F.array("title").alias("lines")))
+    given = spark.createDataFrame([(1, '{"chapters":[]}')], "book_id long, document string")
+    for made in (docs, documents.nodes_of(given)):
+        assert made._jdf.queryExecution().optimizedPlan().toString().count("UnionLoop ") == 1
