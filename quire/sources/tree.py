@@ -221,9 +221,10 @@ def publish(spark: SparkSession, root: str, job: str) -> dict:
     if manifest["attempts"]:
         attempts = spark.createDataFrame([(a,) for a in manifest["attempts"]], "attempt string").repartition(len(manifest["attempts"]))
         _each(attempts, _gather(root, job), "attempt string").count()
-        # as many tasks as cores at least: a folder is a short name, but several steps on the disk
+        # as many tasks as cores at least: a folder is a short name, but several steps on the disk; dealt in
+        # turn, as by name Spark takes the partitions of distinct() and joins small ones
         tasks = max(len(manifest["attempts"]), spark.sparkContext.defaultParallelism)
-        folders = _each(attempts, _tops(root, job), "folder string").distinct().repartition(tasks, "folder")
+        folders = _each(attempts, _tops(root, job), "folder string").distinct().repartition(tasks)
         _each(folders, _switch(root, job), "folder string").count()
     fs.delete_dir(home)
     return manifest

@@ -315,3 +315,11 @@ def test_trees_are_walked_and_read_once(spark):
     given = spark.createDataFrame([(1, '{"chapters":[]}')], "book_id long, document string")
     for made in (docs, documents.nodes_of(given)):
         assert made._jdf.queryExecution().optimizedPlan().toString().count("UnionLoop ") == 1
+
+
+def test_folders_are_switched_by_many_tasks(spark, tmp_path, monkeypatch):
+    """Their names are few bytes, which Spark would join into one task."""
+    each, tasks = tree._each, []
+    monkeypatch.setattr(tree, "_each", lambda names, f, schema: tasks.append(names.rdd.getNumPartitions()) or each(names, f, schema))
+    tree.write_files(frame(spark, {f"b{i}/1.md": "x" for i in range(40)}), str(tmp_path))
+    assert tasks[-1] >= spark.sparkContext.defaultParallelism and len(on_disk(tmp_path)) == 40
